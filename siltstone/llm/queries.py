@@ -33,6 +33,12 @@ def op3_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), byte_bpe_encoding(), end_id=2)
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.passage_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"), width=200, with_text=False)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
@@ -48,7 +54,7 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_anisotropic_ann, op2_maxscore_topk, op3_rans_token_files, op9_token_counts, op10_simhash_near_duplicates]
+    found = [op1_anisotropic_ann, op2_maxscore_topk, op3_rans_token_files, op4_suffix_array_dedup, op9_token_counts, op10_simhash_near_duplicates]
     return {f.__name__: f for f in found}
 
 
