@@ -39,6 +39,18 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), width=200, with_text=False)
 
 
+def op6_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.language_id import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op8_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
@@ -54,7 +66,7 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_anisotropic_ann, op2_maxscore_topk, op3_rans_token_files, op4_suffix_array_dedup, op9_token_counts, op10_simhash_near_duplicates]
+    found = [op1_anisotropic_ann, op2_maxscore_topk, op3_rans_token_files, op4_suffix_array_dedup, op6_crf_language_id, op8_gru_toxicity, op9_token_counts, op10_simhash_near_duplicates]
     return {f.__name__: f for f in found}
 
 
