@@ -99,7 +99,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 6, batch: int = 128,
             rows = at[order[i : i + batch]]
             lexemes, truth = words.lexeme[rows], label_of[rows]
             used, inverse = np.unique(lexemes, return_inverse=True)
-            part = _subset(features, used)
+            part = features.of(used)
             scores = part.sums(field.weights)[inverse.reshape(rows.shape)]
             marginals, expected = forward_backward(scores.astype(np.float64), field.transitions, field.start, lengths[: len(rows)])
             gap = marginals.copy()
@@ -114,14 +114,6 @@ def fit(texts: list[str], labels: list[str], epochs: int = 6, batch: int = 128,
     return field
 
 
-def _subset(features, used: np.ndarray):
-    from siltstone.llm.word_features import Ragged
-
-    count = np.diff(features.bounds)[used]
-    bounds = np.concatenate([[0], np.cumsum(count)])
-    return Ragged(features.ids[np.arange(bounds[-1]) + np.repeat(features.bounds[used] - bounds[:-1], count)], bounds)
-
-
 def predict(field: Field, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, label) sums of the words' marginals, and each text's number of words."""
     words = words_of(data, offsets)

@@ -39,12 +39,26 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), width=200, with_text=False)
 
 
+def op5_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    from siltstone.llm.pieces import encode_pieces
+
+    return encode_pieces(table(spark, sf_dir, "documents"), public.path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op6_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.language_id import language_id
 
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), byte_bpe_encoding())
+
+
 def op8_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.toxicity import toxicity
 
@@ -66,7 +80,7 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_anisotropic_ann, op2_maxscore_topk, op3_rans_token_files, op4_suffix_array_dedup, op6_crf_language_id, op8_gru_toxicity, op9_token_counts, op10_simhash_near_duplicates]
+    found = [op1_anisotropic_ann, op2_maxscore_topk, op3_rans_token_files, op4_suffix_array_dedup, op5_streaming_viterbi, op6_crf_language_id, op7_best_fit_packing, op8_gru_toxicity, op9_token_counts, op10_simhash_near_duplicates]
     return {f.__name__: f for f in found}
 
 

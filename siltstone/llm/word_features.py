@@ -77,6 +77,12 @@ class Ragged:
             out[:, c] = np.add.reduceat(table[:, c][self.ids], self.bounds[:-1])
         return out
 
+    def of(self, chosen: np.ndarray) -> Ragged:
+        """The features of some of the words."""
+        count = np.diff(self.bounds)[chosen]
+        bounds = np.concatenate([[0], np.cumsum(count)])
+        return Ragged(self.ids[np.arange(bounds[-1]) + np.repeat(self.bounds[chosen] - bounds[:-1], count)], bounds)
+
     def scatter(self, grad: np.ndarray, size: int) -> np.ndarray:
         """The sums' gradient with respect to the table."""
         owner = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
