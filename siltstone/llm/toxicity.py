@@ -157,8 +157,11 @@ class Network:
         return _sigmoid(best.astype(np.float64))
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 4, batch: int = 32, most: int = 24, rate: float = 0.02, seed: int = 0) -> Network:
-    """labels: 0 or 1. Classes weigh the same; `most` windows of a text, drawn anew each time, take part in a step."""
+def fit(texts: list[str], labels: np.ndarray, epochs: int = 4, odds: float = 1.0, batch: int = 32, most: int = 24, rate: float = 0.02, seed: int = 0) -> Network:
+    """labels: 0 or 1. Classes weigh the same in training, after which the bias is set for `odds` toxic texts for each other one.
+
+    `most` windows of a text, drawn anew each time, take part in a step.
+    """
     data, offsets = text_buffers(pa.array(texts, pa.string()))
     words = words_of(data, offsets)
     n = words.texts
@@ -199,9 +202,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 4, batch: int = 32,
             lexemes = words.lexeme[at]
             used, inverse = np.unique(lexemes, return_inverse=True)
             inverse = inverse.reshape(lexemes.shape)
-            from siltstone.llm.language_id import _subset
-
-            part = _subset(grams, used)
+            part = grams.of(used)
             size = np.diff(part.bounds)[:, None]
             x = np.concatenate([net.p["word"][place[used]], part.sums(net.p["char"]) / size], axis=1).astype(np.float32)
             rank = pulls[start + length] - pulls[start] if epoch == 0 else net.read(x[inverse], length)
@@ -222,21 +223,28 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 4, batch: int = 32,
                 first_moment[k] += 0.1 * (grad - first_moment[k])
                 second_moment[k] += 0.01 * (grad * grad - second_moment[k])
                 v -= (rate / (1 + epoch) * (first_moment[k] / (1 - 0.9**step)) / (np.sqrt(second_moment[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    net.p["b"] += np.float32(np.clip(np.log(max(odds, 1e-9)), -3, 3))
     return net
 
 
-def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Text and toxic of labelled rows that aren't held out: SAMPLE_ROWS of either class at most, by a hash, SAMPLE_CHARS of each."""
+def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, float]:
+    """Text and toxic of labelled rows that aren't held out: SAMPLE_ROWS of either class at most, by a hash, SAMPLE_CHARS of each; and how many toxic rows there are for each other one."""
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     rows = held_out(documents(docs)).where("not held_out and text is not null").join(marks, "doc_id")
     place = F.pmod(F.xxhash64("text", F.lit(3)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
     cut = rows.select(F.xxhash64("text", "doc_id").alias("h"), F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("text"), "toxic")
     texts, found = [], []
+    number = dict(cut.groupBy("toxic").count().collect())
     for value in (0, 1):
         part = cut.where(F.col("toxic") == value).orderBy("h", "text").limit(SAMPLE_ROWS).select("text").toArrow()["text"].to_pylist()
         texts += part
         found += [value] * len(part)
-    return texts, np.array(found, np.int64)
+    return texts, np.array(found, np.int64), number.get(1, 0) / max(1, number.get(0, 0))
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> Network:
+    texts, found, odds = training_sample(docs, labels)
+    return fit(texts, found, odds=odds)
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
@@ -258,4 +266,4 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fits on the labelled rows that aren't held out and scores every row."""
-    return score(docs, fit(*training_sample(docs, labels)))
+    return score(docs, fitted(docs, labels))
