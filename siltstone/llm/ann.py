@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import hashed_sample
 from siltstone.llm.vector_blocks import best, block_search, matrix, valid_vectors
 
 CENTROIDS = 16
@@ -104,7 +105,7 @@ def fit(x: np.ndarray, threshold: float = 0.2, rounds: int = 4, seed: int = 0) -
 
 def index(nonzero: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Codebook | None]:
     """Adds `codes` (two four-bit codes a byte) to every row; the codebook is fitted on `sample` rows."""
-    chosen = nonzero.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
+    chosen = hashed_sample(nonzero, sample, nonzero.count(), "vec_id").select("embedding").toArrow()
     if not chosen.num_rows:
         return nonzero.withColumn("codes", F.lit(b"")), None
     book = fit(unit(matrix(chosen["embedding"])))

@@ -113,3 +113,25 @@ def documents(df: DataFrame, *extra: str) -> DataFrame:
 def held_out(df: DataFrame) -> DataFrame:
     """Adds held_out: crc32 of doc_id as text leaves 0 when divided by 5."""
     return df.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)))
+
+
+def beside(docs: DataFrame, keep: list[str], taken: str) -> tuple[DataFrame, str]:
+    """doc_id, held_out, text and the columns to carry along, under names that clash with nothing; and those columns' part of a schema."""
+    carried = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]
+    frame = held_out(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried))
+    schema = ", ".join([taken, *(f"kept_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))])
+    return frame.select("doc_id", "held_out", "text", *(f"kept_{i}" for i in range(len(keep)))), schema
+
+
+def restored(df: DataFrame, keep: list[str], own: bool = True) -> DataFrame:
+    """Gives the carried columns their names back, after the operator's own or without those."""
+    taken = [c for c in df.columns if not c.startswith("kept_")] if own else []
+    return df.select(*taken, *(F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)))
+
+
+def hashed_sample(rows: DataFrame, n: int, total: int, *by: str) -> DataFrame:
+    """The n rows of least hash: rows beyond a bound that keeps about 2 n are left out before they are sorted, so one task gets no more."""
+    hashed = rows.withColumn("sample_hash", F.xxhash64(*by).bitwiseAND(F.lit((1 << 62) - 1)))
+    if total > 4 * n:
+        hashed = hashed.where(F.col("sample_hash") < int((1 << 62) * (2 * n + 200) / total))
+    return hashed.orderBy("sample_hash", *by).limit(n).drop("sample_hash")

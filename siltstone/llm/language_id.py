@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import documents, held_out, steps, text_buffers
+from siltstone.llm.common import beside, documents, hashed_sample, held_out, restored, steps, text_buffers
 from siltstone.llm.word_features import crf_features, words_of
 
 BITS = 17
@@ -166,19 +166,12 @@ def training_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
     """Text and lang of rows that aren't held out: SAMPLE_ROWS at most, by a hash of the text, SAMPLE_CHARS of each."""
     rows = held_out(documents(docs, "lang")).where("not held_out and lang is not null and text is not null")
     place = F.pmod(F.xxhash64("text", F.lit(3)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
-    cut = rows.select(F.xxhash64("text").alias("h"), F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("text"), F.col("lang").cast("string").alias("lang"))
-    chosen = cut.orderBy("h", "lang").limit(SAMPLE_ROWS).select("text", "lang").toArrow()
+    cut = rows.select(F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("text"), F.col("lang").cast("string").alias("lang"))
+    chosen = hashed_sample(cut, SAMPLE_ROWS, rows.count(), "text", "lang").toArrow()
     return chosen["text"].to_pylist(), chosen["lang"].to_pylist()
 
 
-def identify(docs: DataFrame, field: Field) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row; score is the language's share of the words' marginals.
-
-    `und` with score 0 where the text is null or has no letter, or no language was learned. Ties go to
-    the label that sorts first. Rows that repeat a doc_id are each judged; other columns are ignored; an
-    empty table gives no rows. No shuffle; the model has a fixed size.
-    """
-
+def _identified(docs: DataFrame, field: Field, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ascii_letter = np.zeros(256, bool)
         ascii_letter[0x41:0x5B] = ascii_letter[0x61:0x7B] = True
@@ -196,9 +189,26 @@ def identify(docs: DataFrame, field: Field) -> DataFrame:
                     known = field.labels and (sure[i] or (counts[i] and _has_letter(part[own[i] : own[i + 1]].tobytes().decode("utf-8", "ignore"))))
                     names.append(field.labels[best[i]] if known else UNKNOWN)
                     scores.append(float(min(1.0, share[i])) if known else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", *batch.schema.names[3:]])
+
+    frame, schema = beside(docs, keep, "doc_id long, held_out boolean, lang_pred string, score double")
+    return frame.mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, field: Field) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every row; score is the language's share of the words' marginals.
+
+    `und` with score 0 where the text is null or has no letter, or no language was learned. Ties go to
+    the label that sorts first. Rows that repeat a doc_id are each judged; other columns are ignored; an
+    empty table gives no rows. No shuffle; the model has a fixed size.
+    """
+    return _identified(docs, field, [])
+
 
-    return held_out(documents(docs)).select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+def known_languages(docs: DataFrame, field: Field, least_share: float) -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language of that share of its words' marginals at least."""
+    found = _identified(docs, field, docs.columns).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_share))
+    return restored(found, docs.columns, own=False)
 
 
 def language_id(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:

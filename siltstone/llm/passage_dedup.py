@@ -27,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, documents, steps, text_buffers
+from siltstone.llm.common import Scratch, beside, restored, steps, text_buffers
 from siltstone.llm.induced_sort import PAD, sorted_suffixes
 
 #: Bytes of distinct pieces for each shard; a shard may be any larger, as its sort works in files.
@@ -102,9 +102,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int, k: int) -> Iterat
         yield text[starts], at[starts] - offsets[text[starts]], stops - starts, least[starts].view(np.int64)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, *carried: Column) -> DataFrame:
     """k1, k2 name a text of a document; rows that repeat both are the same text and share what is found."""
-    return documents(docs).select("doc_id", "text", F.xxhash64("text", F.col("doc_id").isNull()).alias("k1"), F.coalesce("doc_id", F.lit(0)).alias("k2"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    return rows.withColumns({"k1": F.xxhash64("text", F.col("doc_id").isNull()), "k2": F.coalesce("doc_id", F.lit(0))})
 
 
 def _anchor_table(keyed: DataFrame, width: int, k: int) -> DataFrame:
@@ -299,15 +300,7 @@ def cut_out(text: bytes, begins: np.ndarray, numbers: np.ndarray, width: int) ->
     return b"".join(kept), int((runs[:, 1] - runs[:, 0]).sum()), runs
 
 
-def repeated_passages(docs: DataFrame, width: int = 200, with_text: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), and with with_text: kept (bytes) and spans (begin, end).
-
-    A text is its UTF-8 bytes, a null one empty. Removed is every byte covered by a `width`-byte string
-    that also starts anywhere else, in the same text or another; overlaps count, strings are judged on
-    the input, and none crosses a text's end. Texts shorter than `width` keep all. Rows that repeat a
-    document are repeats of each other, whatever their ids; null doc_ids are kept; other columns are
-    ignored; an empty table gives no rows. width is from 8 to 254.
-    """
+def _cut(docs: DataFrame, width: int, with_text: bool, keep: list[str]) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "passages")
     k = max(4, width // 4)
@@ -338,11 +331,36 @@ def repeated_passages(docs: DataFrame, width: int = 200, with_text: bool = True)
                     begins.append(pairs[:, 0] + place["start"])
                     numbers.append(pairs[:, 1])
                 kept, removed, runs = cut_out(data, np.concatenate(begins), np.concatenate(numbers), width)
-                rows.append((len(data), removed, len(runs), hashlib.sha256(kept).hexdigest(), *([kept, runs.ravel().tolist()] if with_text else [])))
+                rows.append((len(data), removed, len(runs), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore"), runs.ravel().tolist()] if with_text else [])))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * (6 if with_text else 4)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
             arrays = [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=False))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"][: len(arrays)])
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "remaining_sha256", "remaining", "spans"][: len(arrays)]
+            yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[3:]], names=[*names, *batch.schema.names[3:]])
+
+    taken = "doc_id long, n_bytes long, n_removed long, n_spans long, remaining_sha256 string" + ", remaining string, spans array<long>" * with_text
+    carried = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]
+    _, schema = beside(docs, keep, taken)
+    found = _keyed(docs, *carried).join(places, ["k1", "k2"], "left").select("doc_id", "text", "places", *(f"kept_{i}" for i in range(len(keep))))
+    return found.mapInArrow(run, schema)
+
+
+def repeated_passages(docs: DataFrame, width: int = 200, with_text: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), and with with_text: kept (text) and spans (begin, end, begin, end, ...).
+
+    A text is its UTF-8 bytes, a null one empty. Removed is every byte covered by a `width`-byte string
+    that also starts anywhere else, in the same text or another; overlaps count, strings are judged on
+    the input, and none crosses a text's end. Texts shorter than `width` keep all. Rows that repeat a
+    document are repeats of each other, whatever their ids; null doc_ids are kept; other columns are
+    ignored; an empty table gives no rows. kept_sha256 is of the remaining bytes; in kept, what is left
+    of a character that was cut in two is dropped. width is from 8 to 254.
+    """
+    return _cut(docs, width, with_text, []).withColumnsRenamed({"remaining_sha256": "kept_sha256", "remaining": "kept"})
+
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<long>" * with_text
-    return keyed.join(places, ["k1", "k2"], "left").select("doc_id", "text", "places").mapInArrow(run, schema)
+def without_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
+    """The rows of docs, with all their columns, their text cut; those of which nothing but white space is left go."""
+    found = _cut(docs, width, True, docs.columns).where("n_removed = 0 or trim(remaining) <> ''")
+    text = [i for i, c in enumerate(docs.columns) if c == "text"]
+    cut = found.withColumns({f"kept_{i}": F.when(F.col("n_removed") > 0, F.col("remaining")).otherwise(F.col(f"kept_{i}")) for i in text})
+    return restored(cut, docs.columns, own=False)

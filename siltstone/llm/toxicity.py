@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import documents, held_out, steps, text_buffers
+from siltstone.llm.common import beside, documents, hashed_sample, held_out, restored, steps, text_buffers
 from siltstone.llm.word_features import Words, ngrams, words_of
 
 WINDOW = 24
@@ -232,11 +232,11 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.n
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     rows = held_out(documents(docs)).where("not held_out and text is not null").join(marks, "doc_id")
     place = F.pmod(F.xxhash64("text", F.lit(3)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
-    cut = rows.select(F.xxhash64("text", "doc_id").alias("h"), F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("text"), "toxic")
+    cut = rows.select("doc_id", F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("text"), "toxic")
     texts, found = [], []
     number = dict(cut.groupBy("toxic").count().collect())
     for value in (0, 1):
-        part = cut.where(F.col("toxic") == value).orderBy("h", "text").limit(SAMPLE_ROWS).select("text").toArrow()["text"].to_pylist()
+        part = hashed_sample(cut.where(F.col("toxic") == value), SAMPLE_ROWS, number.get(value, 0), "doc_id", "text").select("text").toArrow()["text"].to_pylist()
         texts += part
         found += [value] * len(part)
     return texts, np.array(found, np.int64), number.get(1, 0) / max(1, number.get(0, 0))
@@ -247,21 +247,30 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Network:
     return fit(texts, found, odds=odds)
 
 
+def _scored(docs: DataFrame, net: Network, keep: list[str]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(2))
+            parts = [net.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in steps(offsets, _STEP)]
+            found = np.concatenate(parts) if parts else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array((found >= 0.5).astype(np.int32)), *batch.columns[3:]], names=["doc_id", "held_out", "score", "predicted", *batch.schema.names[3:]])
+
+    frame, schema = beside(docs, keep, "doc_id long, held_out boolean, score double, predicted int")
+    return frame.mapInArrow(run, schema)
+
+
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row: score is the largest of all windows' probabilities, predicted 1 from 0.5 on.
 
     Null, empty and wordless texts are one empty window. Rows that repeat a doc_id are each scored; other
     columns are ignored; an empty table gives no rows. No shuffle; the model has a fixed size.
     """
+    return _scored(docs, net, [])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(2))
-            parts = [net.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in steps(offsets, _STEP)]
-            found = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return held_out(documents(docs)).select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+def clean(docs: DataFrame, net: Network) -> DataFrame:
+    """The rows of docs, with all their columns, that are predicted 0."""
+    return restored(_scored(docs, net, docs.columns).where("predicted = 0"), docs.columns, own=False)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
