@@ -87,10 +87,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: The score of op2 in plain SQL; the other operators have no SQL form that runs on whole tables.
 OP2_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, r.vec_id AS vec_id, CAST(list_inner_product(q.e, r.e) AS BIGINT) AS score
   FROM v q JOIN v r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id
