@@ -1 +1,188 @@
-"""Queries."""
+"""Queries of ingestion: versioned writes, graph upserts, admission."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from siltstone.expr import text
+from siltstone.functions import udfs
+from siltstone.model.frames import Frames
+from siltstone.operators import writes
+from siltstone.plans.registry import query
+from siltstone.sources import connectors
+from siltstone.streaming import admission
+
+NOW = "2025-06-01 00:00:00"
+
+_CHANGES = """state AS (SELECT doc_id, version, sha256(body) AS content_hash, valid_from, valid_to, deleted_at FROM docs),
+incoming AS (SELECT doc_id, sha256(CASE WHEN CAST(source_id AS BIGINT) % 3 = 0 THEN body || '!' ELSE body END) AS new_hash FROM docs WHERE valid_to IS NULL AND CAST(source_id AS BIGINT) % 2 = 0 UNION ALL SELECT doc_id || ':new', sha256(body) FROM docs WHERE version = 1 AND CAST(source_id AS BIGINT) % 50 = 1)"""
+
+
+def _incoming(f: Frames) -> DataFrame:
+    n = F.col("source_id").cast("long")
+    live = f.documents.where("valid_to is null").where(n % 2 == 0).select("doc_id", F.lit(1).alias("seq"), F.sha2(F.when(n % 3 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")), 256).alias("content_hash"))
+    fresh = f.documents.where("version = 1").where(n % 50 == 1).select(F.concat("doc_id", F.lit(":new")).alias("doc_id"), F.lit(1).alias("seq"), F.sha2("body", 256).alias("content_hash"))
+    return live.unionByName(fresh)
+
+
+@query(f"""WITH {_CHANGES}, changed AS (SELECT s.doc_id FROM state s JOIN incoming i USING (doc_id) WHERE s.valid_to IS NULL AND (s.content_hash <> i.new_hash OR s.deleted_at IS NOT NULL)),
+after AS (SELECT s.doc_id, s.version, s.content_hash, s.valid_to IS NULL AND s.doc_id NOT IN (SELECT doc_id FROM changed) AS live FROM state s
+  UNION ALL SELECT i.doc_id, coalesce(t.top, 0) + 1, i.new_hash, TRUE FROM incoming i LEFT JOIN (SELECT doc_id, max(version) AS top FROM state GROUP BY 1) t USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM state s WHERE s.doc_id = i.doc_id AND s.valid_to IS NULL AND s.deleted_at IS NULL AND s.content_hash = i.new_hash))
+SELECT doc_id, version, content_hash, live FROM after""")
+def document_upsert(f: Frames) -> DataFrame:
+    state = f.documents.select("doc_id", "version", F.sha2("body", 256).alias("content_hash"), "valid_from", "valid_to", "deleted_at")
+    return writes.upsert_documents(state, _incoming(f), NOW).select("doc_id", "version", "content_hash", F.col("valid_to").isNull().alias("live"))
+
+
+_PLAN = """live AS (SELECT DISTINCT doc_id, content_hash FROM chunks WHERE valid_to IS NULL),
+incoming AS (SELECT doc_id, sha256(content) AS content_hash, max(chunk_index) AS chunk_index FROM pieces WHERE version = 1 GROUP BY ALL)"""
+
+
+@query(f"WITH {_PLAN} SELECT CASE WHEN l.doc_id IS NOT NULL AND i.doc_id IS NOT NULL THEN 'reused' WHEN i.doc_id IS NOT NULL THEN 'added' ELSE 'removed' END AS action, count(*) AS n FROM live l FULL JOIN incoming i ON l.doc_id = i.doc_id AND l.content_hash = i.content_hash GROUP BY 1")
+def chunk_plan(f: Frames) -> DataFrame:
+    return _plan(f).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _plan(f: Frames) -> DataFrame:
+    from siltstone.model.frames import windows
+    from siltstone.model.vocabulary import CHUNK_OVERLAP, CHUNK_TOKENS
+
+    first = windows(f.documents.where("version = 1"), "body", CHUNK_TOKENS, CHUNK_OVERLAP, "doc_id")
+    incoming = first.select("doc_id", F.sha2("content", 256).alias("content_hash"), "chunk_index")
+    return writes.plan_chunks(f.chunks.where("valid_to is null"), incoming)
+
+
+@query(f"""WITH {_PLAN}, plan AS (SELECT coalesce(l.doc_id, i.doc_id) AS doc_id, coalesce(l.content_hash, i.content_hash) AS content_hash, i.chunk_index, i.doc_id IS NOT NULL AS present FROM live l FULL JOIN incoming i ON l.doc_id = i.doc_id AND l.content_hash = i.content_hash)
+SELECT coalesce(c.doc_id, p.doc_id) AS doc_id, coalesce(c.content_hash, p.content_hash) AS content_hash, CAST(CASE WHEN c.doc_id IS NOT NULL THEN c.chunk_index ELSE p.chunk_index END AS BIGINT) AS chunk_index,
+  CASE WHEN p.present THEN 9 ELSE c.last_seen_version END AS last_seen_version, CASE WHEN p.present THEN TRUE WHEN p.doc_id IS NOT NULL THEN FALSE ELSE c.valid_to IS NULL END AS live
+FROM chunks c FULL JOIN plan p ON c.doc_id = p.doc_id AND c.content_hash = p.content_hash""")
+def chunk_apply(f: Frames) -> DataFrame:
+    table = f.chunks.select("doc_id", "content_hash", "chunk_index", "first_seen_version", "last_seen_version", "valid_to")
+    versions = f.documents.select("doc_id").distinct().withColumn("version", F.lit(9).cast("long"))
+    return writes.apply_chunks(table, _plan(f), versions, NOW).select("doc_id", "content_hash", "chunk_index", "last_seen_version", F.col("valid_to").isNull().alias("live"))
+
+
+@query("SELECT source_event_id AS doc_id, max(queue_id) AS queue_id FROM queue GROUP BY 1 HAVING max(queue_id) > (SELECT count(*) / 2 FROM events)")
+def ordered_admission(f: Frames) -> DataFrame:
+    rows = f.queue.select(F.col("source_event_id").alias("doc_id"), "queue_id")
+    half = f.table("events").count() / 2
+    applied = rows.select("doc_id").distinct().withColumn("applied_id", F.lit(half))
+    return writes.admit_in_order(rows, applied)
+
+
+@query("""WITH e AS (SELECT event_id, user_id, unnest(json_keys(props)) AS key, props FROM events), v AS (SELECT user_id, key, arg_max(json_extract_string(props, '$.' || key), event_id) AS value FROM e GROUP BY ALL)
+SELECT user_id, string_agg(key || '=' || value, ',' ORDER BY key) AS merged FROM v GROUP BY 1""")
+def property_merge(f: Frames) -> DataFrame:
+    rows = f.table("events").select("user_id", F.col("event_id").alias("seq"), F.col("props").alias("properties"))
+    merged = writes.merge_properties(rows, "user_id").select("user_id", F.from_json("properties", "map<string,string>").alias("m"))
+    pairs = F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return merged.select("user_id", F.concat_ws(",", pairs).alias("merged"))
+
+
+_INCOMING_EDGES = """aliased AS (SELECT edge_type, from_id, CASE WHEN to_id IN ('Service:2', 'Service:4') THEN 'Service:1' ELSE to_id END AS to_id, CASE WHEN to_id IN ('Service:2', 'Service:4') THEN to_id ELSE '' END AS alias_to, tier, valid_from FROM edges WHERE edge_type = 'ASSIGNED_TO')"""
+
+
+def _upserted(f: Frames) -> tuple[DataFrame, DataFrame]:
+    own = f.edges.where("edge_type = 'ASSIGNED_TO'").withColumn("seq", F.monotonically_increasing_id())
+    incoming = own.select("edge_type", "from_id", "to_id", "confidence", "valid_from", F.lit(None).cast("timestamp").alias("valid_to"), F.lit("s").alias("source_system"), "seq")
+    empty = incoming.limit(0).drop("seq").withColumns({"alias_from": F.lit(""), "alias_to": F.lit("")})
+    aliases = f.spark.createDataFrame([("Service:2", "Service:1"), ("Service:4", "Service:1")], "alias string, primary string")
+    known = f.nodes.where("label <> 'Service' OR canonical_id IN ('Service:1', 'Service:3', 'Service:5', 'Service:6')")
+    return writes.upsert_edges(empty, incoming, aliases, known.select("canonical_id"))
+
+
+@query(f"WITH {_INCOMING_EDGES} SELECT to_id, alias_to, (['AMBIGUOUS', 'INFERRED', 'EXTRACTED'])[tier + 1] AS confidence, count(*) AS n FROM aliased WHERE to_id IN ('Service:1', 'Service:3', 'Service:5', 'Service:6') GROUP BY ALL")
+def edge_upsert(f: Frames) -> DataFrame:
+    return _upserted(f)[0].groupBy("to_id", "alias_to", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_INCOMING_EDGES} SELECT to_id, count(*) AS n FROM aliased WHERE to_id NOT IN ('Service:1', 'Service:3', 'Service:5', 'Service:6') GROUP BY 1")
+def pending_edges(f: Frames) -> DataFrame:
+    return _upserted(f)[1].groupBy("to_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_INCOMING_EDGES} SELECT to_id, count(*) AS n FROM aliased WHERE to_id IN ('Service:7', 'Service:8') GROUP BY 1")
+def drained_edges(f: Frames) -> DataFrame:
+    ready, _ = writes.drain_pending(_upserted(f)[1], f.nodes.where("label <> 'Service' OR canonical_id IN ('Service:7', 'Service:8')"))
+    return ready.groupBy("to_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'documents' AS name, (SELECT count(*) FROM docs WHERE source_system <> 'src3') AS n UNION ALL SELECT 'chunks', (SELECT count(*) FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM docs WHERE source_system = 'src3'))")
+def source_purge(f: Frames) -> DataFrame:
+    provenance = f.spark.createDataFrame([("a", "src3"), ("b", "src3"), ("b", "src1")], "canonical_id string, source_system string")
+    nodes = provenance.select("canonical_id").distinct()
+    edges = f.spark.createDataFrame([("a", "b", "src1")], "from_id string, to_id string, source_system string")
+    left = writes.purge_source(f.documents, f.chunks, provenance, nodes, edges, "src3")
+    return left["documents"].agg(F.lit("documents").alias("name"), F.count(F.lit(1)).alias("n")).unionByName(left["chunks"].agg(F.lit("chunks").alias("name"), F.count(F.lit(1)).alias("n")))
+
+
+@query("SELECT customer_id, source_system, source_event_id, count(*) AS version, string_agg(payload_key, ',' ORDER BY created_at, payload_key) AS payload_keys FROM queue GROUP BY ALL")
+def session_coalescing(f: Frames) -> DataFrame:
+    events = f.queue.withColumnRenamed("created_at", "received_at")
+    return admission.coalesced(events).withColumn("payload_keys", F.concat_ws(",", "payload_keys"))
+
+
+@query("SELECT customer_id, source_system, source_event_id, min(created_at) IS NOT NULL AS admitted FROM queue GROUP BY ALL")
+def idempotent_admission(f: Frames) -> DataFrame:
+    return f.queue.dropDuplicates(["customer_id", "source_system", "source_event_id"]).select("customer_id", "source_system", "source_event_id", F.lit(True).alias("admitted"))
+
+
+@query("SELECT CASE WHEN queue_id % 6 = 0 THEN CASE WHEN queue_id % 12 = 0 AND attempts + 1 < 5 THEN 'pending' ELSE 'dlq' END ELSE status END AS status, CAST(sum(attempts + CASE WHEN queue_id % 6 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS attempts, count(*) AS n FROM queue GROUP BY 1")
+def retries_and_dead_letters(f: Frames) -> DataFrame:
+    errors = f.queue.where("queue_id % 6 = 0").select("queue_id", F.expr("queue_id % 12 = 0").alias("transient"))
+    after = admission.after_errors(f.queue, errors)
+    return after.groupBy("status").agg(F.sum("attempts").alias("attempts"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CASE status WHEN 'dlq' THEN 'pending' ELSE status END AS status, CAST(sum(CASE status WHEN 'dlq' THEN 0 ELSE attempts END) AS BIGINT) AS attempts, count(*) AS n FROM queue GROUP BY 1")
+def dead_letter_replay(f: Frames) -> DataFrame:
+    return admission.replayed(f.queue).groupBy("status").agg(F.sum("attempts").alias("attempts"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CASE WHEN queue_id % 5 = 0 THEN CASE WHEN queue_id % 10 = 0 THEN 'done' ELSE 'pending' END ELSE status END AS status, count(*) AS n FROM queue GROUP BY 1")
+def compare_and_set_completion(f: Frames) -> DataFrame:
+    queue = f.queue.withColumn("version", F.lit(2))
+    done = f.queue.where("queue_id % 5 = 0").select("queue_id", F.expr("CASE WHEN queue_id % 10 = 0 THEN 2 ELSE 1 END").alias("version"))
+    return admission.completed(queue, done).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey, p_name || '/' || 'my-' || p_partkey || '-repo' AS full_name, 'my-' || p_partkey || '-repo,my_' || p_partkey || '_repo,my' || p_partkey || 'Repo,My' || p_partkey || 'Repo,MY_' || p_partkey || '_REPO,' || p_name || '/my-' || p_partkey || '-repo' AS variants FROM part")
+def repository_name_variants(f: Frames) -> DataFrame:
+    full = F.concat("p_name", F.lit("/my-"), F.col("p_partkey").cast("string"), F.lit("-repo"))
+    return f.table("part").select("p_partkey", full.alias("full_name"), F.concat_ws(",", text.repo_variants(full)).alias("variants"))
+
+
+@query("SELECT page_id, url AS source_url, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS body FROM pages")
+def upload_normalisation(f: Frames) -> DataFrame:
+    return connectors.upload_documents(f.table("pages")).select(F.col("source_id").cast("long").alias("page_id"), "source_url", "title", "body")
+
+
+@query("SELECT conv_id, string_agg(upper(role) || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1")
+def session_documents(f: Frames) -> DataFrame:
+    return connectors.session_documents(f.sessions).select(F.col("source_id").cast("long").alias("conv_id"), "body")
+
+
+@query()
+def session_segments(f: Frames) -> DataFrame:
+    return udfs.segmented(f.sessions, 1500)
+
+
+@query()
+def chunk_reconstruction(f: Frames) -> DataFrame:
+    return udfs.reconstructed(f.chunks).select("doc_id", F.length("text").alias("length"), "lines")
+
+
+@query("WITH d AS (SELECT doc_id, ' ' || substr(title, 1, 20) || ' ABC-' || (CAST(source_id AS BIGINT) % 9) || ' and DEF-7, ABC-' || (CAST(source_id AS BIGINT) % 4) || ' ' AS t, 'ABC-' || (CAST(source_id AS BIGINT) % 4) AS own FROM docs WHERE version = 1) SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(t, '\\b([A-Z]{2,10}-[0-9]+)\\b', 1)), lambda x: x <> own)), ',') AS refs FROM d")
+def issue_references(f: Frames) -> DataFrame:
+    n = F.col("source_id").cast("long")
+    made = F.concat(F.lit(" "), F.substring("title", 1, 20), F.lit(" ABC-"), (n % 9).cast("string"), F.lit(" and DEF-7, ABC-"), (n % 4).cast("string"), F.lit(" "))
+    refs = text.issue_references(made, F.concat(F.lit("ABC-"), (n % 4).cast("string")))
+    return f.documents.where("version = 1").select("doc_id", F.concat_ws(",", F.array_sort(refs)).alias("refs"))
+
+
+@query("SELECT 'x' || p_partkey AS from_name, CASE WHEN p_partkey % 2 = 0 THEN 'mod.f' || p_partkey ELSE 'any.f' || p_partkey END AS to_name, p_partkey % 2 = 1 AS ambiguous FROM part")
+def symbol_promotion(f: Frames) -> DataFrame:
+    part = f.table("part")
+    symbols = part.where("p_partkey % 2 = 0").select(F.expr("concat('mod.f', p_partkey)").alias("qualified_name"))
+    edges = part.select(F.expr("concat('x', p_partkey)").alias("from_name"), F.expr("concat('any.f', p_partkey)").alias("to_name"), F.lit(True).alias("ambiguous"))
+    return writes.promote_single_matches(edges, symbols)
