@@ -2,10 +2,10 @@
 
 A fingerprint of 64 bits is eight positional bytes. Two fingerprints that differ in at most d bits
 differ in at most d bytes, so they share at least 8 - d of the positional bytes: the guaranteed
-minimum of matches. The index is keyed by every choice of that many positions together with the
-bytes there, so a pair reaches a posting exactly if it has the minimum, and postings stay short for
-any number of documents. In a posting the shared positional bytes of each pair are tallied and pairs
-that reach the minimum are verified on all 64 bits.
+minimum of matches. The index is keyed by sets of positions together with the bytes there, chosen so
+that any pair with the minimum shares a key, and postings stay short for any number of documents. In
+a posting the shared positional bytes of each pair are tallied and pairs that reach the minimum are
+verified on all 64 bits.
 """
 
 from __future__ import annotations
@@ -64,70 +64,84 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def _forest(left: np.ndarray, left_rep: np.ndarray, right: np.ndarray, right_rep: np.ndarray, bits: int, need: int) -> list[tuple[int, int]]:
-    """Edges (representatives) that span what the pairs between two lists link; never more than their members."""
-    reps = np.unique(np.concatenate([left_rep, right_rep]))
-    parent = np.arange(len(reps))
-    li, ri = np.searchsorted(reps, left_rep), np.searchsorted(reps, right_rep)
-    out = []
+def position_sets(need: int, size: int) -> list[tuple[int, ...]]:
+    """Sets of `size` byte positions such that any `need` of the eight hold one of them.
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for begin in range(0, len(left), 256):
-        differ = left[begin : begin + 256, None] ^ right[None, :]
-        shared = (differ.view(np.uint8).reshape(*differ.shape, 8) == 0).sum(axis=2)
+    For sets of three in any four there is a system of twenty (eight points in three parts: the triples
+    inside a part, and those with two points in one part and one in the next); else all sets.
+    """
+    if (need, size) != (4, 3):
+        return list(combinations(range(8), size))
+    parts = [(0, 1, 2), (3, 4, 5), (6, 7)]
+    inside = [t for p in parts for t in combinations(p, 3)]
+    return sorted(inside + [(*two, one) for i, p in enumerate(parts) for two in combinations(p, 2) for one in parts[(i + 1) % 3]])
+
+
+def _forest(left: np.ndarray, right: np.ndarray, bits: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span what the pairs between two lists link; fewer than their members."""
+    nodes = np.unique(np.concatenate([left, right]))
+    label = np.arange(len(nodes))
+    li, ri = np.searchsorted(nodes, left), np.searchsorted(nodes, right)
+    ends: tuple[list[int], list[int]] = ([], [])
+    for begin in range(0, len(left), 128):
+        differ = left[begin : begin + 128, None] ^ right[None, :]
+        shared = np.count_nonzero(differ.view(np.uint8).reshape(*differ.shape, 8) == 0, axis=2)
         near = (shared >= need) & (np.bitwise_count(differ) <= bits) & (differ != 0)
-        for x, y in zip(*np.nonzero(near), strict=True):
-            a, b = root(li[begin + x]), root(ri[y])
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((int(reps[max(li[begin + x], ri[y])]), int(reps[min(li[begin + x], ri[y])])))
-    return out
+        for x in np.flatnonzero(near.any(axis=1)).tolist():
+            own = label[li[begin + x]]
+            far = ri[near[x]]
+            other = far[label[far] != own]
+            if not len(other):
+                continue
+            labels, first = np.unique(label[other], return_index=True)
+            ends[0].extend([int(li[begin + x])] * len(labels))
+            ends[1].extend(other[first].tolist())
+            label[np.isin(label, labels)] = own
+    return nodes[ends[0]].view(np.int64), nodes[ends[1]].view(np.int64)
 
 
 def links(unique: DataFrame, scratch: Scratch, bits: int = 4, block: int = BLOCK) -> DataFrame:
-    """(a, b): pairs of representatives that hold together every group which fingerprints `bits` apart form.
-
-    unique: fp and rep (the least doc_id), one row per fingerprint. A posting of two is a pair and is
-    verified in the plan; longer ones are cut into blocks of `block`, each pair of blocks is a row of
-    work of its own, so that no posting, however hot, meets in one task. Only edges that span a
-    block pair leave it, never all of its pairs.
+    """(a, b): pairs of fingerprints that hold together every group which fingerprints `bits` apart form.
+
+    unique: fp, one row per fingerprint. Postings are keyed by sets of byte positions and the bytes
+    there: of three bytes while there are fewer than 2**26 fingerprints, of four beyond, so that chance
+    meetings stay few; either finds every pair. A posting of two is a pair and is verified in the plan;
+    longer ones are cut into blocks of `block`, each pair of blocks is a row of work of its own, so that
+    no posting, however hot, meets in one task. Only edges that span a block pair leave it, never all
+    of its pairs.
     """
     need = 8 - bits
-    masks = [sum(0xFF << 8 * i for i in chosen) for chosen in combinations(range(8), need)]
+    size = min(need, 3 if unique.count() < 1 << 26 else 4)
+    masks = [sum(0xFF << 8 * i for i in chosen) for chosen in position_sets(need, size)]
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
-    postings = unique.select("fp", "rep", F.explode(keys).alias("key"))
-    member = F.struct("fp", "rep")
-    counted = scratch.write(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(member).alias("x"), F.max(member).alias("y")).where("n > 1"))
-    pairs = counted.where("n = 2").where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= bits)
-    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    postings = unique.select("fp", F.explode(keys).alias("key"))
+    counted = scratch.write(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
+    pairs = counted.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b")
 
     long = counted.where("n > 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
     members = postings.join(long, "key").withColumn("own", own)
-    cells = members.select("key", "own", member.alias("m"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = members.select("key", "own", "fp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    cells = cells.agg(F.collect_list(F.when(F.col("own") <= F.col("other"), F.col("m"))).alias("left"), F.collect_list(F.when(F.col("own") >= F.col("other"), F.col("m"))).alias("right"))
+    cells = cells.agg(F.collect_list(F.when(F.col("own") <= F.col("other"), F.col("fp"))).alias("left"), F.collect_list(F.when(F.col("own") >= F.col("other"), F.col("fp"))).alias("right"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def side(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            values = column.flatten()
+        def side(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             bounds = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
-            return values.field(0).to_numpy(zero_copy_only=False).view(np.uint64), values.field(1).to_numpy(zero_copy_only=False), bounds
+            return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), bounds
 
         for batch in batches:
-            (lf, lr, lb), (rf, rr, rb) = side(batch.column(0)), side(batch.column(1))
-            found: set[tuple[int, int]] = set()
+            if not batch.num_rows:
+                continue
+            (left, lb), (right, rb) = side(batch.column(0)), side(batch.column(1))
+            found, size = [], 0
             for k in range(batch.num_rows):
-                found.update(_forest(lf[lb[k] : lb[k + 1]], lr[lb[k] : lb[k + 1]], rf[rb[k] : rb[k + 1]], rr[rb[k] : rb[k + 1]], bits, need))
-            if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                found.append(_forest(left[lb[k] : lb[k + 1]], right[rb[k] : rb[k + 1]], bits, need))
+                size += len(found[-1][0])
+                if found and (size > 50_000 or k == batch.num_rows - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([e[i] for e in found])) for i in (0, 1)], names=["a", "b"])
+                    found, size = [], 0
 
     return pairs.unionAll(cells.select("left", "right").mapInArrow(run, "a long, b long"))
 
@@ -143,7 +157,8 @@ def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4, seed: int =
     scratch = Scratch(docs.sparkSession, "near-duplicates")
     table = scratch.write(fingerprints(docs, words, seed))
     unique = scratch.write(table.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    groups = connected_components(links(unique, scratch, bits, block), scratch)
-    named = unique.join(groups, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    groups = connected_components(links(unique.select("fp"), scratch, bits, block), scratch)
+    rooted = unique.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    named = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
     out = table.join(named, "fp", "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
