@@ -5,20 +5,21 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 from siltstone.functions import chunking
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def hash_vectors(text: pd.Series) -> pd.Series:
     return text.map(lambda t: chunking.hash_vector(t or "", 64))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def within_bytes(text: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([chunking.truncate_bytes(t, int(m)) for t, m in zip(text, most, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_citations(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else chunking.normalise_citations(t))
 
