@@ -55,7 +55,7 @@ class Scratch:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path) if not partition_by else self.spark.read.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         self._keep = getattr(self, "_keep", [])
         self._keep.append(out)
