@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, documents, steps, text_buffers
+from siltstone.llm.common import Scratch, documents, text_buffers
 from siltstone.llm.components import connected_components
 
 #: Shingle hashes whose bits are counted in one step.

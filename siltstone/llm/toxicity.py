@@ -230,16 +230,15 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 4, odds: float = 1.0
 def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, float]:
     """Text and toxic of labelled rows that aren't held out: SAMPLE_ROWS of either class at most, by a hash, SAMPLE_CHARS of each; and how many toxic rows there are for each other one."""
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = held_out(documents(docs)).where("not held_out and text is not null").join(marks, "doc_id")
+    there = held_out(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"))).where("not held_out").select("doc_id").distinct()
+    known = marks.join(there, "doc_id")  # ids alone are shuffled; texts come for the chosen ones only
+    number = dict(known.groupBy("toxic").count().collect())
+    parts = [hashed_sample(known.where(F.col("toxic") == value), SAMPLE_ROWS, number.get(value, 0), "doc_id") for value in (0, 1)]
+    chosen = known.sparkSession.createDataFrame([tuple(r) for part in parts for r in part.collect()], known.schema)
     place = F.pmod(F.xxhash64("text", F.lit(3)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
-    cut = rows.select("doc_id", F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("text"), "toxic")
-    texts, found = [], []
-    number = dict(cut.groupBy("toxic").count().collect())
-    for value in (0, 1):
-        part = hashed_sample(cut.where(F.col("toxic") == value), SAMPLE_ROWS, number.get(value, 0), "doc_id", "text").select("text").toArrow()["text"].to_pylist()
-        texts += part
-        found += [value] * len(part)
-    return texts, np.array(found, np.int64), number.get(1, 0) / max(1, number.get(0, 0))
+    cut = documents(docs).where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("text"), "toxic")
+    rows = sorted(cut.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect(), key=lambda r: (r["toxic"], r["doc_id"]))
+    return [r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64), number.get(1, 0) / max(1, number.get(0, 0))
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Network:
