@@ -166,23 +166,28 @@ def star_suffixes(text: np.ndarray, n: int, chunk: int = BUDGET) -> np.ndarray:
 
 
 def _sorted_order(keys: np.ndarray, budget: int) -> np.ndarray:
-    """Stable order of keys; beyond the budget by distribution into ranges that each fit."""
+    """Order of keys, equal ones in any order; beyond the budget by distribution into ranges that each fit."""
     if len(keys) <= budget:
-        return np.argsort(keys, kind="stable")
+        return np.argsort(keys)
     sample = np.sort(keys[:: max(1, len(keys) // 4096)])
     cuts = np.unique(sample[:: max(1, len(sample) * budget // (2 * len(keys)))])
     bucket = np.searchsorted(cuts, keys, side="right").astype(np.int32)
     out = []
     for b in range(len(cuts) + 1):
         inside = np.flatnonzero(bucket == b)
-        out.append(inside[np.argsort(keys[inside], kind="stable")] if len(inside) else inside)
+        out.append(inside[np.argsort(keys[inside])] if len(inside) else inside)
     return np.concatenate(out)
 
 
 def _refine(rank: np.ndarray, tied: np.ndarray, second: np.ndarray, budget: int) -> np.ndarray:
     """Splits tied groups (rank: place of a group's first) by a second key; returns those still tied, in order."""
-    order = _sorted_order(second, budget)
-    order = order[_sorted_order(rank[tied][order], budget)]
+    own = rank[tied]
+    if len(own) and own[0] == own[-1] == own.max() == own.min():
+        order = _sorted_order(second, budget)
+    elif second.dtype == np.int64:  # ranks, from -1 on
+        order = _sorted_order((own << 32) | (second + 1), budget)
+    else:
+        order = np.lexsort((second, own))
     tied, second = tied[order], second[order]
     old = rank[tied]
     each = np.arange(len(tied))

@@ -307,9 +307,10 @@ def _cut(docs: DataFrame, width: int, with_text: bool, keep: list[str]) -> DataF
     keyed = _keyed(docs)
     table = scratch.write(_anchor_table(keyed.where(F.octet_length("text") >= width), width, k))
     shared = table.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", (F.col("n") >= FREQUENT).alias("frequent"))
+    shared = scratch.write(shared)  # both sides of the join are then dealt anew, and a very frequent anchor can be split
     lists = table.join(shared, "anchor").groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "count", "anchor", "frequent")).alias("found"))
     lists = scratch.write(lists)
-    scratch.drop(table)
+    scratch.drop(table, shared)
     texts = keyed.select("k1", "k2", "text").where(F.octet_length("text") >= width)
     pieces = scratch.write(_pieces(texts.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "found"), width, k), partition_by=["kind"])
     scratch.drop(lists)
