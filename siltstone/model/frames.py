@@ -11,7 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from siltstone.model.vocabulary import CHUNK_OVERLAP, CHUNK_TOKENS
+from siltstone.model.vocabulary import CHUNK_OVERLAP, CHUNK_TOKENS, CONFIDENCE
 
 EPOCH = "timestamp'2024-01-01 00:00:00'"
 WORDS = "[^ \\t\\n\\r]+"
@@ -100,32 +100,32 @@ class Frames:
 
     @cached_property
     def edges(self) -> DataFrame:
-        """One edge for each type and pair of ends: least valid_from, strongest confidence, live unless every line was closed."""
-        orders = self.table("orders").select(
-            F.lit("AUTHORED").alias("edge_type"),
-            F.concat(F.lit("Person:"), F.col("o_custkey").cast("string")).alias("from_id"),
-            F.concat(F.lit("Document:"), F.col("o_orderkey").cast("string")).alias("to_id"),
-            F.lit(2).alias("tier"),
-            F.col("o_orderdate").cast("timestamp").alias("valid_from"),
-            F.lit(1).alias("open"),
-        )
+        """One edge for each type and pair of ends: least valid_from, strongest confidence, live unless every line was closed.
+
+        Rows are merged on their numeric keys; ids become text only afterwards.
+        """
+        orders, lines = self.table("orders"), self.table("lineitem")
         tier = F.when(F.col("l_returnflag") == "N", 2).when(F.col("l_returnflag") == "A", 1).otherwise(0)
-        lines = self.table("lineitem")
-        touch = [
-            lines.select(F.lit(kind).alias("edge_type"), F.concat(F.lit("Document:"), F.col("l_orderkey").cast("string")).alias("from_id"), F.concat(F.lit(f"{label}:"), F.col(key).cast("string")).alias("to_id"), tier.alias("tier"), F.col("l_shipdate").cast("timestamp").alias("valid_from"), F.when(F.col("l_linestatus") == "O", 1).otherwise(0).alias("open"))
-            for kind, label, key in (("TOUCHES", "Repo", "l_partkey"), ("ASSIGNED_TO", "Service", "l_suppkey"))
+        opened = F.when(F.col("l_linestatus") == "O", 1).otherwise(0)
+        kinds = [
+            ("AUTHORED", "Person", "o_custkey", "Document", "o_orderkey", orders, F.lit(2), F.lit(1), "o_orderdate"),
+            ("TOUCHES", "Document", "l_orderkey", "Repo", "l_partkey", lines, tier, opened, "l_shipdate"),
+            ("ASSIGNED_TO", "Document", "l_orderkey", "Service", "l_suppkey", lines, tier, opened, "l_shipdate"),
         ]
-        every = orders.unionByName(touch[0]).unionByName(touch[1])
-        merged = every.groupBy("edge_type", "from_id", "to_id").agg(F.max("tier").alias("tier"), F.min("valid_from").alias("valid_from"), F.max("open").alias("open"))
-        return merged.select("edge_type", "from_id", "to_id", F.element_at(F.array(*map(F.lit, ("AMBIGUOUS", "INFERRED", "EXTRACTED"))), F.col("tier") + 1).alias("confidence"), "tier", "valid_from", (F.col("open") == 1).alias("live"))
+        every = None
+        for kind, from_label, from_key, to_label, to_key, rows, rank, open_, time in kinds:
+            merged = rows.groupBy(from_key, to_key).agg(F.max(rank).alias("tier"), F.min(F.col(time).cast("timestamp")).alias("valid_from"), F.max(open_).alias("open"))
+            ends = [F.concat(F.lit(f"{label}:"), F.col(key).cast("string")) for label, key in ((from_label, from_key), (to_label, to_key))]
+            part = merged.select(F.lit(kind).alias("edge_type"), ends[0].alias("from_id"), ends[1].alias("to_id"), F.element_at(F.array(*map(F.lit, CONFIDENCE)), F.col("tier") + 1).alias("confidence"), "tier", "valid_from", (F.col("open") == 1).alias("live"))
+            every = part if every is None else every.unionByName(part)
+        return every
 
     @cached_property
     def symmetric_edges(self) -> DataFrame:
-        """Each edge from either end (a: the near one), so that neighbours are an equi-join and never an OR."""
-        e = self.edges
-        ahead = e.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"), "edge_type", "confidence", "tier", "live", "valid_from")
-        back = e.where("from_id <> to_id").select(F.col("to_id").alias("a"), F.col("from_id").alias("b"), "edge_type", "confidence", "tier", "live", "valid_from")
-        return ahead.unionByName(back)
+        """Each edge from either end (a: the near one), so that neighbours are an equi-join and never an OR; in one pass, a loop once."""
+        ahead, back = F.struct(F.col("from_id").alias("a"), F.col("to_id").alias("b")), F.struct(F.col("to_id").alias("a"), F.col("from_id").alias("b"))
+        ends = F.explode(F.when(F.col("from_id") == F.col("to_id"), F.array(ahead)).otherwise(F.array(ahead, back)))
+        return self.edges.select(ends.alias("e"), "edge_type", "confidence", "tier", "live", "valid_from").select("e.a", "e.b", "edge_type", "confidence", "tier", "live", "valid_from")
 
     @cached_property
     def usage(self) -> DataFrame:

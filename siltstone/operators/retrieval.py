@@ -56,14 +56,12 @@ def keyword_search(
     searched = chunks.where(chunk_predicate(spec))
     if not drafts:
         searched = searched.where("visibility = 'approved'")
-    # terms are counted in place: one array of the query's counts for each row, nothing is exploded
-    wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    sized = searched.select("customer_id", "chunk_id", "doc_id", "content", "first_seen_version", "last_seen_version", tokens(F.col("title")).alias("title_terms"), tokens(F.col("content")).alias("content_terms"))
-    counted = sized
+    # terms are counted in place, as whole runs of word characters: no array is built and nothing exploded
+    counted = searched.select("customer_id", "chunk_id", "doc_id", "first_seen_version", "last_seen_version", F.lower("title").alias("title"), F.lower("content").alias("content"))
     for name in ("title", "content"):
-        own = F.col(f"{name}_terms")
-        counted = counted.withColumn(f"{name}_tf", _counts(wanted, own)).withColumn(f"{name}_length", F.size(own))
-    counted = counted.drop("title_terms", "content_terms")
+        counts = [F.regexp_count(name, F.lit(rf"(?<![a-z0-9_]){t}(?![a-z0-9_])")) for t in terms]
+        counted = counted.withColumns({f"{name}_tf": F.array(*counts) if counts else F.array().cast("array<int>"), f"{name}_length": F.regexp_count(name, F.lit("[a-z0-9_]{2,}"))})
+    counted = counted.drop("title", "content")
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.avg(f"{f}_length").alias(f"{f}_average") for f in ("title", "content")],
@@ -94,10 +92,6 @@ def keyword_search(
     return found.orderBy(*order).limit(k).select("chunk_id", "doc_id", "version", "source_system", "updated_at", "content_hit", "score")
 
 
-def _counts(wanted: Column, own: Column) -> Column:
-    return F.transform(wanted, lambda t: F.size(F.filter(own, lambda x: x == t)))
-
-
 def _terms(query: str) -> list[str]:
     import re
 
