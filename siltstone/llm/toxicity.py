@@ -165,8 +165,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 4, odds: float = 1.0
     data, offsets = text_buffers(pa.array(texts, pa.string()))
     words = words_of(data, offsets)
     n = words.texts
-    pairs = np.unique(np.stack([words.lexeme, words.text]), axis=1) if len(words.text) else np.zeros((2, 0), np.int64)
-    seen = np.stack([np.bincount(pairs[0], labels[pairs[1]] == c, len(words.hashes)) for c in (0, 1)])
+    pairs = np.unique(words.lexeme * max(n, 1) + words.text)  # each word once for a text
+    seen = np.stack([np.bincount(pairs // max(n, 1), labels[pairs % max(n, 1)] == c, len(words.hashes)) for c in (0, 1)])
     usual = seen.sum(axis=0) >= LEAST_TEXTS
     net = Network(words.hashes[usual], seed)
     share = np.maximum(np.bincount(labels, minlength=2), 1)
@@ -174,7 +174,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 4, odds: float = 1.0
     lean = np.where(usual, np.clip(lean, -3, 3), 0)
     if not n or share.min() < 2:
         net.p["o"][:] = 0
-        net.p["b"][0] = -4 if labels.sum() < max(1, n) / 2 else 4
+        net.p["b"][0] = 4 if 2 * labels.sum() > n else -4
         return net
     net.p["word"][1:, 0] = lean[usual] / 2  # a start that training moves on from
     grams = ngrams(words, CHAR_BITS)

@@ -13,6 +13,8 @@ _LETTER[0x80:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes whose words are hashed together.
+_STRETCH = 1 << 19
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
@@ -45,16 +47,29 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     begin, end = edge[::2], edge[1::2]
     text = np.searchsorted(offsets + np.arange(n + 1) + 2, begin, side="right") - 1
-    # a polynomial hash from prefix sums: the odd base has an inverse modulo 2**64
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(low), _MIX, np.uint64)]))
-        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(low), _INVERSE, np.uint64)]))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(low * power[:-1])])
-        hashes = mixed((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64))
+    hashes = _hashes(low, begin, end)
     distinct, first, lexeme = np.unique(hashes, return_index=True, return_inverse=True)
     return Words(low, text, lexeme.reshape(-1), begin[first], end[first], distinct, n)
 
 
+def _hashes(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A polynomial hash of each word, from prefix sums (the odd base has an inverse modulo 2**64), a stretch of the buffer at a time."""
+    out = np.empty(len(begin), np.uint64)
+    cuts = [0]
+    while cuts[-1] < len(begin):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(begin, begin[cuts[-1]] + _STRETCH))))
+    longest = max((int(end[b - 1] - begin[a]) for a, b in zip(cuts, cuts[1:], strict=False)), default=0)
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(longest, _MIX, np.uint64)]))
+        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(longest, _INVERSE, np.uint64)]))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = low[begin[a] : end[b - 1]]
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(part * power[: len(part)])])
+            at, to = begin[a:b] - begin[a], end[a:b] - begin[a]
+            out[a:b] = mixed((sums[to] - sums[at]) * back[at] + (to - at).astype(np.uint64))
+    return out
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
