@@ -25,6 +25,8 @@ import numpy as np
 PAD = 0xFF
 #: Tuples that are scanned at once.
 BATCH = 1 << 18
+#: Pairs of neighbours that are compared at once.
+_NEAR = 1 << 14
 #: Tuples that a queue holds in memory, and keys that are sorted at once.
 BUDGET = 1 << 22
 
@@ -182,20 +184,23 @@ def _sorted_order(keys: np.ndarray, budget: int) -> np.ndarray:
 def _refine(rank: np.ndarray, tied: np.ndarray, second: np.ndarray, budget: int) -> np.ndarray:
     """Splits tied groups (rank: place of a group's first) by a second key; returns those still tied, in order."""
     own = rank[tied]
-    if len(own) and own[0] == own[-1] == own.max() == own.min():
+    if len(tied) == len(rank):  # the first split, of one group
         order = _sorted_order(second, budget)
-    elif second.dtype == np.int64:  # ranks, from -1 on
-        order = _sorted_order((own << 32) | (second + 1), budget)
+    elif second.dtype == rank.dtype:  # ranks, from -1 on
+        order = _sorted_order((own.astype(np.int64) << 32) | (second + 1), budget)
     else:
         order = np.lexsort((second, own))
-    tied, second = tied[order], second[order]
-    old = rank[tied]
-    each = np.arange(len(tied))
-    new_old = np.append(True, old[1:] != old[:-1])
-    new = new_old | np.append(True, second[1:] != second[:-1])
-    rank[tied] = old + np.maximum.accumulate(np.where(new, each, 0)) - np.maximum.accumulate(np.where(new_old, each, 0))
-    alone = new & np.append(new[1:], True)
-    return tied[~alone]
+    tied, second, own = tied[order], second[order], own[order]
+    new_own = np.empty(len(tied), bool)
+    new_own[:1] = True
+    np.not_equal(own[1:], own[:-1], out=new_own[1:])
+    new = new_own.copy()
+    new[1:] |= second[1:] != second[:-1]
+    first = np.flatnonzero(new)  # of each group after
+    size = np.diff(np.append(first, len(tied)))
+    before = np.maximum.accumulate(np.where(new_own[first], first, 0))
+    rank[tied] = np.repeat(own[first] + (first - before).astype(rank.dtype), size)
+    return tied[np.repeat(size > 1, size)]
 
 
 def sort_stars(text: np.ndarray, words: np.ndarray, stars: np.ndarray, cap: int, budget: int = BUDGET) -> np.ndarray:
@@ -210,7 +215,8 @@ def sort_stars(text: np.ndarray, words: np.ndarray, stars: np.ndarray, cap: int,
         ones = np.uint64((1 << 64) - 1)
         return np.where(rest >= 8, own, np.where(rest <= 0, ones, own | (ones >> (8 * np.minimum(rest, 7)).astype(np.uint64))))
 
-    rank, tied = np.zeros(m, np.int64), np.arange(m)
+    kind = np.int32 if m < 2**31 - 1 else np.int64
+    rank, tied = np.zeros(m, kind), np.arange(m)
     tied = _refine(rank, tied, chunk(tied, 0), budget)
     for at in range(8, cap + 8, 8):
         if not len(tied):
@@ -221,7 +227,7 @@ def sort_stars(text: np.ndarray, words: np.ndarray, stars: np.ndarray, cap: int,
             break
         part = tied[among]
         _refine(rank, part, chunk(part, at), budget)
-    places = np.append(rank, -1)
+    places = np.append(rank, kind(-1))
     order = _sorted_order(rank, budget)
     same = rank[order]
     alone = np.append(True, same[1:] != same[:-1]) & np.append(same[1:] != same[:-1], True)
@@ -240,18 +246,23 @@ def sort_stars(text: np.ndarray, words: np.ndarray, stars: np.ndarray, cap: int,
 def common_prefixes(words: np.ndarray, suffixes: np.ndarray, cap: int) -> np.ndarray:
     """Prefix that each suffix shares with the one before, up to cap; 0 for the first."""
     out = np.zeros(len(suffixes), np.uint8)
-    active, last = np.arange(1, len(suffixes)), len(words) - 1
-    for at in range(0, cap, 8):
-        if not len(active):
-            break
-        a = words[np.minimum(suffixes[active] + at, last)].astype(np.uint64)
-        b = words[np.minimum(suffixes[active - 1] + at, last)].astype(np.uint64)
-        differ = a ^ b
-        lead = np.zeros(len(active), np.int64)
-        for k in range(1, 9):
-            lead += (differ >> np.uint64(8 * (8 - k))) == 0 if k < 8 else differ == 0
-        out[active] = np.minimum(at + lead, cap)
-        active = active[differ == 0]
+    words = words.view("<u8")  # the first symbol lowest
+    last = len(words) - 1
+    for begin in range(1, len(suffixes), _NEAR):  # few enough that what they read stays near
+        active = np.arange(begin, min(begin + _NEAR, len(suffixes)))
+        a, b = suffixes[active], suffixes[active - 1]
+        for at in range(0, cap, 8):
+            differ = words[np.minimum(a + at, last)] ^ words[np.minimum(b + at, last)]
+            over = differ != 0
+            ended, differ = active[over], differ[over]
+            lead = np.zeros(len(ended), np.int64)
+            for k in range(1, 8):
+                lead += (differ << np.uint64(8 * (8 - k))) == 0
+            out[ended] = np.minimum(at + lead, cap)
+            active, a, b = active[~over], a[~over], b[~over]
+            if not len(active):
+                break
+        out[active] = cap
     return out
 
 
