@@ -68,13 +68,11 @@ class Frames:
         """Content-addressed chunks: one row for a document and a content, over the versions that hold it."""
         pieces = windows(self.documents, "body", CHUNK_TOKENS, CHUNK_OVERLAP, "customer_id", "doc_id", "version", "title", "visibility", "valid_from", "valid_to")
         hashed = pieces.withColumn("content_hash", F.sha2("content", 256))
-        same = hashed.groupBy("customer_id", "doc_id", "content_hash").agg(
+        # content, title and visibility follow from the other keys; as keys they leave only numbers to aggregate
+        same = hashed.groupBy("customer_id", "doc_id", "content_hash", "content", "title", "visibility").agg(
             F.max("chunk_index").alias("chunk_index"),
             F.min("version").alias("first_seen_version"),
             F.max("version").alias("last_seen_version"),
-            F.min("content").alias("content"),
-            F.min("title").alias("title"),
-            F.min("visibility").alias("visibility"),
             F.min("valid_from").alias("valid_from"),
             F.max(F.coalesce("valid_to", F.expr("timestamp'9999-01-01 00:00:00'"))).alias("until"),
             F.max("n_tokens").alias("n_tokens"),
