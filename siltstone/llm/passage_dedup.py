@@ -34,8 +34,8 @@ from siltstone.llm.common import Scratch, beside, restored, steps, text_buffers
 from siltstone.llm.induced_sort import PAD, sorted_suffixes
 
 #: Bytes of distinct pieces for each shard; a shard may be any larger, as its sort works in files.
-SHARD_BYTES = 12 << 20
-#: Occurrences of an anchor from which its pieces are cut finer: fewer fit a shard even if all differ.
+SHARD_BYTES = 8 << 20
+#: Occurrences of an anchor from which its pieces are cut finer: fewer make no shard much larger, even if all differ.
 FREQUENT = 1 << 15
 #: Starts of one finer piece.
 FINE = 25
