@@ -14,15 +14,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import beside, documents, hashed_sample, held_out, restored, steps, text_buffers
+from siltstone.llm.common import beside, documents, held_out, restored, steps, text_buffers
 from siltstone.llm.word_features import crf_features, words_of
 
 BITS = 17
-#: Labelled rows that are fitted on at most (the first by a hash), and characters of each (from a hashed place on).
-SAMPLE_ROWS = 4000
+#: Distinct labelled texts of each language that are fitted on at most (the first by a hash), and characters of each (from a hashed place on).
+SAMPLE_ROWS = 800
 SAMPLE_CHARS = 2000
 #: Words of one chain; a longer text is several chains, which its language sums over.
 CHAIN = 64
@@ -69,6 +69,18 @@ def forward_backward(scores: np.ndarray, transitions: np.ndarray, start: np.ndar
     return marginals, expected
 
 
+def _spans(total: int, width: int, random: np.random.Generator) -> np.ndarray:
+    """Sequences of `width` words that go over all words: half are consecutive, the others spliced from shuffled pieces of 4 to 15 words."""
+    blocks = np.resize(np.arange(total), (-(-total // width), width))
+    spliced = random.random(len(blocks)) < 0.5
+    words = blocks[spliced].ravel()
+    cuts = np.cumsum(random.integers(4, 16, len(words) // 4 + 1))
+    pieces = np.split(words, cuts[cuts < len(words)])
+    mixed = np.concatenate([pieces[i] for i in random.permutation(len(pieces))]).reshape(-1, width)
+    out = np.concatenate([blocks[~spliced], mixed])
+    return out if len(out) >= 64 else np.resize(out, (64, width))
+
+
 def fit(texts: list[str], labels: list[str], epochs: int = 6, batch: int = 128, seed: int = 0) -> Field:
     names = sorted(set(labels))
     k = len(names)
@@ -80,16 +92,8 @@ def fit(texts: list[str], labels: list[str], epochs: int = 6, batch: int = 128,
     if not len(words.text) or k == 1:
         return field
     random = np.random.default_rng(seed)
-    total, width = len(words.text), 32
-    count = min(6000, max(64, total // width))
-    at = np.empty((count, width), np.int64)
-    for row in at:  # spans of consecutive words; every second sequence switches texts
-        filled = 0
-        while filled < width:
-            size = min(width - filled, int(random.integers(4, 16)) if random.random() < 0.5 else width)
-            begin = int(random.integers(0, max(1, total - size)))
-            row[filled : filled + size] = np.minimum(np.arange(begin, begin + size), total - 1)
-            filled += size
+    at = _spans(len(words.text), 32, random)
+    count, width = at.shape
     lengths = np.full(batch, width)
     moments = [np.zeros_like(field.weights), np.zeros_like(field.transitions), np.zeros_like(field.start)]
     for epoch in range(epochs):
@@ -163,11 +167,21 @@ def _marginals(scores: np.ndarray, field: Field, lengths: np.ndarray) -> np.ndar
 
 
 def training_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """Text and lang of rows that aren't held out: SAMPLE_ROWS at most, by a hash of the text, SAMPLE_CHARS of each."""
+    """Text and lang of rows that aren't held out: SAMPLE_ROWS distinct texts of each language at most, by a hash of the text, SAMPLE_CHARS of each.
+
+    Copies count once, so a large group of them is one text; a language has its own share however rare it is.
+    """
     rows = held_out(documents(docs, "lang")).where("not held_out and lang is not null and text is not null")
+    hashed = rows.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("sample_hash"))
+    number = hashed.select("lang", "sample_hash").distinct().groupBy("lang").count().collect()
+    # rows beyond a bound that keeps about 2 SAMPLE_ROWS of a language are left out before they are ranked, so one task gets no more
+    top = (1 << 63) - 1
+    bounds = [(r["lang"], top if r["count"] <= 4 * SAMPLE_ROWS else int((1 << 64) * (2 * SAMPLE_ROWS + 200) / r["count"]) - (1 << 63)) for r in number]
+    near = hashed.join(F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang").where("sample_hash <= bound")
     place = F.pmod(F.xxhash64("text", F.lit(3)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
-    cut = rows.select(F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("text"), F.col("lang").cast("string").alias("lang"))
-    chosen = hashed_sample(cut, SAMPLE_ROWS, rows.count(), "text", "lang").toArrow()
+    once = near.select("lang", "sample_hash", F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("text")).groupBy("lang", "sample_hash").agg(F.min("text").alias("text"))
+    ranked = once.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("sample_hash")))
+    chosen = ranked.where(F.col("place") <= SAMPLE_ROWS).orderBy("sample_hash", "lang").select("text", "lang").toArrow()
     return chosen["text"].to_pylist(), chosen["lang"].to_pylist()
 
 
