@@ -2,21 +2,24 @@
 
 A fingerprint of 64 bits is eight positional bytes. Two fingerprints that differ in at most d bits
 differ in at most d bytes, so they share at least 8 - d of the positional bytes: the guaranteed
-minimum of matches. The index is keyed by sets of positions together with the bytes there, chosen so
-that any pair with the minimum shares a key, and postings stay short for any number of documents. In
-a posting the shared positional bytes of each pair are tallied and pairs that reach the minimum are
-verified on all 64 bits.
+minimum of matches. A posting of one positional byte alone would hold a 256th of all fingerprints, and
+tallying its pairs would be work of the square of their number; so the index is keyed by sets of
+positions together with the bytes there, chosen so that any pair with the minimum shares a key, and
+postings stay short for any number of documents. In a posting the shared positional bytes of each pair
+are tallied over all eight positions, pairs that reach the minimum are retained, and those are verified
+on all 64 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import Scratch, documents, text_buffers
@@ -77,6 +80,17 @@ def position_sets(need: int, size: int) -> list[tuple[int, ...]]:
     return sorted(inside + [(*two, one) for i, p in enumerate(parts) for two in combinations(p, 2) for one in parts[(i + 1) % 3]])
 
 
+def shared_bytes(a: str, b: str) -> Column:
+    """The tally of a pair: in how many of the eight positions two fingerprints hold the same byte."""
+    differ = F.col(a).bitwiseXOR(F.col(b))
+    same = [F.when(differ.bitwiseAND(F.lit(_signed(0xFF << 8 * i))) == 0, 1).otherwise(0) for i in range(8)]
+    return reduce(Column.__add__, same)
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
 def _forest(left: np.ndarray, right: np.ndarray, bits: int, need: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that span what the pairs between two lists link; fewer than their members."""
     nodes = np.unique(np.concatenate([left, right]))
@@ -105,19 +119,19 @@ def links(unique: DataFrame, scratch: Scratch, bits: int = 4, block: int = BLOCK
 
     unique: fp, one row per fingerprint. Postings are keyed by sets of byte positions and the bytes
     there: of three bytes while there are fewer than 2**26 fingerprints, of four beyond, so that chance
-    meetings stay few; either finds every pair. A posting of two is a pair and is verified in the plan;
-    longer ones are cut into blocks of `block`, each pair of blocks is a row of work of its own, so that
+    meetings stay few; either finds every pair. A posting of two is a pair and is tallied and verified in
+    the plan; longer ones are cut into blocks of `block`, each pair of blocks is a row of work of its own, so that
     no posting, however hot, meets in one task. Only edges that span a block pair leave it, never all
     of its pairs.
     """
     need = 8 - bits
     size = min(need, 3 if unique.count() < 1 << 26 else 4)
     masks = [sum(0xFF << 8 * i for i in chosen) for chosen in position_sets(need, size)]
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)])
     postings = unique.select("fp", F.explode(keys).alias("key"))
     counted = scratch.write(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
-    pairs = counted.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b")
+    retained = counted.where("n = 2").where(shared_bytes("a", "b") >= need)
+    pairs = retained.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b")
 
     long = counted.where("n > 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
@@ -151,12 +165,13 @@ def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4, seed: int =
 
     Lower-cases A-Z, takes words of anything but ASCII white space, shingles of `words` words with
     repeats; a shorter text is one shingle. Null, empty and blank texts have fingerprint zero and are
-    linked like any other. Rows that repeat a doc_id are kept and each judged. A null doc_id never
-    names a component but its row is returned. Other columns are ignored. Empty table: no rows.
+    linked like any other. Rows that repeat a doc_id are kept and each judged. A row without a doc_id links
+    others like any other row and gets their component, but never names one: where none of those that it
+    reaches has a doc_id, component_id is null. Other columns are ignored. Empty table: no rows.
     """
     scratch = Scratch(docs.sparkSession, "near-duplicates")
     table = scratch.write(fingerprints(docs, words, seed))
-    unique = scratch.write(table.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    unique = scratch.write(table.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     groups = connected_components(links(unique.select("fp"), scratch, bits, block), scratch)
     rooted = unique.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     named = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")

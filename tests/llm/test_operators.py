@@ -422,11 +422,28 @@ def plain_components(rows, bits=4):
 def test_near_duplicates(spark, awkward, empty, docs):
     for rows, df in ((texts_of(awkward), awkward), (list(zip(docs.doc_id.tolist(), docs.text.tolist(), strict=True)), spark.createDataFrame(docs[["doc_id", "text"]]))):
         prints = [(i, plain_fingerprint(t)) for i, t in rows]
-        expected = Counter((i, f"{f:016x}", c) for (i, f), c in zip(prints, plain_components(prints), strict=True) if i is not None)
-        assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in near_duplicates(df).collect() if r["doc_id"] is not None) == expected
+        expected = Counter((i, f"{f:016x}", c) for (i, f), c in zip(prints, plain_components(prints), strict=True))
+        assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in near_duplicates(df).collect()) == expected
     assert near_duplicates(empty).count() == 0
 
 
+def test_a_row_without_an_id_links_others(spark, monkeypatch):
+    from siltstone.llm import near_duplicates as module
+
+    prints = {"a": 0, "b": 0b1111, "c": 0b11111111, "d": 0b111 << 40 | (1 << 60) - (1 << 50), "e": 1 << 63 | 0x0F0F0F << 20}
+    monkeypatch.setattr(module, "fingerprints", lambda docs, words, seed: spark.createDataFrame([(i, (f if f < 1 << 63 else f - (1 << 64))) for i, f in [(1, prints["a"]), (None, prints["b"]), (2, prints["c"]), (None, prints["d"]), (None, prints["d"]), (7, prints["e"])]], "doc_id long, fp long"))
+    got = Counter((r["doc_id"], r["component_id"]) for r in module.near_duplicates(spark.range(1)).collect())
+    assert got == Counter({(1, 1): 1, (None, 1): 1, (2, 1): 1, (None, None): 2, (7, 7): 1})
+
+
+def test_tally_counts_equal_positions(spark):
+    from siltstone.llm.near_duplicates import shared_bytes
+
+    pairs = [(0, 0, 8), (0, 1, 7), (-1, 0, 0), (0x0102030405060708, 0x0102030405060700, 7), (-(1 << 63), 0, 7), (0x00FF00FF00FF00FF, 0x00FF000000FF0000, 6)]
+    rows = spark.createDataFrame(pairs, "a long, b long, n int").select("n", shared_bytes("a", "b").alias("found")).collect()
+    assert all(r["n"] == r["found"] for r in rows)
+
+
 def test_links_lose_nothing_in_hot_postings(spark, tmp_path):
     from pyspark.sql import functions as F
     from siltstone.llm.common import Scratch
