@@ -1,36 +1,38 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
 A segmentation is the one of largest total piece score; ties go to the longer last piece, as the
-sentencepiece library decides for unigram models. The decoder keeps the boundaries of the last `longest`
-characters only, the longest piece's length: no piece reaches further back. Whenever all their
-backpointer paths meet in one boundary, ids up to it are final and leave.
-
-Where two neighbouring characters stand side by side in no piece, every path has a boundary between
-them. Texts are cut there first; equal cuts are segmented once for a batch, all side by side in numpy,
-and only cuts longer than SHORT go through the streaming decoder.
+sentencepiece library decides for unigram models. The decoder takes characters as they come and keeps
+the boundaries of the last `longest` characters only, the longest piece's length: no piece reaches
+further back. Whenever all their backpointer paths meet in one boundary, ids up to it are final and
+leave, and the decoder is in its first state again.
+
+Where two neighbouring characters stand side by side in no piece, all paths meet whatever comes next.
+So a text is fed to its decoder a stretch between two such places at a time; what the decoder commits
+for a stretch depends on nothing else, and it remembers that for stretches that it has met before.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siltstone.llm.common import documents, steps, text_buffers
+from siltstone.llm.common import documents, text_buffers
 
 SPACE = "▁"
-SHORT = 48
+#: Characters of the longest stretch that is remembered, and stretches remembered at once; then a worker starts afresh.
+REMEMBERED_LENGTH, REMEMBERED = 48, 300_000
 #: Piece types of the model file's format: fixed values.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What an unknown character costs below the least piece score: a fixed value of unigram models.
 UNKNOWN_PENALTY = 10.0
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_STEP = 1 << 20
-#: Bits of a hash that the filters before exact lookups use.
-_FILTER = 20
+#: Characters that the table of neighbours tells apart; any other one counts as standing beside all.
+_PLANE = 1 << 16
 
 
 def read_model(path: str) -> list[tuple[str, float, int]]:
@@ -48,41 +50,29 @@ class Vocabulary:
         self.pieces = pieces
         own = [(p, s, i) for i, (p, s, kind) in enumerate(pieces) if kind in (NORMAL, USER_DEFINED) and p]
         self.ids = {p: i for p, _, i in own}
-        self.score = np.array([s for _, s, _ in pieces], np.float64)
+        self.score = [float(s) for _, s, _ in pieces]
         self.longest = max((len(p) for p in self.ids), default=1)
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.unknown_id = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
         self.unknown_score = min((s for _, s, _ in own), default=0.0) - UNKNOWN_PENALTY
-        inside = {(a << 32) | b for p in self.ids for a, b in zip(map(ord, p), map(ord, p[1:]), strict=False)}
-        self.together = np.zeros(1 << _FILTER, bool)  # by hash: neighbours in some piece, and a few others
-        self.together[_slot(_finish(np.array(sorted(inside), np.uint64)))] = True
-        self._index(own)
-
-    def _index(self, own: list[tuple[str, float, int]]) -> None:
-        """Pieces by the hash of their characters, in an open table."""
-        size = 1 << max(4, (len(own) * 16).bit_length())
-        self.mask = np.uint64(size - 1)
-        self.table_hash, self.table_id = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
-        self.probes, self.maybe = 1, np.zeros(1 << _FILTER, bool)
-        for piece, _, i in own:
-            h = int(hash_of(np.array([list(map(ord, piece))], np.uint64))[0])
-            at, tries = h & (size - 1), 1
-            while self.table_id[at] >= 0:
-                at, tries = (at + 1) & (size - 1), tries + 1
-            self.table_hash[at], self.table_id[at] = h, i
-            self.maybe[h >> (64 - _FILTER)] = True
-            self.probes = max(self.probes, tries)
-
-    def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of the pieces with these hashes, -1 for none."""
-        out = np.full(hashes.shape, -1, np.int32)
-        at = np.flatnonzero(self.maybe[_slot(hashes)])
-        some = hashes.ravel()[at]
-        for k in range(self.probes):
-            place = (some + np.uint64(k)) & self.mask
-            hit = (self.table_hash[place] == some) & (self.table_id[place] >= 0)
-            out.flat[at[hit]] = self.table_id[place[hit]]
-        return out
+        self.reach: dict[str, int] = {}  # length of the longest piece that ends in a character
+        for piece in self.ids:
+            self.reach[piece[-1]] = max(len(piece), self.reach.get(piece[-1], 1))
+        known = sorted({ord(c) for p in self.ids for c in p if ord(c) < _PLANE})
+        self.place = np.zeros(_PLANE, np.int32)  # 0: in no piece
+        self.place[known] = np.arange(1, len(known) + 1)
+        self.width = len(known) + 1
+        inside = {(self.place[a] * self.width + self.place[b]) for p in self.ids for a, b in zip(map(ord, p), map(ord, p[1:]), strict=False) if max(a, b) < _PLANE}
+        self.inside = np.array(sorted(inside), np.int64)
+
+    def apart(self, codes: np.ndarray) -> np.ndarray:
+        """For each neighbouring pair of characters, whether no piece holds it: exactly, but pairs with a character beyond _PLANE never are."""
+        plain = codes < _PLANE
+        place = self.place[np.where(plain, codes, 0)].astype(np.int64)
+        pair = place[:-1] * self.width + place[1:]
+        values, which = np.unique(pair, return_inverse=True)
+        together = np.isin(values, self.inside)[which.reshape(-1)]
+        return ~together & plain[:-1] & plain[1:]
 
     def emit(self, piece_id: int, text: str) -> list[int]:
         """Ids of one boundary-to-boundary step; an unknown character falls back on its bytes."""
@@ -92,25 +82,6 @@ class Vocabulary:
         return [self.byte_ids[b] for b in raw] if all(b in self.byte_ids for b in raw) else [self.unknown_id]
 
 
-def hash_of(codes: np.ndarray) -> np.ndarray:
-    """Hash of each row of characters."""
-    out = np.zeros(len(codes), np.uint64)
-    with np.errstate(over="ignore"):
-        for c in range(codes.shape[1]):
-            out = out * _BASE + codes[:, c] + np.uint64(1)
-    return _finish(out)
-
-
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - _FILTER)).astype(np.int64)
-
-
-def _finish(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(29))
-
-
 class StreamingViterbi:
     """Feeds on characters of one text; ids leave as soon as they are final."""
 
@@ -133,13 +104,18 @@ class StreamingViterbi:
         yield from self._commit(len(self.best) - 1)
 
     def _extend(self) -> None:
-        end, v = len(self.best), self.v
+        end, text, scores, find = len(self.best), self.text, self.best, self.v.ids.get
         best, back = -np.inf, (end - 1, -1)
-        for begin in range(max(0, end - v.longest), end):
-            i = v.ids.get(self.text[begin:end], -1)
-            score = v.score[i] if i >= 0 else v.unknown_score if begin == end - 1 else None
-            if score is not None and self.best[begin] + score > best:
-                best, back = self.best[begin] + score, (begin, i)
+        for begin in range(max(0, end - self.v.reach.get(text[end - 1], 1)), end):
+            i = find(text[begin:end])
+            if i is None:
+                if begin < end - 1:
+                    continue
+                i, score = -1, scores[begin] + self.v.unknown_score
+            else:
+                score = scores[begin] + self.v.score[i]
+            if score > best:
+                best, back = score, (begin, i)
         self.best.append(best)
         self.back.append(back)
 
@@ -169,100 +145,44 @@ class StreamingViterbi:
 
 
 def encode_long(vocabulary: Vocabulary, text: str) -> list[int]:
+    """Ids of a text with the model's spaces, character by character."""
     decoder = StreamingViterbi(vocabulary)
     return [*decoder.feed(text), *decoder.close()]
 
 
-def segment(vocabulary: Vocabulary, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best previous boundary and piece at each boundary, of many short strings side by side. codes: (string, character)."""
-    n, width = codes.shape
-    best = np.full((n, width + 1), -np.inf)
-    best[:, 0] = 0
-    back, piece = np.zeros((n, width + 1), np.int8), np.full((n, width + 1), -1, np.int32)
-    found: list[np.ndarray] = []
-    rolling = np.zeros((n, width), np.uint64)
-    for size in range(1, min(vocabulary.longest, width) + 1):
-        with np.errstate(over="ignore"):
-            rolling = rolling[:, : width - size + 1] * _BASE + codes[:, size - 1 :] + np.uint64(1)
-        found.append(vocabulary.lookup(_finish(rolling)))
-    for end in range(1, width + 1):
-        for size in range(min(len(found), end), 0, -1):
-            i = found[size - 1][:, end - size]
-            score = np.where(i >= 0, vocabulary.score[i], vocabulary.unknown_score if size == 1 else -np.inf)
-            total = best[:, end - size] + score
-            better = total > best[:, end]
-            best[better, end] = total[better]
-            back[better, end], piece[better, end] = end - size, i[better]
-    return back, piece
-
-
-def encode_batch(vocabulary: Vocabulary, texts: list[str]) -> list[np.ndarray]:
-    """Ids of each text, with the model's space before it; none for an empty text."""
-    ready = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
-    joined = "".join(ready)
-    if not joined:
-        return [np.zeros(0, np.int32) for _ in texts]
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.array([len(t) for t in ready], np.int64)
-    ends = np.cumsum(sizes)
-    pairs = codes[:-1] << np.uint64(32) | codes[1:]
-    cut = ~vocabulary.together[_slot(_finish(pairs))]
-    cut[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(codes))] - 1] = True
-    starts = np.concatenate([[0], np.flatnonzero(cut) + 1])
-    lengths = np.diff(np.append(starts, len(codes)))
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(codes), _BASE, np.uint64)]))
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(codes), np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)]))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((codes + np.uint64(1)) * power[:-1])])
-    names = _finish((sums[starts + lengths] - sums[starts]) * back[starts] + lengths.astype(np.uint64))
-    _, first, which = np.unique(names, return_index=True, return_inverse=True)
-    which = which.reshape(-1)
-    ids: list[np.ndarray] = [np.zeros(0, np.int32)] * len(first)
-    order = np.argsort(lengths[first], kind="stable")
-    short = order[lengths[first][order] <= SHORT]
-    for i in order[len(short) :].tolist():
-        a = int(starts[first[i]])
-        ids[i] = np.array(encode_long(vocabulary, joined[a : a + int(lengths[first[i]])]), np.int32)
-    for begin in range(0, len(short), 8192):
-        some = short[begin : begin + 8192]
-        size, a = lengths[first[some]], starts[first[some]]
-        width = int(size.max())
-        each = np.arange(width)
-        padded = np.where(each < size[:, None], codes[np.minimum(a[:, None] + each, len(codes) - 1)], np.uint64(0x110000))
-        previous, piece = segment(vocabulary, padded, size)
-        _collect(vocabulary, joined, some, a, size, previous, piece, ids)
-    count = np.array([len(x) for x in ids], np.int64)
-    flat = np.concatenate(ids)
-    base = np.cumsum(count) - count
-    per = count[which]
-    total = np.cumsum(per)
-    all_ids = flat[np.arange(total[-1]) + np.repeat(base[which] - (total - per), per)]
-    last = np.searchsorted(starts, ends, side="left")
-    upto = np.concatenate([[0], total])[last]
-    return [all_ids[a:b] for a, b in zip(np.concatenate([[0], upto[:-1]]).tolist(), upto.tolist(), strict=True)]
-
-
-def _collect(vocabulary: Vocabulary, joined: str, some: np.ndarray, starts: np.ndarray, size: np.ndarray, previous: np.ndarray, piece: np.ndarray, ids: list) -> None:
-    """Follows the backpointers of all strings together; those with unknown characters one by one."""
-    at, rows = size.copy(), np.arange(len(size))
-    out = np.full((len(size), int(size.max())), -2, np.int32)
-    for k in range(out.shape[1]):
-        on = at > 0
-        if not on.any():
-            break
-        out[on, k] = piece[rows[on], at[on]]
-        at = np.where(on, previous[rows, at], 0)
-    count = (out > -2).sum(axis=1)
-    odd = (out == -1).any(axis=1)
-    for r, i in enumerate(some.tolist()):
-        ids[i] = out[r, : count[r]][::-1]
-    for r in np.flatnonzero(odd).tolist():
-        found, end = [], int(size[r])
-        text = joined[int(starts[r]) : int(starts[r]) + end]
-        while end > 0:
-            begin = int(previous[r, end])
-            found.append(vocabulary.emit(int(piece[r, end]), text[begin:end]))
-            end = begin
-        ids[int(some[r])] = np.array([i for part in reversed(found) for i in part], np.int32)
+class Encoder:
+    """Encodes whole texts, in one worker: each is fed to a decoder stretch by stretch."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.v = vocabulary
+        self.remembered: dict[str, tuple[int, ...]] = {}
+        self.decoded = 0  # characters that went through the decoder, not through what it remembers
+
+    def _decode(self, stretch: str) -> tuple[int, ...]:
+        self.decoded += len(stretch)
+        ids = tuple(encode_long(self.v, stretch))
+        if len(stretch) <= REMEMBERED_LENGTH:
+            if len(self.remembered) >= REMEMBERED:
+                self.remembered.clear()
+            self.remembered[stretch] = ids
+        return ids
+
+    def __call__(self, text: str) -> np.ndarray:
+        """Ids of a text, with the model's space before it; none for an empty text."""
+        if not text:
+            return np.zeros(0, np.int32)
+        ready = SPACE + text.replace(" ", SPACE)
+        codes = np.frombuffer(ready.encode("utf-32-le", "surrogatepass"), np.uint32)
+        cuts = np.concatenate([[0], np.flatnonzero(self.v.apart(codes)) + 1, [len(ready)]]).tolist()
+        get, decode = self.remembered.get, self._decode
+        parts = [get(ready[a:b]) or decode(ready[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return np.fromiter(chain.from_iterable(parts), np.int32)
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder, which its later tasks go on with."""
+    return Encoder(Vocabulary(read_model(path)))
 
 
 class Decoder:
@@ -284,18 +204,17 @@ def encode_pieces(docs: DataFrame, path: str, with_ids: bool = True) -> DataFram
     text has no ids. Rows that repeat a doc_id are each encoded; other columns are ignored; an empty
     table gives no rows. Texts of any length are encoded whole. No shuffle.
     """
-    pieces = read_model(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(pieces)
-        decode = Decoder(vocabulary)
+        encode = encoder_of(path)
+        decode = Decoder(encode.v)
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             rows = []
-            for a, b in steps(offsets, _STEP):
-                texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in range(a, b)]
-                for text, ids in zip(texts, encode_batch(vocabulary, texts), strict=True):
-                    rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), decode(ids.tolist()) == text.replace(SPACE, " "), *([ids.tolist()] if with_ids else [])))
+            for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
+                text = data[a:b].tobytes().decode()
+                ids = encode(text)
+                rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), decode(ids.tolist()) == text.replace(SPACE, " "), *([ids.tolist()] if with_ids else [])))
             kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())][: 3 + with_ids]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
             sizes = pa.array(np.diff(offsets).astype(np.int64))

@@ -16,7 +16,7 @@ from siltstone.llm.maxscore import Shard, top_inner_products
 from siltstone.llm.near_duplicates import _forest, near_duplicates, position_sets
 from siltstone.llm.packing import best_fit, pack
 from siltstone.llm.passage_dedup import repeated_passages
-from siltstone.llm.pieces import Decoder, StreamingViterbi, Vocabulary, encode_batch, encode_long, encode_pieces, read_model
+from siltstone.llm.pieces import Decoder, Encoder, StreamingViterbi, Vocabulary, encode_long, encode_pieces, read_model
 from siltstone.llm.token_counts import load, token_counts, whole_tokens
 from siltstone.llm.token_files import Encoding, decode_segment, encode_segment, token_files
 from siltstone.llm.toxicity import Network, fit as fit_network, toxicity
@@ -268,8 +268,10 @@ def library():
 def test_pieces_against_the_library(library, docs):
     vocabulary = Vocabulary(read_model(PIECES))
     texts = [t[i : i + 60] for t in docs.text[:80] for i in range(0, len(t), 60)] + ["", " ", "  a", "\n\t", "日本語", "é\x00z", "a" * 60, "😀 x", "a  b   c"]
-    for text, ids in zip(texts, encode_batch(vocabulary, texts), strict=True):
-        assert ids.tolist() == library.encode(text)
+    encode = Encoder(vocabulary)
+    for text in texts:
+        ids = encode(text)
+        assert ids.tolist() == library.encode(text) == encode(text).tolist()
         assert Decoder(vocabulary)(ids.tolist()) == text
         if text:
             assert encode_long(vocabulary, "▁" + text.replace(" ", "▁")) == ids.tolist()
@@ -283,6 +285,24 @@ def test_streaming_commits_early():
     assert decoder.most < 200 and ids == encode_long(vocabulary, text)
 
 
+def test_the_decoder_does_the_work(docs):
+    vocabulary = Vocabulary(read_model(PIECES))
+    encode = Encoder(vocabulary)
+    for text in docs.text[:60]:
+        ready = "▁" + text.replace(" ", "▁")
+        before = set(encode.remembered)
+        ids = encode(text)
+        assert ids.tolist() == encode_long(vocabulary, ready)
+        assert encode.decoded >= sum(map(len, set(encode.remembered) - before))
+    # every stretch that is remembered has been through the decoder once
+    assert encode.decoded >= sum(map(len, encode.remembered)) > 0
+    ends = set("".join(p for p in vocabulary.ids))
+    codes = np.array([ord(c) for c in "▁the▁日é\U0001F600x"], np.uint32)
+    apart = vocabulary.apart(codes)
+    held = {p[i : i + 2] for p in vocabulary.ids for i in range(len(p) - 1)}
+    assert ends and [bool(a) for a in apart] == [chr(x) + chr(y) not in held and max(x, y) < 1 << 16 for x, y in zip(codes.tolist(), codes[1:].tolist(), strict=False)]
+
+
 def test_pieces_operator(spark, awkward, empty):
     rows = encode_pieces(awkward, PIECES).collect()
     assert len(rows) == awkward.count() and all(r["restored"] for r in rows)
