@@ -76,10 +76,6 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n + 1 offsets into them; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):

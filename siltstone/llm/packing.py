@@ -144,7 +144,7 @@ def pack(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, shard_row
             yield from flush()
 
     dealt = sized.select(F.pmod(F.xxhash64("doc_id", "n_tokens", F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard"), "doc_id", "n_tokens")
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "n_tokens")
+    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "n_tokens")
     schema = "doc_id long, piece long, begin long, n_tokens long, shard long, bin long, bin_offset long, capacity long"
     return dealt.mapInArrow(run, schema)
 
@@ -153,7 +153,7 @@ def token_lengths(docs: DataFrame, encoding: tuple, end_id: int = 2) -> DataFram
     """(doc_id, n_tokens) with the end id, by the byte-level vocabulary of the token files."""
     from siltstone.llm.token_files import tokenise
 
-    return tokenise(docs, encoding, end_id).select("doc_id", (F.octet_length("ids") / 2).cast("long").alias("n_tokens"))
+    return tokenise(docs, encoding, end_id).select("doc_id", (F.octet_length("ids") / F.col("width")).cast("long").alias("n_tokens"))
 
 
 def pack_documents(docs: DataFrame, encoding: tuple, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:

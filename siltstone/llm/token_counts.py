@@ -3,9 +3,10 @@
 Offline, each vocabulary string is encoded alone; those that come back as the one token they name are
 proven whole tokens. A text is normalised and cut into pre-tokens; a pre-token that is a proven whole
 token counts as one without any merging, and only the other distinct pre-tokens go through the
-library's merges. Pre-tokenisation is reproduced here for texts of characters below U+0250, where it
-is plain; any other text is counted by the library itself, so that counts never depend on a
-difference between Unicode tables.
+library's merges. Pre-tokenisation is reproduced here for characters below U+0250, where it is plain.
+A text with others is cut at ASCII white space, which no pre-token and no normalisation spans: each word
+that holds another character is counted by the library itself, so that counts never depend on a
+difference between Unicode tables, and the rest of the text takes the shortcut.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ REMEMBERED = 300_000
 
 _FIND = regex.compile(PATTERN.replace(r"\s", r"\t-\r \x85\xa0")).findall
 _PLAIN = regex.compile("[^\x00-\u024F]").search
+_WORDS = regex.compile(r"[^\t-\r ]+").findall
 _SPLIT = regex.compile("|".join(map(regex.escape, SPECIAL)))
 
 
@@ -77,6 +79,7 @@ class Counting:
         self.tokenizer = load(path)
         self.whole = dict.fromkeys(whole, 1)
         self.merged: dict[str, int] = {}
+        self.shortcut = 0  # plain words of texts that also hold other characters
 
     def _by_library(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -102,12 +105,28 @@ class Counting:
                 self._learn([w for w in rest if w not in merged])
         return total + sum(n * merged[w] for w, n in rest.items())
 
+    def by_words(self, text: str) -> int:
+        """Of a text without special strings: the words with other characters by the library, once for each, the rest by the shortcut."""
+        plain, odd = [], []
+        for word in _WORDS(text):
+            (odd if not word.isascii() and _PLAIN(word) else plain).append(word)
+        seen = Counter(odd)
+        unknown = [w for w in seen if w not in self.merged]
+        if unknown:
+            self._learn(unknown)
+            again = [w for w in seen if w not in self.merged]
+            if again:
+                self._learn(again)
+        self.shortcut += len(plain)
+        return self.plain(" ".join(plain)) + sum(n * self.merged[w] for w, n in seen.items())
+
+    def _part(self, text: str) -> int:
+        return self.by_words(text) if not text.isascii() and _PLAIN(text) else self.plain(text)
+
     def count(self, text: str) -> int:
-        if not text.isascii() and _PLAIN(text):
-            return self._by_library([text])[0]
         if "<|" not in text:
-            return self.plain(text)
-        return len(_SPLIT.findall(text)) + sum(self.plain(part) for part in _SPLIT.split(text))
+            return self._part(text)
+        return len(_SPLIT.findall(text)) + sum(map(self._part, _SPLIT.split(text)))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:

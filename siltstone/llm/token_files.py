@@ -2,7 +2,7 @@
 
 A file is a Parquet table whose rows are segments; a segment's payload is this format's own bytes:
 
-  header   magic, version, id of end of document, documents, tokens, distinct ids, block size
+  header   magic, version, a reserved field, id of end of document, documents, tokens, distinct ids, block size
   table    the distinct ids and their frequencies, which sum to 2**20: shared by all blocks
   index    each document's id and number of tokens
   blocks   each block: its crc32 (of the ids), its checkpoints, its words
@@ -18,13 +18,14 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, documents, shuffle_partitions
+from siltstone.llm.common import Scratch, documents
 
 MAGIC = b"SANS"
 SCALE_BITS = 20
@@ -33,9 +34,11 @@ BLOCK = 16_384
 CHECKPOINT = 128
 #: Tokens of a segment; it ends with the document that reaches them.
 SEGMENT = 1 << 20
+#: Bytes of text of a shard, about: the ids of one document, however long, stay together.
+SHARD_BYTES = 32 << 20
 _LOW = np.uint64(1 << 32)
 _32 = np.uint64(32)
-_HEAD = struct.Struct("<4sHHIQII")
+_HEAD = struct.Struct("<4sHHIIQII")
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -64,7 +67,7 @@ def encode_segment(doc_ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray,
     freq = frequencies(counts) if n else counts
     cum = np.cumsum(freq) - freq
     blocks = -(-n // BLOCK) if n else 0
-    head = _HEAD.pack(MAGIC, 1, end_id & 0xFFFF, len(doc_ids), n, len(ids), BLOCK)
+    head = _HEAD.pack(MAGIC, 2, 0, end_id, len(doc_ids), n, len(ids), BLOCK)
     parts = [head, ids.astype("<u4").tobytes(), freq.astype("<u4").tobytes(), doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes()]
     if not n:
         return b"".join(parts)
@@ -100,8 +103,8 @@ def encode_segment(doc_ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray,
 
 def decode_segment(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc_ids, lengths and tokens (uint32); raises ValueError where a checksum fails."""
-    magic, version, _, docs, n, distinct, block = _HEAD.unpack_from(payload)
-    if magic != MAGIC or version != 1:
+    magic, version, _, _, docs, n, distinct, block = _HEAD.unpack_from(payload)
+    if magic != MAGIC or version != 2:
         raise ValueError("not a segment of token ids")
     at = _HEAD.size
 
@@ -152,9 +155,10 @@ def decode_segment(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Encoding:
     """Token ids as the tokenizers library gives them.
 
-    Texts of characters below U+0250 go through tiktoken's engine on the same ranks (held equal to the
-    library in the tests, and several times as fast); any other text goes through the library, whose
-    Unicode tables then decide.
+    Stretches of characters below U+0250 go through tiktoken's engine on the same ranks (held equal to
+    the library in the tests, and several times as fast); stretches with others go through the library,
+    whose Unicode tables then decide. Stretches begin at a single space between two visible ASCII
+    characters, where a pre-token always begins.
     """
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str, special: dict[str, int]) -> None:
@@ -170,81 +174,101 @@ class Encoding:
         self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
         self.library = load(json_path)
         self.odd = regex.compile("[^\x00-\u024F]|[\x1c-\x1f]").search
+        self.cut = regex.compile("(?<=[!-~])(?= [!-~])").split
+        self.largest = max(max(ranks.values(), default=0), max(special.values(), default=0))
+        self.by_library = 0  # characters that the library encoded
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.odd(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, allowed_special="all")
+        if not self.odd(text):
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        out = []
+        for odd, stretch in groupby(self.cut(text), lambda part: self.odd(part) is not None):
+            joined = "".join(stretch)
+            if odd:
+                self.by_library += len(joined)
+                out.append(np.array(self.library.encode(joined, add_special_tokens=False).ids, np.uint32))
+            else:
+                out.append(self.fast.encode_to_numpy(joined, allowed_special="all"))
+        return np.concatenate(out)
+
+
+def id_kind(encoding: Encoding, end_id: int) -> str:
+    """Two bytes where every id fits them, else four."""
+    return "<u2" if max(encoding.largest, end_id) < 1 << 16 else "<u4"
 
 
 def tokenise(docs: DataFrame, encoding: tuple, end_id: int) -> DataFrame:
-    """(doc_id, ids): each document's ids, the end id last, as little-endian unsigned 16-bit integers."""
+    """(doc_id, ids, width): each document's ids, the end id last, as little-endian unsigned integers of `width` bytes, which the vocabulary decides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoding(*encoding)
-        tail = np.array([end_id], "<u2").tobytes()
+        kind = id_kind(encode, end_id)
+        tail = np.array([end_id], kind).tobytes()
         for batch in batches:
-            out = [encode(text.as_py()).astype("<u2").tobytes() + tail if text.is_valid else tail for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+            out = [encode(text.as_py()).astype(kind).tobytes() + tail if text.is_valid else tail for text in batch.column(1)]
+            width = pa.array(np.full(len(out), np.dtype(kind).itemsize, np.int8))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), width], names=["doc_id", "ids", "width"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, ids binary")
+    return documents(docs).mapInArrow(run, "doc_id long, ids binary, width byte")
 
 
 def write_token_files(docs: DataFrame, path: str, encoding: tuple, end_id: int = 2, segment: int = SEGMENT) -> None:
     """Writes `path`: segments (shard, seq, first_token, n_tokens, payload) in ascending doc_id order.
 
-    Shards are ranges of doc_id between quantiles of that column alone, so texts are encoded once and
-    only ids are shuffled. Null texts are empty, so they hold the end id; null doc_ids come first and
+    Shards are ranges of doc_id between quantiles of that column alone, as many as SHARD_BYTES of text
+    make, so texts are encoded once and only ids are shuffled, each shard to a task of its own. Null texts are empty, so they hold the end id; null doc_ids come first and
     are stored as the least long. Repeated doc_ids keep all their rows.
     """
     spark = docs.sparkSession
-    shards = shuffle_partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
     cuts = [i / shards for i in range(1, shards)]
-    bounds = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), cuts or [0.5], 10_000)).first()[0] or []
+    bounds = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), cuts or [0.5], max(10_000, 20 * shards))).first()[0] or []
     bounds = sorted(set(bounds))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array(bounds, np.int64)
         for batch in batches:
             ids = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, ids).astype(np.int32)), pa.array(ids), batch.column(1)], names=["shard", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, ids).astype(np.int32)), pa.array(ids), batch.column(1), batch.column(2)], names=["shard", "doc_id", "ids", "width"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, held = ["shard", "seq", "first_token", "n_tokens", "payload"], []
-        shard, seq, begun, size = -1, 0, 0, 0
+        shard, seq, begun, size, width = -1, 0, 0, 0, 2
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, begun, size, held
-            lengths = np.array([len(x) // 2 for _, x in held], np.int64)
-            tokens = np.frombuffer(b"".join(x for _, x in held), "<u2").astype(np.uint32)
+            lengths = np.array([len(x) // width for _, x in held], np.int64)
+            tokens = np.frombuffer(b"".join(x for _, x in held), f"<u{width}").astype(np.uint32)
             payload = encode_segment(np.array([i for i, _ in held], np.int64), lengths, tokens, end_id)
             row = [pa.array([shard], pa.int32()), pa.array([seq], pa.int32()), pa.array([begun], pa.int64()), pa.array([len(tokens)], pa.int64()), pa.array([payload], pa.binary())]
             seq, begun, size, held = seq + 1, begun + len(tokens), 0, []
             return pa.RecordBatch.from_arrays(row, names=names)
 
         for batch in batches:
-            for s, i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for s, i, x, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                width = own
                 if s != shard:
                     if held:
                         yield flush()
                     shard, seq, begun, size = s, 0, 0, 0
                 held.append((i, x.as_py()))
-                size += len(held[-1][1]) // 2
+                size += len(held[-1][1]) // width
                 if size >= segment:
                     yield flush()
         if held:
             yield flush()
 
-    dealt = tokenise(docs, encoding, end_id).mapInArrow(deal, "shard int, doc_id long, ids binary")
-    sorted_ = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id")
+    dealt = tokenise(docs, encoding, end_id).mapInArrow(deal, "shard int, doc_id long, ids binary, width byte")
+    sorted_ = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id")
     sorted_.mapInArrow(encode, "shard int, seq int, first_token long, n_tokens long, payload binary").write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32), each segment decoded on its own.
 
-    start needs the tokens of the shards before: one row for each shard comes to the driver, as many
-    as there were shuffle partitions.
+    start needs the tokens of the shards before: one row for each shard comes to the driver, one for
+    SHARD_BYTES of text.
     """
     files = spark.read.parquet(path)
     totals = sorted((r["shard"], r["n"]) for r in files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())

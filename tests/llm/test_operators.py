@@ -17,7 +17,7 @@ from siltstone.llm.near_duplicates import _forest, near_duplicates, position_set
 from siltstone.llm.packing import best_fit, pack
 from siltstone.llm.passage_dedup import repeated_passages
 from siltstone.llm.pieces import Decoder, Encoder, StreamingViterbi, Vocabulary, encode_long, encode_pieces, read_model
-from siltstone.llm.token_counts import load, token_counts, whole_tokens
+from siltstone.llm.token_counts import Counting, load, token_counts, whole_tokens
 from siltstone.llm.token_files import Encoding, decode_segment, encode_segment, token_files
 from siltstone.llm.toxicity import Network, fit as fit_network, toxicity
 
@@ -176,6 +176,46 @@ def test_token_counts(spark, awkward, empty, docs):
     assert counts == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in zip(docs.doc_id, docs.text, strict=True)}
 
 
+ODD = ["the cat\u2019s \u201cquoted\u201d \u2014 dash", "emoji 😀 and text<|endoftext|>日本<|endoftext|> x", "\u3000 a \u2003b", "ΑΣ Σας ﬁne Ǆ ǆ", "e\u0301 caf\u0065\u0301 \u0301x", "a\x1cb 日 \x1c c", "x \u2019s y", "日  two spaces", "a \u00a0 日 b", " 日", "日 ", "mix日ed words'll 日're"]
+
+
+def test_only_odd_words_leave_the_shortcut(docs):
+    library, counting = load(WORD), Counting(WORD, whole_tokens(WORD))
+    random = np.random.default_rng(3)
+    parts = [*ODD, *(t[:200] for t in docs.text[:20])]
+    texts = ODD + [" ".join(random.choice(parts, 4)) for _ in range(200)] + ["".join(random.choice(list("a '\u2019s日é\n\u0301Σ5<|"), 30)) for _ in range(2000)]
+    for text in texts:
+        assert counting.count(text) == len(library.encode(text, add_special_tokens=False).ids), text
+    assert counting.shortcut > 1000
+    encoding = queries.byte_bpe_encoding()
+    fast, library = Encoding(*encoding), load(encoding[0])
+    for text in texts:
+        assert fast(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
+    fast.by_library = 0
+    fast("a long plain text with one \u2014 dash " + "and many plain words " * 200)
+    assert fast.by_library < 20
+
+
+def test_wide_ids_are_kept(spark):
+    encoding = queries.byte_bpe_encoding()
+    texts = [(1, "one"), (2, None), (3, "three")]
+    found = {r["doc_id"]: r for r in token_files(spark.createDataFrame(texts, "doc_id long, text string"), encoding, end_id=70_000).collect()}
+    library = load(encoding[0])
+    for i, t in texts:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 70_000]
+        assert found[i]["n_tokens"] == len(ids) and found[i]["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_many_shards(spark, docs, monkeypatch):
+    from siltstone.llm import token_files as module
+
+    encoding = queries.byte_bpe_encoding()
+    own = spark.createDataFrame(docs[["doc_id", "text"]])
+    whole = {tuple(r) for r in token_files(own, encoding).collect()}
+    monkeypatch.setattr(module, "SHARD_BYTES", 20_000)
+    assert {tuple(r) for r in token_files(own, encoding).collect()} == whole and len(whole) == len(docs)
+
+
 def test_whole_tokens_are_proven():
     library = load(WORD)
     whole = whole_tokens(WORD)
