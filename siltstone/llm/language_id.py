@@ -21,11 +21,11 @@ from siltstone.llm.common import beside, documents, held_out, restored, steps, t
 from siltstone.llm.word_features import crf_features, words_of
 
 BITS = 17
-#: Distinct labelled texts of each language that are fitted on at most (the first by a hash), and characters of each (from a hashed place on).
-SAMPLE_ROWS = 800
-SAMPLE_CHARS = 2000
-#: Words of one chain; a longer text is several chains, which its language sums over.
-CHAIN = 64
+#: Distinct labelled texts of each language that are fitted on at most, the first by a hash; each is read whole.
+SAMPLE_ROWS = 600
+#: Words that are worked on one after another, and stretches of so many side by side; neither changes a result.
+STRETCH = 64
+WIDE = 8192
 UNKNOWN = "und"
 #: Bytes that one step handles.
 _STEP = 2 << 20
@@ -118,56 +118,79 @@ def fit(texts: list[str], labels: list[str], epochs: int = 6, batch: int = 128,
     return field
 
 
-def predict(field: Field, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, label) sums of the words' marginals, and each text's number of words."""
+def predict(field: Field, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, label) sums of the words' marginals, each text's sum of its words' largest marginals, and its number of words."""
     words = words_of(data, offsets)
     n, k = words.texts, len(field.labels)
     counts = np.bincount(words.text, minlength=n)
     if not len(words.text) or not k:
-        return np.zeros((n, max(k, 1))), counts
-    scores = field.emissions(words)
-    first = np.cumsum(counts) - counts
-    place = np.arange(len(words.text)) - first[words.text]
-    new = np.flatnonzero(place % CHAIN == 0)
-    chain = np.cumsum(place % CHAIN == 0) - 1
-    lengths = np.diff(np.append(new, len(place)))
-    out = np.zeros((n, k))
-    for begin in range(0, len(new), 8192):
-        end = min(begin + 8192, len(new))
-        a, b = new[begin], new[end] if end < len(new) else len(place)
-        width = int(lengths[begin:end].max())
-        padded = np.zeros((end - begin, width, k), np.float32)
-        rows, columns = chain[a:b] - begin, place[a:b] % CHAIN
-        padded[rows, columns] = scores[words.lexeme[a:b]]
-        marginals = _marginals(padded, field, lengths[begin:end])[rows, columns]
-        for c in range(k):
-            out[:, c] += np.bincount(words.text[a:b], marginals[:, c], n)
-    return out, counts
-
-
-def _marginals(scores: np.ndarray, field: Field, lengths: np.ndarray) -> np.ndarray:
-    """Forward-backward without expected counts, in single precision."""
-    local = np.exp(scores - scores.max(axis=2, keepdims=True)).transpose(1, 0, 2).copy()
-    move = np.exp(field.transitions - field.transitions.max()).astype(np.float32)
-    ahead = np.empty_like(local)
-    now = local[0] * np.exp(field.start - field.start.max()).astype(np.float32)
-    for t in range(len(local)):
-        if t:
-            now = (now @ move) * local[t]
-        now = now / np.maximum(now.sum(axis=1, keepdims=True), 1e-30)
-        ahead[t] = now
-    now = np.ones_like(now)
-    for t in range(len(local) - 2, -1, -1):
-        now = (now * local[t + 1]) @ move.T
-        now /= np.maximum(now.sum(axis=1, keepdims=True), 1e-30)
-        now[t + 1 >= lengths] = 1
-        ahead[t] *= now
-    out = ahead.transpose(1, 0, 2)
-    return out / np.maximum(out.sum(axis=2, keepdims=True), 1e-30)
+        return np.zeros((n, max(k, 1))), np.zeros(n), counts
+    marginals = text_marginals(field.emissions(words)[words.lexeme], counts, field.transitions, field.start)
+    sums = np.stack([np.bincount(words.text, marginals[:, c], n) for c in range(k)], axis=1)
+    return sums, np.bincount(words.text, marginals.max(axis=1), n), counts
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each row (over all but the first axis) to the sum one: scales cancel in marginals."""
+    return x / np.maximum(x.sum(axis=tuple(range(1, x.ndim)), keepdims=True), 1e-30)
+
+
+def text_marginals(scores: np.ndarray, counts: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Forward-backward over whole texts: marginals (word, label). scores: (word, label) of all texts' words in order.
+
+    A text is one chain however long. It is cut into stretches only to be worked on side by side: a
+    stretch is a product of matrices, the messages at all borders follow from those products one after
+    another, and with them each stretch is passed through either way.
+    """
+    k = scores.shape[1]
+    place = np.arange(len(scores)) - np.repeat(np.cumsum(counts) - counts, counts)
+    head = np.flatnonzero(place % STRETCH == 0)  # first word of each stretch
+    lengths = np.diff(np.append(head, len(scores)))
+    number = -(-counts // STRETCH)  # stretches of each text
+    first = np.cumsum(number) - number
+    move = np.exp(transitions - transitions.max())
+    begin = np.exp(start - start.max())
+    local = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float64)
+    products = np.empty((len(head), k, k))
+    for a in range(0, len(head), WIDE):
+        own = slice(a, a + WIDE)
+        product = np.eye(k) * local[head[own]][:, None, :]
+        for t in range(1, int(lengths[own].max())):
+            on = np.flatnonzero(lengths[own] > t)
+            product[on] = _scaled((product[on] @ move) * local[head[own][on] + t][:, None, :])
+        products[own] = product
+    # messages at the borders: what comes into each stretch's first word, and what comes back behind its last
+    entry, back = np.empty((len(head), k)), np.ones((len(head), k))
+    texts = np.flatnonzero(number > 0)
+    entry[first[texts]] = begin
+    for j in range(1, int(number.max(initial=1))):
+        at = first[np.flatnonzero(number > j)] + j
+        entry[at] = _scaled(np.einsum("ni,nij->nj", entry[at - 1], products[at - 1]) @ move)
+    for j in range(int(number.max(initial=1)) - 2, -1, -1):
+        at = first[np.flatnonzero(number > j + 1)] + j
+        back[at] = _scaled(np.einsum("nij,nj->ni", products[at + 1], back[at + 1]) @ move.T)
+    out = np.empty_like(local)
+    for a in range(0, len(head), WIDE):
+        own = slice(a, a + WIDE)
+        heads, sizes = head[own], lengths[own]
+        now = _scaled(entry[own] * local[heads])
+        out[heads] = now
+        for t in range(1, int(sizes.max())):
+            on = np.flatnonzero(sizes > t)
+            now[on] = _scaled((now[on] @ move) * local[heads[on] + t])
+            out[heads[on] + t] = now[on]
+        now = back[own].copy()
+        for t in range(int(sizes.max()) - 1, -1, -1):
+            on = np.flatnonzero(sizes > t)
+            at = heads[on] + t
+            out[at] *= now[on]
+            if t:
+                now[on] = _scaled((now[on] * local[at]) @ move.T)
+    return out / np.maximum(out.sum(axis=1, keepdims=True), 1e-30)
 
 
 def training_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """Text and lang of rows that aren't held out: SAMPLE_ROWS distinct texts of each language at most, by a hash of the text, SAMPLE_CHARS of each.
+    """Text and lang of rows that aren't held out: SAMPLE_ROWS distinct whole texts of each language at most, by a hash of the text.
 
     Copies count once, so a large group of them is one text; a language has its own share however rare it is.
     """
@@ -178,8 +201,7 @@ def training_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
     top = (1 << 63) - 1
     bounds = [(r["lang"], top if r["count"] <= 4 * SAMPLE_ROWS else int((1 << 64) * (2 * SAMPLE_ROWS + 200) / r["count"]) - (1 << 63)) for r in number]
     near = hashed.join(F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang").where("sample_hash <= bound")
-    place = F.pmod(F.xxhash64("text", F.lit(3)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
-    once = near.select("lang", "sample_hash", F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("text")).groupBy("lang", "sample_hash").agg(F.min("text").alias("text"))
+    once = near.select("lang", "sample_hash", "text").groupBy("lang", "sample_hash").agg(F.min("text").alias("text"))
     ranked = once.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("sample_hash")))
     chosen = ranked.where(F.col("place") <= SAMPLE_ROWS).orderBy("sample_hash", "lang").select("text", "lang").toArrow()
     return chosen["text"].to_pylist(), chosen["lang"].to_pylist()
@@ -191,10 +213,10 @@ def _identified(docs: DataFrame, field: Field, keep: list[str]) -> DataFrame:
         ascii_letter[0x41:0x5B] = ascii_letter[0x61:0x7B] = True
         for batch in batches:
             data, offsets = text_buffers(batch.column(2))
-            names, scores = [], []
+            names, scores, sureness = [], [], []
             for a, b in steps(offsets, _STEP):
                 part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                sums, counts = predict(field, part, own)
+                sums, certain, counts = predict(field, part, own)
                 found = np.concatenate([[0], np.cumsum(ascii_letter[part])])
                 sure = found[own[1:]] > found[own[:-1]]
                 best = sums.argmax(axis=1)
@@ -203,28 +225,37 @@ def _identified(docs: DataFrame, field: Field, keep: list[str]) -> DataFrame:
                     known = field.labels and (sure[i] or (counts[i] and _has_letter(part[own[i] : own[i + 1]].tobytes().decode("utf-8", "ignore"))))
                     names.append(field.labels[best[i]] if known else UNKNOWN)
                     scores.append(float(min(1.0, share[i])) if known else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", *batch.schema.names[3:]])
+                    sureness.append(float(min(1.0, certain[i] / max(counts[i], 1))) if known else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sureness, pa.float64()), *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", "certainty", *batch.schema.names[3:]])
 
-    frame, schema = beside(docs, keep, "doc_id long, held_out boolean, lang_pred string, score double")
+    frame, schema = beside(docs, keep, "doc_id long, held_out boolean, lang_pred string, score double, certainty double")
     return frame.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, field: Field) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row; score is the language's share of the words' marginals.
+    """(doc_id, held_out, lang_pred, score, certainty) of every row.
 
-    `und` with score 0 where the text is null or has no letter, or no language was learned. Ties go to
+    score is the language's share of the words' marginals, certainty the mean of each word's largest
+    marginal. `und` with both 0 where the text is null or has no letter, or no language was learned. Ties go to
     the label that sorts first. Rows that repeat a doc_id are each judged; other columns are ignored; an
     empty table gives no rows. No shuffle; the model has a fixed size.
     """
     return _identified(docs, field, [])
 
 
-def known_languages(docs: DataFrame, field: Field, least_share: float) -> DataFrame:
-    """The rows of docs, with all their columns, whose text has a language of that share of its words' marginals at least."""
-    found = _identified(docs, field, docs.columns).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_share))
+def known_languages(docs: DataFrame, field: Field, least_certainty: float) -> DataFrame:
+    """The rows of docs, with all their columns, that have a language and whose words are labelled with that certainty at least.
+
+    A clean text in several languages has certain words, though none of its languages has a large share.
+    """
+    found = _identified(docs, field, docs.columns).where((F.col("lang_pred") != UNKNOWN) & (F.col("certainty") >= least_certainty))
     return restored(found, docs.columns, own=False)
 
 
 def language_id(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """Fits on the labelled rows (docs' own by default) and identifies every row of docs."""
+    """Fits on the labelled rows (docs' own by default) and identifies every row of docs, as identify says.
+
+    Labelled are rows with a text and a lang that aren't held out; a null doc_id isn't. An empty table
+    gives no rows, and one without labelled rows `und` throughout.
+    """
     return identify(docs, fit(*training_sample(docs if labelled is None else labelled)))

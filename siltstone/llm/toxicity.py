@@ -25,9 +25,8 @@ WORD_DIMS = 8
 CHAR_DIMS = 8
 HIDDEN = 8
 CHAR_BITS = 13
-#: Labelled rows of either class that are fitted on at most (the first by a hash), and characters of each (from a hashed place on).
+#: Labelled rows of either class that are fitted on at most, the first by a hash; each is read whole.
 SAMPLE_ROWS = 1500
-SAMPLE_CHARS = 6000
 #: Texts of the sample that a word must be in to have a vector of its own.
 LEAST_TEXTS = 3
 _STEP = 1 << 20
@@ -157,10 +156,10 @@ class Network:
         return _sigmoid(best.astype(np.float64))
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 4, odds: float = 1.0, batch: int = 32, most: int = 24, rate: float = 0.02, seed: int = 0) -> Network:
+def fit(texts: list[str], labels: np.ndarray, epochs: int = 4, odds: float = 1.0, batch: int = 32, rate: float = 0.02, seed: int = 0) -> Network:
     """labels: 0 or 1. Classes weigh the same in training, after which the bias is set for `odds` toxic texts for each other one.
 
-    `most` windows of a text, drawn anew each time, take part in a step.
+    All windows of a text take part: its best one, which the gradient follows, is sought among them anew each time.
     """
     data, offsets = text_buffers(pa.array(texts, pa.string()))
     words = words_of(data, offsets)
@@ -193,10 +192,6 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 4, odds: float = 1.0
         for i in range(0, len(order), batch):
             rows = order[i : i + batch]
             own, first, length = windows(counts[rows])
-            if len(own) > most * len(rows):
-                drawn = np.sort(random.permutation(len(own))[: most * len(rows)])
-                drawn = np.union1d(drawn, np.searchsorted(own, np.arange(len(rows))))
-                own, first, length = own[drawn], first[drawn], length[drawn]
             start = begin[rows][own] + first
             at = np.where(each < length, start + each, 0)
             lexemes = words.lexeme[at]
@@ -205,7 +200,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 4, odds: float = 1.0
             part = grams.of(used)
             size = np.diff(part.bounds)[:, None]
             x = np.concatenate([net.p["word"][place[used]], part.sums(net.p["char"]) / size], axis=1).astype(np.float32)
-            rank = pulls[start + length] - pulls[start] if epoch == 0 else net.read(x[inverse], length)
+            rank = pulls[start + length] - pulls[start] if epoch == 0 else np.concatenate([net.read(x[inverse[:, a : a + _WIDE]], length[a : a + _WIDE]) for a in range(0, len(own), _WIDE)])
             chosen = np.array([s + int(np.argmax(rank[s:e])) for s, e in zip(np.searchsorted(own, np.arange(len(rows))), np.searchsorted(own, np.arange(len(rows)), side="right"), strict=True)])
             keep: dict = {}
             inputs = x[inverse[:, chosen]]
@@ -228,15 +223,14 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 4, odds: float = 1.0
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, float]:
-    """Text and toxic of labelled rows that aren't held out: SAMPLE_ROWS of either class at most, by a hash, SAMPLE_CHARS of each; and how many toxic rows there are for each other one."""
+    """Text and toxic of labelled rows that aren't held out: SAMPLE_ROWS of either class at most, by a hash, whole texts; and how many toxic rows there are for each other one."""
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     there = held_out(docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"))).where("not held_out").select("doc_id").distinct()
     known = marks.join(there, "doc_id")  # ids alone are shuffled; texts come for the chosen ones only
     number = dict(known.groupBy("toxic").count().collect())
     parts = [hashed_sample(known.where(F.col("toxic") == value), SAMPLE_ROWS, number.get(value, 0), "doc_id") for value in (0, 1)]
     chosen = known.sparkSession.createDataFrame([tuple(r) for part in parts for r in part.collect()], known.schema)
-    place = F.pmod(F.xxhash64("text", F.lit(3)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
-    cut = documents(docs).where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("text"), "toxic")
+    cut = documents(docs).where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
     rows = sorted(cut.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect(), key=lambda r: (r["toxic"], r["doc_id"]))
     return [r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64), number.get(1, 0) / max(1, number.get(0, 0))
 
@@ -273,5 +267,9 @@ def clean(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fits on the labelled rows that aren't held out and scores every row."""
+    """Fits on the labelled rows that aren't held out and scores every row, as score says.
+
+    A label that is null or neither 0 nor 1 is none; of several labels of one doc_id the largest counts, and of
+    several texts the least. An empty table gives no rows; without labels of both classes the score follows the larger.
+    """
     return score(docs, fitted(docs, labels))

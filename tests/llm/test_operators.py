@@ -370,6 +370,21 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(got[0], marginals / total) and np.allclose(counts, expected / total)
 
 
+@pytest.mark.parametrize("stretch", [1, 5, 64])
+def test_whole_texts_are_one_chain(monkeypatch, stretch):
+    from siltstone.llm import language_id as module
+
+    monkeypatch.setattr(module, "STRETCH", stretch)
+    random = np.random.default_rng(stretch)
+    counts = np.array([0, 3, 5, 1, 130, 0, 300, 10, 64, 65])
+    scores, move, start = random.normal(size=(counts.sum(), 4)) * 4, random.normal(size=(4, 4)) * 2, random.normal(size=4)
+    got = module.text_marginals(scores, counts, move, start)
+    ends = np.cumsum(counts)
+    for a, b in zip(ends - counts, ends, strict=True):
+        if a < b:
+            assert np.allclose(got[a:b], forward_backward(scores[None, a:b], move, start, np.array([b - a]))[0][0])
+
+
 def test_language_id_held_out(spark, docs):
     own = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language_id(own).join(own.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
@@ -407,6 +422,56 @@ def test_network_gradient():
             assert got[name][at] == pytest.approx((values[0] - values[1]) / 0.02, rel=0.05, abs=2e-3)
 
 
+def plain_toxicity(net, text):
+    """The largest window's probability, one word and one window after another."""
+    import math
+
+    import pyarrow as pa
+    from siltstone.llm.common import text_buffers
+    from siltstone.llm.toxicity import HIDDEN, STRIDE, WINDOW
+    from siltstone.llm.word_features import words_of
+
+    words = words_of(*text_buffers(pa.array([text], pa.string())))
+    p, h = {k: v.astype(np.float64) for k, v in net.p.items()}, HIDDEN
+    vectors = [net.inputs(words)[i].astype(np.float64) for i in words.lexeme]
+
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    def states(x, side):
+        now, out = np.zeros(h), []
+        for v in x:
+            given, sent = v @ p[side + "x"] + p[side + "0"], now @ p[side + "h"]
+            r, z = sigmoid(given[:h] + sent[:h]), sigmoid(given[h : 2 * h] + sent[h : 2 * h])
+            now = z * now + (1 - z) * np.tanh(given[2 * h :] + r * sent[2 * h :])
+            out.append(now)
+        return out
+
+    best, begin = -math.inf, 0
+    while True:
+        part = vectors[begin : begin + WINDOW]
+        both = [np.concatenate(pair) for pair in zip(states(part, "f"), states(part[::-1], "b")[::-1], strict=True)]
+        weights = [math.exp(np.tanh(s @ p["a"]) @ p["v"]) for s in both]
+        pool = sum((w / sum(weights) * s for w, s in zip(weights, both, strict=True)), np.zeros(2 * h))
+        best = max(best, float(pool @ p["o"] + p["b"][0]))
+        begin += STRIDE
+        if begin + WINDOW - STRIDE >= len(vectors):
+            return sigmoid(best)
+
+
+def test_scores_against_a_plain_network(docs):
+    import pyarrow as pa
+    from siltstone.llm.common import text_buffers
+    from siltstone.llm.word_features import words_of
+
+    texts = [*sorted(docs.text, key=len)[:40], "", "one", " ".join(f"word{i}" for i in range(24)), " ".join(f"w{i}x" for i in range(200)), "é ß 日本"]
+    texts = [" ".join(t.split()[:120]) for t in texts]
+    data, offsets = text_buffers(pa.array(texts))
+    net = Network(np.unique(words_of(data, offsets).hashes)[::2], seed=4)
+    net.p = {k: v * np.float32(3) for k, v in net.p.items()}
+    assert np.allclose(net.scores(data, offsets), [plain_toxicity(net, t) for t in texts], atol=1e-4)
+
+
 def test_toxic_words_anywhere_are_found(spark):
     random = np.random.default_rng(0)
     plain = ["the", "of", "and", "ringen", "tion", "ander", "with", "heath"]
@@ -442,6 +507,64 @@ def test_best_fit(seed):
         assert own[0][0] == 0 and all(a + n == c for (a, n), (c, _) in zip(own, own[1:], strict=False))
 
 
+def plain_best_fit(lengths, capacities=(512, 1024, 2048, 4096)):
+    """Each piece, the longest first, into the open bin that it fills best, the one changed last in a tie; else into a new bin of least cost for a token."""
+    from siltstone.llm.packing import cost
+
+    rooms, changed, used, out = [], [], [], {}
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    for n, i in enumerate(order):
+        size = int(lengths[i])
+        fitting = [b for b in range(len(rooms)) if rooms[b] >= size]
+        if fitting:
+            b = min(fitting, key=lambda b: (rooms[b], -changed[b]))
+        else:
+
+            def expected(c):
+                room = c - size
+                for j in order[n + 1 :]:
+                    room -= int(lengths[j]) if lengths[j] <= room else 0
+                return c - room
+
+            c = min((c for c in capacities if c >= size), key=lambda c: (cost(c) / expected(c), c))
+            b = len(rooms)
+            rooms.append(c)
+            changed.append(n)
+            used.append(0)
+        out[i] = (b, used[b])
+        rooms[b] -= size
+        used[b] += size
+        changed[b] = n
+    return [out[i] for i in range(len(lengths))], [min(c for c in capacities if c >= u) for u in used]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_against_a_plain_version(seed):
+    random = np.random.default_rng(seed)
+    lengths = np.minimum(random.lognormal(5 + seed % 3, 1.2, 150).astype(int) + 1, 4096)
+    if seed == 5:
+        lengths = random.choice([100, 200, 512, 700], 150)
+    bins, offsets, final = best_fit(lengths)
+    placed, sizes = plain_best_fit(lengths)
+    assert list(zip(bins.tolist(), offsets.tolist(), strict=True)) == placed and final.tolist() == sizes
+
+
+def test_packing_awkward_tables(spark, awkward, empty):
+    from siltstone.llm.packing import pack_documents
+
+    encoding = queries.byte_bpe_encoding()
+    library = load(encoding[0])
+    expected = Counter((i, len(library.encode(t, add_special_tokens=False).ids) + 1) for i, t in texts_of(awkward))
+    rows = pack_documents(awkward, encoding).collect()
+    whole = Counter()
+    for i, n in expected:
+        whole[i] += n * expected[(i, n)]
+    got = Counter()
+    for r in rows:
+        got[r["doc_id"]] += r["n_tokens"]
+    assert got == whole and pack_documents(empty, encoding).count() == 0
+
+
 def test_pack_cuts_long_documents(spark):
     rows = [(1, 10_000), (2, 4096), (None, 5), (3, 0), (4, None), (5, 1), (5, 1)]
     got = pack(spark.createDataFrame(rows, "doc_id long, n_tokens long")).collect()
@@ -549,28 +672,65 @@ def test_forest_spans():
 
 
 def test_pipeline_stages(spark, docs):
+    """Each stage against a plain version of it, on all that the stage before kept."""
     import corpus_pipeline as pipeline
+    import pyarrow as pa
+    from siltstone.llm import language_id, toxicity
+    from siltstone.llm.common import Scratch, text_buffers
+    from siltstone.llm.word_features import words_of
+    from test_similar_texts import kept_by_brute_force
 
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "language_id", "near_duplicates", "repeated_passages", "packing"]
-    table = spark.read.parquet(f"{SF}/documents.parquet")
-    from siltstone.llm.common import Scratch
-
-    scratch, before = Scratch(spark, "test"), table
-    for name, stage in pipeline.STAGES[:-1]:
-        after = scratch.write(stage(spark, before, SF))
-        assert after.columns == table.columns, name
-        assert after.count() <= before.count()
-        if name == "near_duplicates":
-            rows = [(r["doc_id"], plain_fingerprint(r["text"] or "")) for r in before.collect()]
-            assert {r["doc_id"] for r in after.collect()} == set(plain_components(rows))
-        if name == "repeated_passages":
-            old = {r["doc_id"]: r["text"] for r in before.collect()}
-            cut = dict(zip(old, plain_passages(list(old.values()), 200), strict=True))
-            for r in after.collect():
-                assert cut[r["doc_id"]][1] == 0 and r["text"] == old[r["doc_id"]] or len(r["text"].encode()) <= cut[r["doc_id"]][0] - cut[r["doc_id"]][1]
-        before = after
-    packed = pipeline.STAGES[-1][1](spark, before, SF)
-    assert packed.select("doc_id").distinct().count() == before.count()
+    table, scratch = spark.read.parquet(f"{SF}/documents.parquet"), Scratch(spark, "test")
+
+    def texts(df):
+        return {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
+
+    after = []
+    for _, stage in pipeline.STAGES[:-1]:
+        after.append(scratch.write(stage(spark, after[-1] if after else table, SF)))
+        assert after[-1].columns == table.columns
+    before, harmless, known, single, cut = texts(table), *map(texts, after)
+
+    net = toxicity.fitted(table, spark.read.parquet(f"{SF}/labels.parquet"))
+    scores = {i: plain_toxicity(net, t) for i, t in before.items()}
+    assert {i for i, s in scores.items() if s < 0.499} <= set(harmless) <= {i for i, s in scores.items() if s < 0.501}
+    assert 0 < len(harmless) <= len(before) and all(harmless[i] == before[i] for i in harmless)
+
+    field = language_id.fit(*language_id.training_sample(after[0]))
+    certain = {}
+    for i, t in harmless.items():
+        words = words_of(*text_buffers(pa.array([t], pa.string())))
+        if len(words.text):
+            scores_ = field.emissions(words)[words.lexeme].astype(np.float64)
+            certain[i] = forward_backward(scores_[None], field.transitions, field.start, np.array([len(scores_)]))[0][0].max(axis=1).mean()
+    least = pipeline.LEAST_CERTAINTY
+    assert {i for i, c in certain.items() if c >= least + 1e-6} <= set(known) <= {i for i, c in certain.items() if c >= least - 1e-6}
+
+    assert set(single) == kept_by_brute_force(list(known.items()))
+
+    whole = list(single.items())
+    expected = {}
+    for (i, t), spans in zip(whole, plain_passages([t for _, t in whole], 200), strict=True):
+        expected[i] = spans
+    for i, t in single.items():
+        n_bytes, removed, _, digest = expected[i]
+        if not removed:
+            assert cut[i] == t
+        elif i in cut:  # but for halves of characters, what the digest was made of
+            assert n_bytes - removed - 6 * expected[i][2] <= len(cut[i].encode()) <= n_bytes - removed
+            assert len(cut[i].encode()) < n_bytes - removed or hashlib.sha256(cut[i].encode()).hexdigest() == digest
+    assert set(cut) <= set(single) and all(expected[i][1] > 0 for i in set(single) - set(cut))
+
+    library = load(queries.byte_bpe_encoding()[0])
+    lengths = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in cut.items()}
+    pieces = [(i, a, min(4096, n - a)) for i, n in sorted(lengths.items()) for a in range(0, n, 4096)]
+    placed, sizes = plain_best_fit([n for _, _, n in pieces if n < 4096])
+    short = iter(placed)
+    wanted = {(i, a, n, *((next(short)) if n < 4096 else (None, 0))) for i, a, n in pieces}
+    rows = pipeline.STAGES[-1][1](spark, after[-1], SF).collect()
+    assert {(r["doc_id"], r["begin"], r["n_tokens"], r["bin"] if r["n_tokens"] < 4096 else None, r["bin_offset"]) for r in rows} == wanted
+    assert all(r["capacity"] == (sizes[r["bin"]] if r["n_tokens"] < 4096 else 4096) for r in rows)
 
 
 def test_pipeline_on_awkward_tables(spark, awkward, empty, tmp_path):
