@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from siltstone.llm.common import documents, text_buffers
 
 SPACE = "▁"
-#: Characters of the longest stretch that is remembered, and stretches remembered at once; then a worker starts afresh.
-REMEMBERED_LENGTH, REMEMBERED = 48, 300_000
+#: Characters of the longest stretch that is remembered, and stretches of each of the two generations remembered.
+REMEMBERED_LENGTH, REMEMBERED = 48, 400_000
 #: Piece types of the model file's format: fixed values.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What an unknown character costs below the least piece score: a fixed value of unigram models.
@@ -50,7 +50,7 @@ class Vocabulary:
         self.pieces = pieces
         own = [(p, s, i) for i, (p, s, kind) in enumerate(pieces) if kind in (NORMAL, USER_DEFINED) and p]
         self.ids = {p: i for p, _, i in own}
-        self.score = [float(s) for _, s, _ in pieces]
+        self.found = {p: (i, float(s)) for p, s, i in own}
         self.longest = max((len(p) for p in self.ids), default=1)
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
         self.unknown_id = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
@@ -95,29 +95,28 @@ class StreamingViterbi:
         for begin in range(0, len(text), self.v.longest):
             part = text[begin : begin + self.v.longest]
             self.text += part
-            for _ in part:
-                self._extend()
+            self._extend(len(part))
             self.most = max(self.most, len(self.text))
-            yield from self._commit(self._meeting())
+            if len(self.text) >= self.v.longest:
+                yield from self._commit(self._meeting())
 
     def close(self) -> Iterator[int]:
         yield from self._commit(len(self.best) - 1)
 
-    def _extend(self) -> None:
-        end, text, scores, find = len(self.best), self.text, self.best, self.v.ids.get
-        best, back = -np.inf, (end - 1, -1)
-        for begin in range(max(0, end - self.v.reach.get(text[end - 1], 1)), end):
-            i = find(text[begin:end])
-            if i is None:
-                if begin < end - 1:
-                    continue
-                i, score = -1, scores[begin] + self.v.unknown_score
-            else:
-                score = scores[begin] + self.v.score[i]
-            if score > best:
-                best, back = score, (begin, i)
-        self.best.append(best)
-        self.back.append(back)
+    def _extend(self, count: int) -> None:
+        """Takes the last `count` characters in."""
+        text, scores, paths = self.text, self.best, self.back
+        find, reach, unknown = self.v.found.get, self.v.reach.get, self.v.unknown_score
+        for end in range(len(scores), len(scores) + count):
+            best, back = scores[end - 1] + unknown, (end - 1, -1)
+            if (single := find(text[end - 1])) is not None:
+                best, back = scores[end - 1] + single[1], (end - 1, single[0])
+            for begin in range(end - 2, max(-1, end - 1 - reach(text[end - 1], 1)), -1):  # in a tie the longer piece
+                piece = find(text[begin:end])
+                if piece is not None and scores[begin] + piece[1] >= best:
+                    best, back = scores[begin] + piece[1], (begin, piece[0])
+            scores.append(best)
+            paths.append(back)
 
     def _meeting(self) -> int:
         """Latest boundary that is on the paths of all boundaries from which a piece can still start."""
@@ -156,14 +155,17 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
         self.remembered: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}  # what was remembered before; what is met again moves over
         self.decoded = 0  # characters that went through the decoder, not through what it remembers
 
     def _decode(self, stretch: str) -> tuple[int, ...]:
-        self.decoded += len(stretch)
-        ids = tuple(encode_long(self.v, stretch))
+        ids = self.older.get(stretch)
+        if ids is None:
+            self.decoded += len(stretch)
+            ids = tuple(encode_long(self.v, stretch))
         if len(stretch) <= REMEMBERED_LENGTH:
             if len(self.remembered) >= REMEMBERED:
-                self.remembered.clear()
+                self.older, self.remembered = self.remembered, {}
             self.remembered[stretch] = ids
         return ids
 
