@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import hashed_sample
-from siltstone.llm.vector_blocks import best, block_search, matrix, valid_vectors
+from siltstone.llm.vector_blocks import best, block_search, lengths_of, matrix, valid_vectors
 
 CENTROIDS = 16
 #: Dimensions of a subspace.
@@ -103,67 +103,70 @@ def fit(x: np.ndarray, threshold: float = 0.2, rounds: int = 4, seed: int = 0) -
     return book
 
 
-def index(nonzero: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Codebook | None]:
-    """Adds `codes` (two four-bit codes a byte) to every row; the codebook is fitted on `sample` rows."""
-    chosen = hashed_sample(nonzero, sample, nonzero.count(), "vec_id").select("embedding").toArrow()
-    if not chosen.num_rows:
-        return nonzero.withColumn("codes", F.lit(b"")), None
-    book = fit(unit(matrix(chosen["embedding"])))
+def index(rows: DataFrame, lengths: list[tuple[int, int, int]], sample: int = SAMPLE) -> tuple[DataFrame, dict[int, Codebook]]:
+    """Adds `codes` (two four-bit codes a byte) to every row; a codebook for each length of vectors is fitted on `sample` rows.
+
+    Lengths with no more rows than are reranked anyway need no codes.
+    """
+    books = {}
+    for d, n, _ in lengths:
+        if n > RERANK:
+            chosen = hashed_sample(rows.where(F.col("d") == d), sample, n, "vec_id", "h").select("embedding").toArrow()
+            books[d] = fit(unit(matrix(chosen["embedding"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            packed = []
-            x = matrix(batch.column(1))
-            for i in range(0, len(x), 1024):
-                codes = book.encode(unit(x[i : i + 1024]))
-                codes = np.concatenate([codes, np.zeros((len(codes), codes.shape[1] % 2), np.uint8)], axis=1)
-                packed += [row.tobytes() for row in codes[:, ::2] | codes[:, 1::2] << 4]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["vec_id", "embedding", "codes"])
+            size = batch.column(1).to_numpy()
+            packed = np.full(batch.num_rows, b"", object)
+            for d in np.unique(size).tolist():
+                book, own = books.get(d), np.flatnonzero(size == d)
+                for i in range(0, len(own) if book else 0, 1024):
+                    some = own[i : i + 1024]
+                    codes = book.encode(unit(matrix(batch.column(3).take(pa.array(some)))))
+                    codes = np.concatenate([codes, np.zeros((len(codes), codes.shape[1] % 2), np.uint8)], axis=1)
+                    packed[some] = [row.tobytes() for row in codes[:, ::2] | codes[:, 1::2] << 4]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], names=["vec_id", "d", "h", "embedding", "codes"])
 
-    return nonzero.select("vec_id", "embedding").mapInArrow(run, "vec_id long, embedding array<double>, codes binary"), book
+    kind = rows.schema["embedding"].dataType.simpleString()
+    return rows.select("vec_id", "d", "h", "embedding").mapInArrow(run, f"vec_id long, d int, h long, embedding {kind}, codes binary"), books
 
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every`, the k others of largest cosine found.
 
     score is the cosine in double precision on the original vectors; ties go to the smaller vec_id. Null
-    and zero vectors, and such with null or non-finite components, take no part; nor do vectors of
-    another than the commonest length. Rows with a query's own vec_id are never its neighbours. Fewer
-    than k candidates: all of them. Repeated vec_ids count as separate candidates. No valid vector: no
-    rows. A scan in each block of rows keeps `rerank` candidates for exact scoring, so recall can only
-    rise as there are more blocks.
+    and zero vectors, and such with null or non-finite components, take no part. Vectors are compared
+    with those of their own length. Candidates are all rows but the query's own row: rows that share its
+    id or its vector count, repeated rows each by itself, and a query that repeats is answered as often.
+    Fewer than k candidates: all of them. No valid vector: no rows. Other columns are ignored. A scan in
+    each block of rows keeps `rerank` candidates, and all that tie with the last of them, for exact
+    scoring, so recall can only rise as there are more blocks.
     """
     valid = valid_vectors(vectors).where(F.exists("embedding", lambda x: x != 0))
-    rows, book = index(valid, sample)
-    queries = valid.where(F.col("vec_id") % every == 0).select("vec_id", "embedding").dropDuplicates(["vec_id"])
-
-    def search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, packed: pa.Array) -> tuple:
-        raw = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(len(ids), -1)
-        codes = np.empty((raw.shape[1] * 2, len(ids)), np.uint8)
-        codes[::2], codes[1::2] = (raw & 15).T, (raw >> 4).T
-        by_id = np.argsort(ids, kind="stable")
-        codes, ids, x = codes[:, by_id], ids[by_id], x[by_id]
+    lengths = lengths_of(valid, every)
+    rows, books = index(valid, lengths, sample)
+
+    def search(q: np.ndarray, floors: list, ids: np.ndarray, x: np.ndarray, packed: pa.Array) -> tuple:
+        book = books.get(x.shape[1])
         norms = np.sqrt((x * x).sum(axis=1))
+        if book:
+            raw = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(len(ids), -1)
+            codes = np.empty((raw.shape[1] * 2, len(ids)), np.uint8)
+            codes[::2], codes[1::2] = (raw & 15).T, (raw >> 4).T
+            tables = book.tables(unit(q))
         out: tuple[list, list, list] = ([], [], [])
-        for query_id, vector, table in zip(query_ids.tolist(), q, book.tables(unit(q)), strict=True):
-            approximate = np.zeros(len(ids), np.float32)
-            for m in range(len(table)):
-                approximate += table[m][codes[m]]
-            approximate[ids == query_id] = -np.inf
-            if len(ids) > rerank:
-                edge = np.partition(approximate, len(ids) - rerank)[len(ids) - rerank]
-                above = np.flatnonzero(approximate > edge)
-                near = np.concatenate([above, np.flatnonzero(approximate == edge)[: rerank - len(above)]])
-            else:
-                near = np.arange(len(ids))
-            near = near[approximate[near] > -np.inf]
+        for i, vector in enumerate(q):
+            near = np.arange(len(ids))
+            if book and len(ids) > rerank:
+                approximate = np.zeros(len(ids), np.float32)
+                for m in range(book.size):
+                    approximate += tables[i, m][codes[m]]
+                near = np.flatnonzero(approximate >= np.partition(approximate, len(ids) - rerank)[len(ids) - rerank])
             exact = (x[near] * vector).sum(axis=1) / (norms[near] * np.sqrt((vector * vector).sum()))
-            top = best(exact, ids[near], k)
-            out[0].extend([query_id] * len(top))
-            out[1].extend(ids[near][top].tolist())
-            out[2].extend(exact[top].tolist())
-        return out
+            top = best(exact, ids[near], k + 1)
+            out[0].append(np.full(len(top), i))
+            out[1].append(near[top])
+            out[2].append(exact[top])
+        return tuple(map(np.concatenate, out))
 
-    return block_search(rows, queries, search, k, "double", ["codes"], valid)
+    return block_search(rows, every, lengths, search, k, "double", ["codes"])

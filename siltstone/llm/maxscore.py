@@ -5,67 +5,80 @@ query, the terms whose sign agrees with its own add to a score and the opposite
 the largest component of an agreeing term's postings bounds what the term can add. Terms are ordered
 by bound; as long as the bounds of the smallest ones together stay below the k-th best score so far,
 they are non-essential: rows that only they contain can't enter. Postings of the essential terms are
-traversed; what they found is then probed in the other terms, opposite ones included, only while its
-partial score and the bounds still to come reach the threshold. Shards are searched apart and their
-k best merged.
+traversed a range of rows at a time; what they found is probed in the other terms while its partial
+score and the bounds still to come reach the threshold, and scored whole at the end. After each range
+the threshold rises with the best so far, and fewer terms are essential. Shards are searched apart; a
+first shard's best are the threshold that the others begin with. Their k best are merged.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from siltstone.llm.vector_blocks import best, block_search, valid_vectors
+from siltstone.llm.vector_blocks import best, block_search, lengths_of, valid_vectors
 
-#: Rows of the strongest term's postings that are scored first, to set a threshold.
-SEEDS = 48
+#: Rows that are traversed between two looks at the threshold.
+RANGE = 512
 
 
 class Shard:
-    """Postings of one block of integer rows."""
+    """Postings of one block of integer rows, in order of their ids."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.columns = ids[order], np.ascontiguousarray(rows[order].T)
-        self.high, self.low = self.columns.max(axis=1), self.columns.min(axis=1)
-        self.by_impact = np.argsort(self.columns, axis=1, kind="stable")
+        self.order = np.argsort(ids, kind="stable")
+        self.ids, self.columns = ids[self.order], np.ascontiguousarray(rows[self.order].T)
+        self.high, self.low = np.maximum(self.columns.max(axis=1), 0), np.minimum(self.columns.min(axis=1), 0)
+        cuts = np.arange(0, len(ids) + RANGE, RANGE)
+        self.postings = {}
+        for d, column in enumerate(self.columns):
+            for sign in (1, -1):
+                places = np.flatnonzero(column * sign > 0)
+                self.postings[d, sign] = places, column[places], np.searchsorted(places, cuts).tolist()
+        self.traversed = self.probed = 0
 
-    def search(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Row ids and exact scores of the k best, ties to the smaller id."""
-        bounds = np.maximum(np.where(q > 0, q * self.high, q * self.low), 0)
+    def search(self, q: np.ndarray, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places (in the order given at first) and exact scores of the k best rows, ties to the smaller id; none below floor."""
+        bounds = np.where(q > 0, q * self.high, q * self.low)
         terms = np.argsort(-bounds, kind="stable")
-        terms = terms[q[terms] != 0]
-        own = self.ids == query_id
-        if not len(terms):
-            rest = np.flatnonzero(~own)[:k]
-            return self.ids[rest], np.zeros(len(rest), np.int64)
+        terms = terms[bounds[terms] > 0].tolist()
         left = np.concatenate([np.cumsum(bounds[terms][::-1])[::-1], [0]])  # left[i]: what terms from i on can add
-        strongest = self.by_impact[terms[0]]
-        seeds = strongest[-SEEDS:] if q[terms[0]] > 0 else strongest[:SEEDS]
-        seeds = seeds[~own[seeds]]
-        scored = q @ self.columns[:, seeds]
-        threshold = np.partition(scored, len(seeds) - k)[len(seeds) - k] if len(seeds) >= k else None
-        # a row outside every essential posting scores no more than the non-essential bounds
-        essential = len(terms) if threshold is None or threshold <= 0 else int(np.argmax(left < threshold))
-        partial, found = np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids), bool)
-        for i in range(essential):
-            part = self.columns[terms[i]] * q[terms[i]]
-            found |= part > 0
-            partial += part
-        if essential == len(terms):
-            found[:] = True  # a row that no agreeing term holds may still be among the best
-        active = np.flatnonzero(found & ~own)
-        partial = partial[active]
-        for i in range(essential, len(terms) + 1):
-            if threshold is not None:
-                keep = partial + left[i] >= threshold
-                if not keep.all():
+        places, scores, threshold = np.zeros(0, np.int64), np.zeros(0, np.int64), floor
+        n = len(self.ids)
+        for number, begin in enumerate(range(0, n, RANGE)):
+            size = min(RANGE, n - begin)
+            essential = len(terms)
+            found = np.zeros(size, bool)
+            if threshold is None or threshold <= 0:
+                found[:] = True  # rows that no agreeing term holds may be among the best
+            else:
+                essential = int(np.argmax(left < threshold))
+            partial = np.zeros(size, np.int64)
+            for d in terms[:essential]:
+                own, values, cuts = self.postings[d, 1 if q[d] > 0 else -1]
+                part = slice(cuts[number], cuts[number + 1])
+                at = own[part] - begin
+                partial[at] += values[part] * q[d]
+                found[at] = True
+                self.traversed += len(at)
+            active = np.flatnonzero(found)
+            partial = partial[active]
+            for i in range(essential, len(terms) + 1):
+                if threshold is not None:
+                    keep = partial + left[i] >= threshold
                     active, partial = active[keep], partial[keep]
-            if i < len(terms):
-                partial = partial + self.columns[terms[i], active] * q[terms[i]]
-        top = best(partial, self.ids[active], k)
-        return self.ids[active][top], partial[top]
+                if i < len(terms) and len(active):
+                    partial = partial + np.maximum(self.columns[terms[i], begin + active] * q[terms[i]], 0)
+                    self.probed += len(active)
+            exact = q @ self.columns[:, begin + active]  # opposite components, which only lower a score, included
+            if threshold is not None:
+                active, exact = active[exact >= threshold], exact[exact >= threshold]
+            places, scores = np.concatenate([places, begin + active]), np.concatenate([scores, exact])
+            top = best(scores, self.ids[places], k)
+            places, scores = places[top], scores[top]
+            if len(scores) == k:
+                threshold = int(scores[-1]) if threshold is None else max(threshold, int(scores[-1]))
+        return self.order[places], scores
 
 
 def top_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
@@ -73,17 +86,16 @@ def top_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: i
 
     Components become floor(scale * x), x as double; the score is their integer inner product, exact as
     long as it stays below 2**63. Ties go to the smaller vec_id. Null vectors and such with null or
-    non-finite components take no part, nor do vectors of another than the commonest length; zero
-    vectors do. Rows with a query's own vec_id are never its results. Fewer than k candidates: all.
-    Repeated vec_ids count as separate candidates. No valid vector: no rows.
+    non-finite components take no part; zero vectors do. Vectors are compared with those of their own
+    length. Candidates are all rows but the query's own row: rows that share its id or its vector count,
+    repeated rows each by itself, and a query that repeats is answered as often. Fewer than k candidates:
+    all. No valid vector: no rows. Other columns are ignored.
     """
-    whole = F.transform("embedding", lambda x: F.floor(x * scale).cast("long"))
-    rows = valid_vectors(vectors).select("vec_id", whole.alias("embedding"))
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    rows = valid_vectors(vectors)
 
-    def search(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> tuple:
-        shard = Shard(ids, x)
-        found = [shard.search(i, vector, k) for i, vector in zip(query_ids.tolist(), q, strict=True)]
-        return np.repeat(query_ids, [len(ids) for ids, _ in found]), np.concatenate([ids for ids, _ in found]), np.concatenate([s for _, s in found])
+    def search(q: np.ndarray, floors: list, ids: np.ndarray, x: np.ndarray) -> tuple:
+        shard = Shard(ids, np.floor(scale * x).astype(np.int64))
+        found = [shard.search(v, k + 1, floor) for v, floor in zip(np.floor(scale * q).astype(np.int64), floors, strict=True)]
+        return np.repeat(np.arange(len(found)), [len(r) for r, _ in found]), np.concatenate([r for r, _ in found]), np.concatenate([s for _, s in found])
 
-    return block_search(rows, queries, search, k, "long", [])
+    return block_search(rows, every, lengths_of(rows, every), search, k, "long", [], raised=True)

@@ -9,56 +9,94 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import Scratch
+
 #: Rows, and queries, that one task holds at a time at most (hashing keeps blocks near their mean).
 ROWS = 2048
 QUERIES = 1024
 
 
 def valid_vectors(df: DataFrame) -> DataFrame:
-    """(vec_id, embedding as array<double>) of the vectors that take part.
+    """(vec_id, d, h, embedding) of the vectors that take part: d is the length and h a hash of the vector.
 
-    Left out: null ids, null or empty vectors, null or non-finite components, and vectors whose length
-    isn't the commonest one (the longer, in a tie), which no other could be compared with.
+    Left out: null ids, null or empty vectors, and such with null or non-finite components. Floats stay
+    floats, as they are what is shuffled; tasks compute in double precision.
     """
-    whole = F.col("embedding").cast("array<double>")
+    kind = df.schema["embedding"].dataType.simpleString()
+    vector = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("embedding")).where("vec_id is not null and embedding is not null and size(embedding) > 0").where(finite)
-    commonest = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return rows.where(F.size("embedding") == (commonest["d"] if commonest else 0))
+    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("embedding")).where("vec_id is not null and embedding is not null and size(embedding) > 0").where(finite)
+    return rows.select("vec_id", F.size("embedding").alias("d"), F.xxhash64("embedding").alias("h"), "embedding")
+
+
+def lengths_of(rows: DataFrame, every: int) -> list[tuple[int, int, int]]:
+    """(length, rows, queries) of each length of vectors; only vectors of one length are compared."""
+    asked = F.sum((F.col("vec_id") % every == 0).cast("long"))
+    return sorted(tuple(r) for r in rows.groupBy("d").agg(F.count(F.lit(1)), asked).collect())
 
 
 def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of an array column of one length, in double precision."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def block_search(rows: DataFrame, queries: DataFrame, search: Callable, k: int, score: str, extra: list[str], counted: DataFrame | None = None) -> DataFrame:
-    """Runs `search` in each cell of a grid of row blocks and query blocks, and merges its results.
+def block_search(rows: DataFrame, every: int, lengths: list[tuple[int, int, int]], search: Callable, k: int, score: str, extra: list[str], raised: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, score): runs `search` in each cell of a grid of row blocks and query blocks, and merges.
 
-    search(query ids, query vectors, row ids, row columns) returns (query_id, vec_id, score) arrays: at
-    most k for a query. Blocks come from a hash of the id, so no vector, however common, makes a block
-    larger; a cell is one group of ROWS + QUERIES rows about. The merge keeps k of k * blocks rows of a
-    query, by partial top-k in each task first. counted: a cheaper plan with as many rows.
+    rows: vec_id, d, h, embedding and `extra`; queries are those whose vec_id is divisible by `every`.
+    search(queries, floors, ids, vectors, *extra) returns (place of the query, place of the row, score)
+    arrays, the best `k + 1` of a query by score and then by id; floors are scores that a row must reach.
+    Every row is a candidate, the query's own too: it is among the best k + 1 or tied with what is, and
+    leaves there. So rows that share an id or a vector are candidates of each other. Blocks come from a
+    hash of the row and its place, so nothing common makes a block larger; a cell is one group of ROWS +
+    QUERIES rows about. The merge keeps k + 1 of (k + 1) * blocks rows of a query, by partial top-k in each
+    task first. raised: the first block is searched ahead, and its k + 1 best set the other blocks' floors.
     """
-    n, m = (rows if counted is None else counted).count(), queries.count()
-    nr, nq = max(1, -(-n // ROWS)), max(1, -(-m // QUERIES))
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(nq)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
-    right = rows.withColumn("rb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(nr)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    spark = rows.sparkSession
+    sizes = spark.createDataFrame([(d, max(1, -(-n // ROWS)), max(1, -(-m // QUERIES))) for d, n, m in lengths], "d int, nr int, nq int")
+    scratch = Scratch(spark, "search")
+    block = F.pmod(F.xxhash64("vec_id", "h", F.monotonically_increasing_id()), F.col("nr")).cast("int")
+    placed = scratch.write(rows.join(sizes, "d").withColumn("rb", block))  # written, so that a row is in one block whatever reads it
+    kind, null = (pa.float64(), "double") if score == "double" else (pa.int64(), "long")
+    asked = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id", "d", "h", "nr", "nq").agg(F.any_value("embedding").alias("embedding"), F.count(F.lit(1)).alias("copies"))
+    asked = asked.withColumn("qb", F.pmod(F.xxhash64("vec_id", "h"), F.col("nq")).cast("int"))
+    right = placed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+    right = right.select("d", "rb", "qb", "vec_id", "h", "embedding", *extra)
+    names = ["query_id", "query_h", "vec_id", "h", "score"]
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        kind = pa.float64() if score == "double" else pa.int64()
         if not a.num_rows or not b.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], kind)], names=names)
-        found = search(a["vec_id"].to_numpy(), matrix(a["embedding"]), b["vec_id"].to_numpy(), matrix(b["embedding"]), *[b[c].combine_chunks() for c in extra])
-        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], kind)], names=names)
-
-    cells = left.select("rb", "qb", "vec_id", "embedding").groupBy("rb", "qb").cogroup(right.select("rb", "qb", "vec_id", "embedding", *extra).groupBy("rb", "qb"))
-    found = cells.applyInArrow(run, f"query_id long, vec_id long, score {score}")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), kind)], names=names)
+        ids, hashes = b["vec_id"].to_numpy(), b["h"].to_numpy()
+        q, r, found = search(matrix(a["embedding"]), a["floor"].to_pylist(), ids, matrix(b["embedding"]), *[b[c].combine_chunks() for c in extra])
+        return pa.table([pa.array(x) for x in (a["vec_id"].to_numpy()[q], a["h"].to_numpy()[q], ids[r], hashes[r])] + [pa.array(found, kind)], names=names)
+
+    def cells(some_rows: DataFrame, queries: DataFrame, blocks) -> DataFrame:
+        left = queries.withColumn("rb", F.explode(blocks))
+        left = left.select(*(F.col(c).alias(c) for c in ("d", "rb", "qb", "vec_id", "h", "embedding", "floor")))  # both sides come from the same rows
+        return left.groupBy("d", "rb", "qb").cogroup(some_rows.groupBy("d", "rb", "qb")).applyInArrow(run, f"query_id long, query_h long, vec_id long, h long, score {null}")
+
+    order = Window.partitionBy("query_id", "query_h").orderBy(F.desc("score"), F.asc("vec_id"), F.asc("h"))
+    no_floor = asked.withColumn("floor", F.lit(None).cast(null))
+    if raised and any(n > ROWS for _, n, _ in lengths):
+        ahead = scratch.write(cells(right.where("rb = 0"), no_floor, F.array(F.lit(0))))
+        floors = ahead.withColumn("at", F.row_number().over(order)).where(F.col("at") == k + 1).select(F.col("query_id").alias("vec_id"), F.col("query_h").alias("h"), F.col("score").alias("floor"))
+        later = asked.join(floors, ["vec_id", "h"], "left").where("nr > 1")
+        found = ahead.unionByName(cells(right.where("rb > 0"), later, F.sequence(F.lit(1), F.col("nr") - 1)))
+    else:
+        found = cells(right, no_floor, F.sequence(F.lit(0), F.col("nr") - 1))
+    best = found.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1)
+    own = (F.col("vec_id") == F.col("query_id")) & (F.col("h") == F.col("query_h"))
+    # the query's own row: the first of its id and vector, or one beyond the last place
+    best = best.withColumn("own_at", F.min(F.when(own, F.col("at"))).over(Window.partitionBy("query_id", "query_h")))
+    best = best.where(F.col("at") != F.coalesce("own_at", F.lit(k + 1)))
+    rank = (F.col("at") - F.when(F.col("own_at") < F.col("at"), 1).otherwise(0)).cast("int")
+    copies = asked.select(F.col("vec_id").alias("query_id"), F.col("h").alias("query_h"), "copies")
+    each = best.withColumn("rank", rank).join(copies, ["query_id", "query_h"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return each.select("query_id", "rank", "vec_id", "score")
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

@@ -63,25 +63,93 @@ def vectors(spark):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>"), x
 
 
+def plain_search(rows, k, every, score):
+    """(query_id, rank, vec_id, score) with repeats, from all pairs of rows; score gives None for vectors that take no part."""
+    out = Counter()
+    for i, (q, x) in enumerate(rows):
+        if q is None or q % every or score(x, x) is None:
+            continue
+        found = [(-score(x, y), v) for j, (v, y) in enumerate(rows) if j != i and v is not None and score(x, y) is not None]
+        for rank, (s, v) in enumerate(sorted(found)[:k]):
+            out[q, rank + 1, v, -s] += 1
+    return out
+
+
+def usable(x):
+    return x is not None and len(x) > 0 and all(v is not None and np.isfinite(v) for v in x)
+
+
+def cosine(x, y):
+    if not (usable(x) and usable(y) and len(x) == len(y) and any(x) and any(y)):
+        return None
+    a, b = np.array(x, float), np.array(y, float)
+    return round(float((a * b).sum() / (np.sqrt((b * b).sum()) * np.sqrt((a * a).sum()))), 9)
+
+
+def integer_product(x, y):
+    if not (usable(x) and usable(y) and len(x) == len(y)):
+        return None
+    return int(np.floor(256 * np.array(x, np.float32).astype(float)).astype(np.int64) @ np.floor(256 * np.array(y, np.float32).astype(float)).astype(np.int64))
+
+
+def found_by(df):
+    return Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9) if isinstance(r["score"], float) else r["score"]) for r in df.collect())
+
+
 def test_ann_against_brute_force(spark):
     df, x = vectors(spark)
-    got = {}
-    for r in nearest(df).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    u = x.astype(float)
-    norms = np.sqrt((u * u).sum(axis=1))
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    expected, got = plain_search(rows, 5, 50, cosine), found_by(nearest(df))
+    assert {(q, r) for q, r, _, _ in got} == {(q, r) for q, r, _, _ in expected}
+    assert sum((got & expected).values()) >= 0.9 * sum(expected.values())
+    scores = {}
+    for q, _, v, s in got:
+        scores[q, v] = s
+    assert all(s == pytest.approx(cosine(dict(rows)[q], dict(rows)[v]), abs=1e-9) for (q, v), s in scores.items())
+
+
+@pytest.mark.parametrize("size", [2048, 7])
+def test_searches_of_repeated_ids_lengths_and_ties(spark, monkeypatch, size):
+    """Ids with several vectors, repeated rows, minority lengths, mass ties, and columns whose names clash."""
+    from siltstone.llm import vector_blocks
+
+    monkeypatch.setattr(vector_blocks, "ROWS", size)
+    monkeypatch.setattr(vector_blocks, "QUERIES", size)
+    random = np.random.default_rng(8)
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [1.0, 0.0]), (50, [1.0, 0.0, 0.0]), (3, [0.5, 0.5, 0.0]), (4, [-1.0, 0.0, 0.0]), (100, [0.0, 0.0]), (150, [2.0, 2.0, 2.0, 2.0])]
+    rows += [(i, [1.0, 0.0]) for i in range(20)] + [(i, [0.25, 0.75]) for i in range(0, 60, 2)]
+    rows += [(int(random.integers(0, 40)) * 10, random.choice([-1.0, 0.0, 0.5], 2).tolist()) for _ in range(20)]
+    rows += [(None, [1.0, 1.0]), (0, None), (50, [None, 1.0]), (50, [])]
+    df = spark.createDataFrame([(*r, "x", 1, 2.0) for r in rows], "vec_id long, embedding array<float>, codes string, d int, score double")
+    assert found_by(top_inner_products(df)) == plain_search(rows, 5, 50, integer_product)
+    got = found_by(nearest(df))
+    assert got == plain_search(rows, 5, 50, cosine) and (50, 1) in {(q, r) for q, r, _, _ in got}
+    wide = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found_by(nearest(wide)) == got
+
+
+def recall(vectors, spark):
+    x = np.array([v for _, v in vectors], np.float64)
+    u, ids = x / np.sqrt((x * x).sum(axis=1, keepdims=True)), np.array([i for i, _ in vectors])
+    found = {}
+    for r in nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<float>")).collect():
+        found.setdefault(r["query_id"], []).append(r["score"])
     hits = total = 0
-    for q in range(0, 300, 50):
-        with np.errstate(all="ignore"):
-            s = (u @ u[q]) / (norms * norms[q])
-        valid = [i for i in range(300) if i not in (q, 9)]
-        expected = sorted(valid, key=lambda i: (-s[i], i))[:5]
-        found = sorted(got[q])
-        assert [r for r, _, _ in found] == [1, 2, 3, 4, 5]
-        hits, total = hits + len({i for _, i, _ in found} & set(expected)), total + 5
-        assert all(sc == pytest.approx(s[i], abs=1e-12) for _, i, sc in found)
-    assert hits / total >= 0.9
-    assert set(got) == set(range(0, 300, 50))
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = np.sort(np.delete(u @ u[q], q))[::-1][:5]
+        hits, total = hits + sum(a >= s[-1] - 1e-6 for a in found[int(ids[q])]), total + 5
+    return hits / total
+
+
+def test_recall_in_full_blocks(spark):
+    """2,000 vectors are one block, of which 64 are reranked; then with 500 near copies of each of three vectors, whose codes tie."""
+    table = pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(int(i), [float(v) for v in x]) for i, x in zip(table.vec_id, table.embedding, strict=True)]
+    assert recall(rows, spark) >= 0.95
+    random = np.random.default_rng(1)
+    x = np.array([v for _, v in rows])
+    near = np.concatenate([x[i] + random.normal(0, 1e-3, (500, x.shape[1])) for i in (0, 50, 100)])
+    assert recall([*rows, *((10_000 + i, v.tolist()) for i, v in enumerate(near))], spark) >= 0.9
 
 
 def test_anisotropic_codes_lower_their_loss():
@@ -110,14 +178,35 @@ def test_maxscore_is_exact(spark):
 
 
 @pytest.mark.parametrize("seed", range(20))
-def test_shard_with_ties_and_few_rows(seed):
+def test_shard_with_ties_and_few_rows(seed, monkeypatch):
+    from siltstone.llm import maxscore
+
+    monkeypatch.setattr(maxscore, "RANGE", int(np.random.default_rng(seed).choice([3, 512])))
     random = np.random.default_rng(seed)
     n = int(random.integers(1, 40))
     rows = random.integers(-2, 3, size=(n, 4))
     q = random.integers(-2, 3, size=4)
-    ids, scores = Shard(np.arange(n)[::-1] * 3, rows).search(6, q, 5)
-    s = dict(zip((np.arange(n)[::-1] * 3).tolist(), (rows @ q).tolist(), strict=True))
-    assert list(zip(ids.tolist(), scores.tolist(), strict=True)) == sorted(((i, v) for i, v in s.items() if i != 6), key=lambda p: (-p[1], p[0]))[:5]
+    ids = np.arange(n)[::-1] * 3
+    expected = sorted(zip(ids.tolist(), (rows @ q).tolist(), strict=True), key=lambda p: (-p[1], p[0]))[:5]
+    places, scores = Shard(ids, rows).search(q, 5)
+    assert list(zip(ids[places].tolist(), scores.tolist(), strict=True)) == expected
+    floor = expected[-1][1]
+    places, scores = Shard(ids, rows).search(q, 5, floor)
+    assert list(zip(ids[places].tolist(), scores.tolist(), strict=True)) == expected
+
+
+def test_the_threshold_rises_and_spares_postings():
+    random = np.random.default_rng(2)
+    rows = np.floor(256 * random.normal(size=(4096, 32)) / 32**0.5).astype(np.int64)
+    shard = Shard(np.arange(4096), rows)
+    every = 20 * 4096 * 32 / 2  # postings of the agreeing terms
+    for q in rows[:20]:
+        places, scores = shard.search(q, 6)
+        assert scores.tolist() == sorted((rows @ q).tolist(), reverse=True)[:6] and places[0] == np.argmax(rows @ q)
+    without, shard.traversed = shard.traversed, 0
+    for q in rows[:20]:
+        shard.search(q, 6, int(np.sort(rows @ q)[-6]))
+    assert shard.traversed < 0.6 * every < without < 0.7 * every
 
 
 def test_searches_of_nothing(spark):
