@@ -1,8 +1,8 @@
 """External induced suffix sorting with common prefixes.
 
 The text lives in a file; symbols are bytes with 0 as the separator and the end. Left-most S-type
-suffixes (those that start a rise after a fall) are sorted first, by the names of the substrings
-between them and by doubling over the reduced string of names. Then two sweeps induce all others: the
+suffixes (those that start a rise after a fall) are sorted first, in files: dealt by eight symbols at a
+time, again and again, until a part fits in memory. Then two sweeps induce all others: the
 first takes suffixes in ascending order from a priority queue and pushes each one's L-type
 predecessor, the second in descending order the S-type predecessors. The queue carries tuples of
 symbol, suffix and common prefix with the suffix before; it is monotone, so what shares a symbol
@@ -11,7 +11,9 @@ an induced suffix is one more than the least common prefix that was scanned sinc
 its symbol.
 
 Prefixes count up to a cap, and suffixes that agree in as many symbols may stand in either order:
-repeats of that length need no more.
+repeats of that length need no more. It is the cap that lets the stars be dealt by their symbols; without
+one their order would take the recursion over a reduced string. Text, stars and tuples are in files, and
+what is in memory is bounded by BUDGET and BATCH, however long the text.
 """
 
 from __future__ import annotations
@@ -146,9 +148,9 @@ class Sweep:
             self.queue.push(s, induced[a:b], common[a:b])
 
 
-def star_suffixes(text: np.ndarray, n: int, chunk: int = BUDGET) -> np.ndarray:
-    """Starts of the left-most S-type suffixes, ascending; the last symbol is one."""
-    found, rises, end = [], True, n
+def star_suffixes(text: np.ndarray, n: int, chunk: int = BATCH) -> Iterator[np.ndarray]:
+    """Starts of the left-most S-type suffixes, a stretch of the text at a time, the last stretch first; the last symbol is one."""
+    rises, end = True, n
     while end:  # from the right, as a symbol's type depends on the next
         begin = max(0, end - chunk)
         part = np.asarray(text[begin : end + 1])
@@ -162,95 +164,90 @@ def star_suffixes(text: np.ndarray, n: int, chunk: int = BUDGET) -> np.ndarray:
         falls = np.empty(len(kind), bool)
         falls[1:] = ~kind[:-1]
         falls[0] = begin > 0 and (before > part[0] or (before == part[0] and not kind[0]))
-        found.append(np.flatnonzero(kind & falls) + begin)
+        yield np.flatnonzero(kind & falls) + begin
         rises, end = bool(kind[0]), begin
-    return np.concatenate(found[::-1]) if found else np.zeros(0, np.int64)
-
-
-def _sorted_order(keys: np.ndarray, budget: int) -> np.ndarray:
-    """Order of keys, equal ones in any order; beyond the budget by distribution into ranges that each fit."""
-    if len(keys) <= budget:
-        return np.argsort(keys)
-    sample = np.sort(keys[:: max(1, len(keys) // 4096)])
-    cuts = np.unique(sample[:: max(1, len(sample) * budget // (2 * len(keys)))])
-    bucket = np.searchsorted(cuts, keys, side="right").astype(np.int32)
-    out = []
-    for b in range(len(cuts) + 1):
-        inside = np.flatnonzero(bucket == b)
-        out.append(inside[np.argsort(keys[inside])] if len(inside) else inside)
-    return np.concatenate(out)
-
-
-def _refine(rank: np.ndarray, tied: np.ndarray, second: np.ndarray, budget: int) -> np.ndarray:
-    """Splits tied groups (rank: place of a group's first) by a second key; returns those still tied, in order."""
-    own = rank[tied]
-    if len(tied) == len(rank):  # the first split, of one group
-        order = _sorted_order(second, budget)
-    elif second.dtype == rank.dtype:  # ranks, from -1 on
-        order = _sorted_order((own.astype(np.int64) << 32) | (second + 1), budget)
-    else:
-        order = np.lexsort((second, own))
-    tied, second, own = tied[order], second[order], own[order]
-    new_own = np.empty(len(tied), bool)
-    new_own[:1] = True
-    np.not_equal(own[1:], own[:-1], out=new_own[1:])
-    new = new_own.copy()
-    new[1:] |= second[1:] != second[:-1]
-    first = np.flatnonzero(new)  # of each group after
-    size = np.diff(np.append(first, len(tied)))
-    before = np.maximum.accumulate(np.where(new_own[first], first, 0))
-    rank[tied] = np.repeat(own[first] + (first - before).astype(rank.dtype), size)
-    return tied[np.repeat(size > 1, size)]
-
-
-def sort_stars(text: np.ndarray, words: np.ndarray, stars: np.ndarray, cap: int, budget: int = BUDGET) -> np.ndarray:
-    """The star suffixes in order of their first `cap` symbols at least."""
-    m = len(stars)
-    length = np.append(np.diff(stars) + 1, 1)
-
-    def chunk(which: np.ndarray, at: int) -> np.ndarray:
-        """Eight symbols of a substring; past its end the largest symbol, as its last one is S-type and what goes on there isn't."""
-        rest = np.clip(length[which] - at, 0, 8)
-        own = words[np.minimum(stars[which] + at, len(words) - 1)].astype(np.uint64)
-        ones = np.uint64((1 << 64) - 1)
-        return np.where(rest >= 8, own, np.where(rest <= 0, ones, own | (ones >> (8 * np.minimum(rest, 7)).astype(np.uint64))))
-
-    kind = np.int32 if m < 2**31 - 1 else np.int64
-    rank, tied = np.zeros(m, kind), np.arange(m)
-    tied = _refine(rank, tied, chunk(tied, 0), budget)
-    for at in range(8, cap + 8, 8):
-        if not len(tied):
-            break
-        groups = np.unique(rank[tied[length[tied] > at]])
-        among = np.isin(rank[tied], groups)
-        if not among.any():
-            break
-        part = tied[among]
-        _refine(rank, part, chunk(part, at), budget)
-    places = np.append(rank, kind(-1))
-    order = _sorted_order(rank, budget)
-    same = rank[order]
-    alone = np.append(True, same[1:] != same[:-1]) & np.append(same[1:] != same[:-1], True)
-    tied, step = order[~alone], 1
-    ends = np.append(stars, stars[-1] + cap)
-    while len(tied):  # names of the reduced string, doubled
-        tied = tied[(tied + step < m) & (ends[np.minimum(tied + step, m)] - stars[tied] < cap)]
-        if not len(tied):
+
+
+def _in_order(words: np.ndarray, starts: np.ndarray, at: int, cap: int) -> np.ndarray:
+    """Suffixes that agree in their first `at` symbols, by the next ones up to `cap`, eight at a time; only ties go on."""
+    starts = starts[np.argsort(words[starts + at])]
+    tied = np.arange(len(starts))
+    group = np.zeros(len(starts), np.int64)
+    while len(tied):
+        key = words[starts[tied] + at]
+        order = np.lexsort((key, group))
+        starts[tied], key = starts[tied[order]], key[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1]))
+        more = ~new | np.append(~new[1:], False)
+        tied, group = tied[more], np.cumsum(new)[more]
+        at += 8
+        if at >= cap:
             break
-        places[:m] = rank
-        tied = _refine(rank, tied, places[np.minimum(tied + step, m)], budget)
-        step *= 2
-    return stars[_sorted_order(rank, budget)]
+    return starts
 
 
-def common_prefixes(words: np.ndarray, suffixes: np.ndarray, cap: int) -> np.ndarray:
-    """Prefix that each suffix shares with the one before, up to cap; 0 for the first."""
+class StarSort:
+    """Sorts star suffixes by their first `cap` symbols in files: by distribution until a part fits the budget.
+
+    A part is dealt by the next eight symbols into ranges between sampled ones and into the sampled ones
+    themselves; what equals a sampled one goes on with the eight symbols after, so parts always shrink.
+    """
+
+    def __init__(self, words: np.ndarray, folder: str, kind: np.dtype, cap: int, budget: int) -> None:
+        self.words, self.folder, self.kind, self.cap, self.budget = words, folder, np.dtype(kind), cap, budget
+        self.parts, self.most = 0, 0  # files so far; suffixes in memory at once so far
+
+    def new_file(self) -> str:
+        self.parts += 1
+        return os.path.join(self.folder, f"stars-{self.parts}")
+
+    def _stretches(self, path: str, count: int) -> Iterator[np.ndarray]:
+        for begin in range(0, count, BATCH):
+            yield np.fromfile(path, self.kind, min(BATCH, count - begin), offset=begin * self.kind.itemsize)
+
+    def sort(self, path: str, count: int, at: int = 0) -> Iterator[np.ndarray]:
+        if at >= self.cap:
+            yield from self._stretches(path, count)
+        elif count <= self.budget:
+            self.most = max(self.most, count)
+            yield _in_order(self.words, np.fromfile(path, self.kind), at, self.cap)
+        else:
+            yield from self._distribute(path, count, at)
+        if os.path.exists(path):
+            os.remove(path)
+
+    def _distribute(self, path: str, count: int, at: int) -> Iterator[np.ndarray]:
+        some = np.memmap(path, self.kind, "r")[:: max(1, count // 4096)]
+        sample = np.sort(self.words[some + at])
+        ranges = min(128, 2 * count // self.budget + 1)
+        cuts = np.unique(sample[:: max(1, len(sample) // ranges)])
+        paths, sizes = [self.new_file() for _ in range(2 * len(cuts) + 1)], [0] * (2 * len(cuts) + 1)
+        for starts in self._stretches(path, count):
+            key = self.words[starts + at]
+            below = np.searchsorted(cuts, key)
+            part = 2 * below + (cuts[np.minimum(below, len(cuts) - 1)] == key)
+            order = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[order], np.arange(len(paths) + 1)).tolist()
+            for p, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                if a < b:
+                    with open(paths[p], "ab") as file:
+                        starts[order[a:b]].tofile(file)
+                    sizes[p] += b - a
+        os.remove(path)
+        for p, size in enumerate(sizes):
+            if size:
+                yield from self.sort(paths[p], size, at + 8 * (p % 2))
+
+
+def common_prefixes(words: np.ndarray, suffixes: np.ndarray, before: int, cap: int) -> np.ndarray:
+    """Prefix that each suffix shares with the one before, up to cap; before: the one ahead of the first, or -1 for a prefix of 0."""
     out = np.zeros(len(suffixes), np.uint8)
     words = words.view("<u8")  # the first symbol lowest
     last = len(words) - 1
-    for begin in range(1, len(suffixes), _NEAR):  # few enough that what they read stays near
+    ahead = np.append(before, suffixes[:-1])
+    for begin in range(before < 0, len(suffixes), _NEAR):  # few enough that what they read stays near
         active = np.arange(begin, min(begin + _NEAR, len(suffixes)))
-        a, b = suffixes[active], suffixes[active - 1]
+        a, b = suffixes[active], ahead[active]
         for at in range(0, cap, 8):
             differ = words[np.minimum(a + at, last)] ^ words[np.minimum(b + at, last)]
             over = differ != 0
@@ -283,11 +280,24 @@ def sorted_suffixes(path: str, n: int, cap: int, folder: str, budget: int = BUDG
     text = np.memmap(path, np.uint8, "r")
     words = np.ndarray((len(text) - 7,), ">u8", text, strides=(1,))
     kind = np.int32 if n < 2**31 - 1 else np.int64
-    stars = sort_stars(text, words, star_suffixes(text, n), cap, budget)
-    prefixes = common_prefixes(words, stars, cap)
-    first_symbols = np.asarray(text[stars])
-    edges = np.searchsorted(first_symbols, np.arange(257))
-    stars = stars.astype(kind)
+    sort = StarSort(words, folder, kind, cap, budget)
+    unsorted, count = sort.new_file(), 0
+    with open(unsorted, "wb") as file:
+        for part in star_suffixes(text, n):
+            part.astype(kind).tofile(file)
+            count += len(part)
+    star_file, prefix_file = os.path.join(folder, "stars"), os.path.join(folder, "star-prefixes")
+    before, edges = -1, np.zeros(257, np.int64)  # edges: how many stars begin with a smaller symbol
+    with open(star_file, "wb") as starts, open(prefix_file, "wb") as shared:
+        for part in sort.sort(unsorted, count):
+            for begin in range(0, len(part), BATCH):
+                some = part[begin : begin + BATCH]
+                common_prefixes(words, some, before, cap).tofile(shared)
+                some.tofile(starts)
+                edges[1:] += np.bincount(text[some], minlength=256)
+                before = int(some[-1])
+    edges = np.cumsum(edges)
+    stars, prefixes = np.memmap(star_file, kind, "r"), np.memmap(prefix_file, np.uint8, "r")
     queue, kept = TupleQueue(folder, "l", kind, budget), TupleQueue(folder, "k", kind, budget)
     sweep = Sweep(text, queue, cap, down=False)
     for symbol in range(256):
@@ -298,10 +308,10 @@ def sorted_suffixes(path: str, n: int, cap: int, folder: str, budget: int = BUDG
             last = batch[0][-1]
         for begin in range(edges[symbol], edges[symbol + 1], BATCH):
             part = slice(begin, min(begin + BATCH, edges[symbol + 1]))
-            own = prefixes[part].copy()
+            own = np.array(prefixes[part])
             if begin == edges[symbol]:
                 own[0] = 0 if last is None else min(_run(text, int(last), cap), _run(text, int(stars[begin]), cap))
-            sweep.scan(symbol, stars[part], own, same=False)
+            sweep.scan(symbol, np.array(stars[part]), own, same=False)
     queue = TupleQueue(folder, "s", kind, budget)
     sweep = Sweep(text, queue, cap, down=True)
     for symbol in range(255, -1, -1):

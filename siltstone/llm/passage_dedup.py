@@ -8,7 +8,9 @@ its copy share the least hash among their `k`-byte substrings, the anchor. So
    with their number, in each task before the shuffle and again after it, so that a passage that a
    third of all documents hold is one piece;
 3. pieces are dealt to shards by their anchor, so equal strings meet; pieces under a very frequent
-   anchor are first cut by the place of their strings and dealt by the bytes that those have in common;
+   anchor are first cut by the place of their strings and dealt by the bytes that those have in common.
+   Where pieces with such bytes in common still are too many for a shard, as at the end of a passage that
+   very many texts hold, each of their strings is dealt by all its bytes, and equal ones are counted;
 4. each shard is sorted by external induced sorting, in files: neighbours in suffix order whose common
    prefix reaches `width` are repeats, and a piece that stands for several is one by itself;
 5. the repeats' places go back to the documents, where they are united, cut out and hashed.
@@ -37,6 +39,8 @@ from siltstone.llm.induced_sort import PAD, sorted_suffixes
 SHARD_BYTES = 12 << 20
 #: Occurrences of an anchor from which its pieces are cut finer: fewer fit a shard even if all differ.
 FREQUENT = 1 << 15
+#: Bytes of pieces under one route from which it is no shard's any more: a passage's last strings run on into each text that holds it.
+HOT_BYTES = 4 << 20
 #: Starts of one finer piece.
 FINE = 25
 #: Starts whose anchors one step finds.
@@ -183,69 +187,98 @@ def _pieces(found: DataFrame, width: int, k: int) -> DataFrame:
 
 
 class _ShardFile:
-    """A shard's distinct pieces in a file of the task's own, and their sort."""
+    """A shard's distinct pieces in files of the task's own, and their sort; what is in memory doesn't grow with the shard."""
+
+    KIND = np.dtype([("p1", "<i8"), ("p2", "<i8"), ("length", "<i8"), ("number", "<i8")])
+    #: Pieces that are handled at once.
+    SOME = 1 << 15
 
     def __init__(self, width: int) -> None:
         self.width = width
         self.folder = tempfile.mkdtemp(prefix="suffixes-")
-        self.path = os.path.join(self.folder, "text")
-        self.file = open(self.path, "wb")
-        self.keys: list[tuple[int, int]] = []
-        self.lengths: list[int] = []
-        self.numbers: list[int] = []
+        self.text, self.records = (open(os.path.join(self.folder, name), "wb") for name in ("text", "records"))
+        self.held: list[tuple[int, int, int, int]] = []
+        self.key, self.length, self.number = None, 0, 0
 
     def add(self, key: tuple[int, int], piece: bytes | None, n: int) -> None:
-        if self.keys and self.keys[-1] == key:
-            self.numbers[-1] += n
-        else:
-            self.keys.append(key)
-            self.numbers.append(n)
-            self.lengths.append(0)
-        if piece is not None and not self.lengths[-1]:
-            self.lengths[-1] = len(piece)
-            self.file.write((np.frombuffer(piece, np.uint8) + 1).tobytes() + b"\0")
+        """Rows of a key come one after another; one of them at least has the piece."""
+        if key != self.key:
+            self._finish()
+            self.key, self.length, self.number = key, 0, 0
+        self.number += n
+        if piece is not None and not self.length:
+            self.length = len(piece)
+            self.text.write((np.frombuffer(piece, np.uint8) + 1).tobytes() + b"\0")
+
+    def _finish(self) -> None:
+        if self.key is not None:
+            self.held.append((*self.key, self.length, self.number))
+            if len(self.held) >= self.SOME:
+                self._flush()
+
+    def _flush(self) -> None:
+        np.array(self.held, self.KIND).tofile(self.records)
+        self.held = []
+
+    def _stretches(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Records and their begins in the text, some at a time."""
+        count, at = os.path.getsize(self.records.name) // self.KIND.itemsize, 0
+        for i in range(0, count, self.SOME):
+            part = np.fromfile(self.records.name, self.KIND, min(self.SOME, count - i), offset=i * self.KIND.itemsize)
+            ends = at + np.cumsum(part["length"] + 1)
+            yield part, ends - part["length"] - 1
+            at = int(ends[-1])
 
     def repeats(self) -> Iterator[tuple[tuple[int, int], bytes]]:
         """Each piece that has repeats, with their (first start, number) as pairs of 32-bit integers."""
-        self.file.write(bytes([PAD]) * (self.width + 16))
-        self.file.close()
-        lengths = np.array(self.lengths, np.int64)
-        begins = np.cumsum(lengths + 1) - lengths - 1
-        n = int(lengths.sum() + len(lengths))
-        weight = np.memmap(os.path.join(self.folder, "weight"), np.uint8, "w+", shape=(n,))
-        for b, m, number in zip(begins.tolist(), lengths.tolist(), self.numbers, strict=True):
-            weight[b : b + m - self.width + 1] = min(number, 2)
-        twice = np.memmap(os.path.join(self.folder, "twice"), bool, "w+", shape=(n,))
-        held: list[np.ndarray] = []  # of a run of equal strings that may go on
-        for suffixes, prefixes in sorted_suffixes(self.path, n, self.width, self.folder):
-            run = np.flatnonzero(prefixes < self.width)
-            if len(run) == 0:
-                held.append(suffixes)
-                continue
-            held.append(suffixes[: run[0]])
-            self._mark(np.concatenate(held), np.zeros(1, np.int64), weight, twice)
-            if run[-1] > run[0]:
-                self._mark(suffixes[run[0] : run[-1]], run[:-1] - run[0], weight, twice)
-            held = [suffixes[run[-1] :]]
-        if held:
-            self._mark(np.concatenate(held), np.zeros(1, np.int64), weight, twice)
-        for key, b, m in zip(self.keys, begins.tolist(), lengths.tolist(), strict=True):
-            flags = np.diff(np.concatenate([[0], np.asarray(twice[b : b + m - self.width + 1]).view(np.int8), [0]]))
-            first = np.flatnonzero(flags == 1)
-            if len(first):
-                yield key, np.stack([first, np.flatnonzero(flags == -1) - first], axis=1).astype("<i4").tobytes()
-
-    @staticmethod
-    def _mark(suffixes: np.ndarray, starts: np.ndarray, weight: np.ndarray, twice: np.ndarray) -> None:
-        if not len(suffixes):
+        self._finish()
+        self._flush()
+        n = self.text.tell()
+        self.text.write(bytes([PAD]) * (self.width + 16))
+        self.text.close()
+        self.records.close()
+        if not n:
             return
-        own = weight[suffixes].astype(np.int64)
-        total = np.add.reduceat(own, starts)
-        number = np.diff(np.append(starts, len(suffixes)))
-        twice[suffixes[(np.repeat(total, number) >= 2) & (own > 0)]] = True
+        weights = os.path.join(self.folder, "weight")
+        with open(weights, "wb") as file:  # of each start: how many there are, two at most; 0 where no string of the width starts
+            for part, _ in self._stretches():
+                starts = part["length"] - self.width + 1
+                counts = np.stack([starts, part["length"] + 1 - starts], axis=1).ravel()
+                np.repeat(np.stack([np.minimum(part["number"], 2), np.zeros(len(part), np.int64)], axis=1).ravel(), counts).astype(np.uint8).tofile(file)
+        twice = np.memmap(os.path.join(self.folder, "twice"), bool, "w+", shape=(n,))
+        self._mark(np.memmap(weights, np.uint8, "r"), twice, n)
+        for part, begins in self._stretches():
+            low, high = int(begins[0]), int(begins[-1] + part["length"][-1] + 1)
+            flags = np.diff(np.concatenate([[0], np.asarray(twice[low:high]).view(np.int8), [0]]))
+            first, end = np.flatnonzero(flags == 1), np.flatnonzero(flags == -1)
+            piece = np.searchsorted(begins, first + low, side="right") - 1
+            pairs = np.stack([first + low - begins[piece], end - first], axis=1).astype("<i4")
+            edges = np.append(np.flatnonzero(np.append(True, piece[1:] != piece[:-1])), len(piece)) if len(piece) else np.zeros(1, np.int64)
+            for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+                record = part[piece[a]]
+                yield (int(record["p1"]), int(record["p2"])), pairs[a:b].tobytes()
+
+    def _mark(self, weight: np.ndarray, twice: np.ndarray, n: int) -> None:
+        """Runs of strings with a common prefix of the width that stand for two or more; a run may go on from stretch to stretch."""
+        total, alone = 0, None  # of the run so far: its weight, and its only start while that is one
+        for suffixes, prefixes in sorted_suffixes(self.text.name, n, self.width, self.folder):
+            run = np.cumsum(prefixes < self.width)
+            own = weight[suffixes]
+            there = own > 0
+            starts, of, own = suffixes[there], run[there], own[there]
+            totals = np.bincount(of, own, run[-1] + 1)
+            totals[0] += total
+            if alone is not None and totals[0] >= 2:
+                twice[alone] = True
+            twice[starts[totals[of] >= 2]] = True
+            last = int(run[-1])
+            total = min(2, int(totals[last]))
+            mine = starts[of == last] if total == 1 else starts[:0]
+            alone = (int(mine[0]) if len(mine) else alone if last == 0 else None) if total == 1 else None
 
     def close(self) -> None:
-        self.file.close()
+        self.text.close()
+        self.records.close()
         shutil.rmtree(self.folder, ignore_errors=True)
 
 
@@ -279,7 +312,19 @@ def _sort_shards(pieces: DataFrame, shards: int, width: int) -> DataFrame:
                 current.close()
 
     dealt = pieces.select(F.pmod("route", F.lit(shards)).cast("int").alias("shard"), "p1", "p2", "piece", "n")
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "p1", "p2").mapInArrow(run, "p1 long, p2 long, repeats binary")
+    return dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "p1", "p2").mapInArrow(run, "p1 long, p2 long, repeats binary")
+
+
+def _string_by_string(pieces: DataFrame, width: int) -> DataFrame:
+    """(p1, p2, repeats) of pieces that share their route but run on apart, so that no shard could hold them: each string goes its own way."""
+    whole = pieces.groupBy("p1", "p2").agg(F.max("piece").alias("piece"), F.sum("n").alias("n"))
+    starts = whole.select("p1", "p2", "n", "piece", F.explode(F.sequence(F.lit(0), F.octet_length("piece") - width)).alias("at"))
+    string = F.substring(F.col("piece"), F.col("at") + 1, F.lit(width))
+    strings = starts.select("p1", "p2", "n", "at", F.xxhash64(string).alias("s1"), F.xxhash64(F.lit(7), string).alias("s2"))
+    again = strings.groupBy("s1", "s2").agg(F.sum("n").alias("total")).where("total > 1").select("s1", "s2")
+    low, high = (F.lpad(F.hex(c.cast("long")), 2, "0") for c in (F.col("at") % 256, F.floor(F.col("at") / 256)))
+    one = F.unhex(F.concat(low, high, F.lit("000001000000")))  # (start, 1) as little-endian 32-bit integers; a piece has no 65,536 starts
+    return strings.join(again, ["s1", "s2"]).select("p1", "p2", one.alias("repeats"))
 
 
 def cut_out(text: bytes, begins: np.ndarray, numbers: np.ndarray, width: int) -> tuple[bytes, int, np.ndarray]:
@@ -315,8 +360,10 @@ def _cut(docs: DataFrame, width: int, with_text: bool, keep: list[str]) -> DataF
     pieces = scratch.write(_pieces(texts.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "found"), width, k), partition_by=["kind"])
     scratch.drop(lists)
     distinct = pieces.where("kind = 1")
+    routes = scratch.write(distinct.groupBy("route").agg(F.sum(F.octet_length("piece")).alias("bytes")).where(F.col("bytes") >= HOT_BYTES).select("route"))
     size = distinct.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
-    repeats = scratch.write(_sort_shards(distinct, max(1, -(-size // SHARD_BYTES)), width))
+    sorted_ = _sort_shards(distinct.join(routes, "route", "left_anti"), max(1, -(-size // SHARD_BYTES)), width)
+    repeats = scratch.write(sorted_.unionAll(_string_by_string(distinct.join(routes, "route", "left_semi"), width)))
     places = pieces.where("kind = 0").select("k1", "k2", "start", "p1", "p2").join(repeats, ["p1", "p2"])
     places = scratch.write(places.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "repeats")).alias("places")))
     scratch.drop(pieces, repeats)

@@ -354,6 +354,57 @@ def test_frequent_anchors_are_cut_finer(spark, monkeypatch):
     assert got == {i: r[3] for i, r in enumerate(plain_passages(texts, 200))}
 
 
+@pytest.mark.parametrize(("hot", "shard"), [(1, 12 << 20), (400, 12 << 20), (1 << 30, 2000)])
+def test_hot_routes_and_many_shards(spark, monkeypatch, hot, shard):
+    """A passage in most texts, whose last strings run on into each of them; all, some or no routes are hot."""
+    from siltstone.llm import passage_dedup
+
+    monkeypatch.setattr(passage_dedup, "FREQUENT", 2)
+    monkeypatch.setattr(passage_dedup, "HOT_BYTES", hot)
+    monkeypatch.setattr(passage_dedup, "SHARD_BYTES", shard)
+    random = np.random.default_rng(4)
+    passage = "".join(random.choice(list("abcdefgh "), 500))
+    ends = ["".join(random.choice(list("ab"), 60)) for _ in range(6)]
+    texts = [passage + ends[i % 6] + str(i) * 40 for i in range(30)] + [None, "", passage[:199], passage[100:330], "é" * 300]
+    rows = [*enumerate(texts), (None, texts[0]), (None, texts[0]), (3, texts[3])]
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found.collect())
+    assert got == Counter((i, *r) for (i, _), r in zip(rows, plain_passages([t or "" for _, t in rows], 200), strict=True))
+
+
+def test_a_shard_far_larger_than_memory(tmp_path):
+    """Its stars are ten times what the sort may hold at once; it never holds more, and finds the same."""
+    from siltstone.llm import induced_sort
+
+    random = np.random.default_rng(0)
+    block = random.integers(1, 5, 3000).astype(np.uint8).tobytes()
+    text = b"".join(random.integers(1, 5, 2000).astype(np.uint8).tobytes() + block[: int(random.integers(300, 3000))] for _ in range(20)) + b"\1\2" * 4000 + b"\0"
+    path = tmp_path / "t"
+    path.write_bytes(text + b"\xff" * 216)
+
+    def run(budget):
+        folder = tmp_path / str(budget)
+        folder.mkdir()
+        got = list(induced_sort.sorted_suffixes(str(path), len(text), 200, str(folder), budget))
+        return np.concatenate([s for s, _ in got]), np.concatenate([p for _, p in got])
+
+    stars = sum(map(len, induced_sort.star_suffixes(np.frombuffer(text, np.uint8), len(text))))
+    held, take = [], induced_sort._in_order
+
+    def counted(words, starts, at, cap):
+        held.append(len(starts))
+        return take(words, starts, at, cap)
+
+    induced_sort._in_order = counted
+    try:
+        small = run(stars // 10)
+    finally:
+        induced_sort._in_order = take
+    whole = run(1 << 22)
+    assert max(held) <= stars // 10 and len(held) > 10
+    assert (small[1] == whole[1]).all() and all(text[a : a + 200] == text[b : b + 200] for a, b in zip(*(x[0].tolist() for x in (small, whole)), strict=True) if a != b)
+
+
 @pytest.mark.parametrize("seed", range(60))
 def test_induced_sort(tmp_path, seed, monkeypatch):
     from siltstone.llm import induced_sort
