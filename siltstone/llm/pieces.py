@@ -62,16 +62,15 @@ class Vocabulary:
         self.place = np.zeros(_PLANE, np.int32)  # 0: in no piece
         self.place[known] = np.arange(1, len(known) + 1)
         self.width = len(known) + 1
-        inside = {(self.place[a] * self.width + self.place[b]) for p in self.ids for a, b in zip(map(ord, p), map(ord, p[1:]), strict=False) if max(a, b) < _PLANE}
-        self.inside = np.array(sorted(inside), np.int64)
+        self.together = np.zeros(self.width**2, bool)
+        for a, b in {pair for p in self.ids for pair in zip(map(ord, p), map(ord, p[1:]), strict=False) if max(pair) < _PLANE}:
+            self.together[int(self.place[a]) * self.width + int(self.place[b])] = True
 
     def apart(self, codes: np.ndarray) -> np.ndarray:
         """For each neighbouring pair of characters, whether no piece holds it: exactly, but pairs with a character beyond _PLANE never are."""
         plain = codes < _PLANE
-        place = self.place[np.where(plain, codes, 0)].astype(np.int64)
-        pair = place[:-1] * self.width + place[1:]
-        values, which = np.unique(pair, return_inverse=True)
-        together = np.isin(values, self.inside)[which.reshape(-1)]
+        place = self.place[codes if plain.all() else np.where(plain, codes, 0)]
+        together = self.together[place[:-1].astype(np.int64) * self.width + place[1:]]
         return ~together & plain[:-1] & plain[1:]
 
     def emit(self, piece_id: int, text: str) -> list[int]:
