@@ -1,20 +1,26 @@
 """The model's tables, derived from the star-schema tables of a folder.
 
-Every frame is a lazy DataFrame with fixed columns; nothing is cached or collected. Tenancy is a
-column: `Frames.of(tenant)` filters each table by it before anything else, so the filter reaches scans.
+Every frame is a DataFrame with fixed columns; nothing is cached or collected. Rows of one tenant are
+those of its keys, and an edge is a tenant's if both its ends are: `Frames.of(tenant)` filters each
+source table by its keys before anything else, so that counts, degrees and statistics, too, are the
+tenant's own. Chunks, postings, nodes and edges are derived once and stored (see siltstone.store).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from siltstone.expr.text import tokens
 from siltstone.model.vocabulary import CHUNK_OVERLAP, CHUNK_TOKENS, CONFIDENCE
+from siltstone.store import stored
 
 EPOCH = "timestamp'2024-01-01 00:00:00'"
 WORDS = "[^ \\t\\n\\r]+"
+GRAPH_SOURCES = ["orders", "lineitem", "supplier"]
 
 
 @dataclass
@@ -30,18 +36,24 @@ class Frames:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def _scoped(self, df: DataFrame) -> DataFrame:
-        return df if self.tenant is None else df.where(F.col("customer_id") == self.tenant)
+    def _scoped(self, df: DataFrame, *keys: str) -> DataFrame:
+        """The rows all of whose keys are the tenant's."""
+        for key in keys if self.tenant is not None else ():
+            df = df.where(tenant_of(key) == self.tenant)
+        return df
+
+    def _stored(self, name: str, sources: list[str], build: Callable[[], DataFrame], by: str) -> DataFrame:
+        return stored(self.spark, name, [f"{self.folder}/{s}.parquet" for s in sources], self.tenant or "", build, by)
 
     @cached_property
     def documents(self) -> DataFrame:
         """Versioned documents: every fifth has two versions, some are drafts or tombstones, some lack an author or a key."""
         n = "doc_id"
-        base = self.table("documents").select(n, "text", "lang", "source")
+        base = self._scoped(self.table("documents").select(n, "text", "lang", "source"), n)
         versions = base.select("*", F.expr(f"explode(CASE WHEN {n} % 5 = 0 THEN array(1, 2) ELSE array(1) END)").alias("version"))
         begun = f"timestampadd(HOUR, CAST({n} AS INT), {EPOCH})"
         out = versions.select(
-            F.expr(f"CASE WHEN {n} % 10 = 3 THEN 'globex' ELSE 'acme' END").alias("customer_id"),
+            tenant_of(n).alias("customer_id"),
             F.expr(f"concat('doc:', source, ':', {n})").alias("doc_id"),
             F.col("version").cast("long").alias("version"),
             F.col("source").alias("source_system"),
@@ -61,11 +73,19 @@ class Frames:
             F.expr(f"CASE WHEN {n} % 17 = 0 AND NOT ({n} % 5 = 0 AND version = 1) THEN timestampadd(DAY, 20, {begun}) END").alias("deleted_at"),
             F.col("lang").alias("language"),
         )
-        return self._scoped(out)
+        return out
 
     @cached_property
     def chunks(self) -> DataFrame:
-        """Content-addressed chunks: one row for a document and a content, over the versions that hold it."""
+        """Content-addressed chunks: one row for a document and a content, over the versions that hold it; with the lengths that keyword ranking needs."""
+        return self._stored("chunks", ["documents"], self._chunks, "doc_id")
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """(term, field, chunk_id, tf): which chunks hold a term, in title or content, and how often."""
+        return self._stored("postings", ["documents"], lambda: postings(self.chunks), "term")
+
+    def _chunks(self) -> DataFrame:
         pieces = windows(self.documents, "body", CHUNK_TOKENS, CHUNK_OVERLAP, "customer_id", "doc_id", "version", "title", "visibility", "valid_from", "valid_to")
         hashed = pieces.withColumn("content_hash", F.sha2("content", 256))
         # content, title and visibility follow from the other keys; as keys they leave only numbers to aggregate
@@ -78,41 +98,52 @@ class Frames:
             F.max("n_tokens").alias("n_tokens"),
         )
         open_ended = F.when(F.col("until") < F.expr("timestamp'9999-01-01 00:00:00'"), F.col("until"))
-        return same.withColumn("valid_to", open_ended).drop("until").withColumn("chunk_id", F.concat("doc_id", F.lit(":c_"), F.substring("content_hash", 1, 16)))
+        named = same.withColumn("valid_to", open_ended).drop("until").withColumn("chunk_id", F.concat("doc_id", F.lit(":c_"), F.substring("content_hash", 1, 16)))
+        return named.withColumns({f"{c}_length": F.regexp_count(F.lower(c), F.lit("[a-z0-9_]{2,}")) for c in ("title", "content")})
 
     @cached_property
     def vectors(self) -> DataFrame:
-        return self.table("embeddings").select("vec_id", F.concat(F.lit("src"), "label").alias("source_system"), F.col("embedding").cast("array<double>").alias("embedding"), F.expr(f"timestampadd(HOUR, CAST((vec_id * 37) % 1000 AS INT), {EPOCH})").alias("updated_at"))
+        return self._scoped(self.table("embeddings"), "vec_id").select("vec_id", F.concat(F.lit("src"), "label").alias("source_system"), F.col("embedding").cast("array<double>").alias("embedding"), F.expr(f"timestampadd(HOUR, CAST((vec_id * 37) % 1000 AS INT), {EPOCH})").alias("updated_at"))
 
     @cached_property
     def nodes(self) -> DataFrame:
-        """Graph nodes with degree (of all edges) and a source."""
-        made = [("Person", "customer", "c_custkey", "c_name"), ("Service", "supplier", "s_suppkey", "s_name"), ("Repo", "part", "p_partkey", "p_name")]
-        parts = [self.table(t).select(F.lit(label).alias("label"), F.concat(F.lit(f"{label}:"), F.col(key).cast("string")).alias("canonical_id"), F.col(name).alias("name")) for label, t, key, name in made]
-        orders = self.table("orders").select(F.lit("Document").alias("label"), F.concat(F.lit("Document:"), F.col("o_orderkey").cast("string")).alias("canonical_id"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("name"))
-        every = orders
-        for part in parts:
-            every = every.unionByName(part)
+        """Graph nodes with degree (of all edges), and the time of their last change where they have one."""
+        return self._stored("nodes", [*GRAPH_SOURCES, "customer", "part"], self._nodes, "canonical_id")
+
+    def _nodes(self) -> DataFrame:
+        made = [("Person", "customer", "c_custkey", "c_name", None), ("Service", "supplier", "s_suppkey", "s_name", None), ("Repo", "part", "p_partkey", "p_name", None), ("Document", "orders", "o_orderkey", None, "o_orderdate")]
+        every = None
+        for label, table, key, name, changed in made:
+            number = F.col(key).cast("string")
+            shown = F.col(name) if name else F.concat(F.lit("Order "), number)
+            time = (F.col(changed) if changed else F.lit(None)).cast("timestamp")
+            part = self._scoped(self.table(table), key).select(F.lit(label).alias("label"), F.concat(F.lit(f"{label}:"), number).alias("canonical_id"), shown.alias("name"), time.alias("updated_at"))
+            every = part if every is None else every.unionByName(part)
         degree = self.symmetric_edges.groupBy(F.col("a").alias("canonical_id")).agg(F.count(F.lit(1)).alias("degree"))
-        return every.join(degree, "canonical_id", "left").select("label", "canonical_id", "name", F.coalesce("degree", F.lit(0)).alias("degree"))
+        return every.join(degree, "canonical_id", "left").select("label", "canonical_id", "name", F.coalesce("degree", F.lit(0)).alias("degree"), "updated_at")
 
     @cached_property
     def edges(self) -> DataFrame:
-        """One edge for each type and pair of ends: least valid_from, strongest confidence, live unless every line was closed.
+        """One edge for each type and pair of ends: least valid_from, strongest confidence, live unless every line was closed."""
+        return self._stored("edges", GRAPH_SOURCES, self._edges, "from_id")
 
-        Rows are merged on their numeric keys; ids become text only afterwards.
-        """
+    def _edges(self) -> DataFrame:
+        """Rows are merged on their numeric keys; ids become text only afterwards."""
         orders, lines = self.table("orders"), self.table("lineitem")
         tier = F.when(F.col("l_returnflag") == "N", 2).when(F.col("l_returnflag") == "A", 1).otherwise(0)
         opened = F.when(F.col("l_linestatus") == "O", 1).otherwise(0)
+        related = orders.where("o_orderkey % 3 = 0 AND o_orderkey > 0").withColumn("about", F.expr("o_orderkey div 4")).join(orders.select(F.col("o_orderkey").alias("about")), "about", "left_semi")
+        services = self.table("supplier").withColumns({"called": F.col("s_suppkey") % 7 + 1, "since": F.expr(EPOCH)}).where("called <> s_suppkey")
         kinds = [
             ("AUTHORED", "Person", "o_custkey", "Document", "o_orderkey", orders, F.lit(2), F.lit(1), "o_orderdate"),
             ("TOUCHES", "Document", "l_orderkey", "Repo", "l_partkey", lines, tier, opened, "l_shipdate"),
             ("ASSIGNED_TO", "Document", "l_orderkey", "Service", "l_suppkey", lines, tier, opened, "l_shipdate"),
+            ("DISCUSSES", "Document", "o_orderkey", "Document", "about", related, F.lit(1), F.lit(1), "o_orderdate"),
+            ("CALLS", "Service", "s_suppkey", "Service", "called", services, F.when(F.col("s_suppkey") % 2 == 0, 1).otherwise(2), F.lit(1), "since"),
         ]
         every = None
         for kind, from_label, from_key, to_label, to_key, rows, rank, open_, time in kinds:
-            merged = rows.groupBy(from_key, to_key).agg(F.max(rank).alias("tier"), F.min(F.col(time).cast("timestamp")).alias("valid_from"), F.max(open_).alias("open"))
+            merged = self._scoped(rows, from_key, to_key).groupBy(from_key, to_key).agg(F.max(rank).alias("tier"), F.min(F.col(time).cast("timestamp")).alias("valid_from"), F.max(open_).alias("open"))
             ends = [F.concat(F.lit(f"{label}:"), F.col(key).cast("string")) for label, key in ((from_label, from_key), (to_label, to_key))]
             part = merged.select(F.lit(kind).alias("edge_type"), ends[0].alias("from_id"), ends[1].alias("to_id"), F.element_at(F.array(*map(F.lit, CONFIDENCE)), F.col("tier") + 1).alias("confidence"), "tier", "valid_from", (F.col("open") == 1).alias("live"))
             every = part if every is None else every.unionByName(part)
@@ -120,29 +151,45 @@ class Frames:
 
     @cached_property
     def symmetric_edges(self) -> DataFrame:
-        """Each edge from either end (a: the near one), so that neighbours are an equi-join and never an OR; in one pass, a loop once."""
-        ahead, back = F.struct(F.col("from_id").alias("a"), F.col("to_id").alias("b")), F.struct(F.col("to_id").alias("a"), F.col("from_id").alias("b"))
-        ends = F.explode(F.when(F.col("from_id") == F.col("to_id"), F.array(ahead)).otherwise(F.array(ahead, back)))
-        return self.edges.select(ends.alias("e"), "edge_type", "confidence", "tier", "live", "valid_from").select("e.a", "e.b", "edge_type", "confidence", "tier", "live", "valid_from")
+        """Each edge from either end (a: the near one), so that neighbours are an equi-join and never an OR; a loop once."""
+        return self._stored("two-way-edges", GRAPH_SOURCES, lambda: two_way(self.edges), "a")
 
     @cached_property
     def usage(self) -> DataFrame:
-        return self.table("events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("occurred_at"), F.col("value").alias("latency_ms"), "event_type", F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), F.expr("CASE WHEN user_id % 3 = 0 THEN 'agent' ELSE 'human' END").alias("caller_kind"), F.concat_ws(" ", "event_type", "props").alias("summary"))
+        return self._scoped(self.table("events"), "user_id").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("occurred_at"), F.col("value").alias("latency_ms"), "event_type", F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), F.expr("CASE WHEN user_id % 3 = 0 THEN 'agent' ELSE 'human' END").alias("caller_kind"), F.concat_ws(" ", "event_type", "props").alias("summary"))
 
     @cached_property
     def history(self) -> DataFrame:
         """One entity for each user, one version for each event."""
         order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-        return self.table("events").select("event_id", "user_id", "event_type", F.row_number().over(order).cast("long").alias("version"), F.col("ts").cast("timestamp").alias("valid_from"), F.lead(F.col("ts").cast("timestamp")).over(order).alias("valid_to"))
+        return self._scoped(self.table("events"), "user_id").select("event_id", "user_id", "event_type", F.row_number().over(order).cast("long").alias("version"), F.col("ts").cast("timestamp").alias("valid_from"), F.lead(F.col("ts").cast("timestamp")).over(order).alias("valid_to"))
 
     @cached_property
     def queue(self) -> DataFrame:
         statuses = F.expr("element_at(array('pending', 'processing', 'done', 'dlq'), CAST(event_id % 4 AS INT) + 1)")
-        return self.table("events").select(F.col("event_id").alias("queue_id"), F.expr("CASE WHEN user_id % 10 = 3 THEN 'globex' ELSE 'acme' END").alias("customer_id"), F.concat(F.lit("src"), (F.col("user_id") % 5).cast("string")).alias("source_system"), F.col("user_id").alias("source_event_id"), F.expr("CASE event_type WHEN 'purchase' THEN 100 WHEN 'error' THEN 75 ELSE 50 END").alias("priority"), statuses.alias("status"), F.col("ts").cast("timestamp").alias("created_at"), F.expr("CAST(event_id % 7 AS INT)").alias("attempts"), F.concat(F.lit("raw/"), F.col("event_id").cast("string")).alias("payload_key"))
+        return self._scoped(self.table("events"), "user_id").select(F.col("event_id").alias("queue_id"), tenant_of("user_id").alias("customer_id"), F.concat(F.lit("src"), (F.col("user_id") % 5).cast("string")).alias("source_system"), F.col("user_id").alias("source_event_id"), F.expr("CASE event_type WHEN 'purchase' THEN 100 WHEN 'error' THEN 75 ELSE 50 END").alias("priority"), statuses.alias("status"), F.col("ts").cast("timestamp").alias("created_at"), F.expr("CAST(event_id % 7 AS INT)").alias("attempts"), F.concat(F.lit("raw/"), F.col("event_id").cast("string")).alias("payload_key"))
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return self.table("conversations").select("conv_id", "turn", "role", "text")
+        return self._scoped(self.table("conversations"), "conv_id").select("conv_id", "turn", "role", "text")
+
+
+def tenant_of(key: str) -> Column:
+    """The tenant to which a key of the source tables belongs."""
+    return F.when(F.col(key) % 10 == 3, "globex").otherwise("acme")
+
+
+def two_way(edges: DataFrame) -> DataFrame:
+    """Edges from either end, in one pass."""
+    ahead, back = F.struct(F.col("from_id").alias("a"), F.col("to_id").alias("b")), F.struct(F.col("to_id").alias("a"), F.col("from_id").alias("b"))
+    ends = F.explode(F.when(F.col("from_id") == F.col("to_id"), F.array(ahead)).otherwise(F.array(ahead, back)))
+    return edges.select(ends.alias("e"), "edge_type", "confidence", "tier", "live", "valid_from").select("e.a", "e.b", "edge_type", "confidence", "tier", "live", "valid_from")
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """(term, field, chunk_id, tf) of the keyword fields of chunks."""
+    parts = [chunks.select("chunk_id", F.lit(f).alias("field"), F.explode(tokens(F.col(f))).alias("term")) for f in ("title", "content")]
+    return parts[0].unionByName(parts[1]).groupBy("term", "field", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def windows(df: DataFrame, text: str, size: int, overlap: int, *keep: str) -> DataFrame:

@@ -96,31 +96,48 @@ def typeahead(nodes: DataFrame, prefix: str, k: int = 25) -> DataFrame:
     return nodes.where(hit).orderBy(F.desc("degree"), "canonical_id").limit(min(k, 25)).select("canonical_id", "label", "degree")
 
 
-def entity_search(two_way: DataFrame, nodes: DataFrame, labels: list[str], ids: list[str], k: int, floor: str | None = "INFERRED") -> DataFrame:
-    """Documents next to anchors (any of the labels with any of the ids), or anchors themselves.
+def entity_search(two_way: DataFrame, nodes: DataFrame, anchors: DataFrame, k: int, floor: str | None = "INFERRED", within: DataFrame | None = None) -> DataFrame:
+    """Documents next to anchors (label, canonical_id: any of the labels with any of the ids), or anchors themselves.
 
     Attributes are independent minima over all edges to a document, as text, so a document with an
     AMBIGUOUS edge counts as AMBIGUOUS. The limit, by id, comes before the confidence floor and the
-    surprise ranking, so fewer than k can return. Closed edges count.
+    surprise ranking, so fewer than k can return. Closed edges count. within: (document) of those that
+    may be found; what is filtered out takes no place among the k.
     """
-    anchors = nodes.where(F.col("label").isin(*labels) & F.col("canonical_id").isin(*ids)).select(F.col("canonical_id").alias("a"), F.col("label").alias("via_label"), F.col("degree").alias("via_degree"))
+    chosen = nodes.join(anchors.select("canonical_id").distinct(), "canonical_id", "left_semi").join(anchors.select("label").distinct(), "label", "left_semi")
+    chosen = chosen.select(F.col("canonical_id").alias("a"), F.col("label").alias("via_label"), F.col("degree").alias("via_degree"))
     far = nodes.where("label = 'Document'").select(F.col("canonical_id").alias("b"), F.col("degree").alias("far_degree"))
-    near = two_way.join(anchors, "a").join(far, "b").select(F.col("b").alias("document"), F.col("a").alias("via"), "via_label", "edge_type", "confidence", "via_degree", F.col("far_degree").alias("degree"))
-    own = anchors.where("via_label = 'Document'").select(F.col("a").alias("document"), F.col("a").alias("via"), "via_label", F.lit(None).cast("string").alias("edge_type"), F.lit(None).cast("string").alias("confidence"), "via_degree", F.col("via_degree").alias("degree"))
-    columns = ["via", "via_label", "edge_type", "confidence", "via_degree", "degree"]
-    pool = near.unionByName(own).groupBy("document").agg(*[F.min(c).alias(c) for c in columns]).orderBy("document").limit(k)
+    near = two_way.join(chosen, "a").join(far, "b").select(F.col("b").alias("document"), F.col("a").alias("via"), "via_label", "edge_type", "confidence", "via_degree", F.col("far_degree").alias("degree"))
     none = F.lit(None).cast("string")
+    own = chosen.where("via_label = 'Document'").select(F.col("a").alias("document"), F.col("a").alias("via"), "via_label", none.alias("edge_type"), none.alias("confidence"), "via_degree", F.col("via_degree").alias("degree"))
+    columns = ["via", "via_label", "edge_type", "confidence", "via_degree", "degree"]
+    every = near.unionByName(own)
+    if within is not None:
+        every = every.join(within.select("document"), "document", "left_semi")
+    pool = every.groupBy("document").agg(*[F.min(c).alias(c) for c in columns]).orderBy("document").limit(k)
     score = surprise(F.col("confidence"), none, none, none, none, F.col("via_degree"), F.col("degree"))
     return pool.where(passes_confidence(F.col("confidence"), floor)).select("document", *columns, F.round(score, 6).alias("score"))
 
 
-def inferred_neighbours(two_way: DataFrame, anchors: DataFrame, k: int, dampening: float = 1.0) -> DataFrame:
-    """Documents over INFERRED edges of ranked anchors (canonical_id, rank from 0): type priority, then the newest.
+def anchor_documents(two_way: DataFrame, nodes: DataFrame, anchors: DataFrame, cap: int) -> DataFrame:
+    """(canonical_id, rank from 0): documents one hop from any anchor (label, canonical_id), each once, the last changed first, `cap` at most. Closed edges count."""
+    own = nodes.join(anchors, ["label", "canonical_id"], "left_semi").select(F.col("canonical_id").alias("a"))
+    near = two_way.join(own, "a", "left_semi").select(F.col("b").alias("canonical_id")).distinct()
+    order = [F.desc_nulls_last("updated_at"), F.asc("canonical_id")]
+    top = nodes.where("label = 'Document'").join(near, "canonical_id", "left_semi").orderBy(*order).limit(cap)
+    return top.select("canonical_id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("rank"))  # of at most `cap` rows
+
+
+def inferred_neighbours(two_way: DataFrame, anchors: DataFrame, k: int, dampening: float = 1.0, within: DataFrame | None = None) -> DataFrame:
+    """What lies over INFERRED edges of ranked anchors (canonical_id, rank from 0): type priority, then the newest.
 
-    The limit comes before each document keeps its best anchor, so fewer than k can return.
+    The limit comes before each one keeps its best anchor, so fewer than k can return. within:
+    (canonical_id) of those that may be found; what is filtered out takes no place among the k.
     """
     ranked = anchors.select(F.col("canonical_id").alias("a"), "rank")
     near = two_way.where("confidence = 'INFERRED' AND live").join(ranked, "a")
+    if within is not None:
+        near = near.join(within.select(F.col("canonical_id").alias("b")), "b", "left_semi")
     pool = near.withColumn("priority", priority(F.col("edge_type"), INFERRED_PRIORITY | {"ASSIGNED_TO": 5, "TOUCHES": 6})).orderBy("priority", F.desc("valid_from"), "b", "a", "edge_type").limit(k)
     best = pool.groupBy(F.col("b").alias("canonical_id")).agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("linked_edges"))
     return best.select("canonical_id", "rank", "linked_edges", F.round(F.lit(dampening) / (1 + F.col("rank")), 6).alias("score"))

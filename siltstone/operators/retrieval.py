@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from siltstone.expr.scoring import cosine, rank_term, source_weight
-from siltstone.expr.temporal import Temporal, chunk_predicate
-from siltstone.expr.text import similarity, tokens, trigrams
+from siltstone.expr.temporal import chunk_predicate
+from siltstone.expr.text import similarity, trigrams
 from siltstone.model.vocabulary import BM25_B, BM25_K1, POOL_MULTIPLIER, TITLE_BOOST, TITLE_ONLY_PER_DOC
+from siltstone.operators.listing import Filters, filtered
 
 
 def _array(values: list[float]) -> Column:
@@ -18,8 +19,13 @@ def scored_vectors(vectors: DataFrame, query: list[float]) -> DataFrame:
     return vectors.withColumn("score", F.round(cosine(F.col("embedding"), _array(query)), 6)).drop("embedding")
 
 
-def vector_search(vectors: DataFrame, query: list[float], k: int, per_source: int | None = None, recency: bool = False) -> DataFrame:
-    """The k nearest by cosine, ties by id. per_source keeps as many of each source and lets sources take turns by their ranks."""
+def vector_search(vectors: DataFrame, query: list[float], k: int, per_source: int | None = None, recency: bool = False, within: DataFrame | None = None) -> DataFrame:
+    """The k nearest by cosine, ties by id. per_source keeps as many of each source and lets sources take turns by their ranks.
+
+    within: (vec_id) of the rows that may be found; what is filtered out takes no place among the k.
+    """
+    if within is not None:
+        vectors = vectors.join(within.select("vec_id"), "vec_id", "left_semi")
     scored = scored_vectors(vectors, query)
     order = [F.desc("updated_at" if recency else "score"), F.asc("vec_id")]
     if per_source is None:
@@ -28,64 +34,36 @@ def vector_search(vectors: DataFrame, query: list[float], k: int, per_source: in
     return ranked.orderBy("source_rank", *order).limit(k)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, field, term, tf, length): what a search over many queries should keep as a table."""
-    parts = [chunks.select("chunk_id", F.lit(f).alias("field"), tokens(F.col(f)).alias("terms")) for f in ("title", "content")]
-    both = parts[0].unionByName(parts[1]).withColumn("length", F.size("terms"))
-    return both.select("chunk_id", "field", "length", F.explode("terms").alias("term")).groupBy("chunk_id", "field", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def keyword_search(
-    chunks: DataFrame,
-    documents: DataFrame,
-    query: str,
-    k: int,
-    temporal: Temporal | None = None,
-    sources: tuple[str, ...] = (),
-    per_source: int | None = None,
-    drafts: bool = False,
-) -> DataFrame:
+def keyword_search(chunks: DataFrame, postings: DataFrame, documents: DataFrame, query: str, k: int, filters: Filters | None = None, per_source: int | None = None, recency: bool = False) -> DataFrame:
     """BM25 of title (boosted) and content, any term matching; in stages.
 
     A pool of ten times k by score; of each document only the best chunk that just its title brought in;
-    then the document's filters, which may leave fewer than k; then the k best. k1 1.2, b 0.75,
-    idf ln(1 + (N - df + 0.5) / (df + 0.5)), over the chunks that may be searched.
+    then the document's filters, which may leave fewer than k; then the k best, or newest. k1 1.2, b
+    0.75, idf ln(1 + (N - df + 0.5) / (df + 0.5)), over the chunks that may be searched. Reads the
+    query's terms from postings, and of chunks only what isn't text.
     """
-    spec = temporal or Temporal()
-    terms = sorted({t for t in _terms(query)})
-    searched = chunks.where(chunk_predicate(spec))
-    if not drafts:
+    filters = filters or Filters()
+    terms = sorted(set(_terms(query)))
+    searched = chunks.where(chunk_predicate(filters.temporal))
+    if not filters.drafts:
         searched = searched.where("visibility = 'approved'")
-    # terms are counted in place, as whole runs of word characters: no array is built and nothing exploded
-    counted = searched.select("customer_id", "chunk_id", "doc_id", "first_seen_version", "last_seen_version", F.lower("title").alias("title"), F.lower("content").alias("content"))
-    for name in ("title", "content"):
-        counts = [F.regexp_count(name, F.lit(rf"(?<![a-z0-9_]){t}(?![a-z0-9_])")) for t in terms]
-        counted = counted.withColumns({f"{name}_tf": F.array(*counts) if counts else F.array().cast("array<int>"), f"{name}_length": F.regexp_count(name, F.lit("[a-z0-9_]{2,}"))})
-    counted = counted.drop("title", "content")
-    stats = counted.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(f"{f}_length").alias(f"{f}_average") for f in ("title", "content")],
-        *[F.count_if(F.element_at(f"{f}_tf", i + 1) > 0).alias(f"{f}_df_{i}") for f in ("title", "content") for i in range(len(terms))],
-    )
-    joined = counted.where(F.exists("title_tf", lambda x: x > 0) | F.exists("content_tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row
-
-    def part(name: str, i: int) -> Column:
-        tf, df, n = F.element_at(f"{name}_tf", i + 1), F.col(f"{name}_df_{i}"), F.col("n")
-        idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-        return idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col(f"{name}_length") / F.col(f"{name}_average")))
-
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        score = score + F.when(F.element_at("title_tf", i + 1) > 0, TITLE_BOOST * part("title", i)).otherwise(0.0) + F.when(F.element_at("content_tf", i + 1) > 0, part("content", i)).otherwise(0.0)
-    pool = joined.select("customer_id", "chunk_id", "doc_id", "first_seen_version", "last_seen_version", F.exists("content_tf", lambda x: x > 0).alias("content_hit"), F.round(score, 6).alias("score"))
+    searched = searched.select("customer_id", "chunk_id", "doc_id", "first_seen_version", "last_seen_version", "title_length", "content_length")
+    stats = searched.agg(F.count(F.lit(1)).alias("n"), F.avg("title_length").alias("title_average"), F.avg("content_length").alias("content_average"))
+    hits = searched.join(postings.where(F.col("term").isin(*terms) if terms else F.lit(False)), "chunk_id")
+    seen = hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))  # a row for each field and term of the query
+    joined = hits.join(F.broadcast(seen), ["field", "term"]).crossJoin(F.broadcast(stats))  # one row
+    title = F.col("field") == "title"
+    length = F.when(title, F.col("title_length") / F.col("title_average")).otherwise(F.col("content_length") / F.col("content_average"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.when(title, TITLE_BOOST).otherwise(1.0) * idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * length))
+    named = ["customer_id", "chunk_id", "doc_id", "first_seen_version", "last_seen_version"]
+    pool = joined.groupBy(*named).agg(F.bool_or(~title).alias("content_hit"), F.round(F.sum(part), 6).alias("score"))
     pool = pool.orderBy(F.desc("score"), "chunk_id").limit(POOL_MULTIPLIER * k)
     rn = F.row_number().over(Window.partitionBy("doc_id", "content_hit").orderBy(F.desc("score"), "chunk_id"))
     capped = pool.withColumn("rn", F.when(F.col("content_hit"), 0).otherwise(rn)).where(F.col("rn") <= TITLE_ONLY_PER_DOC)
-    from siltstone.operators.listing import Filters, filtered
-
-    named = filtered(documents, Filters(sources=sources, temporal=spec, drafts=drafts)).select("customer_id", "doc_id", "version", "source_system", "updated_at")
-    found = capped.join(named, ["customer_id", "doc_id"]).where("version between first_seen_version and last_seen_version")
-    order = [F.desc("score"), F.asc("chunk_id")]
+    live = filtered(documents, filters).select("customer_id", "doc_id", "version", "source_system", "updated_at")
+    found = capped.join(live, ["customer_id", "doc_id"]).where("version between first_seen_version and last_seen_version")
+    order = [F.desc("updated_at"), F.asc("chunk_id")] if recency else [F.desc("score"), F.asc("chunk_id")]
     if per_source is not None:
         found = found.withColumn("source_rank", F.row_number().over(Window.partitionBy("source_system").orderBy(*order))).where(F.col("source_rank") <= per_source)
         order = [F.asc("source_rank"), *order]

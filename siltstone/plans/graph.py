@@ -89,7 +89,8 @@ pool AS (SELECT document, min(via) AS via, min(via_label) AS via_label, min(edge
 SELECT *, round(least(8.0, CASE confidence WHEN 'AMBIGUOUS' THEN 1.5 WHEN 'INFERRED' THEN 1.25 ELSE 1.0 END * CASE WHEN least(via_degree, degree) <= 2 AND greatest(via_degree, degree) >= 5 THEN 1.3 ELSE 1.0 END * CASE WHEN least(via_degree, degree) >= 3 THEN greatest(1.0 - 0.15 * log2(least(via_degree, degree) / 2.0), 0.5) ELSE 1.0 END), 6) AS score
 FROM pool WHERE confidence IS NULL OR confidence <> 'AMBIGUOUS'""")
 def entity_graph_search(f: Frames) -> DataFrame:
-    return graph.entity_search(f.symmetric_edges, f.nodes, ["Person", "Service", "Document"], ["Person:7", "Service:2", "Document:5"], 40)
+    anchors = f.spark.createDataFrame([("Person", "Person:7"), ("Service", "Service:2"), ("Document", "Document:5")], "label string, canonical_id string")
+    return graph.entity_search(f.symmetric_edges, f.nodes, anchors, 40)
 
 
 _RANKED = "docs_ranked AS (SELECT canonical_id, row_number() OVER (ORDER BY degree DESC, canonical_id) - 1 AS rank FROM nodes WHERE label = 'Document' ORDER BY rank LIMIT 12)"
@@ -102,12 +103,20 @@ def _ranked_documents(f: Frames) -> DataFrame:
     return top.select("canonical_id", (F.row_number().over(Window.orderBy(F.desc("degree"), "canonical_id")) - 1).cast("long").alias("rank"))
 
 
-@query(f"""WITH {_RANKED}, pool AS (SELECT s.b, r.rank FROM sym s JOIN docs_ranked r ON r.canonical_id = s.a WHERE s.confidence = 'INFERRED' AND s.live ORDER BY CASE s.edge_type WHEN 'ASSIGNED_TO' THEN 5 WHEN 'TOUCHES' THEN 6 ELSE 7 END, s.valid_from DESC, s.b, s.a, s.edge_type LIMIT 20)
+@query(f"""WITH {_RANKED}, pool AS (SELECT s.b, r.rank FROM sym s JOIN docs_ranked r ON r.canonical_id = s.a WHERE s.confidence = 'INFERRED' AND s.live ORDER BY CASE s.edge_type WHEN 'DISCUSSES' THEN 0 WHEN 'ASSIGNED_TO' THEN 5 WHEN 'TOUCHES' THEN 6 ELSE 7 END, s.valid_from DESC, s.b, s.a, s.edge_type LIMIT 20)
 SELECT b AS canonical_id, min(rank) AS rank, count(*) AS linked_edges, round(1.0 / (1 + min(rank)), 6) AS score FROM pool GROUP BY b""")
 def inferred_edge_neighbours(f: Frames) -> DataFrame:
     return graph.inferred_neighbours(f.symmetric_edges, _ranked_documents(f), 20)
 
 
+@query("""WITH own AS (SELECT canonical_id FROM nodes WHERE (label, canonical_id) IN (('Person', 'Person:7'), ('Service', 'Service:2'), ('Repo', 'Repo:999999'))),
+near AS (SELECT DISTINCT s.b FROM sym s JOIN own o ON o.canonical_id = s.a)
+SELECT canonical_id, row_number() OVER (ORDER BY updated_at DESC NULLS LAST, canonical_id) - 1 AS rank FROM nodes WHERE label = 'Document' AND canonical_id IN (SELECT b FROM near) ORDER BY rank LIMIT 25""")
+def entity_anchor_documents(f: Frames) -> DataFrame:
+    anchors = f.spark.createDataFrame([("Person", "Person:7"), ("Service", "Service:2"), ("Repo", "Repo:999999")], "label string, canonical_id string")
+    return graph.anchor_documents(f.symmetric_edges, f.nodes, anchors, 25)
+
+
 @query(f"""WITH {_RANKED}, ok AS (SELECT * FROM sym WHERE live AND tier >= 1),
 rolled AS (SELECT o.a AS canonical_id, count(DISTINCT edge_type) AS types, CAST(max(tier) AS INTEGER) AS strongest, count(DISTINCT o.b) AS documents FROM ok o JOIN docs_ranked r ON r.canonical_id = o.b WHERE NOT starts_with(o.a, 'Document:') GROUP BY o.a),
 samples AS (SELECT canonical_id, array_to_string(list(b ORDER BY rank)[1:3], ',') AS samples FROM (SELECT DISTINCT o.a AS canonical_id, o.b, r.rank FROM ok o JOIN docs_ranked r ON r.canonical_id = o.b) GROUP BY canonical_id),

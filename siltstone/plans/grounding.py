@@ -8,6 +8,7 @@ from siltstone.engine import Engine
 from siltstone.expr.text import bare_ids, grounding_tokens
 from siltstone.model.frames import Frames
 from siltstone.operators import code_graph, grounding, retrieval
+from siltstone.operators.listing import Filters
 from siltstone.plans.registry import query
 from siltstone.plans.retrieval import NOW, VECTOR
 
@@ -93,14 +94,76 @@ def device_statistics(f: Frames) -> DataFrame:
     return grounding.device_statistics(docs, f.chunks)
 
 
-@query()
+ENTITIES = [("Service", "Service:2"), ("Person", "Person:7"), ("Document", "Document:6")]
+
+
+def _searched(tenant: str | None, condition: str, queries: list[tuple[str, list[str], list[float] | None]], k: int) -> str:
+    """SQL of Engine.search with ENTITIES: `found`, for each sub-query and channel the k best documents that a condition on docs lets through."""
+    def scoped(table: str, *keys: str) -> str:
+        return f"(SELECT * FROM {table}" + (" WHERE " + " AND ".join(f"(CASE WHEN CAST(regexp_replace(CAST({key} AS VARCHAR), '^[A-Za-z]*:', '') AS BIGINT) % 10 = 3 THEN 'globex' ELSE 'acme' END) = '{tenant}'" for key in keys) if tenant else "") + ")"
+
+    pairs = ", ".join(f"('{label}', '{i}')" for label, i in ENTITIES)
+    parts = [f"""e0 AS {scoped("edges", "from_id", "to_id")}, s0 AS (SELECT from_id AS a, to_id AS b, edge_type, confidence, live, valid_from FROM e0 UNION ALL SELECT to_id, from_id, edge_type, confidence, live, valid_from FROM e0 WHERE from_id <> to_id),
+n0 AS (SELECT label, canonical_id, updated_at, coalesce(d, 0) AS degree FROM {scoped("nodes", "canonical_id")} LEFT JOIN (SELECT a, count(*) AS d FROM s0 GROUP BY a) ON a = canonical_id),
+v0 AS {scoped("vectors", "vec_id")}, d0 AS (SELECT * FROM docs{f" WHERE customer_id = '{tenant}'" if tenant else ""}), c0 AS (SELECT * FROM chunks WHERE valid_to IS NULL{f" AND customer_id = '{tenant}'" if tenant else ""}),
+searched AS (SELECT * FROM c0 WHERE visibility = 'approved'),
+live AS (SELECT * FROM d0 WHERE valid_to IS NULL AND visibility = 'approved' AND {condition}),
+held AS (SELECT doc_id, content FROM (SELECT l.doc_id, c.content, row_number() OVER (PARTITION BY l.doc_id ORDER BY c.chunk_index, c.chunk_id) AS rn FROM live l LEFT JOIN c0 c ON c.doc_id = l.doc_id AND l.version BETWEEN c.first_seen_version AND c.last_seen_version) WHERE rn = 1),
+anchors AS (SELECT * FROM n0 WHERE label IN ({", ".join(f"'{label}'" for label, _ in ENTITIES)}) AND canonical_id IN ({", ".join(f"'{i}'" for _, i in ENTITIES)})),
+ge AS (SELECT s.b AS document, s.confidence, a.degree AS vd, n.degree AS fd FROM s0 s JOIN anchors a ON a.canonical_id = s.a JOIN n0 n ON n.canonical_id = s.b AND n.label = 'Document' UNION ALL SELECT canonical_id, NULL, degree, degree FROM anchors WHERE label = 'Document'),
+gp AS (SELECT document, min(confidence) AS confidence, min(vd) AS vd, min(fd) AS fd FROM ge WHERE document IN (SELECT 'Document:' || source_id FROM live) GROUP BY document ORDER BY document LIMIT {k}),
+gs AS (SELECT document, round(least(8.0, CASE confidence WHEN 'AMBIGUOUS' THEN 1.5 WHEN 'INFERRED' THEN 1.25 ELSE 1.0 END * CASE WHEN least(vd, fd) <= 2 AND greatest(vd, fd) >= 5 THEN 1.3 ELSE 1.0 END * CASE WHEN least(vd, fd) >= 3 THEN greatest(1.0 - 0.15 * log2(least(vd, fd) / 2.0), 0.5) ELSE 1.0 END), 6) AS score FROM gp WHERE confidence IS NULL OR confidence <> 'AMBIGUOUS'),
+ad AS (SELECT canonical_id, row_number() OVER (ORDER BY updated_at DESC NULLS LAST, canonical_id) - 1 AS rank FROM n0 WHERE label = 'Document' AND canonical_id IN (SELECT s.b FROM s0 s JOIN n0 n ON n.canonical_id = s.a AND (n.label, n.canonical_id) IN ({pairs})) ORDER BY rank LIMIT {k}),
+ip AS (SELECT s.b, ad.rank FROM s0 s JOIN ad ON ad.canonical_id = s.a WHERE s.confidence = 'INFERRED' AND s.live AND s.b IN (SELECT 'Document:' || source_id FROM live) ORDER BY CASE s.edge_type WHEN 'DISCUSSES' THEN 0 WHEN 'ASSIGNED_TO' THEN 5 WHEN 'TOUCHES' THEN 6 ELSE 7 END, s.valid_from DESC, s.b, s.a, s.edge_type LIMIT {k}),
+ic AS (SELECT b AS document, round(1.0 / (1 + min(rank)), 6) AS score FROM ip GROUP BY b),
+fields AS (SELECT chunk_id, 'title' AS field, list_filter(regexp_extract_all(lower(title), '[a-z0-9_]+'), lambda x: length(x) >= 2) AS t FROM searched UNION ALL SELECT chunk_id, 'content', list_filter(regexp_extract_all(lower(content), '[a-z0-9_]+'), lambda x: length(x) >= 2) FROM searched),
+stats AS (SELECT field, avg(len(t)) AS average, count(*) AS n FROM fields GROUP BY field)"""]
+    lists = []
+    for i, (_, terms, vector) in enumerate(queries):
+        parts.append(f"""tf{i} AS (SELECT chunk_id, field, term, len(list_filter(t, lambda x: x = term)) AS tf, len(t) AS length FROM fields, (SELECT unnest({terms}) AS term) WHERE list_contains(t, term)),
+pool{i} AS (SELECT s.doc_id, s.chunk_id, s.content, s.first_seen_version, s.last_seen_version, p.score, p.content_hit FROM (SELECT chunk_id, round(sum(CASE field WHEN 'title' THEN 10.0 ELSE 1.0 END * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))), 6) AS score, bool_or(field = 'content') AS content_hit
+  FROM tf{i} JOIN (SELECT field, term, count(*) AS df FROM tf{i} GROUP BY field, term) USING (field, term) JOIN stats USING (field) GROUP BY chunk_id) p JOIN searched s USING (chunk_id) ORDER BY score DESC, chunk_id LIMIT {10 * k}),
+kw{i} AS (SELECT c.chunk_id, l.doc_id, c.content, l.source_system, l.updated_at, c.score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, content_hit ORDER BY score DESC, chunk_id) AS rn FROM pool{i}) c JOIN live l ON c.doc_id = l.doc_id AND l.version BETWEEN c.first_seen_version AND c.last_seen_version WHERE content_hit OR rn <= 1 ORDER BY score DESC, chunk_id LIMIT {k})""")
+        if vector:
+            parts.append(f"vs{i} AS (SELECT CAST(vec_id AS VARCHAR) AS source_id, round(coalesce(list_cosine_similarity(embedding, {vector}::DOUBLE[]), 0), 6) AS score FROM v0 WHERE CAST(vec_id AS VARCHAR) IN (SELECT source_id FROM live) ORDER BY score DESC, vec_id LIMIT {k})")
+            lists.append(f"SELECT {i} AS sub_query, 'vector' AS channel, 0 AS channel_order, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank, doc_id, content, source_system, updated_at FROM vs{i} JOIN live USING (source_id) JOIN held USING (doc_id)")
+        lists.append(f"SELECT {i} AS sub_query, 'bm25' AS channel, 1 AS channel_order, row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS rank, doc_id, content, source_system, updated_at FROM kw{i}")
+        for order, name, table in ((2, "graph", "gs"), (3, "inferred_edge", "ic")):
+            lists.append(f"SELECT {i} AS sub_query, '{name}' AS channel, {order} AS channel_order, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank, doc_id, content, source_system, updated_at FROM {table} JOIN live ON document = 'Document:' || source_id JOIN held USING (doc_id)")
+    return "WITH " + ",\n".join(parts) + ",\nfound AS (" + "\nUNION ALL ".join(lists) + ")"
+
+
+_TWO = [("die the oneaan", ["die", "oneaan", "the"], VECTOR), ("und der", ["der", "und"], None)]
+_DIGEST = "SELECT sub_query, channel, channel_order, rank, doc_id, sha256(content) AS content, source_system, updated_at FROM found"
+
+
+def _digest(found: DataFrame) -> DataFrame:
+    return found.withColumn("content", F.sha2("content", 256))
+
+
+@query(_searched(None, "TRUE", _TWO, 10) + _DIGEST)
 def four_channel_search(f: Frames) -> DataFrame:
-    return Engine(f.spark, f.folder).call("search", queries=["die the oneaan", "und der"], vectors=[VECTOR, VECTOR[::-1]], k=10)
+    return _digest(Engine(f.spark, f.folder).call("search", queries=["die the oneaan", "  ", "und der"], vectors=[VECTOR, None, None], entities=ENTITIES, k=10))
 
 
-@query()
+@query(_searched("globex", "TRUE", _TWO, 10) + _DIGEST)
+def search_of_one_tenant(f: Frames) -> DataFrame:
+    return _digest(Engine(f.spark, f.folder, "globex").search(["die the oneaan", "und der"], [VECTOR, None], ENTITIES, k=10))
+
+
+@query(_searched("acme", "doc_type IN ('issue', 'message') AND source_system IN ('src1', 'src2', 'src4', 'src7', 'src9') AND (author_id IN ('p1', 'p2', 'p3', 'p4', 'p5', 'p6', 'p8', 'p12', 'p13', 'p18', 'p21', 'p26', 'p32', 'p34', 'p41', 'p42') OR FALSE) AND (source_key IN ('k0', 'k2') OR source_key IS NULL)", _TWO, 10) + _DIGEST)
+def filtered_search(f: Frames) -> DataFrame:
+    """Type, source, author and key filters, which every channel applies before its limit."""
+    authors = tuple(f"p{i}" for i in (1, 2, 3, 4, 5, 6, 8, 12, 13, 18, 21, 26, 32, 34, 41, 42))
+    filters = Filters(sources=("src1", "src2", "src4", "src7", "src9"), doc_types=("issue", "message"), author_ids=authors, source_keys=("k0", "k2"), keyless=True)
+    return _digest(Engine(f.spark, f.folder, "acme").search(["die the oneaan", "und der"], [VECTOR, None], ENTITIES, k=10, filters=filters))
+
+
+@query(_searched("acme", "TRUE", _TWO, 10) + f""", used AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sub_query, channel_order, rank) AS first FROM found WHERE trim(coalesce(content, '')) <> ''),
+fused AS (SELECT doc_id, sum(1.0 / (61 + rank)) AS base, count(*) AS hits, max(CASE WHEN first = 1 THEN source_system END) AS source_system, max(CASE WHEN first = 1 THEN updated_at END) AS updated_at FROM used GROUP BY doc_id)
+SELECT doc_id, source_system, hits, round(base * exp(-ln(2) * (epoch_us(TIMESTAMP '{NOW}') - epoch_us(updated_at)) / 86400000000.0 / 120.0), 6) AS score FROM fused ORDER BY score DESC, doc_id LIMIT 10""")
 def engine_hybrid(f: Frames) -> DataFrame:
-    return Engine(f.spark, f.folder, "acme").fused(["die the oneaan", "und der"], NOW, [VECTOR])
+    return Engine(f.spark, f.folder, "acme").fused(["die the oneaan", "und der"], NOW, [VECTOR], entities=ENTITIES)
 
 
 @query()

@@ -35,17 +35,19 @@ TABLES = {
   SELECT edge_type, from_id, to_id, (['AMBIGUOUS', 'INFERRED', 'EXTRACTED'])[max(tier) + 1] AS confidence, max(tier) AS tier, min(valid_from) AS valid_from, max(open) = 1 AS live FROM (
     SELECT 'AUTHORED' AS edge_type, 'Person:' || o_custkey AS from_id, 'Document:' || o_orderkey AS to_id, 2 AS tier, o_orderdate AS valid_from, 1 AS open FROM orders
     UNION ALL SELECT 'TOUCHES', 'Document:' || l_orderkey, 'Repo:' || l_partkey, CASE l_returnflag WHEN 'N' THEN 2 WHEN 'A' THEN 1 ELSE 0 END, l_shipdate, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END FROM lineitem
-    UNION ALL SELECT 'ASSIGNED_TO', 'Document:' || l_orderkey, 'Service:' || l_suppkey, CASE l_returnflag WHEN 'N' THEN 2 WHEN 'A' THEN 1 ELSE 0 END, l_shipdate, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END FROM lineitem)
+    UNION ALL SELECT 'ASSIGNED_TO', 'Document:' || l_orderkey, 'Service:' || l_suppkey, CASE l_returnflag WHEN 'N' THEN 2 WHEN 'A' THEN 1 ELSE 0 END, l_shipdate, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END FROM lineitem
+    UNION ALL SELECT 'DISCUSSES', 'Document:' || o_orderkey, 'Document:' || (o_orderkey // 4), 1, o_orderdate, 1 FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey > 0 AND o_orderkey // 4 IN (SELECT o_orderkey FROM orders)
+    UNION ALL SELECT 'CALLS', 'Service:' || s_suppkey, 'Service:' || (s_suppkey % 7 + 1), CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 2 END, TIMESTAMP '2024-01-01 00:00:00', 1 FROM supplier WHERE s_suppkey % 7 + 1 <> s_suppkey)
   GROUP BY edge_type, from_id, to_id""",
     "sym": """
   SELECT from_id AS a, to_id AS b, edge_type, confidence, tier, live, valid_from FROM edges
   UNION ALL SELECT to_id, from_id, edge_type, confidence, tier, live, valid_from FROM edges WHERE from_id <> to_id""",
     "nodes": """
-  SELECT label, canonical_id, name, coalesce(d.degree, 0) AS degree FROM (
-    SELECT 'Document' AS label, 'Document:' || o_orderkey AS canonical_id, 'Order ' || o_orderkey AS name FROM orders
-    UNION ALL SELECT 'Person', 'Person:' || c_custkey, c_name FROM customer
-    UNION ALL SELECT 'Service', 'Service:' || s_suppkey, s_name FROM supplier
-    UNION ALL SELECT 'Repo', 'Repo:' || p_partkey, p_name FROM part)
+  SELECT label, canonical_id, name, coalesce(d.degree, 0) AS degree, updated_at FROM (
+    SELECT 'Document' AS label, 'Document:' || o_orderkey AS canonical_id, 'Order ' || o_orderkey AS name, o_orderdate AS updated_at FROM orders
+    UNION ALL SELECT 'Person', 'Person:' || c_custkey, c_name, NULL FROM customer
+    UNION ALL SELECT 'Service', 'Service:' || s_suppkey, s_name, NULL FROM supplier
+    UNION ALL SELECT 'Repo', 'Repo:' || p_partkey, p_name, NULL FROM part)
   LEFT JOIN (SELECT a, count(*) AS degree FROM sym GROUP BY a) d ON d.a = canonical_id""",
     "usage": """
   SELECT event_id, user_id, ts AS occurred_at, value AS latency_ms, event_type, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,

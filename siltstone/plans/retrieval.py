@@ -147,17 +147,17 @@ found AS (SELECT c.chunk_id, d.doc_id, d.version, d.source_system, d.updated_at,
 
 @query(_BM25 + "SELECT chunk_id, doc_id, version, source_system, content_hit, score FROM found ORDER BY score DESC, chunk_id LIMIT 20")
 def keyword_topk(f: Frames) -> DataFrame:
-    return retrieval.keyword_search(f.chunks, f.documents, "die the Oneaan", 20).drop("updated_at")
+    return retrieval.keyword_search(f.chunks, f.postings, f.documents, "die the Oneaan", 20).drop("updated_at")
 
 
 @query(_BM25 + ", r AS (SELECT *, row_number() OVER (PARTITION BY source_system ORDER BY score DESC, chunk_id) AS sr FROM found) SELECT chunk_id, doc_id, version, source_system, content_hit, score FROM r WHERE sr <= 2 ORDER BY sr, score DESC, chunk_id LIMIT 20")
 def keyword_topk_by_source(f: Frames) -> DataFrame:
-    return retrieval.keyword_search(f.chunks, f.documents, "die the Oneaan", 20, per_source=2).drop("updated_at")
+    return retrieval.keyword_search(f.chunks, f.postings, f.documents, "die the Oneaan", 20, per_source=2).drop("updated_at")
 
 
 @query(_BM25 + "SELECT chunk_id, doc_id, version, source_system, content_hit, score FROM found WHERE source_system IN ('src1', 'src4') ORDER BY score DESC, chunk_id LIMIT 20")
 def keyword_filters_after_pool(f: Frames) -> DataFrame:
-    return retrieval.keyword_search(f.chunks, f.documents, "die the Oneaan", 20, sources=("src1", "src4")).drop("updated_at")
+    return retrieval.keyword_search(f.chunks, f.postings, f.documents, "die the Oneaan", 20, Filters(sources=("src1", "src4"))).drop("updated_at")
 
 
 def _channels(f: Frames) -> DataFrame:
@@ -171,7 +171,7 @@ def _channels(f: Frames) -> DataFrame:
     vectors = retrieval.vector_search(f.vectors, VECTOR, 40)
     near = vectors.join(live.select(F.col("source_id").cast("long").alias("vec_id"), "doc_id", "body", F.col("source_system").alias("s"), F.col("updated_at").alias("u")), "vec_id")
     first = ranked(near.select("doc_id", F.col("body").alias("content"), F.col("s").alias("source_system"), F.col("u").alias("updated_at"), "score", "vec_id"), 0, F.desc("score"), F.asc("vec_id"))
-    words = retrieval.keyword_search(f.chunks, f.documents, "die the Oneaan", 40)
+    words = retrieval.keyword_search(f.chunks, f.postings, f.documents, "die the Oneaan", 40)
     second = ranked(words.select("doc_id", F.lit("hit").alias("content"), "source_system", "updated_at", "score", "chunk_id"), 1, F.desc("score"), F.asc("chunk_id"))
     linked = f.nodes.where("label = 'Document'").select(F.split_part("canonical_id", F.lit(":"), F.lit(2)).alias("source_id"), "degree").join(live, "source_id")
     top = linked.orderBy(F.desc("degree"), "doc_id").limit(40)
