@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-import math
 import re
 
 
 def border_lengths(previous: str, current: str) -> list[int]:
     """Lengths of suffixes of one text that are prefixes of the next, longest first."""
-    pattern = current + "\0" + previous[-len(current) :] if current else ""
+    pattern: list[str | None] = [*current, None, *previous[-len(current) :]] if current else []  # None: equal to no character
     fail = [0] * len(pattern)
     for i in range(1, len(pattern)):
         k = fail[i - 1]
@@ -24,59 +22,30 @@ def border_lengths(previous: str, current: str) -> list[int]:
     return out
 
 
-def reconstruct(contents: list[str], separator: str = "\n\n") -> tuple[str, list[tuple[int, int]]]:
-    """A document's text from its chunks, and the (first, last) line of each: overlaps are joined, others separated."""
-    text, spans = "", []
-    for i, part in enumerate(contents):
-        borders = border_lengths(contents[i - 1], part) if i else []
-        if borders:
-            begin = len(text) - borders[0]
-            text += part[borders[0] :]
-        else:
-            text += separator if i else ""
-            begin = len(text)
-            text += part
-        first = text.count("\n", 0, begin) + 1
-        spans.append((first, first + part.count("\n")))
-    return text, spans
-
-
-def hash_vector(text: str, dimensions: int) -> list[float]:
-    """A unit vector from a hash of the text: for tests without a model."""
-    # A 64-bit linear congruential generator.
-    a, c, mask = 6364136223846793005, 1442695040888963407, (1 << 64) - 1
-    state = int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big") or 1
-    out = []
-    for _ in range(dimensions):
-        state = (state * a + c) & mask
-        out.append((state >> 32) / 2**31 - 1.0)
-    norm = math.sqrt(sum(v * v for v in out)) or 1.0
-    return [v / norm for v in out]
-
-
-def truncate_bytes(text: str | None, most: int) -> str | None:
-    """The longest beginning of whole characters that fits a number of bytes."""
-    if text is None:
-        return None
-    raw = text.encode()
-    return text if len(raw) <= most else raw[:most].decode("utf-8", "ignore")
-
-
 def split_symbol(body: str, primary: str, continuation: str, most_tokens: int = 512) -> list[str]:
-    """Blank-line blocks packed in order into pieces of so many tokens, headers included; a larger block is alone."""
-    blocks = [b for b in re.split(r"\n\s*\n", body) if b.strip()]
+    """Blank-line blocks packed in order into pieces of so many tokens, headers included; a larger block is cut by its lines, and a larger line by its words."""
+
+    def parts(block: str, room: int) -> list[str]:
+        if len(block.split()) <= room:
+            return [block]
+        lines = block.split("\n")
+        if len(lines) > 1:
+            return [p for line in lines if line.strip() for p in parts(line, room)]
+        words = block.split()
+        return [" ".join(words[i : i + room]) for i in range(0, len(words), room)]
+
+    head = max(len(primary.split()), len(continuation.split()))
+    blocks = [p for b in re.split(r"\n\s*\n", body) if b.strip() for p in parts(b, max(1, most_tokens - head))]
     out: list[list[str]] = []
     used = 0
     for block in blocks:
         size = len(block.split())
-        head = len((continuation if out else primary).split())
         if out and used + size <= most_tokens:
             out[-1].append(block)
             used += size
         else:
-            head = len((primary if not out else continuation).split())
             out.append([block])
-            used = head + size
+            used = len((continuation if len(out) > 1 else primary).split()) + size
     return [(primary if i == 0 else continuation) + "\n" + "\n\n".join(piece) for i, piece in enumerate(out)]
 
 
@@ -115,25 +84,30 @@ def render_session(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, i
 
 
 def repair_json(text: str) -> object | None:
-    """A cut-off JSON value with its open strings, arrays and objects closed; None if that isn't enough."""
-    for end in range(len(text), 0, -1):
-        stack, string, escaped = [], False, False
-        for ch in text[:end]:
-            if string:
-                escaped, string = (False, True) if escaped else (ch == "\\", ch != '"')
-            elif ch == '"':
-                string = True
-            elif ch in "[{":
-                stack.append("]" if ch == "[" else "}")
-            elif ch in "]}" and stack:
-                stack.pop()
-        candidate = text[:end].rstrip() + ('"' if string else "")
-        candidate = re.sub(r",\s*$", "", candidate) + "".join(reversed(stack))
+    """A cut-off JSON value with its open strings, arrays and objects closed; None if that isn't enough.
+
+    One pass keeps what is open after each character; the longest beginning that closes well is sought
+    among the places where a value can end, of the last 200.
+    """
+    stack, string, escaped = "", False, False
+    places: list[tuple[int, str, bool]] = []
+    for i, ch in enumerate(text):
+        if string:
+            escaped, string = (False, True) if escaped else (ch == "\\", ch != '"')
+        elif ch == '"':
+            string = True
+        elif ch in "[{":
+            stack = ("]" if ch == "[" else "}") + stack
+        elif ch in "]}" and stack:
+            stack = stack[1:]
+        if len(text) - i <= 201:
+            places.append((i + 1, stack, string))
+    for end, closing, inside in reversed(places):
+        candidate = re.sub(r",\s*$", "", text[:end].rstrip() + ('"' if inside else "")) + closing
         try:
             return json.loads(candidate)
         except ValueError:
-            if len(text) - end > 200:
-                return None
+            continue
     return None
 
 
@@ -152,12 +126,6 @@ def fit_response(items: list[dict], target: int, hard: int) -> list[dict]:
     return items
 
 
-def normalise_citations(answer: str) -> str:
-    """`[1, 2]` and `[ 1 ]` become `[1][2]` and `[1]`; repeats side by side are one."""
-    split = re.sub(r"\[\s*(\d+(?:\s*,\s*\d+)*)\s*\]", lambda m: "".join(f"[{n.strip()}]" for n in m[1].split(",")), answer)
-    return re.sub(r"(\[\d+\])(?:\s*\1)+", r"\1", split)
-
-
 def topic_overlaps(why: str, titles: list[str], least: int = 2) -> bool:
     """Whether a reason shares some content words with one of the titles; slugs with digits don't count."""
 

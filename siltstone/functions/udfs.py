@@ -1,49 +1,40 @@
-"""The functions as operators over grouped or whole columns, in Arrow batches."""
+"""The functions as operators over grouped or whole columns."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
 from siltstone.functions import chunking
+from siltstone.model.vocabulary import CHUNK_OVERLAP
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def hash_vectors(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: chunking.hash_vector(t or "", 64))
-
-
-@F.pandas_udf(StringType())
-def within_bytes(text: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([chunking.truncate_bytes(t, int(m)) for t, m in zip(text, most, strict=True)])
-
-
-@F.pandas_udf(StringType())
-def clean_citations(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else chunking.normalise_citations(t))
-
-
-def reconstructed(chunks: DataFrame) -> DataFrame:
-    """(doc_id, text, lines) of each document from its live chunks in order: a group is one document's chunks."""
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(["chunk_index", "chunk_id"])
-        text, spans = chunking.reconstruct(ordered["content"].tolist(), "\n\n")
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "text": [text], "lines": [spans[-1][1] if spans else 0]})
+def reconstructed(chunks: DataFrame, overlap: int = CHUNK_OVERLAP, separator: str = "\n\n") -> DataFrame:
+    """(doc_id, text, lines) of each document from its live chunks in order.
 
+    Two neighbours overlap if the last `overlap` tokens of one are the first of the next, all of them; a
+    shorter agreement is chance, and the texts are set apart. A document is one row, as it was before.
+    """
     live = chunks.where("valid_to is null").select("doc_id", "chunk_id", "chunk_index", "content")
-    return live.groupBy("doc_id").applyInPandas(join, "doc_id string, text string, lines long")
+    order = Window.partitionBy("doc_id").orderBy("chunk_index", "chunk_id")
+    tokens = live.withColumn("tokens", F.split("content", " ")).withColumn("before", F.lag("tokens").over(order))
+    shared = (F.size("before") >= overlap) & (F.size("tokens") >= overlap) & (F.slice("before", -overlap, overlap) == F.slice("tokens", 1, overlap))
+    rest = F.slice("tokens", overlap + 1, F.greatest(F.size("tokens") - overlap, F.lit(0)))
+    joined = F.when(F.size(rest) > 0, F.concat(F.lit(" "), F.array_join(rest, " "))).otherwise("")
+    piece = F.when(F.col("before").isNull(), F.col("content")).when(shared, joined).otherwise(F.concat(F.lit(separator), "content"))
+    placed = tokens.select("doc_id", F.struct("chunk_index", "chunk_id", piece.alias("piece")).alias("p"))
+    whole = placed.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["piece"]), "").alias("text"))
+    return whole.withColumn("lines", (F.regexp_count("text", F.lit("\n")) + 1).cast("long"))
 
 
 def segmented(sessions: DataFrame, budget: int) -> DataFrame:
-    """(conv_id, segment, first_turn, turns): one group is one session."""
+    """(conv_id, segment, first_turn, turns, left_out): one group is one session; left_out counts the earlier turns that no segment has."""
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.sort_values("turn")
         turns = [(r, t or "", False) for r, t in zip(ordered["role"], ordered["text"], strict=True)]
         segments, _ = chunking.segment_session(turns, budget)
         numbers = ordered["turn"].tolist()
-        return pd.DataFrame({"conv_id": [pdf["conv_id"].iloc[0]] * len(segments), "segment": range(len(segments)), "first_turn": [numbers[s[0]] for s in segments], "turns": [len(s) for s in segments]})
+        return pd.DataFrame({"conv_id": [pdf["conv_id"].iloc[0]] * len(segments), "segment": range(len(segments)), "first_turn": [numbers[s[0]] for s in segments], "turns": [len(s) for s in segments], "left_out": len(turns) - sum(map(len, segments))})
 
-    return sessions.groupBy("conv_id").applyInPandas(cut, "conv_id long, segment long, first_turn long, turns long")
+    return sessions.groupBy("conv_id").applyInPandas(cut, "conv_id long, segment long, first_turn long, turns long, left_out long")

@@ -154,6 +154,17 @@ class Frames:
         """Each edge from either end (a: the near one), so that neighbours are an equi-join and never an OR; a loop once."""
         return self._stored("two-way-edges", GRAPH_SOURCES, lambda: two_way(self.edges), "a")
 
+    @cached_property
+    def sourced_edges(self) -> DataFrame:
+        """Edges with the source that asserted them."""
+        return self.edges.withColumn("source_system", F.concat(F.lit("src"), (F.split_part("from_id", F.lit(":"), F.lit(2)).cast("long") % 5).cast("string")))
+
+    @cached_property
+    def provenance(self) -> DataFrame:
+        """(canonical_id, source_system, first_seen, last_seen): when a source first and last asserted a node."""
+        ends = self.sourced_edges.select(F.explode(F.array("from_id", "to_id")).alias("canonical_id"), "source_system", "valid_from")
+        return ends.groupBy("canonical_id", "source_system").agg(F.min("valid_from").alias("first_seen"), F.max("valid_from").alias("last_seen"))
+
     @cached_property
     def usage(self) -> DataFrame:
         return self._scoped(self.table("events"), "user_id").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("occurred_at"), F.col("value").alias("latency_ms"), "event_type", F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), F.expr("CASE WHEN user_id % 3 = 0 THEN 'agent' ELSE 'human' END").alias("caller_kind"), F.concat_ws(" ", "event_type", "props").alias("summary"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from siltstone.expr.scoring import confidence_rank, passes_confidence, surprise
 from siltstone.expr.text import without_namespace
+from siltstone.store import written
 
 # Priorities of edge types in ranked neighbourhoods; what isn't named comes last.
 PRIORITY = {"AUTHORED": 0, "ASSIGNED_TO": 1, "TOUCHES": 2}
@@ -183,21 +184,41 @@ def undirected(rows: DataFrame) -> DataFrame:
     return ends.groupBy("low", "high", "edge_type").agg(F.min("confidence").alias("confidence"))
 
 
-def communities(edges: DataFrame, least_edges: int = 100, rounds: int = 8) -> DataFrame:
-    """(node, community) by label propagation on the undirected simple graph: each node takes the label most of its neighbours have, ties to the least.
+def communities(edges: DataFrame, least_edges: int = 100, most_rounds: int = 100) -> DataFrame:
+    """(node, community) by label propagation on the undirected simple graph, until no node has more neighbours of another label than of its own.
 
-    Nothing for graphs of fewer than `least_edges` edges. Each round is one join and one aggregation with
-    partial counts; a node of any degree is summed, never gathered.
+    A node moves to the label that most of its neighbours have, ties to the least, and only if it gains
+    by that. In a round one half of the nodes, by a hash that changes with the round, may move; so two
+    neighbours seldom swap, and the number of edges inside communities grows until all rest. Nothing for
+    graphs of fewer than `least_edges` edges; an error if labels don't settle. A round is one join and
+    two aggregations with partial counts, its labels a written table; no neighbourhood is gathered.
     """
+    spark = edges.sparkSession
     simple = edges.where("from_id <> to_id").select(F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b")).distinct()
-    both = simple.unionAll(simple.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = written(simple.unionAll(simple.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both-ways")
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
-    if simple.limit(least_edges).count() < least_edges:
-        return labels.limit(0)
-    for i in range(rounds):
+    if both.limit(2 * least_edges).count() < 2 * least_edges:
+        return spark.createDataFrame([], labels.schema)
+    for i in range(most_rounds):
         votes = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.count(F.lit(1)).alias("n"))
-        labels = votes.unionByName(labels.withColumn("n", F.lit(1).cast("long"))).groupBy("node", "community").agg(F.sum("n").alias("n"))
-        labels = labels.groupBy("node").agg(F.min_by("community", F.struct((-F.col("n")).alias("n"), "community")).alias("community"))
-        if i % 3 == 2:
-            labels = labels.checkpoint() if edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else labels
-    return labels
+        best = votes.groupBy("node").agg(F.min_by(F.struct("community", "n"), F.struct((-F.col("n")).alias("n"), "community")).alias("best"))
+        own = labels.join(votes, ["node", "community"], "left").select("node", "community", F.coalesce("n", F.lit(0)).alias("own"))
+        better = own.join(best, "node").select("node", "community", "best", (F.col("best.n") > F.col("own")).alias("wants"), (F.pmod(F.xxhash64("node", F.lit(i)), F.lit(2)) == 0).alias("turn"))
+        moved = better.select("node", F.when(F.col("wants") & F.col("turn"), F.col("best.community")).otherwise(F.col("community")).alias("community"), "wants")
+        moved = written(moved, "labels")
+        labels = moved.select("node", "community")
+        if not moved.where("wants").limit(1).count():
+            return labels
+    raise RuntimeError(f"communities did not settle in {most_rounds} rounds")
+
+
+def node_titles(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(canonical_id, label, title): a document's own title, if it has one, else the node's name."""
+    own = documents.select("canonical_id", F.col("title").alias("own"))
+    title = F.when(F.col("label") == "Document", F.coalesce(F.nullif("own", F.lit("")), "name")).otherwise(F.col("name"))
+    return nodes.join(own, "canonical_id", "left").select("canonical_id", "label", title.alias("title"))
+
+
+def with_total(rows: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first k rows, each with the number that there are without the limit: two reads of the source, and one row joined to k."""
+    return rows.orderBy(*order).limit(k).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))))

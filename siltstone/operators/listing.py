@@ -80,6 +80,32 @@ def source_page(documents: DataFrame, after: str, n: int) -> DataFrame:
     return documents.where("valid_to is null and deleted_at is null").where(F.col("doc_id") > after).orderBy("doc_id").limit(n).select("doc_id", "version")
 
 
+def near_in_time(documents: DataFrame, anchors: DataFrame, hours: int, k: int) -> DataFrame:
+    """(own, doc_id, version): the k documents of each anchor (doc_id, updated_at) that changed within some hours of it, the newest first.
+
+    An equi-join on spans of that many hours: what is near lies in an anchor's span or in one beside it.
+    """
+    seconds = hours * 3600
+
+    def span(time: str) -> Column:
+        return F.floor(F.unix_seconds(time) / seconds)
+
+    mine = anchors.select(F.col("doc_id").alias("own"), F.col("updated_at").alias("at")).withColumn("span", F.explode(F.array(*[span("at") + i for i in (-1, 0, 1)])))
+    theirs = documents.withColumn("span", span("updated_at"))
+    apart = F.abs(F.unix_micros("updated_at") - F.unix_micros("at")) <= F.lit(seconds * 1_000_000)
+    near = theirs.join(mine, "span").where(apart & (F.col("doc_id") != F.col("own")))
+    place = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("updated_at"), "doc_id"))
+    return near.withColumn("place", place).where(F.col("place") <= k).drop("span", "at", "place")
+
+
+def by_exact_id(documents: DataFrame, ids: list[str]) -> DataFrame:
+    """Live documents whose source's id, own id or address ends in one of the ids: each with the first that fits, in the order given."""
+    asked = documents.sparkSession.createDataFrame(list(enumerate(ids)), "place int, asked string")
+    keys = F.explode(F.array_distinct(F.array("source_id", "doc_id", F.regexp_extract("source_url", "([^/]+)/?$", 1))))
+    named = documents.where("valid_to is null").withColumn("asked", keys).join(asked, "asked")
+    return named.groupBy("doc_id", "version", "source_id", "source_url").agg(F.min("place").alias("place"))
+
+
 def entity_documents(symmetric_edges: DataFrame, nodes: DataFrame, label: str, values: list[str]) -> DataFrame:
     """Documents with a live edge, in either direction, to a node of the label that matches a value.
 

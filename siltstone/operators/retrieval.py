@@ -34,6 +34,22 @@ def vector_search(vectors: DataFrame, query: list[float], k: int, per_source: in
     return ranked.orderBy("source_rank", *order).limit(k)
 
 
+def similar_to(vectors: DataFrame, vec_id: int, k: int, within: DataFrame | None = None, sources_but: str | None = None) -> DataFrame:
+    """(vec_id, source_system, score): the k rows nearest to a row's own vector, ties by id. One row is joined to all: no vector comes to the driver.
+
+    within: (vec_id) of rows that may be found. sources_but: a source that is left out, after the nearest 10 k were taken.
+    """
+    own = vectors.where(F.col("vec_id") == vec_id).select(F.col("embedding").alias("own")).limit(1)
+    others = vectors.where(F.col("vec_id") != vec_id)
+    if within is not None:
+        others = others.join(within.select("vec_id").distinct(), "vec_id", "left_semi")
+    scored = others.crossJoin(F.broadcast(own)).withColumn("score", F.round(cosine(F.col("embedding"), F.col("own")), 6)).select("vec_id", "source_system", "score")
+    order = [F.desc("score"), F.asc("vec_id")]
+    if sources_but is None:
+        return scored.orderBy(*order).limit(k)
+    return scored.orderBy(*order).limit(10 * k).where(F.col("source_system") != sources_but).orderBy(*order).limit(k)
+
+
 def keyword_search(chunks: DataFrame, postings: DataFrame, documents: DataFrame, query: str, k: int, filters: Filters | None = None, per_source: int | None = None, recency: bool = False) -> DataFrame:
     """BM25 of title (boosted) and content, any term matching; in stages.
 
@@ -116,11 +132,12 @@ def fuzzy_nodes(nodes: DataFrame, query: str, floor: float, per_label: int, tota
     return scored.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy(*order))).where(F.col("rn") <= per_label).orderBy(*order).limit(total).drop("rn")
 
 
-def suppress_near_duplicates(hits: DataFrame, threshold: float = 0.95) -> DataFrame:
+def suppress_near_duplicates(hits: DataFrame, threshold: float = 0.95, most: int = 1000) -> DataFrame:
     """In rank order, drops a hit whose cosine with a kept one exceeds the threshold; hits without a vector stay.
 
-    hits: (rank, vec_id, embedding), a search's few results: the rule depends on what was kept before, so
-    it runs in one task.
+    hits: (search, rank, vec_id, embedding) of any number of searches. The rule depends on what was kept
+    before, so a search's hits are one group, of which the first `most` are looked at; what a list holds
+    beyond those stays.
     """
     import numpy as np
     import pandas as pd
@@ -136,9 +153,12 @@ def suppress_near_duplicates(hits: DataFrame, threshold: float = 0.95) -> DataFr
             if norm:
                 kept.append(v / norm)
             chosen.append(place)
-        return pdf.sort_values("rank").iloc[chosen][["rank", "vec_id"]]
+        return pdf.sort_values("rank").iloc[chosen][["search", "rank", "vec_id"]]
 
-    return hits.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(greedy, "rank long, vec_id long")
+    kind = hits.schema["search"].dataType.simpleString()
+    placed = hits.withColumn("place", F.row_number().over(Window.partitionBy("search").orderBy("rank")))
+    judged = placed.where(F.col("place") <= most).groupBy("search").applyInPandas(greedy, f"search {kind}, rank long, vec_id long")
+    return judged.unionByName(placed.where(F.col("place") > most).select("search", "rank", "vec_id"))
 
 
 def classify(vectors: DataFrame, prototypes: DataFrame, floor: float, margin: float) -> DataFrame:
@@ -153,3 +173,10 @@ def classify(vectors: DataFrame, prototypes: DataFrame, floor: float, margin: fl
     best, second = F.col("top")[0], F.when(F.size("top") > 1, F.element_at("top", 2))
     score, gap = -best["s"], second["s"] - best["s"]
     return top.select("vec_id", F.when((score >= floor) & (F.coalesce(gap, F.lit(1.0)) >= margin), best["name"]).alias("name"), score.alias("score"))
+
+
+def clause_neighbours(clauses: DataFrame, vector: list[float], model: str, limit: int, floor: float = 0.72) -> DataFrame:
+    """(clause_id, status, similarity): the nearest clauses whose vector came from the same model; the floor comes after the limit, so fewer may return."""
+    own = clauses.where((F.col("model") == model) & F.col("embedding").isNotNull())
+    scored = own.select("clause_id", "status", F.round(cosine(F.col("embedding"), _array(vector)), 6).alias("similarity"))
+    return scored.orderBy(F.desc("similarity"), "clause_id").limit(max(0, limit)).where(F.col("similarity") >= floor)

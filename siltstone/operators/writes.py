@@ -179,16 +179,6 @@ def conflicting(left: dict[str, Column], right: dict[str, Column]) -> Column:
     return out
 
 
-def purge_source(documents: DataFrame, chunks: DataFrame, provenance: DataFrame, nodes: DataFrame, edges: DataFrame, source: str) -> dict[str, DataFrame]:
-    """Removes a source: dependants first, then its provenance, its edges, and nodes that no source asserts any more."""
-    gone = documents.where(F.col("source_system") == source).select("doc_id").distinct()
-    left = provenance.where(F.col("source_system") != source)
-    orphans = provenance.where(F.col("source_system") == source).select("canonical_id").distinct().join(left.select("canonical_id"), "canonical_id", "left_anti")
-    kept_nodes = nodes.join(orphans, "canonical_id", "left_anti")
-    kept_edges = edges.where(F.col("source_system") != source).join(orphans.withColumnRenamed("canonical_id", "from_id"), "from_id", "left_anti").join(orphans.withColumnRenamed("canonical_id", "to_id"), "to_id", "left_anti")
-    return {"documents": documents.where(F.col("source_system") != source), "chunks": chunks.join(gone, "doc_id", "left_anti"), "provenance": left, "nodes": kept_nodes, "edges": kept_edges}
-
-
 def advance_cursors(cursors: DataFrame, advanced: DataFrame) -> DataFrame:
     """Insert or update; a missing new value keeps the old one."""
     keys = ["customer_id", "source", "resource_id"]

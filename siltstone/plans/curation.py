@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from siltstone.model.frames import Frames
-from siltstone.operators import curation, writes
+from siltstone.operators import curation, retrieval, writes
 from siltstone.plans.registry import query
+from siltstone.plans.retrieval import VECTOR
 
 
 def _drafts(f: Frames) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -66,3 +67,9 @@ def pending_within_time_to_live(f: Frames) -> DataFrame:
 def json_cells(f: Frames) -> DataFrame:
     odd = F.get_json_object("props", "$.k").cast("long") % 2 == 1
     return f.table("events").select("user_id", "event_id", F.coalesce(odd, F.lit(False)).alias("odd"))
+
+
+@query(f"SELECT clause_id, status, similarity FROM (SELECT vec_id AS clause_id, source_system AS status, round(coalesce(list_cosine_similarity(embedding, {VECTOR}::DOUBLE[]), 0), 6) AS similarity FROM vectors WHERE vec_id % 3 <> 0 ORDER BY similarity DESC, clause_id LIMIT 25) WHERE similarity >= 0.2")
+def clause_nearest_neighbours(f: Frames) -> DataFrame:
+    clauses = f.vectors.select(F.col("vec_id").alias("clause_id"), F.col("source_system").alias("status"), F.when(F.col("vec_id") % 3 == 0, "old").otherwise("new").alias("model"), "embedding")
+    return retrieval.clause_neighbours(clauses, VECTOR, "new", 25, 0.2)

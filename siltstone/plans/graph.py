@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from siltstone.model.frames import Frames
-from siltstone.operators import graph, listing, retrieval, writes
+from siltstone.operators import graph, listing, provenance, retrieval, writes
 from siltstone.plans.registry import query
 
 ANCHOR = "Person:7"
@@ -155,13 +155,13 @@ def fuzzy_entity_probe(f: Frames) -> DataFrame:
 
 @query()
 def community_detection(f: Frames) -> DataFrame:
-    people = f.edges.where("edge_type = 'AUTHORED' OR tier = 2")
-    return graph.communities(people).groupBy("community").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "community").limit(50)
+    """Every node's community over all edges."""
+    return graph.communities(f.edges)
 
 
-@query("SELECT canonical_id, count(*) AS degree FROM (SELECT from_id AS canonical_id FROM edges UNION ALL SELECT to_id FROM edges WHERE from_id <> to_id) GROUP BY 1 ORDER BY degree DESC, canonical_id LIMIT 50")
+@query("SELECT canonical_id, count(*) AS degree FROM (SELECT from_id AS canonical_id FROM edges UNION ALL SELECT to_id FROM edges WHERE from_id <> to_id) GROUP BY 1")
 def recomputed_degrees(f: Frames) -> DataFrame:
-    return writes.degrees(f.edges).orderBy(F.desc("degree"), "canonical_id").limit(50)
+    return writes.degrees(f.edges)
 
 
 @query("SELECT 'Service:1' AS id, 'Service:1' AS resolved UNION ALL SELECT 'Service:2', 'Service:1' UNION ALL SELECT 'Service:9', 'Service:9'")
@@ -194,3 +194,50 @@ def entity_merge_snapshots(f: Frames) -> DataFrame:
 @query(f"WITH {_MOVED} SELECT CASE WHEN old_to = 'Service:2' THEN 'Service:2' ELSE to_id END AS to_id, count(*) AS n FROM placed WHERE fate = 'kept' GROUP BY 1")
 def entity_unmerge(f: Frames) -> DataFrame:
     return writes.unmerge_alias(_merged(f), "Service:2")["edges"].groupBy("to_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n.canonical_id, n.label, CASE WHEN n.label = 'Document' THEN coalesce(nullif(d.title, ''), n.name) ELSE n.name END AS title FROM nodes n LEFT JOIN (SELECT 'Document:' || source_id AS canonical_id, title FROM docs WHERE valid_to IS NULL) d USING (canonical_id)")
+def node_titles(f: Frames) -> DataFrame:
+    live = f.documents.where("valid_to is null").select(F.concat(F.lit("Document:"), "source_id").alias("canonical_id"), "title")
+    return graph.node_titles(f.nodes, live)
+
+
+@query("SELECT canonical_id, degree, (SELECT count(*) FROM nodes WHERE label = 'Repo') AS total FROM nodes WHERE label = 'Repo' ORDER BY degree DESC, canonical_id LIMIT 40")
+def nodes_with_total(f: Frames) -> DataFrame:
+    return graph.with_total(f.nodes.where("label = 'Repo'").select("canonical_id", "degree"), 40, F.desc("degree"), F.asc("canonical_id"))
+
+
+_MERGED = "a AS (SELECT 'Service:' || s_suppkey AS alias, 'Service:' || (s_suppkey - s_suppkey % 3) AS p FROM supplier WHERE s_suppkey % 3 <> 0)"
+
+
+def _service_aliases(f: Frames) -> DataFrame:
+    n = F.col("s_suppkey")
+    made = f.table("supplier").where("s_suppkey % 3 <> 0 OR s_suppkey % 9 = 3")
+    primary = F.when(n % 3 != 0, n - n % 3).otherwise(n - 3)
+    return made.select(F.lit("Service").alias("label"), F.concat(F.lit("Service:"), n.cast("string")).alias("alias"), F.concat(F.lit("Service:"), primary.cast("string")).alias("primary"), F.concat(F.lit("m"), (n % 4).cast("string")).alias("merge_id"), F.expr("timestampadd(HOUR, CAST(s_suppkey * 7 % 50 AS INT), timestamp'2024-01-01 00:00:00')").alias("added_at"))
+
+
+@query(f"WITH {_MERGED} SELECT coalesce(a.p, canonical_id) AS canonical_id, source_system, min(first_seen) AS first_seen, max(last_seen) AS last_seen FROM provenance LEFT JOIN a ON a.alias = canonical_id GROUP BY ALL")
+def provenance_merge(f: Frames) -> DataFrame:
+    aliases = _service_aliases(f).where("cast(split_part(alias, ':', 2) as long) % 3 <> 0")
+    return provenance.merged_provenance(f.provenance, aliases)
+
+
+@query(f"WITH {_MERGED}, m AS (SELECT coalesce(a.p, canonical_id) AS canonical_id, source_system, min(first_seen) AS first_seen, max(last_seen) AS last_seen FROM provenance LEFT JOIN a ON a.alias = canonical_id GROUP BY ALL) SELECT * FROM m WHERE starts_with(canonical_id, 'Service:') UNION ALL SELECT canonical_id, source_system, first_seen, last_seen FROM provenance WHERE canonical_id = 'Service:2'")
+def provenance_after_unmerge(f: Frames) -> DataFrame:
+    aliases = _service_aliases(f).where("cast(split_part(alias, ':', 2) as long) % 3 <> 0")
+    services = f.provenance.where(F.col("canonical_id").startswith("Service:"))
+    return provenance.restored_provenance(provenance.merged_provenance(services, aliases), services, "Service:2")
+
+
+@query("""WITH a AS (SELECT 'Service:' || s_suppkey AS alias, 'Service:' || CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey - s_suppkey % 3 ELSE s_suppkey - 3 END AS p, 'm' || (s_suppkey % 4) AS merge_id, TIMESTAMP '2024-01-01 00:00:00' + (s_suppkey * 7 % 50) * INTERVAL 1 HOUR AS added_at FROM supplier WHERE s_suppkey % 3 <> 0 OR s_suppkey % 9 = 3)
+SELECT 'Service' AS label, p AS primary_id, any_value(n.name) AS name, '[' || string_agg('{"alias":"' || alias || '","merge_id":"' || merge_id || '"}', ',' ORDER BY added_at, alias) || ']' AS aliases, max(added_at) AS last_added
+FROM a LEFT JOIN nodes n ON n.canonical_id = p WHERE p NOT IN (SELECT alias FROM a) GROUP BY p""")
+def cluster_listing(f: Frames) -> DataFrame:
+    return provenance.clusters(_service_aliases(f), f.nodes).withColumnRenamed("primary", "primary_id")
+
+
+@query("SELECT canonical_id, name FROM (SELECT 'Person:' || (user_id % 100) AS canonical_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type || ' ' || (event_id % 50) END AS name, ts AS updated_at FROM events) WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY canonical_id ORDER BY updated_at DESC, name) = 1")
+def latest_display_names(f: Frames) -> DataFrame:
+    named = F.when(F.col("event_id") % 5 == 0, "").otherwise(F.concat("event_type", F.lit(" "), (F.col("event_id") % 50).cast("string")))
+    return provenance.display_names(f.table("events").select(F.concat(F.lit("Person:"), (F.col("user_id") % 100).cast("string")).alias("canonical_id"), named.alias("name"), F.col("ts").cast("timestamp").alias("updated_at")))

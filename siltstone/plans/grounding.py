@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.engine import Engine
 from siltstone.expr.text import bare_ids, grounding_tokens
 from siltstone.model.frames import Frames
-from siltstone.operators import code_graph, grounding, retrieval
+from siltstone.operators import code_graph, graph, grounding, listing, retrieval
 from siltstone.operators.listing import Filters
 from siltstone.plans.registry import query
 from siltstone.plans.retrieval import NOW, VECTOR
@@ -60,22 +60,39 @@ def recall_floor(f: Frames) -> DataFrame:
     return retrieval.recall_floor(gathered, live.select("doc_id", F.length("body").alias("score")), 10)
 
 
-@query("""WITH live AS (SELECT doc_id, CAST(source_id AS BIGINT) AS n, length(body) AS n_tokens FROM docs WHERE valid_to IS NULL),
-every AS (SELECT doc_id, n_tokens, 0 AS step FROM live WHERE n = 1 UNION ALL SELECT doc_id, n_tokens, 1 FROM live WHERE n BETWEEN 1 AND 20 UNION ALL SELECT doc_id, n_tokens, 2 FROM live WHERE n BETWEEN 10 AND 40 UNION ALL SELECT doc_id, n_tokens, 3 FROM live WHERE n BETWEEN 30 AND 60),
+_SIMILAR = "(SELECT v.vec_id, round(coalesce(list_cosine_similarity(v.embedding, q.embedding), 0), 6) AS score FROM vectors v, (SELECT embedding FROM vectors WHERE vec_id = {0}) q WHERE v.vec_id <> {0})"
+
+
+@query(f"""WITH live AS (SELECT doc_id, source_id, updated_at, length(body) AS n_tokens FROM docs WHERE valid_to IS NULL AND visibility = 'approved'),
+hop AS (SELECT b AS canonical_id, count(*) AS hits FROM sym WHERE a = 'Service:3' AND live GROUP BY b),
+near AS (SELECT canonical_id FROM hop JOIN nodes USING (canonical_id) WHERE label = 'Document' ORDER BY round(hits / ln(1.0 + greatest(1, degree)), 6) DESC, canonical_id LIMIT 15),
+like_ AS (SELECT CAST(vec_id AS VARCHAR) AS source_id FROM {_SIMILAR.format(201)} WHERE CAST(vec_id AS VARCHAR) IN (SELECT source_id FROM live) ORDER BY score DESC, vec_id LIMIT 10),
+anchor AS (SELECT * FROM live WHERE source_id = '201'),
+day AS (SELECT l.doc_id FROM live l, anchor a WHERE l.doc_id <> a.doc_id AND l.updated_at BETWEEN a.updated_at - INTERVAL 24 HOUR AND a.updated_at + INTERVAL 24 HOUR ORDER BY l.updated_at DESC, l.doc_id LIMIT 30),
+every AS (SELECT doc_id, n_tokens, 0 AS step FROM anchor UNION ALL SELECT doc_id, n_tokens, 1 FROM live WHERE 'Document:' || source_id IN (SELECT canonical_id FROM near) UNION ALL SELECT doc_id, n_tokens, 2 FROM live WHERE source_id IN (SELECT source_id FROM like_) UNION ALL SELECT doc_id, n_tokens, 3 FROM live WHERE doc_id IN (SELECT doc_id FROM day)),
 once AS (SELECT doc_id, min(step) AS step, max(n_tokens) AS n_tokens FROM every GROUP BY doc_id)
 SELECT doc_id, step, n_tokens FROM (SELECT *, sum(n_tokens) OVER (ORDER BY step, doc_id ROWS UNBOUNDED PRECEDING) AS r FROM once) WHERE r <= 60000""")
 def context_bundle(f: Frames) -> DataFrame:
-    live = f.documents.where("valid_to is null").select("doc_id", F.col("source_id").cast("long").alias("n"), F.length("body").cast("long").alias("n_tokens"))
-    parts = [live.where("n = 1"), live.where("n BETWEEN 1 AND 20"), live.where("n BETWEEN 10 AND 40"), live.where("n BETWEEN 30 AND 60")]
-    return grounding.context_bundle(*parts, 60_000)
-
-
-@query("""WITH a AS (SELECT vec_id AS canonical_id, round(1.0 / (1 + vec_id % 17), 6) AS similarity FROM vectors WHERE vec_id % 3 = 0), b AS (SELECT vec_id AS canonical_id, round((vec_id % 13) / 13.0, 6) AS distance FROM vectors WHERE vec_id % 5 = 0)
+    """A document, what is one hop from its service, what is like it and what changed within a day of it."""
+    live = listing.filtered(f.documents, Filters()).select("doc_id", "source_id", "updated_at", F.length("body").cast("long").alias("n_tokens"))
+    anchor = live.where("source_id = '201'")
+    near = graph.one_hop(f.symmetric_edges, f.nodes.where("label = 'Document'"), "Service:3", 15)
+    neighbours = live.join(near.select(F.regexp_replace("canonical_id", "^Document:", "").alias("source_id")), "source_id", "left_semi")
+    similar = retrieval.similar_to(f.vectors, 201, 10, live.select(F.col("source_id").cast("long").alias("vec_id")))
+    like = live.join(similar.select(F.col("vec_id").cast("string").alias("source_id")), "source_id", "left_semi")
+    recent = live.join(listing.near_in_time(live, anchor, 24, 30).select("doc_id"), "doc_id", "left_semi")
+    return grounding.context_bundle(anchor, neighbours, like, recent, 60_000)
+
+
+@query(f"""WITH q AS (SELECT list_distinct(flatten(list_transform(['customer', '000000012'], lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS q),
+a AS (SELECT canonical_id, similarity FROM (SELECT canonical_id, round(coalesce(len(list_intersect(g, q)) / nullif(len(list_distinct(list_concat(g, q))), 0), 0), 6) AS similarity FROM (SELECT canonical_id, {GRAMS.format("name")} AS g FROM nodes WHERE label = 'Person'), q) WHERE similarity >= 0.3 ORDER BY similarity DESC, canonical_id LIMIT 10),
+b AS (SELECT 'Person:' || vec_id AS canonical_id, round(1 - score, 6) AS distance FROM {_SIMILAR.format(12)} ORDER BY score DESC, vec_id LIMIT 10)
 SELECT canonical_id, similarity, distance, CAST((similarity IS NOT NULL)::INT + (distance IS NOT NULL)::INT AS INTEGER) AS signals FROM a FULL JOIN b USING (canonical_id) ORDER BY signals DESC, similarity DESC NULLS LAST, distance ASC NULLS LAST, canonical_id LIMIT 10""")
 def merge_candidates(f: Frames) -> DataFrame:
-    a = f.vectors.where("vec_id % 3 = 0").select(F.col("vec_id").alias("canonical_id"), F.expr("round(1.0D / (1 + vec_id % 17), 6)").alias("similarity"))
-    b = f.vectors.where("vec_id % 5 = 0").select(F.col("vec_id").alias("canonical_id"), F.expr("round((vec_id % 13) / 13.0D, 6)").alias("distance"))
-    return grounding.merge_candidates(a, b)
+    """People who may be Person:12: by trigrams of the name, and by the vectors of their descriptions."""
+    by_name = retrieval.fuzzy_nodes(f.nodes.where("label = 'Person'"), "Customer 000000012", 0.3, 10, 10)
+    by_vector = retrieval.similar_to(f.vectors, 12, 10).select(F.concat(F.lit("Person:"), F.col("vec_id").cast("string")).alias("canonical_id"), F.round(1 - F.col("score"), 6).alias("distance"))
+    return grounding.merge_candidates(by_name, by_vector)
 
 
 @query("SELECT doc_id, source_system FROM docs WHERE valid_to IS NULL AND (contains(lower(body || ' ' || title), 'tion the') OR source_system = 'src4' OR contains(lower(body || ' ' || title), 'src4'))")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from siltstone.expr import text
 from siltstone.functions import udfs
 from siltstone.model.frames import Frames
-from siltstone.operators import writes
+from siltstone.operators import persist, provenance, writes
 from siltstone.plans.registry import query
 from siltstone.sources import connectors
 from siltstone.streaming import admission
@@ -83,7 +85,7 @@ _INCOMING_EDGES = """aliased AS (SELECT edge_type, from_id, CASE WHEN to_id IN (
 
 
 def _upserted(f: Frames) -> tuple[DataFrame, DataFrame]:
-    own = f.edges.where("edge_type = 'ASSIGNED_TO'").withColumn("seq", F.monotonically_increasing_id())
+    own = f.edges.where("edge_type = 'ASSIGNED_TO'").withColumn("seq", F.xxhash64("from_id", "to_id"))
     incoming = own.select("edge_type", "from_id", "to_id", "confidence", "valid_from", F.lit(None).cast("timestamp").alias("valid_to"), F.lit("s").alias("source_system"), "seq")
     empty = incoming.limit(0).drop("seq").withColumns({"alias_from": F.lit(""), "alias_to": F.lit("")})
     aliases = f.spark.createDataFrame([("Service:2", "Service:1"), ("Service:4", "Service:1")], "alias string, primary string")
@@ -107,13 +109,86 @@ def drained_edges(f: Frames) -> DataFrame:
     return ready.groupBy("to_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 'documents' AS name, (SELECT count(*) FROM docs WHERE source_system <> 'src3') AS n UNION ALL SELECT 'chunks', (SELECT count(*) FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM docs WHERE source_system = 'src3'))")
+@query("""WITH gone AS (SELECT DISTINCT canonical_id FROM provenance WHERE source_system = 'src3' AND canonical_id NOT IN (SELECT canonical_id FROM provenance WHERE source_system <> 'src3')),
+after AS (SELECT 'documents' AS name, (SELECT count(*) FROM docs) AS before, (SELECT count(*) FROM docs WHERE source_system = 'src3') AS removed
+UNION ALL SELECT 'chunks', (SELECT count(*) FROM chunks), (SELECT count(*) FROM chunks WHERE doc_id IN (SELECT doc_id FROM docs WHERE source_system = 'src3'))
+UNION ALL SELECT 'provenance', (SELECT count(*) FROM provenance), (SELECT count(*) FROM provenance WHERE source_system = 'src3')
+UNION ALL SELECT 'nodes', (SELECT count(*) FROM nodes), (SELECT count(*) FROM nodes WHERE canonical_id IN (SELECT canonical_id FROM gone))
+UNION ALL SELECT 'edges', (SELECT count(*) FROM sourced), (SELECT count(*) FROM sourced WHERE source_system = 'src3' OR from_id IN (SELECT canonical_id FROM gone) OR to_id IN (SELECT canonical_id FROM gone)))
+SELECT * FROM after""")
 def source_purge(f: Frames) -> DataFrame:
-    provenance = f.spark.createDataFrame([("a", "src3"), ("b", "src3"), ("b", "src1")], "canonical_id string, source_system string")
-    nodes = provenance.select("canonical_id").distinct()
-    edges = f.spark.createDataFrame([("a", "b", "src1")], "from_id string, to_id string, source_system string")
-    left = writes.purge_source(f.documents, f.chunks, provenance, nodes, edges, "src3")
-    return left["documents"].agg(F.lit("documents").alias("name"), F.count(F.lit(1)).alias("n")).unionByName(left["chunks"].agg(F.lit("chunks").alias("name"), F.count(F.lit(1)).alias("n")))
+    tables = {"documents": f.documents, "chunks": f.chunks, "provenance": f.provenance, "nodes": f.nodes, "edges": f.sourced_edges}
+    return provenance.removed_counts(tables, provenance.purged(tables, "src3"))
+
+
+@query("""WITH pick AS (SELECT q.customer_id, q.source_system FROM queue q LEFT JOIN (SELECT customer_id, count(*) AS busy FROM queue WHERE status = 'processing' GROUP BY 1) b USING (customer_id) WHERE q.status = 'pending' AND coalesce(busy, 0) < (SELECT count(*) / 8 FROM events) ORDER BY priority DESC, created_at, queue_id LIMIT 1)
+SELECT queue_id, q.customer_id, q.source_system FROM queue q JOIN pick USING (customer_id, source_system) WHERE status = 'pending' ORDER BY priority DESC, created_at, queue_id LIMIT 50""")
+def queue_claim_batch(f: Frames) -> DataFrame:
+    return persist.claimed_batch(f.queue, int(f.table("events").count() / 8)).select("queue_id", "customer_id", "source_system")
+
+
+@query("SELECT customer_id, 'doc:' || (source_event_id % 40) AS anchor_doc_id, min(queue_id) AS queue_id FROM queue WHERE status = 'pending' AND attempts < 5 GROUP BY ALL ORDER BY min(created_at), min(queue_id) LIMIT 30")
+def inferred_edge_claim(f: Frames) -> DataFrame:
+    none = F.lit(None).cast("timestamp")
+    rows = f.queue.select("customer_id", F.concat(F.lit("doc:"), (F.col("source_event_id") % 40).cast("string")).alias("anchor_doc_id"), "queue_id", F.col("created_at").alias("enqueued_at"), "attempts", F.when(F.col("status") == "processing", F.col("created_at")).otherwise(none).alias("started_at"), F.when(F.col("status").isin("done", "dlq"), F.col("created_at")).otherwise(none).alias("done_at"))
+    return persist.claimed_anchors(rows, 30).select("customer_id", "anchor_doc_id", "queue_id")
+
+
+@query("SELECT customer_id, source_system FROM queue WHERE status = 'pending' ORDER BY customer_id, source_system LIMIT 1")
+def backfill_claim(f: Frames) -> DataFrame:
+    return persist.claimed_backfill(f.queue.select("customer_id", "source_system", "status").distinct())
+
+
+def _batch(f: Frames) -> dict[str, DataFrame]:
+    """All tables after a batch that changes every third document of src1 and brings every fourth one that isn't there."""
+    n = F.col("source_id").cast("long")
+    live = f.documents.where("valid_to is null and source_system = 'src1'").withColumn("content_hash", F.md5("body"))
+    none = F.lit(None).cast("timestamp")
+    held = live.where(n % 4 != 0)
+    documents = held.select("doc_id", F.lit(1).cast("long").alias("version"), "content_hash", "valid_from", none.alias("valid_to"), none.alias("deleted_at"))
+    chunks = held.select("doc_id", "content_hash", F.lit(0).cast("long").alias("chunk_index"), F.lit(1).cast("long").alias("first_seen_version"), F.lit(1).cast("long").alias("last_seen_version"), none.alias("valid_to"))
+    fresh = live.withColumn("content_hash", F.when(n % 3 == 0, F.concat(F.lit("new"), "content_hash")).otherwise(F.col("content_hash")))
+    nodes = held.select(F.lit("Document").alias("label"), F.col("doc_id").alias("canonical_id"), F.lit('{"a":"1"}').alias("properties"))
+    edges = fresh.select(F.lit("AUTHORED").alias("edge_type"), F.coalesce("author_id", F.lit("nobody")).alias("from_id"), F.col("doc_id").alias("to_id"), F.lit("EXTRACTED").alias("confidence"), "valid_from", none.alias("valid_to"), F.lit("src1").alias("source_system"), n.alias("seq"))
+    people = fresh.where("author_id is not null").groupBy("author_id").agg(F.min(n).alias("seq")).select(F.lit("Person").alias("label"), F.col("author_id").alias("canonical_id"), F.lit("{}").alias("properties"), "seq")
+    batch = {
+        "documents": fresh.select("doc_id", n.alias("seq"), "content_hash"),
+        "chunks": fresh.select("doc_id", "content_hash", F.lit(0).cast("long").alias("chunk_index")),
+        "nodes": fresh.select(F.lit("Document").alias("label"), F.col("doc_id").alias("canonical_id"), F.lit('{"b":"2"}').alias("properties"), n.alias("seq")).unionByName(people),
+        "edges": edges,
+    }
+    empty = edges.limit(0)
+    aliases = f.spark.createDataFrame([], "label string, alias string, primary string")
+    lanes = {"alias_from": F.lit(""), "alias_to": F.lit("")}
+    tables = {"documents": documents, "chunks": chunks, "nodes": nodes, "edges": empty.drop("seq").withColumns(lanes), "pending": empty.withColumns(lanes), "aliases": aliases}
+    return persist.persisted(tables, batch, NOW)
+
+
+@query("""WITH l AS (SELECT doc_id, CAST(source_id AS BIGINT) AS n, coalesce(author_id, 'nobody') AS author, author_id FROM docs WHERE valid_to IS NULL AND source_system = 'src1')
+SELECT 'documents' AS name, count(*) + (SELECT count(*) FROM l WHERE n % 4 <> 0 AND n % 3 = 0) AS n FROM l UNION ALL SELECT 'live documents', count(*) FROM l
+UNION ALL SELECT 'chunks', count(*) + (SELECT count(*) FROM l WHERE n % 4 <> 0 AND n % 3 = 0) FROM l UNION ALL SELECT 'live chunks', count(*) FROM l
+UNION ALL SELECT 'nodes', count(*) + (SELECT count(DISTINCT author_id) FROM l WHERE author_id IS NOT NULL) FROM l UNION ALL SELECT 'edges', count(*) FILTER (author_id IS NOT NULL) FROM l UNION ALL SELECT 'pending', count(*) FILTER (author_id IS NULL) FROM l""")
+def persisted_batch(f: Frames) -> DataFrame:
+    after = _batch(f)
+    live = {f"live {name}": after[name].where("valid_to is null") for name in ("documents", "chunks")}
+    counts = [table.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name, table in (after | live).items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query("""WITH changed AS (SELECT canonical_id FROM nodes WHERE label = 'Service'), parked AS (SELECT edge_type, from_id, to_id FROM edges WHERE edge_type IN ('ASSIGNED_TO', 'CALLS') AND tier = 1)
+SELECT edge_type, count(*) AS n FROM (SELECT DISTINCT edge_type, from_id, to_id FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY edge_type, from_id, to_id) AS place FROM (SELECT *, unnest(CASE WHEN from_id = to_id THEN [from_id] ELSE [from_id, to_id] END) AS e FROM parked) WHERE e IN (SELECT canonical_id FROM changed)) WHERE place <= 20) GROUP BY 1""")
+def post_write_drain(f: Frames) -> DataFrame:
+    parked = f.edges.where("edge_type in ('ASSIGNED_TO', 'CALLS') and tier = 1").select("edge_type", "from_id", "to_id", F.lit(NOW).cast("timestamp").alias("parked_at"))
+    nodes = f.nodes.withColumn("embedding", F.lit(None).cast("array<double>"))
+    return persist.after_write(nodes.where("label = 'Service'").select("canonical_id"), nodes, parked, most=20)[1].groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_id AS request_id, status, summary, octet_length(encode(summary)) < 512 AS whole, '{}' AS metadata FROM (SELECT event_id, status, CASE WHEN event_id % 50 = 0 THEN left(repeat(summary, 100), 512) ELSE summary END AS summary FROM usage)""")
+def usage_event_rows(f: Frames) -> DataFrame:
+    none = F.lit(None).cast("string")
+    long = F.when(F.col("event_id") % 50 == 0, F.repeat("summary", F.lit(100))).otherwise(F.col("summary"))
+    calls = f.usage.select(F.lit("acme").alias("customer_id"), "occurred_at", "caller_kind", "event_type", F.col("event_id").alias("request_id"), F.lit("/query").alias("endpoint"), "status", none.alias("error_class"), "latency_ms", F.lit(1).alias("result_count"), long.alias("summary"), none.alias("metadata"), none.alias("counters"))
+    return persist.usage_rows(calls).select("request_id", "status", "summary", (F.octet_length("summary") < 512).alias("whole"), "metadata")
 
 
 @query("SELECT customer_id, source_system, source_event_id, count(*) AS version, string_agg(payload_key, ',' ORDER BY created_at, payload_key) AS payload_keys FROM queue GROUP BY ALL")
@@ -122,9 +197,10 @@ def session_coalescing(f: Frames) -> DataFrame:
     return admission.coalesced(events).withColumn("payload_keys", F.concat_ws(",", "payload_keys"))
 
 
-@query("SELECT customer_id, source_system, source_event_id, min(created_at) IS NOT NULL AS admitted FROM queue GROUP BY ALL")
+@query("SELECT customer_id, source_system, source_event_id, min(queue_id) AS queue_id FROM queue GROUP BY ALL")
 def idempotent_admission(f: Frames) -> DataFrame:
-    return f.queue.dropDuplicates(["customer_id", "source_system", "source_event_id"]).select("customer_id", "source_system", "source_event_id", F.lit(True).alias("admitted"))
+    """The batch form of admission; on streams `admitted` is the same."""
+    return admission.admitted_batch(f.queue.withColumnRenamed("created_at", "received_at")).select("customer_id", "source_system", "source_event_id", "queue_id")
 
 
 @query("SELECT CASE WHEN queue_id % 6 = 0 THEN CASE WHEN queue_id % 12 = 0 AND attempts + 1 < 5 THEN 'pending' ELSE 'dlq' END ELSE status END AS status, CAST(sum(attempts + CASE WHEN queue_id % 6 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS attempts, count(*) AS n FROM queue GROUP BY 1")
@@ -162,14 +238,22 @@ def session_documents(f: Frames) -> DataFrame:
     return connectors.session_documents(f.sessions).select(F.col("source_id").cast("long").alias("conv_id"), "body")
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, turn, role, length(coalesce(text, '')) AS size FROM conversations),
+walk AS (SELECT conv_id, n, 0 AS segment, turn AS first_turn, size FROM t WHERE n = 1
+  UNION ALL SELECT t.conv_id, t.n, CASE WHEN w.size + t.size > 1500 AND t.role = 'user' OR w.size + t.size > 2250 THEN w.segment + 1 ELSE w.segment END,
+    CASE WHEN w.size + t.size > 1500 AND t.role = 'user' OR w.size + t.size > 2250 THEN t.turn ELSE w.first_turn END, CASE WHEN w.size + t.size > 1500 AND t.role = 'user' OR w.size + t.size > 2250 THEN t.size ELSE w.size + t.size END
+  FROM walk w JOIN t ON t.conv_id = w.conv_id AND t.n = w.n + 1),
+s AS (SELECT conv_id, segment, first_turn, count(*) AS turns FROM walk GROUP BY ALL), k AS (SELECT *, greatest(max(segment) OVER (PARTITION BY conv_id) - 15, 0) AS first FROM s)
+SELECT conv_id, segment - first AS segment, first_turn, turns, CAST(coalesce((SELECT sum(s.turns) FROM s WHERE s.conv_id = k.conv_id AND s.segment < k.first), 0) AS BIGINT) AS left_out FROM k WHERE segment >= first""")
 def session_segments(f: Frames) -> DataFrame:
     return udfs.segmented(f.sessions, 1500)
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, chunk_index, chunk_id, content, string_split(content, ' ') AS t, lag(string_split(content, ' ')) OVER (PARTITION BY doc_id ORDER BY chunk_index, chunk_id) AS b FROM chunks WHERE valid_to IS NULL),
+p AS (SELECT doc_id, chunk_index, chunk_id, CASE WHEN b IS NULL THEN content WHEN len(b) >= 64 AND len(t) >= 64 AND b[-64:] = t[1:64] THEN CASE WHEN len(t) > 64 THEN ' ' || array_to_string(t[65:], ' ') ELSE '' END ELSE chr(10) || chr(10) || content END AS piece FROM l)
+SELECT doc_id, sha256(string_agg(piece, '' ORDER BY chunk_index, chunk_id)) AS text, length(string_agg(piece, '' ORDER BY chunk_index, chunk_id)) - length(replace(string_agg(piece, '' ORDER BY chunk_index, chunk_id), chr(10), '')) + 1 AS lines FROM p GROUP BY doc_id""")
 def chunk_reconstruction(f: Frames) -> DataFrame:
-    return udfs.reconstructed(f.chunks).select("doc_id", F.length("text").alias("length"), "lines")
+    return udfs.reconstructed(f.chunks).select("doc_id", F.sha2("text", 256).alias("text"), "lines")
 
 
 @query("WITH d AS (SELECT doc_id, ' ' || substr(title, 1, 20) || ' ABC-' || (CAST(source_id AS BIGINT) % 9) || ' and DEF-7, ABC-' || (CAST(source_id AS BIGINT) % 4) || ' ' AS t, 'ABC-' || (CAST(source_id AS BIGINT) % 4) AS own FROM docs WHERE version = 1) SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(t, '\\b([A-Z]{2,10}-[0-9]+)\\b', 1)), lambda x: x <> own)), ',') AS refs FROM d")

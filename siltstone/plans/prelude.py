@@ -49,6 +49,11 @@ TABLES = {
     UNION ALL SELECT 'Service', 'Service:' || s_suppkey, s_name, NULL FROM supplier
     UNION ALL SELECT 'Repo', 'Repo:' || p_partkey, p_name, NULL FROM part)
   LEFT JOIN (SELECT a, count(*) AS degree FROM sym GROUP BY a) d ON d.a = canonical_id""",
+    "sourced": """
+  SELECT *, 'src' || (CAST(split_part(from_id, ':', 2) AS BIGINT) % 5) AS source_system FROM edges""",
+    "provenance": """
+  SELECT canonical_id, source_system, min(valid_from) AS first_seen, max(valid_from) AS last_seen
+  FROM (SELECT from_id AS canonical_id, source_system, valid_from FROM sourced UNION ALL SELECT to_id, source_system, valid_from FROM sourced) GROUP BY ALL""",
     "usage": """
   SELECT event_id, user_id, ts AS occurred_at, value AS latency_ms, event_type, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,
     CASE WHEN user_id % 3 = 0 THEN 'agent' ELSE 'human' END AS caller_kind, concat_ws(' ', event_type, props) AS summary FROM events""",
@@ -74,6 +79,9 @@ def with_tables(body: str) -> str:
 
     need(body)
     own = body.strip()
+    if own.upper().startswith("WITH RECURSIVE "):
+        common = ", ".join(f"{n} AS ({TABLES[n]})" for n in needed)
+        return f"WITH RECURSIVE {common}, {own[15:]}" if common else own
     common = ", ".join(f"{n} AS ({TABLES[n]})" for n in needed)
     if own.upper().startswith("WITH "):
         return f"WITH {common}, {own[5:]}" if common else own

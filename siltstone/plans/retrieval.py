@@ -257,25 +257,22 @@ def identifier_shapes(f: Frames) -> DataFrame:
     return f.vectors.select("vec_id", text.has_id_shape(made).alias("candidate"))
 
 
-@query("SELECT doc_id, source_id, source_url FROM docs WHERE valid_to IS NULL AND (source_id IN ('17', '250', '77') OR source_url LIKE '%/items/91') ")
+@query("SELECT doc_id, source_id, source_url, CAST(min(place) AS INTEGER) AS place FROM docs, (SELECT unnest(['17', '250', '91', 'doc:src3:3']) AS asked, unnest([0, 1, 2, 3]) AS place) WHERE valid_to IS NULL AND (source_id = asked OR doc_id = asked OR source_url LIKE '%/' || asked) GROUP BY ALL")
 def exact_id_lookup(f: Frames) -> DataFrame:
-    return f.documents.where("valid_to is null").where(F.col("source_id").isin("17", "250", "77") | F.col("source_url").endswith("/items/91")).select("doc_id", "source_id", "source_url")
+    return listing.by_exact_id(f.documents, ["17", "250", "91", "doc:src3:3"]).drop("version")
 
 
-@query("""WITH a AS (SELECT * FROM vectors WHERE vec_id = 0), s AS (SELECT v.vec_id, v.source_system, round(list_cosine_similarity(v.embedding, a.embedding), 6) AS score, a.source_system AS own FROM vectors v, a WHERE v.vec_id <> 0 ORDER BY score DESC, v.vec_id LIMIT 200)
-SELECT vec_id, source_system, score FROM s WHERE source_system <> own ORDER BY score DESC, vec_id LIMIT 20""")
+@query("""WITH a AS (SELECT * FROM vectors WHERE vec_id = 0), s AS (SELECT v.vec_id, v.source_system, round(list_cosine_similarity(v.embedding, a.embedding), 6) AS score FROM vectors v, a WHERE v.vec_id <> 0 ORDER BY score DESC, v.vec_id LIMIT 200)
+SELECT vec_id, source_system, score FROM s WHERE source_system <> 'src1' ORDER BY score DESC, vec_id LIMIT 20""")
 def similar_across_sources(f: Frames) -> DataFrame:
-    anchor = f.vectors.where("vec_id = 0").first()
-    pool = retrieval.vector_search(f.vectors.where("vec_id <> 0"), list(anchor["embedding"]) if anchor else [], 200)
-    return pool.where(F.col("source_system") != (anchor["source_system"] if anchor else "")).orderBy(F.desc("score"), "vec_id").limit(20).select("vec_id", "source_system", "score")
+    return retrieval.similar_to(f.vectors, 0, 20, sources_but="src1")
 
 
-@query("SELECT d.doc_id, d.version FROM docs d JOIN docs a ON a.doc_id = 'doc:src1:201' OR a.source_id = '201' WHERE a.valid_to IS NULL AND a.source_id = '201' AND d.valid_to IS NULL AND d.doc_id <> a.doc_id AND d.updated_at BETWEEN a.updated_at - INTERVAL 24 HOUR AND a.updated_at + INTERVAL 24 HOUR ORDER BY d.updated_at DESC, d.doc_id LIMIT 30")
+@query("""SELECT own, doc_id, version FROM (SELECT a.doc_id AS own, d.doc_id, d.version, row_number() OVER (PARTITION BY a.doc_id ORDER BY d.updated_at DESC, d.doc_id) AS place FROM docs a JOIN docs d ON d.updated_at BETWEEN a.updated_at - INTERVAL 24 HOUR AND a.updated_at + INTERVAL 24 HOUR AND d.doc_id <> a.doc_id
+WHERE a.valid_to IS NULL AND d.valid_to IS NULL AND a.source_system IN ('src1', 'src5')) WHERE place <= 30""")
 def within_a_day(f: Frames) -> DataFrame:
-    live = f.documents.where("valid_to is null")
-    anchor = live.where("source_id = '201'").select(F.col("doc_id").alias("own"), F.col("updated_at").alias("at"))
-    near = live.join(F.broadcast(anchor.limit(1)), F.col("updated_at").between(F.col("at") - F.expr("INTERVAL 24 HOUR"), F.col("at") + F.expr("INTERVAL 24 HOUR")) & (F.col("doc_id") != F.col("own")))
-    return near.orderBy(F.desc("updated_at"), "doc_id").limit(30).select("doc_id", "version")
+    live = f.documents.where("valid_to is null").select("doc_id", "version", "updated_at", "source_system")
+    return listing.near_in_time(live, live.where("source_system in ('src1', 'src5')"), 24, 30).select("own", "doc_id", "version")
 
 
 @query("SELECT chunk_id, CAST(running AS BIGINT) AS running FROM (SELECT chunk_id, sum(n_tokens) OVER (ORDER BY valid_from DESC, chunk_id ROWS UNBOUNDED PRECEDING) AS running FROM (SELECT * FROM chunks WHERE valid_to IS NULL ORDER BY valid_from DESC, chunk_id LIMIT 200)) WHERE running <= 20000")
@@ -285,13 +282,22 @@ def token_budget(f: Frames) -> DataFrame:
     return retrieval.within_budget(newest, "n_tokens", order, 20_000).select("chunk_id", "running")
 
 
-@query()
+def _suppressed(threshold: float) -> str:
+    """SQL of the greedy rule: a hit stays if no kept one before it is nearer than the threshold."""
+    return f"""WITH RECURSIVE {_SCORES}, top AS (SELECT row_number() OVER (ORDER BY score DESC, vec_id) AS rank, vec_id FROM (SELECT * FROM scored ORDER BY score DESC, vec_id LIMIT 50)),
+v AS (SELECT t.rank, t.vec_id, e.embedding FROM top t JOIN vectors e USING (vec_id)),
+near AS (SELECT b.rank, list(a.rank) AS before FROM v a JOIN v b ON a.rank < b.rank AND list_cosine_similarity(a.embedding, b.embedding) > {threshold} GROUP BY b.rank),
+walk AS (SELECT 1 AS rank, [1] AS kept UNION ALL SELECT CAST(w.rank + 1 AS INTEGER), CASE WHEN len(list_intersect(w.kept, coalesce((SELECT before FROM near n WHERE n.rank = w.rank + 1), []))) > 0 THEN w.kept ELSE list_append(w.kept, CAST(w.rank + 1 AS INTEGER)) END FROM walk w WHERE w.rank < (SELECT count(*) FROM top))
+SELECT rank, vec_id FROM top WHERE list_contains((SELECT kept FROM walk ORDER BY rank DESC LIMIT 1), CAST(rank AS INTEGER))"""
+
+
+@query(_suppressed(0.25))
 def near_duplicate_suppression(f: Frames) -> DataFrame:
-    top = retrieval.vector_search(f.vectors, VECTOR, 50).join(f.vectors.select("vec_id", "embedding"), "vec_id")
     from pyspark.sql import Window
 
+    top = retrieval.vector_search(f.vectors, VECTOR, 50).join(f.vectors.select("vec_id", "embedding"), "vec_id")
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")).cast("long"))
-    return retrieval.suppress_near_duplicates(ranked.select("rank", "vec_id", "embedding"), 0.25)
+    return retrieval.suppress_near_duplicates(ranked.select(F.lit(0).alias("search"), "rank", "vec_id", "embedding"), 0.25).drop("search")
 
 
 @query("""WITH p AS (SELECT vec_id AS name, embedding FROM vectors WHERE vec_id < 5), s AS (SELECT v.vec_id, p.name, round(coalesce(list_cosine_similarity(v.embedding, p.embedding), 0), 6) AS score FROM vectors v, p),

@@ -156,7 +156,7 @@ def owners(rules: DataFrame) -> DataFrame:
     """OWNS edges of an owners file (repo, line): a pattern and its owners; comments and blank lines are skipped."""
     words = F.split(F.trim(F.regexp_replace("line", "#.*$", "")), r"\s+")
     rows = rules.select("repo", words.alias("w")).where(F.size("w") > 1)
-    return rows.select("repo", F.element_at("w", 1).alias("pattern"), F.explode(F.slice("w", 2, 1000)).alias("owner"))
+    return rows.select("repo", F.element_at("w", 1).alias("pattern"), F.explode(F.slice("w", F.lit(2), F.size("w"))).alias("owner"))
 
 
 # --- tickets -------------------------------------------------------------------------------------
@@ -204,7 +204,8 @@ def page_documents(raw: DataFrame) -> DataFrame:
     """Pages and databases of block trees of any depth: all plain texts in order, as a variant's text fields."""
     c = F.col
     p = _parsed(raw, "entity struct<id: string, type: string>, workspace_id string, data struct<last_edited_time: string, last_edited_by: struct<id: string>>, body_markdown string, title string, url string, in_trash boolean")
-    texts = F.concat_ws("\n", F.regexp_extract_all("payload", F.lit(r'"plain_text"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1)))
+    found = F.regexp_extract_all("payload", F.lit(r'"plain_text"\s*:\s*("(?:[^"\\]|\\.)*")'), F.lit(1))
+    texts = F.concat_ws("\n", F.from_json(F.concat(F.lit("["), F.array_join(found, ","), F.lit("]")), "array<string>"))  # JSON strings, unescaped as such
     return _document(p, doc_id=F.concat(F.lit("notion:"), c("p.entity.id")), source_system=F.lit("notion"), doc_type=F.concat(F.lit("notion."), F.coalesce("p.entity.type", F.lit("page"))), source_id=c("p.entity.id"), source_url=c("p.url"), title=F.coalesce(c("p.title"), F.split_part(texts, F.lit("\n"), F.lit(1))), body=F.coalesce(c("p.body_markdown"), texts), author_id=c("p.data.last_edited_by.id"), updated_at=_time(c("p.data.last_edited_time")), deleted=F.coalesce("p.in_trash", F.lit(False)))
 
 

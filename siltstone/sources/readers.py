@@ -7,6 +7,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -62,9 +63,16 @@ def parse_upload(name: str, content: bytes) -> tuple[str | None, str | None]:
 
 
 class Poller:
-    """Pulls one resource: poll(cursor) gives rows (payload) and the next cursor; the cursor is the stream's offset."""
+    """Pulls one resource: a cursor counts what was pulled. latest() is how far there is something to pull; poll(cursor, most) gives
+    the payloads from a cursor on, `most` at most. Offsets are cursors, so a replayed batch pulls the same again."""
 
-    def poll(self, cursor: int) -> tuple[list[str], int]:
+    #: Payloads that one task pulls.
+    page = 100
+
+    def latest(self) -> int:
+        raise NotImplementedError
+
+    def poll(self, cursor: int, most: int) -> list[str]:
         raise NotImplementedError
 
 
@@ -78,9 +86,13 @@ def register_poller(name: str, poller: type[Poller]) -> None:
 class CountingPoller(Poller):
     """Ten numbered payloads, for tests and as an example."""
 
-    def poll(self, cursor: int) -> tuple[list[str], int]:
-        end = min(cursor + 4, 10)
-        return [f'{{"n": {i}}}' for i in range(cursor, end)], end
+    page = 4
+
+    def latest(self) -> int:
+        return 10
+
+    def poll(self, cursor: int, most: int) -> list[str]:
+        return [f'{{"n": {i}}}' for i in range(cursor, min(cursor + most, self.latest()))]
 
 
 register_poller("counting", CountingPoller)
@@ -92,47 +104,41 @@ class _Slice(InputPartition):
         self.begin, self.end = begin, end
 
 
-class _Stream(DataSourceStreamReader):
-    """Offsets are cursors; a replayed batch polls from its first cursor again and stops at its last."""
+class _Pulling:
+    """A range of cursors is cut into pages, each a task of its own."""
 
     def __init__(self, name: str) -> None:
         self.poller = POLLERS[name]()
-        self.seen = 0
-
-    def initialOffset(self) -> dict:
-        return {"cursor": 0}
-
-    def latestOffset(self) -> dict:
-        _, self.seen = self.poller.poll(self.seen)
-        return {"cursor": self.seen}
 
-    def partitions(self, start: dict, end: dict) -> list[_Slice]:
-        return [_Slice(start["cursor"], end["cursor"])]
+    def slices(self, begin: int, end: int) -> list[_Slice]:
+        return [_Slice(a, min(a + self.poller.page, end)) for a in range(begin, end, self.poller.page)]
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
         cursor = partition.begin
         while cursor < partition.end:
-            rows, after = self.poller.poll(cursor)
-            if after == cursor:
+            rows = self.poller.poll(cursor, partition.end - cursor)
+            if not rows:
                 return
-            for i, row in enumerate(rows):
-                if cursor + i < partition.end:
-                    yield (row,)
-            cursor = after
+            yield from ((row,) for row in rows)
+            cursor += len(rows)
 
 
-class _Batch(DataSourceReader):
-    def __init__(self, name: str) -> None:
-        self.poller = POLLERS[name]()
+class _Stream(_Pulling, DataSourceStreamReader):
+    """What is latest doesn't depend on what this run has seen; Spark keeps where the last one stopped."""
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        cursor = 0
-        while True:
-            rows, after = self.poller.poll(cursor)
-            if after == cursor:
-                return
-            yield from ((r,) for r in rows)
-            cursor = after
+    def initialOffset(self) -> dict:
+        return {"cursor": 0}
+
+    def latestOffset(self) -> dict:
+        return {"cursor": self.poller.latest()}
+
+    def partitions(self, start: dict, end: dict) -> list[_Slice]:
+        return self.slices(start["cursor"], end["cursor"])
+
+
+class _Batch(_Pulling, DataSourceReader):
+    def partitions(self) -> list[_Slice]:
+        return self.slices(0, self.poller.latest())
 
 
 class PollerSource(DataSource):
@@ -157,6 +163,31 @@ def due_cursors(cursors: DataFrame, now: str, seconds: int, limit: int) -> DataF
     return cursors.where(F.col("polled_at") < F.expr(f"timestamp'{now}' - INTERVAL {seconds} SECOND")).orderBy("polled_at", "resource_id").limit(limit)
 
 
+def polled(cursors: DataFrame, now: str, seconds: int, limit: int) -> DataFrame:
+    """One round of polling: (resource_id, poller, payloads, cursor, error, polled_at) of each due cursor (resource_id, poller, cursor, polled_at).
+
+    Each due cursor is polled in a task of its own, a page at most; one that fails keeps its cursor and
+    has its error, and the others go on. What advanced is a cursor table that advance_cursors takes.
+    """
+
+    def pull(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for resource, name, cursor in zip(batch["resource_id"], batch["poller"], batch["cursor"], strict=True):
+                try:
+                    poller = pollers[name]()
+                    payloads = poller.poll(int(cursor), poller.page)
+                    rows.append((resource, name, payloads, int(cursor) + len(payloads), None))
+                except Exception as error:
+                    rows.append((resource, name, [], int(cursor), f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["resource_id", "poller", "payloads", "cursor", "error"])
+
+    pollers = dict(POLLERS)
+    due = due_cursors(cursors, now, seconds, limit).select("resource_id", "poller", "cursor").repartition(limit, "resource_id")
+    found = due.mapInPandas(pull, "resource_id string, poller string, payloads array<string>, cursor long, error string")
+    return found.withColumn("polled_at", F.lit(now).cast("timestamp"))
+
+
 def connected(rows: DataFrame, tokens: DataFrame, always: tuple[str, ...] = ("custom", "manual_upload")) -> DataFrame:
     """Rows of sources with an active token; some sources need none."""
     active = tokens.where("active").select("customer_id", F.col("source").alias("source_system")).distinct()

@@ -72,3 +72,10 @@ def stored(spark: SparkSession, name: str, sources: list[str], scope: str, build
         elif not files.rename(unfinished, target):
             raise RuntimeError(f"could not move {made} to {path}")
     return spark.read.parquet(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table of this run alone, written to the shared folder and read again: it cuts the plan and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/runs/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

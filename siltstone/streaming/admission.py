@@ -15,6 +15,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # Attempts before a row is set aside, seconds after which work counts as lost.
 MOST_ATTEMPTS, STALE_SECONDS = 5, 300
+#: How long a session without events is remembered.
+SESSION_MILLISECONDS = 7 * 24 * 3600 * 1000
 
 
 def admitted(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -22,6 +24,12 @@ def admitted(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("received_at", late).dropDuplicatesWithinWatermark(["customer_id", "source_system", "source_event_id"])
 
 
+def admitted_batch(events: DataFrame) -> DataFrame:
+    """The first of each (tenant, source, event) of a table, by queue_id: what `admitted` lets through of a stream in that order."""
+    first = events.groupBy("customer_id", "source_system", "source_event_id").agg(F.min_by(F.struct(*events.columns), "queue_id").alias("row"))
+    return first.select("row.*")
+
+
 def coalesced(events: DataFrame) -> DataFrame:
     """Batch form of session coalescing: keys in arrival order, and a version for each event."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("received_at", "payload_key"))), lambda x: x["payload_key"])
@@ -36,17 +44,17 @@ class SessionCoalescer(StatefulProcessor):
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", "keys string, version long", 7 * 24 * 3600 * 1000)
+        self.keys = handle.getListState("keys", "key string", SESSION_MILLISECONDS)
+        self.version = handle.getValueState("version", "version long", SESSION_MILLISECONDS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        keys, version = ("", 0)
-        if self.state.exists():
-            keys, version = self.state.get()
+        version = self.version.get()[0] if self.version.exists() else 0
         for part in rows:
-            for k in part.sort_values("received_at")["payload_key"]:
-                keys, version = f"{keys},{k}" if keys else k, version + 1
-        self.state.update((keys, version))
-        yield pd.DataFrame({"session": [key[0]], "payload_keys": [keys], "version": [version]})
+            fresh = [(k,) for k in part.sort_values("received_at")["payload_key"]]
+            self.keys.appendList(fresh)
+            version += len(fresh)
+        self.version.update((version,))
+        yield pd.DataFrame({"session": [key[0]], "payload_keys": [",".join(k for (k,) in self.keys.get())], "version": [version]})
 
     def close(self) -> None:
         pass
@@ -64,8 +72,8 @@ def idle(events: DataFrame, minutes: int, late: str = "10 minutes") -> DataFrame
     return closed.select("customer_id", "source_event_id", F.col("w.start").alias("begun"), F.col("w.end").alias("ended"), "events")
 
 
-def late_edges(edges: DataFrame, nodes: DataFrame, wait: str = "1 hour") -> DataFrame:
-    """Edges as soon as the node at their far end arrives, either first; what waits longer is dropped. Both sides have a time."""
+def late_edges(edges: DataFrame, nodes: DataFrame, wait: str = "14 days") -> DataFrame:
+    """Edges as soon as the node at their far end arrives, either first; what waits longer than a parked edge lives is dropped. Both sides have a time."""
     e = edges.withWatermark("seen_at", wait)
     n = nodes.select(F.col("canonical_id").alias("to_id"), F.col("seen_at").alias("node_seen_at")).withWatermark("node_seen_at", wait)
     near = F.expr(f"node_seen_at BETWEEN seen_at - INTERVAL {wait} AND seen_at + INTERVAL {wait}")

@@ -37,3 +37,59 @@ def test_python_symbols():
     assert ("Method", "p.m.A.f", None, None, 3) in rows and ("edge", "p.m.A", "B", "INHERITS", 2) in rows
     assert ("edge", "p.m.A.f", "g", "CALLS", 4) in rows and ("edge", "p.m", "os.path", "IMPORTS", 1) in rows
     assert code_graph.python_symbols("x.py", "def (") == []
+
+
+def test_communities_settle_and_find_cliques(spark):
+    from siltstone.operators import graph
+
+    cliques = [(f"{c}{i}", f"{c}{j}") for c in "abc" for i in range(9) for j in range(i)]
+    edges = spark.createDataFrame([*cliques, ("a0", "b0"), ("b1", "c1"), ("a3", "a3")], "from_id string, to_id string")
+    found = {r["node"]: r["community"] for r in graph.communities(edges).collect()}
+    assert len(found) == 27 and all(len({found[f"{c}{i}"] for i in range(9)}) == 1 for c in "abc") and len(set(found.values())) == 3
+    assert graph.communities(edges.limit(50)).count() == 0
+
+
+def test_communities_leave_no_node_that_would_gain(spark):
+    from collections import Counter
+
+    from siltstone.model.frames import Frames
+    from siltstone.operators import graph
+
+    frames = Frames(spark, "/root/testdata/sf0.001")
+    found = {r["node"]: r["community"] for r in graph.communities(frames.edges).collect()}
+    pairs = {tuple(sorted((r["from_id"], r["to_id"]))) for r in frames.edges.collect() if r["from_id"] != r["to_id"]}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    assert set(found) == set(near)
+    for node, others in near.items():
+        votes = Counter(found[o] for o in others)
+        assert max(votes.values()) <= votes[found[node]]
+
+
+def test_tenants_never_meet(spark):
+    from siltstone.engine import Engine
+    from siltstone.model.frames import Frames
+
+    every, own = Frames(spark, "/root/testdata/sf0.001"), Frames(spark, "/root/testdata/sf0.001", "globex")
+    keys = {"documents": "source_id", "vectors": "vec_id", "nodes": "canonical_id", "usage": "user_id", "history": "user_id", "queue": "source_event_id", "sessions": "conv_id"}
+    for name, key in keys.items():
+        ids = {str(r[key]).split(":")[-1] for r in getattr(own, name).select(key).collect()}
+        assert ids and all(int(i) % 10 == 3 for i in ids), name
+        assert getattr(own, name).count() < getattr(every, name).count()
+    ends = [int(i.split(":")[1]) for r in own.edges.collect() for i in (r["from_id"], r["to_id"])]
+    assert ends and all(e % 10 == 3 for e in ends)
+    assert {r["doc_id"] for r in own.chunks.collect()} <= {r["doc_id"] for r in own.documents.collect()}
+    assert own.nodes.agg({"degree": "sum"}).first()[0] == own.symmetric_edges.count()
+    found = Engine(spark, "/root/testdata/sf0.001", "globex").search(["die the oneaan"], [[0.1] * 64], [("Service", "Service:3")]).select("doc_id").collect()
+    assert found and all(int(r["doc_id"].split(":")[-1]) % 10 == 3 for r in found)
+
+
+def test_blank_sub_queries_take_no_place(spark):
+    from siltstone.engine import Engine
+
+    engine = Engine(spark, "/root/testdata/sf0.001")
+    assert engine.search([" ", ""]).count() == 0
+    few = engine.search(["", "die", " ", "the", "und", "der", "oneaan", "zzz"], entities=[("Service", "Service:3")], k=2)
+    assert {r["sub_query"] for r in few.collect()} <= set(range(5))

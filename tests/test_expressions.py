@@ -72,23 +72,44 @@ def test_text_functions(spark):
     got = value(spark, text.bare_ids(F.lit("see ABC-12 and PR #77 at 0a1b2c3d4e")))
     assert [(r["kind"], r["id"]) for r in got] == [("ticket", "ABC-12"), ("pr", "77"), ("commit_sha", "0a1b2c3d4e")]
     assert value(spark, text.grounding_tokens(F.lit("Where is the (auth.py) file, please?"))) == ["auth.py", "file"]
-    assert value(spark, text.residual(F.lit("ticket ABC-17"), ["ABC-17"])) is None
-    assert value(spark, text.residual(F.lit("ABC-17 auth refactor"), ["ABC-17"])) == "auth refactor"
+    assert value(spark, text.residual(F.lit("ticket ABC-17"), F.array(F.lit("ABC-17")))) is None
+    assert value(spark, text.residual(F.lit("ABC-17 auth refactor"), F.array(F.lit("ABC-17")))) == "auth refactor"
     assert value(spark, text.similarity(text.trigrams(F.lit("word")), text.trigrams(F.lit("two words")))) == pytest.approx(4 / 11)
     assert value(spark, text.occurrences(F.lit("aaaa"), F.lit("aa"))) == 2
 
 
-def test_reconstruction_joins_overlaps():
-    assert chunking.reconstruct(["one two three", "three four", "other"], " | ")[0] == "one two three four | other"
+def test_reconstruction_joins_whole_overlaps_only(spark):
+    from siltstone.functions.udfs import reconstructed
+
+    rows = [("d", "the cat sat on a", 0), ("d", "apple pie is good", 1), ("e", "one two three", 0), ("e", "two three four", 1), ("e", "three", 2), ("f", "a b", 0), ("f", "a b", 1)]
+    chunks = spark.createDataFrame([(d, f"c{i}", i, c, None) for d, c, i in rows], "doc_id string, chunk_id string, chunk_index long, content string, valid_to timestamp")
+    got = {r["doc_id"]: r["text"] for r in reconstructed(chunks, overlap=2, separator=" | ").collect()}
+    assert got == {"d": "the cat sat on a | apple pie is good", "e": "one two three four | three", "f": "a b"}
+    assert chunking.border_lengths("ab\0ab", "ab\0x") == [2] and chunking.border_lengths("xaa", "aab") == [2, 1] and chunking.border_lengths("a", "") == []
+
+
+def test_native_text_functions(spark):
+    for raw in ("añb", "日本語x", "😀😀", "ab", "", "\ufffdé"):
+        for most in range(9):
+            expected = raw.encode()[:most].decode("utf-8", "ignore") if len(raw.encode()) > most else raw
+            assert value(spark, text.within_bytes(F.lit(raw), most)) == expected, (raw, most)
+    assert value(spark, text.clean_citations(F.lit("x [1, 2] [ 2 ] [3 ,4,5] [a, 1]"))) == "x [1][2] [3][4][5] [a, 1]"
+    vector = value(spark, text.hash_vector(F.lit("a"), 8))
+    assert len(vector) == 8 and sum(v * v for v in vector) == pytest.approx(1) and vector != value(spark, text.hash_vector(F.lit("b"), 8))
+    assert value(spark, text.grounding_tokens(F.lit("but how about my list"))) == ["how", "about", "my"]
+
+
+def test_large_blocks_are_cut():
+    pieces = chunking.split_symbol("one two\n\n" + " ".join(["w"] * 50) + "\n\n" + "\n".join(["x y z"] * 9), "H", "C", 20)
+    assert all(len(p.split()) <= 20 for p in pieces) and " ".join(pieces).split().count("w") == 50 and " ".join(pieces).split().count("x") == 9
+    assert pieces[0].startswith("H\n") and all(p.startswith("C\n") for p in pieces[1:])
 
 
 def test_budgets_and_repairs():
-    assert chunking.truncate_bytes("añb", 2) == "a"
     assert chunking.repair_json('{"a": [1, 2, {"b": "c') == {"a": [1, 2, {"b": "c"}]}
-    assert chunking.normalise_citations("x [1, 2] [ 2 ]") == "x [1][2]"
+    assert chunking.repair_json("[1, 2, tru" + "x" * 300) is None
     turns = [("user", "x" * 60, False), ("assistant", "y" * 60, False), ("user", "z" * 60, False)]
     assert chunking.segment_session(turns, 100) == ([[0, 1], [2]], False)
     done, failed = chunking.bisect_batches([1, 2, 0, 4], lambda xs: [8 // x for x in xs])
     assert done == {0: 8, 1: 4, 3: 2} and failed == [2]
-    assert len(chunking.hash_vector("a", 8)) == 8
     assert chunking.fit_response([{"content": "x" * 1000}], 400, 10_000)[0]["content"] != "x" * 1000

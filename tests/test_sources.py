@@ -63,6 +63,33 @@ def test_poller_batch_and_stream(spark, tmp_path):
     assert spark.read.format("poller").option("poller", "counting").load().count() == 10
 
 
+def test_poller_stream_goes_on_where_it_stopped(spark, tmp_path):
+    spark.dataSource.register(readers.PollerSource)
+
+    def run():
+        stream = spark.readStream.format("poller").option("poller", "counting").load()
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r["payload"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    whole = sorted(f'{{"n": {i}}}' for i in range(10))
+    assert run() == whole and run() == whole
+    pulling = readers._Stream("counting")
+    assert [(s.begin, s.end) for s in pulling.partitions({"cursor": 3}, {"cursor": 10})] == [(3, 7), (7, 10)]
+    assert [r for s in pulling.partitions({"cursor": 3}, {"cursor": 10}) for (r,) in pulling.read(s)] == [f'{{"n": {i}}}' for i in range(3, 10)]
+
+
+def test_a_round_of_polling_survives_a_failure(spark):
+    cursors = spark.createDataFrame([("r1", "counting", 2, "2025-01-01 00:00:00"), ("r2", "missing", 5, "2025-01-01 00:00:00"), ("r3", "counting", 0, "2025-01-02 00:00:00")], "resource_id string, poller string, cursor long, t string").withColumn("polled_at", F.col("t").cast("timestamp"))
+    got = {r["resource_id"]: (r["payloads"], r["cursor"], r["error"]) for r in readers.polled(cursors, "2025-01-02 00:00:30", 60, 10).collect()}
+    assert got == {"r1": ([f'{{"n": {i}}}' for i in range(2, 6)], 6, None), "r2": ([], 5, "KeyError: 'missing'")}
+
+
+def test_page_bodies_are_unescaped(spark):
+    payload = '{"entity": {"id": "p1", "type": "page"}, "blocks": [{"plain_text": "caf\\u00e9 \\"x\\""}, {"children": [{"plain_text": "line\\nbreak"}]}]}'
+    row = connectors.page_documents(spark.createDataFrame([(payload,)], "payload string")).first()
+    assert row["body"] == 'café "x"\nline\nbreak'
+
+
 def test_raw_archive_prunes(spark, tmp_path):
     rows = spark.createDataFrame([("a", "s1", "{}"), ("a", "s2", "{}")], "customer_id string, source_system string, payload string").withColumn("received_at", F.current_timestamp())
     readers.write_raw(rows, str(tmp_path / "raw"))

@@ -42,7 +42,7 @@ def test_idle_sessions_close(spark, tmp_path):
 
 def test_late_edges_meet_their_nodes(spark, tmp_path):
     edges = spark.createDataFrame([("x", "n1", "2025-01-01 00:00:00"), ("y", "n2", "2025-01-01 00:00:00")], "from_id string, to_id string, t string").select("from_id", "to_id", F.col("t").cast("timestamp").alias("seen_at"))
-    nodes = spark.createDataFrame([("n1", "2025-01-01 00:20:00"), ("n2", "2025-01-01 05:00:00")], "canonical_id string, t string").select("canonical_id", F.col("t").cast("timestamp").alias("seen_at"))
+    nodes = spark.createDataFrame([("n1", "2025-01-01 00:20:00"), ("n2", "2025-01-20 05:00:00")], "canonical_id string, t string").select("canonical_id", F.col("t").cast("timestamp").alias("seen_at"))
     out = admission.late_edges(stream(spark, edges, str(tmp_path / "e")), stream(spark, nodes, str(tmp_path / "n")))
     admission.write_once(out, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert [r["from_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["x"]
