@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from siltstone.store import shared_folder
 
 #: Text bytes that one vectorised step handles at most (a single longer text is one step).
 STEP_BYTES = 4 << 20
@@ -20,19 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir")
-    if found is None:
-        option = sc._jsc.sc().getCheckpointDir()
-        found = option.get() if option.isDefined() else None
-    if found is None:
-        found = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -44,7 +31,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
-        self.base = f"{shared_dir(spark)}/siltstone/{label}-{uuid.uuid4().hex[:12]}"
+        self.base = f"{shared_folder(spark)}/siltstone/{label}-{uuid.uuid4().hex[:12]}"
         self._count = 0
         self._paths: dict[int, str] = {}
 
