@@ -41,7 +41,17 @@ def subgraph_two_hops(f: Frames) -> DataFrame:
     return graph.subgraph(f.symmetric_edges, f.nodes, ANCHOR, 2, 3)
 
 
-@query()
+def _hops(anchor: str, depth: int, per_parent: int) -> str:
+    """SQL of the breadth-first subgraph, a step for each hop; f: the frontier, with the place that orders it."""
+    parts = [f"f0 AS (SELECT '{anchor}' AS b, CAST(0 AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS parent)", "s0 AS (SELECT b FROM f0)"]
+    for h in range(1, depth + 1):
+        parts.append(f"""h{h} AS (SELECT s.a, p.place AS parent_place, s.b, row_number() OVER (PARTITION BY s.a ORDER BY count(*) / ln(1.0 + greatest(1, any_value(n.degree))) DESC, s.b) AS rn FROM sym s JOIN f{h - 1} p ON p.b = s.a JOIN nodes n ON n.canonical_id = s.b WHERE s.live AND s.b NOT IN (SELECT b FROM s{h - 1}) GROUP BY s.a, p.place, s.b QUALIFY rn <= {per_parent})""")
+        parts.append(f"f{h} AS (SELECT b, parent_place * {per_parent} + rn AS place, a AS parent FROM h{h} QUALIFY row_number() OVER (PARTITION BY b ORDER BY parent_place, rn) = 1)")
+        parts.append(f"s{h} AS (SELECT b FROM s{h - 1} UNION ALL SELECT b FROM f{h})")
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT b AS canonical_id, {h} AS hop, parent FROM f{h}" for h in range(1, depth + 1))
+
+
+@query(_hops(ANCHOR, 3, 4))
 def subgraph_three_hops(f: Frames) -> DataFrame:
     return graph.subgraph(f.symmetric_edges, f.nodes, ANCHOR, 3, 4)
 

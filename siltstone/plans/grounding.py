@@ -29,12 +29,27 @@ def bare_id_probe(f: Frames) -> DataFrame:
     return grounding.exact_ids(f.nodes, asked)
 
 
-@query()
+def _bundle(query: str, ids: list[str], number: int = 0) -> str:
+    """SQL of one query's bundle; ids: the identifiers that it names."""
+    asked = "'" + query.replace("'", "''") + "'"
+    words = " AND ".join(f"list_contains(t, '{w.lower()}')" for w in query.split())
+    score = "round(coalesce(len(list_intersect(g, q)) / nullif(len(list_distinct(list_concat(g, q))), 0), 0), 6)"
+    return f"""SELECT {number} AS probe, canonical_id, display, "order", match, similarity FROM (
+  SELECT canonical_id, name AS display, 0 AS "order", 'bare_id_exact' AS match, 1.0::DOUBLE AS similarity FROM nodes WHERE regexp_replace(canonical_id, '^[^:]*:', '') IN ({", ".join(f"'{i}'" for i in ids) or "''"})
+  UNION ALL SELECT canonical_id, name, 1, 'trgm', similarity FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, canonical_id) AS rn FROM (SELECT label, canonical_id, name, {score} AS similarity FROM (SELECT *, {GRAMS.format("name")} AS g, {GRAMS.format(asked)} AS q FROM nodes)) WHERE similarity >= 0.3 QUALIFY rn <= 5 ORDER BY similarity DESC, canonical_id LIMIT 20)
+  UNION ALL SELECT doc_id, title, 2, 'doc_title', similarity FROM (SELECT * FROM (SELECT doc_id, title, updated_at, {words} AS fts, {score} AS similarity FROM (SELECT *, list_filter(regexp_extract_all(lower(concat_ws(' ', title, substr(body, 1, 200))), '[a-z0-9_]+'), lambda x: length(x) >= 2) AS t, {GRAMS.format("title")} AS g, {GRAMS.format(asked)} AS q FROM docs WHERE valid_to IS NULL)) WHERE fts OR similarity >= 0.3 ORDER BY fts DESC, similarity DESC, updated_at DESC, doc_id LIMIT 10))
+QUALIFY row_number() OVER (PARTITION BY canonical_id ORDER BY "order", similarity DESC, display) = 1"""
+
+
+@query(f"SELECT * EXCLUDE (probe) FROM ({_bundle('Customer 000000012 pr #77', ['77', '000000012'])})")
 def grounding_bundle(f: Frames) -> DataFrame:
     return grounding.grounding_bundle(f.nodes, f.documents, "Customer 000000012 pr #77")
 
 
-@query()
+_PROBES = ["show Customer#000000012 and Supplier#000000003", "customer#000000012", "supplier#000000003"]
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"({_bundle(q, ['000000012', '000000003'], i)})" for i, q in enumerate(_PROBES)) + """) QUALIFY row_number() OVER (PARTITION BY canonical_id ORDER BY probe, "order", similarity DESC, display) = 1""")
 def grounding_by_token(f: Frames) -> DataFrame:
     return Engine(f.spark, f.folder).ground("show Customer#000000012 and Supplier#000000003")
 
