@@ -105,7 +105,7 @@ def fuse(channels: DataFrame, now: str, profiles: DataFrame | None = None) -> Da
     fused = fused.select("doc_id", "base", "hits", F.col("hit.source_system").alias("source_system"), F.col("hit.updated_at").alias("updated_at"))
     multiplier = half_life = None
     if profiles is not None:
-        fused = fused.join(F.broadcast(profiles), "source_system", "left")
+        fused = fused.join(profiles, "source_system", "left")
         multiplier, half_life = F.col("multiplier"), F.col("half_life")
     score = F.col("base") * source_weight(F.col("source_system"), F.col("updated_at"), now, multiplier, half_life)
     return fused.select("doc_id", "source_system", "hits", F.round(score, 6).alias("score"))
@@ -164,10 +164,12 @@ def suppress_near_duplicates(hits: DataFrame, threshold: float = 0.95, most: int
 def classify(vectors: DataFrame, prototypes: DataFrame, floor: float, margin: float) -> DataFrame:
     """The prototype of largest cosine if it reaches the floor and leads the next by the margin; else none.
 
-    prototypes: (name, embedding), few: their number is checked before they are sent to all tasks.
+    prototypes: (name, embedding), a list that people keep: 10,000 at most, which is checked before they are
+    sent to all tasks; more are an error.
     """
-    few = prototypes.limit(10_001).count() <= 10_000
-    pairs = vectors.crossJoin(F.broadcast(prototypes.select(F.col("name"), F.col("embedding").alias("p")))) if few else vectors.crossJoin(prototypes.select("name", F.col("embedding").alias("p")))
+    if prototypes.limit(10_001).count() > 10_000:
+        raise ValueError("more than 10,000 prototypes")
+    pairs = vectors.crossJoin(F.broadcast(prototypes.select(F.col("name"), F.col("embedding").alias("p"))))
     scored = pairs.select("vec_id", "name", F.round(cosine(F.col("embedding"), F.col("p")), 6).alias("score"))
     top = scored.groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "name"))), 1, 2).alias("top"))
     best, second = F.col("top")[0], F.when(F.size("top") > 1, F.element_at("top", 2))

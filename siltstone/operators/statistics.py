@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The windows of usage statistics.
@@ -52,9 +52,11 @@ def queue_depth(queue: DataFrame) -> DataFrame:
 
 
 def claimable(queue: DataFrame, cap: int, limit: int) -> DataFrame:
-    """Pending rows of tenants below their cap of rows in work: highest priority, then the oldest."""
+    """Pending rows in order of priority, then age, of tenants below their cap of rows in work; a claim takes of a tenant no more than its cap has left."""
     busy = queue.where("status = 'processing'").groupBy("customer_id").agg(F.count(F.lit(1)).alias("busy"))
-    free = queue.where("status = 'pending'").join(F.broadcast(busy), "customer_id", "left").where(F.coalesce("busy", F.lit(0)) < cap)
+    free = queue.where("status = 'pending'").join(busy, "customer_id", "left").withColumn("room", F.lit(cap) - F.coalesce("busy", F.lit(0))).where("room > 0")
+    place = F.row_number().over(Window.partitionBy("customer_id").orderBy(F.desc("priority"), "created_at", "queue_id"))
+    free = free.withColumn("place", place).where(F.col("place") <= F.least("room", F.lit(limit)))  # no tenant sends more than the limit on
     return free.orderBy(F.desc("priority"), "created_at", "queue_id").limit(limit).select("queue_id", "customer_id", "priority")
 
 

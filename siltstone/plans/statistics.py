@@ -50,8 +50,8 @@ def queue_depth(f: Frames) -> DataFrame:
     return statistics.queue_depth(f.queue)
 
 
-@query("""SELECT q.queue_id, q.customer_id, q.priority FROM queue q LEFT JOIN (SELECT customer_id, count(*) AS busy FROM queue WHERE status = 'processing' GROUP BY 1) b USING (customer_id)
-WHERE q.status = 'pending' AND coalesce(b.busy, 0) < (SELECT count(*) / 8 FROM events) ORDER BY q.priority DESC, q.created_at, q.queue_id LIMIT 50""")
+@query("""WITH f AS (SELECT q.*, (SELECT count(*) / 8 FROM events) - coalesce(b.busy, 0) AS room FROM queue q LEFT JOIN (SELECT customer_id, count(*) AS busy FROM queue WHERE status = 'processing' GROUP BY 1) b USING (customer_id) WHERE q.status = 'pending')
+SELECT queue_id, customer_id, priority FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY priority DESC, created_at, queue_id) AS place FROM f WHERE room > 0) WHERE place <= room ORDER BY priority DESC, created_at, queue_id LIMIT 50""")
 def queue_claim(f: Frames) -> DataFrame:
     cap = f.table("events").count() / 8
     return statistics.claimable(f.queue, cap, 50)

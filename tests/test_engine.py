@@ -93,3 +93,23 @@ def test_blank_sub_queries_take_no_place(spark):
     assert engine.search([" ", ""]).count() == 0
     few = engine.search(["", "die", " ", "the", "und", "der", "oneaan", "zzz"], entities=[("Service", "Service:3")], k=2)
     assert {r["sub_query"] for r in few.collect()} <= set(range(5))
+
+
+def test_declarations_of_four_languages(spark):
+    from siltstone.operators import code_graph
+
+    sources = {
+        "svc/a.go": 'package a\nimport (\n\t"fmt"\n\tx "net/http"\n)\n// func No() {}\ntype Box struct {\n}\ntype Shape interface {\n}\nfunc Run(a int) int {\n\treturn 1\n}\nfunc (b *Box) Open() {\n}\n',
+        "j/B.java": "import java.util.List;\npublic class B extends Base {\n    private static int count(List<String> xs) throws Exception {\n        if (x) {\n        }\n        return f(1);\n    }\n}\nenum Kind { A }\n",
+        "w/c.js": "import React from 'react'\nconst fs = require('fs')\nexport default class C extends React.Component {\n  render() {\n    if (a) {\n    }\n  }\n}\nexport const go = async (x) => x\nfunction* gen() {}\n",
+        "w/d.ts": "export interface D<T> { a: T }\nexport type Id = string\nexport enum E { A }\nexport abstract class F {\n  protected async load(id: Id): Promise<void> {\n  }\n}\n",
+        "x.txt": "func No() {}",
+    }
+    rows = code_graph.declared_symbols(spark.createDataFrame([("r", p, t) for p, t in sources.items()] + [("r", "e.go", None)], "repo string, path string, text string")).collect()
+    got = {(r["kind"], r["name"], r["target"], r["line"]) for r in rows}
+    assert got == {
+        ("Module", "svc.a", None, 1), ("edge", "svc.a", "fmt", 3), ("edge", "svc.a", "net/http", 4), ("Class", "svc.a.Box", None, 7), ("Interface", "svc.a.Shape", None, 9), ("Function", "svc.a.Run", None, 11), ("Method", "svc.a.Box.Open", None, 14),
+        ("Module", "j.B", None, 1), ("edge", "j.B", "java.util.List", 1), ("Class", "j.B.B", None, 2), ("edge", "j.B.B", "Base", 2), ("Method", "j.B.B.count", None, 3), ("Enum", "j.B.Kind", None, 9),
+        ("Module", "w.c", None, 1), ("edge", "w.c", "react", 1), ("edge", "w.c", "fs", 2), ("Class", "w.c.C", None, 3), ("edge", "w.c.C", "React.Component", 3), ("Method", "w.c.C.render", None, 4), ("Function", "w.c.go", None, 9), ("Function", "w.c.gen", None, 10),
+        ("Module", "w.d", None, 1), ("Interface", "w.d.D", None, 1), ("Type", "w.d.Id", None, 2), ("Enum", "w.d.E", None, 3), ("Class", "w.d.F", None, 4), ("Method", "w.d.F.load", None, 5), ("Module", "e", None, 1),
+    }
