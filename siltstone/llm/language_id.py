@@ -22,7 +22,7 @@ from siltstone.llm.word_features import crf_features, words_of
 
 BITS = 17
 #: Distinct labelled texts of each language that are fitted on at most, the first by a hash; each is read whole.
-SAMPLE_ROWS = 600
+SAMPLE_ROWS = 400
 #: Words that are worked on one after another, and stretches of so many side by side; neither changes a result.
 STRETCH = 64
 WIDE = 8192

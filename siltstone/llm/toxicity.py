@@ -26,7 +26,7 @@ CHAR_DIMS = 8
 HIDDEN = 8
 CHAR_BITS = 13
 #: Labelled rows of either class that are fitted on at most, the first by a hash; each is read whole.
-SAMPLE_ROWS = 1500
+SAMPLE_ROWS = 1000
 #: Texts of the sample that a word must be in to have a vector of its own.
 LEAST_TEXTS = 3
 _STEP = 1 << 20

@@ -15,6 +15,8 @@ _LOWER[0x41:0x5B] += 0x20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes whose words are hashed together.
 _STRETCH = 1 << 19
+#: Distinct words whose grams are made together.
+_SOME = 1 << 14
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
@@ -36,13 +38,14 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     n = len(offsets) - 1
     low = np.full(len(data) + n + 4, 0x20, np.uint8)
     if len(data):
-        shift = np.repeat(np.arange(n) + 2, np.diff(offsets))
         letters = _LETTER[data]
         put = np.where(letters, _LOWER[data], 0x20).astype(np.uint8)
         latin = np.zeros(len(data), bool)
         latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
         put[latin] += 0x20
-        low[np.arange(len(data)) + shift] = put
+        bounds = offsets.tolist()
+        for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):  # no index as long as the texts
+            low[a + i + 2 : b + i + 2] = put[a:b]
     inside = low != 0x20
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     begin, end = edge[::2], edge[1::2]
@@ -108,11 +111,15 @@ def _grams(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-grams of each distinct word with one space before and behind, and how many each has."""
     count = words.end - words.begin + 3 - size
     bounds = np.concatenate([[0], np.cumsum(count)])
-    at = np.arange(bounds[-1]) + np.repeat(words.begin - 1 - bounds[:-1], count)
-    code = np.zeros(len(at), np.uint64)
-    for i in range(size):
-        code = code * np.uint64(257) + words.low[at + i]
-    return mixed(code * _MIX + np.uint64(size)), count
+    out = np.empty(bounds[-1], np.uint64)
+    for a in range(0, len(count), _SOME):  # some words at a time, so that only the hashes themselves are as many as the grams
+        b = min(a + _SOME, len(count))
+        at = np.arange(bounds[a], bounds[b]) + np.repeat(words.begin[a:b] - 1 - bounds[a:b], count[a:b])
+        code = np.zeros(len(at), np.uint64)
+        for i in range(size):
+            code = code * np.uint64(257) + words.low[at + i]
+        out[bounds[a] : bounds[b]] = mixed(code * _MIX + np.uint64(size))
+    return out, count
 
 
 def ngrams(words: Words, bits: int) -> Ragged:
