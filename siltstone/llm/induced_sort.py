@@ -31,6 +31,8 @@ BATCH = 1 << 18
 _NEAR = 1 << 14
 #: Tuples that a queue holds in memory, and keys that are sorted at once.
 BUDGET = 1 << 22
+#: Star suffixes that are sorted in memory at once.
+STARS = 1 << 21
 
 
 class TupleQueue:
@@ -280,7 +282,7 @@ def sorted_suffixes(path: str, n: int, cap: int, folder: str, budget: int = BUDG
     text = np.memmap(path, np.uint8, "r")
     words = np.ndarray((len(text) - 7,), ">u8", text, strides=(1,))
     kind = np.int32 if n < 2**31 - 1 else np.int64
-    sort = StarSort(words, folder, kind, cap, budget)
+    sort = StarSort(words, folder, kind, cap, min(budget, STARS))
     unsorted, count = sort.new_file(), 0
     with open(unsorted, "wb") as file:
         for part in star_suffixes(text, n):
