@@ -56,6 +56,7 @@ def subgraph(two_way: DataFrame, nodes: DataFrame, anchor: str, depth: int, per_
         first = best.withColumn("own", F.row_number().over(Window.partitionBy("b").orderBy("parent_place", "rn"))).where("own = 1")
         place = (F.col("parent_place") * per_parent + F.col("rn")).cast("long")
         frontier = first.select(F.col("b").alias("canonical_id"), F.lit(hop).alias("hop"), place.alias("place"), F.col("a").alias("parent"))
+        frontier = frontier.limit(per_parent**hop)  # cuts nothing off, but tells the optimiser how few there are
         found = found.unionByName(frontier)
     return found.where("hop > 0").select("canonical_id", "hop", "parent")
 
@@ -105,10 +106,11 @@ def entity_search(two_way: DataFrame, nodes: DataFrame, anchors: DataFrame, k: i
     surprise ranking, so fewer than k can return. Closed edges count. within: (document) of those that
     may be found; what is filtered out takes no place among the k.
     """
-    chosen = nodes.join(anchors.select("canonical_id").distinct(), "canonical_id", "left_semi").join(anchors.select("label").distinct(), "label", "left_semi")
+    ids = anchors.select("canonical_id")
+    chosen = nodes.join(ids, "canonical_id", "left_semi").join(anchors.select("label"), "label", "left_semi")
     chosen = chosen.select(F.col("canonical_id").alias("a"), F.col("label").alias("via_label"), F.col("degree").alias("via_degree"))
     far = nodes.where("label = 'Document'").select(F.col("canonical_id").alias("b"), F.col("degree").alias("far_degree"))
-    near = two_way.join(chosen, "a").join(far, "b").select(F.col("b").alias("document"), F.col("a").alias("via"), "via_label", "edge_type", "confidence", "via_degree", F.col("far_degree").alias("degree"))
+    near = two_way.join(ids.withColumnRenamed("canonical_id", "a"), "a", "left_semi").join(chosen, "a").join(far, "b").select(F.col("b").alias("document"), F.col("a").alias("via"), "via_label", "edge_type", "confidence", "via_degree", F.col("far_degree").alias("degree"))
     none = F.lit(None).cast("string")
     own = chosen.where("via_label = 'Document'").select(F.col("a").alias("document"), F.col("a").alias("via"), "via_label", none.alias("edge_type"), none.alias("confidence"), "via_degree", F.col("via_degree").alias("degree"))
     columns = ["via", "via_label", "edge_type", "confidence", "via_degree", "degree"]
@@ -123,7 +125,8 @@ def entity_search(two_way: DataFrame, nodes: DataFrame, anchors: DataFrame, k: i
 def anchor_documents(two_way: DataFrame, nodes: DataFrame, anchors: DataFrame, cap: int) -> DataFrame:
     """(canonical_id, rank from 0): documents one hop from any anchor (label, canonical_id), each once, the last changed first, `cap` at most. Closed edges count."""
     own = nodes.join(anchors, ["label", "canonical_id"], "left_semi").select(F.col("canonical_id").alias("a"))
-    near = two_way.join(own, "a", "left_semi").select(F.col("b").alias("canonical_id")).distinct()
+    around = two_way.join(anchors.select(F.col("canonical_id").alias("a")), "a", "left_semi")  # a short list, before what needs a shuffle
+    near = around.join(own, "a", "left_semi").select(F.col("b").alias("canonical_id")).distinct()
     order = [F.desc_nulls_last("updated_at"), F.asc("canonical_id")]
     top = nodes.where("label = 'Document'").join(near, "canonical_id", "left_semi").orderBy(*order).limit(cap)
     return top.select("canonical_id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("rank"))  # of at most `cap` rows

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from siltstone.expr.temporal import Temporal, document_predicate
+from siltstone.store import literal_rows
 
 GROUP_KEYS = ("source_system", "doc_type", "author_id")
 
@@ -100,7 +101,7 @@ def near_in_time(documents: DataFrame, anchors: DataFrame, hours: int, k: int) -
 
 def by_exact_id(documents: DataFrame, ids: list[str]) -> DataFrame:
     """Live documents whose source's id, own id or address ends in one of the ids: each with the first that fits, in the order given."""
-    asked = documents.sparkSession.createDataFrame(list(enumerate(ids)), "place int, asked string")
+    asked = literal_rows(documents.sparkSession, list(enumerate(ids)), "place int, asked string")
     keys = F.explode(F.array_distinct(F.array("source_id", "doc_id", F.regexp_extract("source_url", "([^/]+)/?$", 1))))
     named = documents.where("valid_to is null").withColumn("asked", keys).join(asked, "asked")
     return named.groupBy("doc_id", "version", "source_id", "source_url").agg(F.min("place").alias("place"))

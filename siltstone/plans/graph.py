@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.model.frames import Frames
 from siltstone.operators import graph, listing, provenance, retrieval, writes
 from siltstone.plans.registry import query
+from siltstone.store import literal_rows
 
 ANCHOR = "Person:7"
 IDF = "round(hits / ln(1.0 + greatest(1, degree)), 6)"
@@ -99,7 +100,7 @@ pool AS (SELECT document, min(via) AS via, min(via_label) AS via_label, min(edge
 SELECT *, round(least(8.0, CASE confidence WHEN 'AMBIGUOUS' THEN 1.5 WHEN 'INFERRED' THEN 1.25 ELSE 1.0 END * CASE WHEN least(via_degree, degree) <= 2 AND greatest(via_degree, degree) >= 5 THEN 1.3 ELSE 1.0 END * CASE WHEN least(via_degree, degree) >= 3 THEN greatest(1.0 - 0.15 * log2(least(via_degree, degree) / 2.0), 0.5) ELSE 1.0 END), 6) AS score
 FROM pool WHERE confidence IS NULL OR confidence <> 'AMBIGUOUS'""")
 def entity_graph_search(f: Frames) -> DataFrame:
-    anchors = f.spark.createDataFrame([("Person", "Person:7"), ("Service", "Service:2"), ("Document", "Document:5")], "label string, canonical_id string")
+    anchors = literal_rows(f.spark, [("Person", "Person:7"), ("Service", "Service:2"), ("Document", "Document:5")], "label string, canonical_id string")
     return graph.entity_search(f.symmetric_edges, f.nodes, anchors, 40)
 
 
@@ -123,7 +124,7 @@ def inferred_edge_neighbours(f: Frames) -> DataFrame:
 near AS (SELECT DISTINCT s.b FROM sym s JOIN own o ON o.canonical_id = s.a)
 SELECT canonical_id, row_number() OVER (ORDER BY updated_at DESC NULLS LAST, canonical_id) - 1 AS rank FROM nodes WHERE label = 'Document' AND canonical_id IN (SELECT b FROM near) ORDER BY rank LIMIT 25""")
 def entity_anchor_documents(f: Frames) -> DataFrame:
-    anchors = f.spark.createDataFrame([("Person", "Person:7"), ("Service", "Service:2"), ("Repo", "Repo:999999")], "label string, canonical_id string")
+    anchors = literal_rows(f.spark, [("Person", "Person:7"), ("Service", "Service:2"), ("Repo", "Repo:999999")], "label string, canonical_id string")
     return graph.anchor_documents(f.symmetric_edges, f.nodes, anchors, 25)
 
 
@@ -134,7 +135,7 @@ overall AS (SELECT a AS canonical_id, count(DISTINCT b) AS overall FROM ok WHERE
 SELECT canonical_id, label, types, strongest, documents, samples, round(documents / ln(1 + coalesce(overall, 1)), 6) AS score
 FROM rolled JOIN samples USING (canonical_id) LEFT JOIN overall USING (canonical_id) JOIN nodes USING (canonical_id) WHERE canonical_id NOT IN ('Service:1', 'Repo:2') ORDER BY score DESC, canonical_id LIMIT 20""")
 def related_entities(f: Frames) -> DataFrame:
-    excluded = f.spark.createDataFrame([("Service", "service:1"), ("Repo", "Repo:2")], "label string, canonical_id string")
+    excluded = literal_rows(f.spark, [("Service", "service:1"), ("Repo", "Repo:2")], "label string, canonical_id string")
     return graph.related_entities(f.symmetric_edges, f.nodes, _ranked_documents(f), excluded, 20)
 
 
@@ -176,8 +177,8 @@ def recomputed_degrees(f: Frames) -> DataFrame:
 
 @query("SELECT 'Service:1' AS id, 'Service:1' AS resolved UNION ALL SELECT 'Service:2', 'Service:1' UNION ALL SELECT 'Service:9', 'Service:9'")
 def alias_resolution(f: Frames) -> DataFrame:
-    aliases = f.spark.createDataFrame([("Service", "Service:2", "Service:1"), ("Service", "Service:3", "Service:1")], "label string, alias string, primary string")
-    refs = f.spark.createDataFrame([("Service", "Service:1"), ("Service", "Service:2"), ("Service", "Service:9")], "label string, id string")
+    aliases = literal_rows(f.spark, [("Service", "Service:2", "Service:1"), ("Service", "Service:3", "Service:1")], "label string, alias string, primary string")
+    refs = literal_rows(f.spark, [("Service", "Service:1"), ("Service", "Service:2"), ("Service", "Service:9")], "label string, id string")
     return writes.resolve_aliases(refs, aliases).select("id", "resolved")
 
 

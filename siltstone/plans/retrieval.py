@@ -11,6 +11,7 @@ from siltstone.model.vocabulary import CHUNK_OVERLAP, CHUNK_TOKENS
 from siltstone.operators import listing, retrieval
 from siltstone.operators.listing import Filters
 from siltstone.plans.registry import query
+from siltstone.store import literal_rows
 
 NOW = "2025-06-01 00:00:00"
 
@@ -209,7 +210,7 @@ def surprise_scores(f: Frames) -> DataFrame:
 
 @query(f"SELECT doc_id, version, round(exp(-ln(2) * (epoch_us(TIMESTAMP '{NOW}') - epoch_us(updated_at)) / 86400000000.0 / CASE source_system WHEN 'src1' THEN 7.0 WHEN 'src2' THEN 200.0 ELSE 120.0 END) * CASE source_system WHEN 'src1' THEN 0.5 ELSE 1.0 END, 6) AS weight FROM docs")
 def source_weights(f: Frames) -> DataFrame:
-    profiles = f.spark.createDataFrame([("src1", 0.5, 7.0), ("src2", 1.0, 200.0)], "source_system string, multiplier double, half_life double")
+    profiles = literal_rows(f.spark, [("src1", 0.5, 7.0), ("src2", 1.0, 200.0)], "source_system string, multiplier double, half_life double")
     joined = f.documents.join(profiles, "source_system", "left")
     return joined.select("doc_id", "version", F.round(scoring.source_weight(F.col("source_system"), F.col("updated_at"), NOW, F.col("multiplier"), F.col("half_life")), 6).alias("weight"))
 

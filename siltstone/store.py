@@ -15,6 +15,8 @@ from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Modules that define the tables: with another version of them a table is another one.
 DEFINED_IN = ("store.py", "model/frames.py", "model/vocabulary.py", "expr/text.py")
@@ -79,3 +81,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/runs/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A short list as part of the plan, whose size the optimiser then knows: joins with it broadcast it and leave the other side where it is."""
+    fields = StructType.fromDDL(schema)
+    if not rows:
+        return spark.createDataFrame([], fields)
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields, strict=True)]) for row in rows])))
