@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import Scratch
@@ -56,10 +56,14 @@ def block_search(rows: DataFrame, every: int, lengths: list[tuple[int, int, int]
     task first. raised: the first block is searched ahead, and its k + 1 best set the other blocks' floors.
     """
     spark = rows.sparkSession
-    sizes = spark.createDataFrame([(d, max(1, -(-n // ROWS)), max(1, -(-m // QUERIES))) for d, n, m in lengths], "d int, nr int, nq int")
+    number = {d: (max(1, -(-n // ROWS)), max(1, -(-m // QUERIES))) for d, n, m in lengths} or {0: (1, 1)}
+
+    def blocks_of(i: int) -> Column:
+        return F.create_map(*[F.lit(v) for d, n in number.items() for v in (d, n[i])])[F.col("d")]
+
     scratch = Scratch(spark, "search")
     block = F.pmod(F.xxhash64("vec_id", "h", F.monotonically_increasing_id()), F.col("nr")).cast("int")
-    placed = scratch.write(rows.join(sizes, "d").withColumn("rb", block))  # written, so that a row is in one block whatever reads it
+    placed = scratch.write(rows.withColumns({"nr": blocks_of(0), "nq": blocks_of(1)}).withColumn("rb", block))  # written, so that a row is in one block whatever reads it
     kind, null = (pa.float64(), "double") if score == "double" else (pa.int64(), "long")
     asked = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id", "d", "h", "nr", "nq").agg(F.any_value("embedding").alias("embedding"), F.count(F.lit(1)).alias("copies"))
     asked = asked.withColumn("qb", F.pmod(F.xxhash64("vec_id", "h"), F.col("nq")).cast("int"))
