@@ -113,3 +113,45 @@ def test_declarations_of_four_languages(spark):
         ("Module", "w.c", None, 1), ("edge", "w.c", "react", 1), ("edge", "w.c", "fs", 2), ("Class", "w.c.C", None, 3), ("edge", "w.c.C", "React.Component", 3), ("Method", "w.c.C.render", None, 4), ("Function", "w.c.go", None, 9), ("Function", "w.c.gen", None, 10),
         ("Module", "w.d", None, 1), ("Interface", "w.d.D", None, 1), ("Type", "w.d.Id", None, 2), ("Enum", "w.d.E", None, 3), ("Class", "w.d.F", None, 4), ("Method", "w.d.F.load", None, 5), ("Module", "e", None, 1),
     }
+
+
+def test_stored_tables_are_built_once_and_never_stale(spark, tmp_path):
+    import os
+
+    from siltstone import store
+
+    source, built = str(tmp_path / "source"), []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(source)
+
+    spark.createDataFrame([(2, "b"), (1, "a")], "k long, v string").write.parquet(source)
+    for _ in range(2):
+        assert sorted(r["v"] for r in store.stored(spark, "t", [source], "x", build, "k").collect()) == ["a", "b"]
+    assert len(built) == 1
+    store.stored(spark, "t", [source], "another tenant", build, "k").count()
+    assert len(built) == 2
+    spark.createDataFrame([(3, "c")], "k long, v string").write.mode("append").parquet(source)
+    assert store.stored(spark, "t", [source], "x", build, "k").count() == 3 and len(built) == 3
+    assert os.path.isdir(store.shared_folder(spark).removeprefix("file://").removeprefix("file:"))
+
+
+def test_literal_rows_have_a_known_size(spark):
+    from siltstone.store import literal_rows
+
+    rows = [(1, "a", None), (2, None, 0.5)]
+    made = literal_rows(spark, rows, "k long, v string, x double")
+    assert [tuple(r) for r in made.collect()] == rows and literal_rows(spark, [], "k long").count() == 0
+    plan = spark.range(10**9).withColumnRenamed("id", "k").join(made, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+
+
+def test_batches_are_committed_whole(spark, tmp_path):
+    from siltstone.operators import persist
+
+    for number, n in ((1, 3), (2, 5), (2, 4)):
+        persist.committed({"a": spark.range(n), "b": spark.range(2 * n)}, str(tmp_path), number)
+    assert persist.last_committed(spark, str(tmp_path), "a").count() == 4 and persist.last_committed(spark, str(tmp_path), "b").count() == 8
+    good, failed = persist.valid_results(spark.createDataFrame([(1, None), (2, "bad")], "queue_id long, error string"))
+    assert [r["queue_id"] for r in good.collect()] == [1] and [tuple(r) for r in failed.collect()] == [(2, "bad")]
