@@ -157,5 +157,8 @@ def token_lengths(docs: DataFrame, encoding: tuple, end_id: int = 2) -> DataFram
 
 
 def pack_documents(docs: DataFrame, encoding: tuple, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
-    """Packs whole documents by their token lengths; a null or empty text is its end id alone."""
+    """Packs whole documents by their token lengths, as pack says; a null or empty text is its end id alone.
+
+    Rows that repeat or lack a doc_id are each packed; other columns are ignored; an empty table gives no rows.
+    """
     return pack(token_lengths(docs, encoding), capacities, rows=docs.count())
