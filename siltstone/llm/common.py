@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from siltstone.store import shared_folder
 
@@ -118,3 +118,20 @@ def hashed_sample(rows: DataFrame, n: int, total: int, *by: str) -> DataFrame:
     if total > 4 * n:
         hashed = hashed.where(F.col("sample_hash") < int((1 << 62) * (2 * n + 200) / total))
     return hashed.orderBy("sample_hash", *by).limit(n).drop("sample_hash")
+
+
+def prefix_sums(scratch: Scratch, df: DataFrame, group: list[str], order: list[str], sums: list[str]) -> DataFrame:
+    """Adds <name>_before for each of the sums: the sum over the group's rows that come before in the order, which should tell rows apart (those it doesn't come in any order).
+
+    Rows are dealt into ranges of group and order, so that a large group is spread over many tasks; only
+    a row for each group and range is summed over the ranges before it. Nulls come first.
+    """
+    ranged = scratch.write(df.repartitionByRange(*group, *order).withColumn("range_part", F.spark_partition_id()))
+    inner = Window.partitionBy("range_part", *group)
+    earlier = inner.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("range_part", *group).agg(*(F.sum(c).alias(f"{c}_sum") for c in sums))
+    ranges = Window.partitionBy(*(group or [F.lit(0)])).orderBy("range_part").rowsBetween(Window.unboundedPreceding, -1)
+    based = totals.select("range_part", *group, *(F.coalesce(F.sum(f"{c}_sum").over(ranges), F.lit(0)).alias(f"{c}_base") for c in sums))
+    summed = ranged.select("*", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in sums))
+    joined = summed.join(based, ["range_part", *group])
+    return joined.select(*df.columns, *((F.col(f"{c}_before") + F.col(f"{c}_base")).alias(f"{c}_before") for c in sums))

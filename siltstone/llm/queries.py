@@ -79,12 +79,32 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), bits=4, words=4, seed=42)
 
 
+def op11_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.mixing import mixture, words_taken
+
+    return words_taken(mixture(table(spark, sf_dir, "documents")))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"), least=30, top=50)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    from siltstone.llm.alignment import alignment
+
+    return alignment(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_anisotropic_ann, op2_maxscore_topk, op3_rans_token_files, op4_suffix_array_dedup, op5_streaming_viterbi, op6_crf_language_id, op7_best_fit_packing, op8_gru_toxicity, op9_token_counts, op10_simhash_near_duplicates]
+    found = [op1_anisotropic_ann, op2_maxscore_topk, op3_rans_token_files, op4_suffix_array_dedup, op5_streaming_viterbi, op6_crf_language_id, op7_best_fit_packing, op8_gru_toxicity, op9_token_counts, op10_simhash_near_duplicates, op11_splitting_tree_mix, op12_source_divergence, op13_tokenizer_alignment]
     return {f.__name__: f for f in found}
 
 
-#: The score of op2 in plain SQL; the other operators have no SQL form that runs on whole tables.
+#: The score of op2 in plain SQL; those of op11 and op12 are in their modules. The others have no SQL form that runs on whole tables.
 OP2_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
@@ -102,4 +122,6 @@ SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_maxscore_topk": OP2_SQL}
+    from siltstone.llm import divergence, mixing
+
+    return {"op2_maxscore_topk": OP2_SQL, "op11_splitting_tree_mix": mixing.SQL, "op12_source_divergence": divergence.SQL}
