@@ -1,9 +1,9 @@
 """The model's tables, derived from the star-schema tables of a folder.
 
 Every frame is a DataFrame with fixed columns; nothing is cached or collected. Rows of one tenant are
-those of its keys, and an edge is a tenant's if both its ends are: `Frames.of(tenant)` filters each
-source table by its keys before anything else, so that counts, degrees and statistics, too, are the
-tenant's own. Chunks, postings, nodes and edges are derived once and stored (see siltstone.store).
+those of its keys, and an edge is a tenant's if both its ends are. Chunks, postings, nodes, edges and
+the search indexes are derived once for all tenants and stored, a folder for each (see siltstone.store);
+`Frames.of(tenant)` reads the tenant's folders alone, and counts, degrees and statistics are its own.
 """
 
 from __future__ import annotations
@@ -16,11 +16,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from siltstone.expr.text import tokens
 from siltstone.model.vocabulary import CHUNK_OVERLAP, CHUNK_TOKENS, CONFIDENCE
+from siltstone.operators import text_index, vector_index
 from siltstone.store import stored
 
 EPOCH = "timestamp'2024-01-01 00:00:00'"
 WORDS = "[^ \\t\\n\\r]+"
 GRAPH_SOURCES = ["orders", "lineitem", "supplier"]
+NODE_SOURCES = [*GRAPH_SOURCES, "customer", "part"]
+#: Stands for a tenant on edges between two tenants' nodes.
+SHARED = "shared"
+
+
+@dataclass
+class KeywordIndex:
+    """Postings; document frequencies and numbers of chunks by visibility and whether they are live; and the chunks, for states of the past."""
+
+    postings: DataFrame
+    terms: DataFrame
+    sizes: DataFrame
+    chunks: DataFrame
 
 
 @dataclass
@@ -42,8 +56,11 @@ class Frames:
             df = df.where(tenant_of(key) == self.tenant)
         return df
 
-    def _stored(self, name: str, sources: list[str], build: Callable[[], DataFrame], by: str) -> DataFrame:
-        return stored(self.spark, name, [f"{self.folder}/{s}.parquet" for s in sources], self.tenant or "", build, by)
+    def _stored(self, name: str, sources: list[str], build: Callable[[Frames], DataFrame], by: list[str], folders: list[str] | None = None) -> DataFrame:
+        """A table of all tenants, of which a tenant reads its own folder."""
+        every = Frames(self.spark, self.folder)
+        kept = stored(self.spark, name, [f"{self.folder}/{s}.parquet" for s in sources], lambda: build(every), by, ["customer_id"] if folders is None else folders)
+        return kept if self.tenant is None else kept.where(F.col("customer_id") == self.tenant)
 
     @cached_property
     def documents(self) -> DataFrame:
@@ -78,12 +95,42 @@ class Frames:
     @cached_property
     def chunks(self) -> DataFrame:
         """Content-addressed chunks: one row for a document and a content, over the versions that hold it; with the lengths that keyword ranking needs."""
-        return self._stored("chunks", ["documents"], self._chunks, "doc_id")
+        return self._stored("chunks", ["documents"], Frames._chunks, ["doc_id"])
 
     @cached_property
     def postings(self) -> DataFrame:
-        """(term, field, chunk_id, tf): which chunks hold a term, in title or content, and how often."""
-        return self._stored("postings", ["documents"], lambda: postings(self.chunks), "term")
+        return self._stored("postings", ["documents"], lambda f: postings(f.chunks), ["term", "chunk_id"])
+
+    @cached_property
+    def keyword_index(self) -> KeywordIndex:
+        """Postings that hold all that ranking and filters need, and counts of what may be searched."""
+        terms = self._stored("term-counts", ["documents"], lambda f: term_counts(f.postings), ["term"])
+        sizes = self._stored("chunk-counts", ["documents"], lambda f: chunk_counts(f.chunks), ["visibility"])
+        return KeywordIndex(self.postings, terms, sizes, self.chunks)
+
+    @cached_property
+    def name_index(self) -> DataFrame:
+        """Grams and words of nodes' names (see siltstone.operators.text_index)."""
+        return self._stored("name-index", NODE_SOURCES, lambda f: text_index.entries(f._tenant_nodes.select("customer_id", F.col("canonical_id").alias("id"), "label", F.col("name").alias("text"), F.col("name").alias("words"), F.col("updated_at").alias("seen"))), ["key", "id"])
+
+    @cached_property
+    def names(self) -> DataFrame:
+        return self._stored("names", NODE_SOURCES, lambda f: text_index.displays(f._tenant_nodes.select("customer_id", F.col("canonical_id").alias("id"), F.col("name").alias("display"))), ["id"], ["shelf"])
+
+    @cached_property
+    def bare_ids(self) -> DataFrame:
+        """Nodes by their id without its label."""
+        return self._stored("bare-ids", NODE_SOURCES, lambda f: f._tenant_nodes.select("customer_id", F.regexp_replace("canonical_id", "^[^:]*:", "").alias("bare"), "label", "canonical_id", "name"), ["bare"])
+
+    @cached_property
+    def title_index(self) -> DataFrame:
+        """Grams of live documents' titles, words of their titles and beginnings."""
+        lead = F.concat_ws(" ", "title", F.substring("body", 1, 200))
+        return self._stored("title-index", ["documents"], lambda f: text_index.entries(f.documents.where("valid_to is null").select("customer_id", F.col("doc_id").alias("id"), F.lit("title").alias("label"), F.col("title").alias("text"), lead.alias("words"), F.col("updated_at").alias("seen"))), ["key", "id"])
+
+    @cached_property
+    def titles(self) -> DataFrame:
+        return self._stored("titles", ["documents"], lambda f: text_index.displays(f.documents.where("valid_to is null").select("customer_id", F.col("doc_id").alias("id"), F.col("title").alias("display"))), ["id"], ["shelf"])
 
     def _chunks(self) -> DataFrame:
         pieces = windows(self.documents, "body", CHUNK_TOKENS, CHUNK_OVERLAP, "customer_id", "doc_id", "version", "title", "visibility", "valid_from", "valid_to")
@@ -105,10 +152,29 @@ class Frames:
     def vectors(self) -> DataFrame:
         return self._scoped(self.table("embeddings"), "vec_id").select("vec_id", F.concat(F.lit("src"), "label").alias("source_system"), F.col("embedding").cast("array<double>").alias("embedding"), F.expr(f"timestampadd(HOUR, CAST((vec_id * 37) % 1000 AS INT), {EPOCH})").alias("updated_at"))
 
+    @cached_property
+    def text_tables(self) -> text_index.TextTables:
+        return text_index.TextTables(self.name_index, self.names, self.bare_ids, self.title_index, self.titles)
+
+    @cached_property
+    def vector_index(self) -> vector_index.VectorIndex:
+        """Vectors by cell (see siltstone.operators.vector_index); cells are those of all tenants."""
+        if self.tenant is not None:
+            every = Frames(self.spark, self.folder).vector_index
+            return vector_index.VectorIndex(every.rows.where(F.col("customer_id") == self.tenant), every.cells)
+        centroids = self._stored("vector-centroids", ["embeddings"], lambda f: vector_index.centroids(f.vectors), ["cell"], [])
+        rows = self._stored("vector-index", ["embeddings"], lambda f: vector_index.placed(f.vectors.withColumn("customer_id", tenant_of("vec_id")), centroids), ["customer_id", "vec_id"], ["cell"])
+        return vector_index.VectorIndex(rows, self._stored("vector-cells", ["embeddings"], lambda f: vector_index.cells(rows, centroids), ["cell"], []))
+
     @cached_property
     def nodes(self) -> DataFrame:
-        """Graph nodes with degree (of all edges), and the time of their last change where they have one."""
-        return self._stored("nodes", [*GRAPH_SOURCES, "customer", "part"], self._nodes, "canonical_id")
+        """Graph nodes with degree (of all edges, of a tenant's own for a tenant), and the time of their last change where they have one."""
+        degree = "degree" if self.tenant is None else "own_degree"
+        return self._tenant_nodes.select("label", "canonical_id", "name", F.col(degree).alias("degree"), "updated_at")
+
+    @cached_property
+    def _tenant_nodes(self) -> DataFrame:
+        return self._stored("nodes", NODE_SOURCES, Frames._nodes, ["canonical_id"])
 
     def _nodes(self) -> DataFrame:
         made = [("Person", "customer", "c_custkey", "c_name", None), ("Service", "supplier", "s_suppkey", "s_name", None), ("Repo", "part", "p_partkey", "p_name", None), ("Document", "orders", "o_orderkey", None, "o_orderdate")]
@@ -117,15 +183,20 @@ class Frames:
             number = F.col(key).cast("string")
             shown = F.col(name) if name else F.concat(F.lit("Order "), number)
             time = (F.col(changed) if changed else F.lit(None)).cast("timestamp")
-            part = self._scoped(self.table(table), key).select(F.lit(label).alias("label"), F.concat(F.lit(f"{label}:"), number).alias("canonical_id"), shown.alias("name"), time.alias("updated_at"))
+            part = self.table(table).select(tenant_of(key).alias("customer_id"), F.lit(label).alias("label"), F.concat(F.lit(f"{label}:"), number).alias("canonical_id"), shown.alias("name"), time.alias("updated_at"))
             every = part if every is None else every.unionByName(part)
-        degree = self.symmetric_edges.groupBy(F.col("a").alias("canonical_id")).agg(F.count(F.lit(1)).alias("degree"))
-        return every.join(degree, "canonical_id", "left").select("label", "canonical_id", "name", F.coalesce("degree", F.lit(0)).alias("degree"), "updated_at")
+        own = F.count_if(F.col("customer_id") != SHARED)
+        degree = self._tenant_two_way.groupBy(F.col("a").alias("canonical_id")).agg(F.count(F.lit(1)).alias("degree"), own.alias("own_degree"))
+        return every.join(degree, "canonical_id", "left").select("customer_id", "label", "canonical_id", "name", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("degree", "own_degree")), "updated_at")
 
     @cached_property
     def edges(self) -> DataFrame:
         """One edge for each type and pair of ends: least valid_from, strongest confidence, live unless every line was closed."""
-        return self._stored("edges", GRAPH_SOURCES, self._edges, "from_id")
+        return self._tenant_edges.drop("customer_id")
+
+    @cached_property
+    def _tenant_edges(self) -> DataFrame:
+        return self._stored("edges", GRAPH_SOURCES, Frames._edges, ["from_id", "to_id"])
 
     def _edges(self) -> DataFrame:
         """Rows are merged on their numeric keys; ids become text only afterwards."""
@@ -143,16 +214,21 @@ class Frames:
         ]
         every = None
         for kind, from_label, from_key, to_label, to_key, rows, rank, open_, time in kinds:
-            merged = self._scoped(rows, from_key, to_key).groupBy(from_key, to_key).agg(F.max(rank).alias("tier"), F.min(F.col(time).cast("timestamp")).alias("valid_from"), F.max(open_).alias("open"))
+            merged = rows.groupBy(from_key, to_key).agg(F.max(rank).alias("tier"), F.min(F.col(time).cast("timestamp")).alias("valid_from"), F.max(open_).alias("open"))
             ends = [F.concat(F.lit(f"{label}:"), F.col(key).cast("string")) for label, key in ((from_label, from_key), (to_label, to_key))]
-            part = merged.select(F.lit(kind).alias("edge_type"), ends[0].alias("from_id"), ends[1].alias("to_id"), F.element_at(F.array(*map(F.lit, CONFIDENCE)), F.col("tier") + 1).alias("confidence"), "tier", "valid_from", (F.col("open") == 1).alias("live"))
+            tenant = F.when(tenant_of(from_key) == tenant_of(to_key), tenant_of(from_key)).otherwise(SHARED)
+            part = merged.select(tenant.alias("customer_id"), F.lit(kind).alias("edge_type"), ends[0].alias("from_id"), ends[1].alias("to_id"), F.element_at(F.array(*map(F.lit, CONFIDENCE)), F.col("tier") + 1).alias("confidence"), "tier", "valid_from", (F.col("open") == 1).alias("live"))
             every = part if every is None else every.unionByName(part)
         return every
 
     @cached_property
     def symmetric_edges(self) -> DataFrame:
         """Each edge from either end (a: the near one), so that neighbours are an equi-join and never an OR; a loop once."""
-        return self._stored("two-way-edges", GRAPH_SOURCES, lambda: two_way(self.edges), "a")
+        return self._tenant_two_way.drop("customer_id")
+
+    @cached_property
+    def _tenant_two_way(self) -> DataFrame:
+        return self._stored("two-way-edges", GRAPH_SOURCES, lambda f: two_way(f._tenant_edges, "customer_id"), ["a", "b"])
 
     @cached_property
     def sourced_edges(self) -> DataFrame:
@@ -190,17 +266,30 @@ def tenant_of(key: str) -> Column:
     return F.when(F.col(key) % 10 == 3, "globex").otherwise("acme")
 
 
-def two_way(edges: DataFrame) -> DataFrame:
+def two_way(edges: DataFrame, *keep: str) -> DataFrame:
     """Edges from either end, in one pass."""
     ahead, back = F.struct(F.col("from_id").alias("a"), F.col("to_id").alias("b")), F.struct(F.col("to_id").alias("a"), F.col("from_id").alias("b"))
     ends = F.explode(F.when(F.col("from_id") == F.col("to_id"), F.array(ahead)).otherwise(F.array(ahead, back)))
-    return edges.select(ends.alias("e"), "edge_type", "confidence", "tier", "live", "valid_from").select("e.a", "e.b", "edge_type", "confidence", "tier", "live", "valid_from")
+    return edges.select(ends.alias("e"), "edge_type", "confidence", "tier", "live", "valid_from", *keep).select(*keep, "e.a", "e.b", "edge_type", "confidence", "tier", "live", "valid_from")
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, field, chunk_id, tf) of the keyword fields of chunks."""
+    """(term, field, chunk_id, tf) of the keyword fields of chunks, with what of the chunk ranking and filters need, so that a search reads no chunks."""
     parts = [chunks.select("chunk_id", F.lit(f).alias("field"), F.explode(tokens(F.col(f))).alias("term")) for f in ("title", "content")]
-    return parts[0].unionByName(parts[1]).groupBy("term", "field", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    counted = parts[0].unionByName(parts[1]).groupBy("term", "field", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    about = chunks.select("customer_id", "chunk_id", "doc_id", "first_seen_version", "last_seen_version", "visibility", "valid_from", "valid_to", "title_length", "content_length")
+    length = F.when(F.col("field") == "title", F.col("title_length")).otherwise(F.col("content_length"))
+    return counted.join(about, "chunk_id").withColumn("length", length).drop("title_length", "content_length")
+
+
+def term_counts(made: DataFrame) -> DataFrame:
+    """(customer_id, term, field, visibility, live, df)."""
+    return made.groupBy("customer_id", "term", "field", "visibility", F.col("valid_to").isNull().alias("live")).agg(F.count(F.lit(1)).alias("df"))
+
+
+def chunk_counts(chunks: DataFrame) -> DataFrame:
+    """(customer_id, visibility, live) with the number of chunks and the sums of their lengths."""
+    return chunks.groupBy("customer_id", "visibility", F.col("valid_to").isNull().alias("live")).agg(F.count(F.lit(1)).alias("n"), F.sum("title_length").alias("title_sum"), F.sum("content_length").alias("content_sum"))
 
 
 def windows(df: DataFrame, text: str, size: int, overlap: int, *keep: str) -> DataFrame:

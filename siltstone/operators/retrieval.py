@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from siltstone.expr.scoring import cosine, rank_term, source_weight
 from siltstone.expr.temporal import chunk_predicate
-from siltstone.expr.text import similarity, trigrams
+from siltstone.model.frames import KeywordIndex
 from siltstone.model.vocabulary import BM25_B, BM25_K1, POOL_MULTIPLIER, TITLE_BOOST, TITLE_ONLY_PER_DOC
 from siltstone.operators.listing import Filters, filtered
+from siltstone.store import literal_rows
 
 
 def _array(values: list[float]) -> Column:
@@ -50,40 +51,52 @@ def similar_to(vectors: DataFrame, vec_id: int, k: int, within: DataFrame | None
     return scored.orderBy(*order).limit(10 * k).where(F.col("source_system") != sources_but).orderBy(*order).limit(k)
 
 
-def keyword_search(chunks: DataFrame, postings: DataFrame, documents: DataFrame, query: str, k: int, filters: Filters | None = None, per_source: int | None = None, recency: bool = False) -> DataFrame:
-    """BM25 of title (boosted) and content, any term matching; in stages.
+def keyword_search(index: KeywordIndex, documents: DataFrame, queries: list[str], k: int, filters: Filters | None = None, per_source: int | None = None, recency: bool = False) -> DataFrame:
+    """BM25 of title (boosted) and content, any term matching, for each query (sub_query: its number); in stages.
 
     A pool of ten times k by score; of each document only the best chunk that just its title brought in;
     then the document's filters, which may leave fewer than k; then the k best, or newest. k1 1.2, b
-    0.75, idf ln(1 + (N - df + 0.5) / (df + 0.5)), over the chunks that may be searched. Reads the
-    query's terms from postings, and of chunks only what isn't text.
+    0.75, idf ln(1 + (N - df + 0.5) / (df + 0.5)), over the chunks that may be searched. Reads the terms of
+    all queries from postings, once, and no chunks; only the pools, which are bounded, meet the documents.
     """
     filters = filters or Filters()
-    terms = sorted(set(_terms(query)))
-    searched = chunks.where(chunk_predicate(filters.temporal))
-    if not filters.drafts:
-        searched = searched.where("visibility = 'approved'")
-    searched = searched.select("customer_id", "chunk_id", "doc_id", "first_seen_version", "last_seen_version", "title_length", "content_length")
-    stats = searched.agg(F.count(F.lit(1)).alias("n"), F.avg("title_length").alias("title_average"), F.avg("content_length").alias("content_average"))
-    hits = searched.join(postings.where(F.col("term").isin(*terms) if terms else F.lit(False)), "chunk_id")
-    seen = hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))  # a row for each field and term of the query
-    joined = hits.join(F.broadcast(seen), ["field", "term"]).crossJoin(F.broadcast(stats))  # one row
+    asked = [(i, t) for i, q in enumerate(queries) for t in sorted(set(_terms(q)))]
+    terms = sorted({t for _, t in asked})
+    may = F.lit(True) if filters.drafts else F.col("visibility") == "approved"
+    hits = index.postings.where(F.col("term").isin(*terms) if terms else F.lit(False)).where(chunk_predicate(filters.temporal) & may)
+    if filters.temporal.mode == "AS_OF":  # the past has no counts at hand
+        seen = hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+        sizes = index.chunks.where(chunk_predicate(filters.temporal) & may).select(F.lit(1).alias("n"), F.col("title_length").alias("title_sum"), F.col("content_length").alias("content_sum"))
+    else:
+        held = may & (F.lit(True) if filters.temporal.mode == "ALL" else F.col("live"))
+        seen = index.terms.where(F.col("term").isin(*terms) if terms else F.lit(False)).where(held).groupBy("field", "term").agg(F.sum("df").alias("df"))
+        sizes = index.sizes.where(held)
+    stats = sizes.agg(F.sum("n").alias("n"), (F.sum("title_sum") / F.sum("n")).alias("title_average"), (F.sum("content_sum") / F.sum("n")).alias("content_average"))
+    known = literal_rows(index.postings.sparkSession, asked, "sub_query int, term string")
+    weighed = seen.join(F.broadcast(known), "term").crossJoin(F.broadcast(stats))  # a row for each field and term of the queries; one row
+    joined = hits.join(F.broadcast(weighed), ["field", "term"])
     title = F.col("field") == "title"
-    length = F.when(title, F.col("title_length") / F.col("title_average")).otherwise(F.col("content_length") / F.col("content_average"))
+    length = F.col("length") / F.when(title, F.col("title_average")).otherwise(F.col("content_average"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.when(title, TITLE_BOOST).otherwise(1.0) * idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * length))
-    named = ["customer_id", "chunk_id", "doc_id", "first_seen_version", "last_seen_version"]
+    named = ["sub_query", "customer_id", "chunk_id", "doc_id", "first_seen_version", "last_seen_version"]
     pool = joined.groupBy(*named).agg(F.bool_or(~title).alias("content_hit"), F.round(F.sum(part), 6).alias("score"))
-    pool = pool.orderBy(F.desc("score"), "chunk_id").limit(POOL_MULTIPLIER * k)
-    rn = F.row_number().over(Window.partitionBy("doc_id", "content_hit").orderBy(F.desc("score"), "chunk_id"))
+    first = [F.desc("score"), F.asc("chunk_id")]
+    pool = _best(pool, POOL_MULTIPLIER * k, ["sub_query"], first)
+    rn = F.row_number().over(Window.partitionBy("sub_query", "doc_id", "content_hit").orderBy(*first))
     capped = pool.withColumn("rn", F.when(F.col("content_hit"), 0).otherwise(rn)).where(F.col("rn") <= TITLE_ONLY_PER_DOC)
     live = filtered(documents, filters).select("customer_id", "doc_id", "version", "source_system", "updated_at")
-    found = capped.join(live, ["customer_id", "doc_id"]).where("version between first_seen_version and last_seen_version")
-    order = [F.desc("updated_at"), F.asc("chunk_id")] if recency else [F.desc("score"), F.asc("chunk_id")]
+    found = live.join(F.broadcast(capped), ["customer_id", "doc_id"]).where("version between first_seen_version and last_seen_version")  # the pools: ten times k rows for each query at most
+    order = [F.desc("updated_at"), F.asc("chunk_id")] if recency else first
     if per_source is not None:
-        found = found.withColumn("source_rank", F.row_number().over(Window.partitionBy("source_system").orderBy(*order))).where(F.col("source_rank") <= per_source)
+        found = found.withColumn("source_rank", F.row_number().over(Window.partitionBy("sub_query", "source_system").orderBy(*order))).where(F.col("source_rank") <= per_source)
         order = [F.asc("source_rank"), *order]
-    return found.orderBy(*order).limit(k).select("chunk_id", "doc_id", "version", "source_system", "updated_at", "content_hit", "score")
+    return _best(found, k, ["sub_query"], order).select("sub_query", "chunk_id", "doc_id", "version", "source_system", "updated_at", "content_hit", "score")
+
+
+def _best(rows: DataFrame, n: int, of: list[str], order: list[Column]) -> DataFrame:
+    """The first n rows of each."""
+    return rows.withColumn("best", F.row_number().over(Window.partitionBy(*of).orderBy(*order))).where(F.col("best") <= n).drop("best")
 
 
 def _terms(query: str) -> list[str]:
@@ -125,13 +138,6 @@ def within_budget(df: DataFrame, size: str, order: list, budget: int) -> DataFra
     return df.withColumn("running", running).where(F.col("running") <= budget)
 
 
-def fuzzy_nodes(nodes: DataFrame, query: str, floor: float, per_label: int, total: int) -> DataFrame:
-    """Nodes by trigram similarity of their names, the best of each label."""
-    scored = nodes.select("label", "canonical_id", "name", F.round(similarity(trigrams(F.col("name")), trigrams(F.lit(query))), 6).alias("similarity")).where(F.col("similarity") >= floor)
-    order = [F.desc("similarity"), F.asc("canonical_id")]
-    return scored.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy(*order))).where(F.col("rn") <= per_label).orderBy(*order).limit(total).drop("rn")
-
-
 def suppress_near_duplicates(hits: DataFrame, threshold: float = 0.95, most: int = 1000) -> DataFrame:
     """In rank order, drops a hit whose cosine with a kept one exceeds the threshold; hits without a vector stay.
 

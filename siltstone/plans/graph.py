@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from siltstone.model.frames import Frames
-from siltstone.operators import graph, listing, provenance, retrieval, writes
+from siltstone.operators import graph, listing, provenance, text_index, writes
 from siltstone.plans.registry import query
 from siltstone.store import literal_rows
 
@@ -156,12 +156,12 @@ def entity_filter_semi_join(f: Frames) -> DataFrame:
     return listing.entity_documents(f.symmetric_edges, f.nodes, "Person", ["Customer#000000012", "person:9"])
 
 
-@query("""WITH g AS (SELECT label, canonical_id, name, list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM nodes),
+@query("""WITH g AS (SELECT label, canonical_id, name, updated_at, list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM nodes),
 q AS (SELECT list_distinct(flatten(list_transform(['customer', '000000012'], lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS q),
-s AS (SELECT label, canonical_id, name, round(coalesce(len(list_intersect(g, q)) / nullif(len(list_distinct(list_concat(g, q))), 0), 0), 6) AS similarity FROM g, q)
-SELECT label, canonical_id, name, similarity FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, canonical_id) AS rn FROM s WHERE similarity >= 0.3) WHERE rn <= 5 ORDER BY similarity DESC, canonical_id LIMIT 20""")
+s AS (SELECT label, canonical_id, name, updated_at, round(coalesce(len(list_intersect(g, q)) / nullif(len(list_distinct(list_concat(g, q))), 0), 0), 6) AS similarity FROM g, q)
+SELECT label, canonical_id, name, similarity FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, updated_at DESC NULLS LAST, canonical_id) AS rn FROM s WHERE similarity >= 0.3) WHERE rn <= 5 ORDER BY similarity DESC, updated_at DESC NULLS LAST, canonical_id LIMIT 20""")
 def fuzzy_entity_probe(f: Frames) -> DataFrame:
-    return retrieval.fuzzy_nodes(f.nodes, "Customer 000000012", 0.3, 5, 20)
+    return text_index.probe_names(f.name_index, f.names, ["Customer 000000012"], 0.3, 5, 20).select("label", "canonical_id", "name", "similarity")
 
 
 @query()

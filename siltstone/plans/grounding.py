@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from siltstone.engine import Engine
 from siltstone.expr.text import bare_ids, grounding_tokens
 from siltstone.model.frames import Frames
-from siltstone.operators import code_graph, graph, grounding, listing, retrieval
+from siltstone.operators import code_graph, graph, grounding, listing, retrieval, text_index
 from siltstone.operators.listing import Filters
 from siltstone.plans.registry import query
 from siltstone.plans.retrieval import NOW, VECTOR
@@ -20,30 +22,38 @@ TITLE = "The the erntre"
   FROM (SELECT doc_id, updated_at, regexp_extract_all(lower(concat_ws(' ', title, substr(body, 1, 200))), '[a-z0-9_]+') AS t, {GRAMS.format("title")} AS g, {GRAMS.format(f"'{TITLE}'")} AS q FROM docs WHERE valid_to IS NULL))
 SELECT doc_id, fts, similarity FROM s WHERE fts OR similarity >= 0.3 ORDER BY fts DESC, similarity DESC, updated_at DESC, doc_id LIMIT 10""")
 def fuzzy_title_probe(f: Frames) -> DataFrame:
-    return grounding.similar_titles(f.documents, TITLE).select("doc_id", "fts", "similarity")
+    return text_index.probe_titles(f.title_index, f.titles, [TITLE]).select("doc_id", "fts", "similarity")
+
+
+@query(f"""WITH g AS (SELECT *, {GRAMS.format("name")} AS g, {GRAMS.format("'order'")} AS q FROM nodes WHERE label IN ('Document', 'Person'))
+SELECT label, canonical_id, name, greatest(0.5, round(len(list_intersect(g, q)) / len(list_distinct(list_concat(g, q))), 6)) AS similarity FROM g
+WHERE list_contains(regexp_extract_all(lower(name), '[a-z0-9_]+'), 'order') ORDER BY similarity DESC, updated_at DESC NULLS LAST, canonical_id LIMIT 5""")
+def name_text_match(f: Frames) -> DataFrame:
+    """Names that hold the query's word are worth a half at least, however unlike; those seen last come first."""
+    return text_index.probe_names(f.name_index, f.names, ["order"], 0.9, 5, 20, ("Document", "Person")).select("label", "canonical_id", "name", "similarity")
 
 
 @query("SELECT label, canonical_id, name FROM nodes WHERE regexp_replace(canonical_id, '^[^:]*:', '') IN ('77', '1234')")
 def bare_id_probe(f: Frames) -> DataFrame:
-    asked = f.spark.range(1).select(F.lit("what of PR #77 and issue 1234?").alias("query"))
-    return grounding.exact_ids(f.nodes, asked)
+    return text_index.exact_ids(f.bare_ids, ["what of PR #77 and issue 1234?"]).drop("probe")
 
 
 def _bundle(query: str, ids: list[str], number: int = 0) -> str:
     """SQL of one query's bundle; ids: the identifiers that it names."""
     asked = "'" + query.replace("'", "''") + "'"
     words = " AND ".join(f"list_contains(t, '{w.lower()}')" for w in query.split())
+    own = " AND ".join(f"list_contains(n, '{w}')" for w in re.findall("[a-z0-9_]{2,}", query.lower()))
     score = "round(coalesce(len(list_intersect(g, q)) / nullif(len(list_distinct(list_concat(g, q))), 0), 0), 6)"
     return f"""SELECT {number} AS probe, canonical_id, display, "order", match, similarity FROM (
   SELECT canonical_id, name AS display, 0 AS "order", 'bare_id_exact' AS match, 1.0::DOUBLE AS similarity FROM nodes WHERE regexp_replace(canonical_id, '^[^:]*:', '') IN ({", ".join(f"'{i}'" for i in ids) or "''"})
-  UNION ALL SELECT canonical_id, name, 1, 'trgm', similarity FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, canonical_id) AS rn FROM (SELECT label, canonical_id, name, {score} AS similarity FROM (SELECT *, {GRAMS.format("name")} AS g, {GRAMS.format(asked)} AS q FROM nodes)) WHERE similarity >= 0.3 QUALIFY rn <= 5 ORDER BY similarity DESC, canonical_id LIMIT 20)
+  UNION ALL SELECT canonical_id, name, 1, CASE WHEN similarity = 0.5 THEN 'fts' ELSE 'trgm' END, similarity FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, updated_at DESC NULLS LAST, canonical_id) AS rn FROM (SELECT label, canonical_id, name, updated_at, greatest({score}, CASE WHEN {own} THEN 0.5 ELSE 0 END) AS similarity FROM (SELECT *, {GRAMS.format("name")} AS g, {GRAMS.format(asked)} AS q, list_filter(regexp_extract_all(lower(name), '[a-z0-9_]+'), lambda x: length(x) >= 2) AS n FROM nodes)) WHERE similarity >= 0.3 QUALIFY rn <= 5 ORDER BY similarity DESC, updated_at DESC NULLS LAST, canonical_id LIMIT 20)
   UNION ALL SELECT doc_id, title, 2, 'doc_title', similarity FROM (SELECT * FROM (SELECT doc_id, title, updated_at, {words} AS fts, {score} AS similarity FROM (SELECT *, list_filter(regexp_extract_all(lower(concat_ws(' ', title, substr(body, 1, 200))), '[a-z0-9_]+'), lambda x: length(x) >= 2) AS t, {GRAMS.format("title")} AS g, {GRAMS.format(asked)} AS q FROM docs WHERE valid_to IS NULL)) WHERE fts OR similarity >= 0.3 ORDER BY fts DESC, similarity DESC, updated_at DESC, doc_id LIMIT 10))
 QUALIFY row_number() OVER (PARTITION BY canonical_id ORDER BY "order", similarity DESC, display) = 1"""
 
 
 @query(f"SELECT * EXCLUDE (probe) FROM ({_bundle('Customer 000000012 pr #77', ['77', '000000012'])})")
 def grounding_bundle(f: Frames) -> DataFrame:
-    return grounding.grounding_bundle(f.nodes, f.documents, "Customer 000000012 pr #77")
+    return grounding.grounding_bundle(f.text_tables, ["Customer 000000012 pr #77"]).drop("probe")
 
 
 _PROBES = ["show Customer#000000012 and Supplier#000000003", "customer#000000012", "supplier#000000003"]
@@ -100,12 +110,12 @@ def context_bundle(f: Frames) -> DataFrame:
 
 
 @query(f"""WITH q AS (SELECT list_distinct(flatten(list_transform(['customer', '000000012'], lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS q),
-a AS (SELECT canonical_id, similarity FROM (SELECT canonical_id, round(coalesce(len(list_intersect(g, q)) / nullif(len(list_distinct(list_concat(g, q))), 0), 0), 6) AS similarity FROM (SELECT canonical_id, {GRAMS.format("name")} AS g FROM nodes WHERE label = 'Person'), q) WHERE similarity >= 0.3 ORDER BY similarity DESC, canonical_id LIMIT 10),
+a AS (SELECT canonical_id, similarity FROM (SELECT canonical_id, greatest(round(coalesce(len(list_intersect(g, q)) / nullif(len(list_distinct(list_concat(g, q))), 0), 0), 6), CASE WHEN regexp_extract_all(lower(name), '[a-z0-9_]+') = ['customer', '000000012'] THEN 0.5 ELSE 0 END) AS similarity FROM (SELECT canonical_id, name, {GRAMS.format("name")} AS g FROM nodes WHERE label = 'Person'), q) WHERE similarity >= 0.3 ORDER BY similarity DESC, canonical_id LIMIT 10),
 b AS (SELECT 'Person:' || vec_id AS canonical_id, round(1 - score, 6) AS distance FROM {_SIMILAR.format(12)} ORDER BY score DESC, vec_id LIMIT 10)
 SELECT canonical_id, similarity, distance, CAST((similarity IS NOT NULL)::INT + (distance IS NOT NULL)::INT AS INTEGER) AS signals FROM a FULL JOIN b USING (canonical_id) ORDER BY signals DESC, similarity DESC NULLS LAST, distance ASC NULLS LAST, canonical_id LIMIT 10""")
 def merge_candidates(f: Frames) -> DataFrame:
     """People who may be Person:12: by trigrams of the name, and by the vectors of their descriptions."""
-    by_name = retrieval.fuzzy_nodes(f.nodes.where("label = 'Person'"), "Customer 000000012", 0.3, 10, 10)
+    by_name = text_index.probe_names(f.name_index, f.names, ["Customer 000000012"], 0.3, 10, 10, ("Person",))
     by_vector = retrieval.similar_to(f.vectors, 12, 10).select(F.concat(F.lit("Person:"), F.col("vec_id").cast("string")).alias("canonical_id"), F.round(1 - F.col("score"), 6).alias("distance"))
     return grounding.merge_candidates(by_name, by_vector)
 

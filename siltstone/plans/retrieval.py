@@ -10,6 +10,7 @@ from siltstone.model.frames import Frames, windows
 from siltstone.model.vocabulary import CHUNK_OVERLAP, CHUNK_TOKENS
 from siltstone.operators import listing, retrieval
 from siltstone.operators.listing import Filters
+from siltstone.operators.vector_index import indexed_search
 from siltstone.plans.registry import query
 from siltstone.store import literal_rows
 
@@ -126,6 +127,25 @@ def vector_topk_by_source(f: Frames) -> DataFrame:
     return retrieval.vector_search(f.vectors, VECTOR, 24, per_source=3).select("vec_id", "source_system", "source_rank", "score")
 
 
+@query(f"WITH {_SCORES} SELECT vec_id, source_system, score FROM scored ORDER BY score DESC, vec_id LIMIT 10")
+def vector_topk_by_index(f: Frames) -> DataFrame:
+    """From the inverted file, exactly: the nearest cells first, then those whose bound reaches the tenth score."""
+    return indexed_search(f.vector_index, VECTOR, 10, exact=True).select("vec_id", "source_system", "score")
+
+
+@query(f"WITH {_SCORES} SELECT vec_id, source_system, score FROM scored WHERE source_system IN ('src1', 'src4') AND CAST(vec_id AS VARCHAR) IN (SELECT source_id FROM docs WHERE valid_to IS NULL AND visibility = 'approved') ORDER BY score DESC, vec_id LIMIT 10")
+def vector_index_filtered(f: Frames) -> DataFrame:
+    """The same among two sources' vectors that belong to live documents."""
+    live = listing.filtered(f.documents, Filters()).select(F.col("source_id").cast("long").alias("vec_id")).distinct()
+    return indexed_search(f.vector_index, VECTOR, 10, exact=True, within=live, sources=("src1", "src4")).select("vec_id", "source_system", "score")
+
+
+@query()
+def vector_topk_probed(f: Frames) -> DataFrame:
+    """From the eight nearest cells alone: approximate, its recall is measured in the tests."""
+    return indexed_search(f.vector_index, VECTOR, 10).select("vec_id", "source_system", "score")
+
+
 @query(f"WITH {_SCORES} SELECT vec_id, score FROM scored ORDER BY updated_at DESC, vec_id LIMIT 20")
 def vector_recent(f: Frames) -> DataFrame:
     return retrieval.vector_search(f.vectors, VECTOR, 20, recency=True).select("vec_id", "score")
@@ -148,17 +168,17 @@ found AS (SELECT c.chunk_id, d.doc_id, d.version, d.source_system, d.updated_at,
 
 @query(_BM25 + "SELECT chunk_id, doc_id, version, source_system, content_hit, score FROM found ORDER BY score DESC, chunk_id LIMIT 20")
 def keyword_topk(f: Frames) -> DataFrame:
-    return retrieval.keyword_search(f.chunks, f.postings, f.documents, "die the Oneaan", 20).drop("updated_at")
+    return retrieval.keyword_search(f.keyword_index, f.documents, ["die the Oneaan"], 20).drop("sub_query", "updated_at")
 
 
 @query(_BM25 + ", r AS (SELECT *, row_number() OVER (PARTITION BY source_system ORDER BY score DESC, chunk_id) AS sr FROM found) SELECT chunk_id, doc_id, version, source_system, content_hit, score FROM r WHERE sr <= 2 ORDER BY sr, score DESC, chunk_id LIMIT 20")
 def keyword_topk_by_source(f: Frames) -> DataFrame:
-    return retrieval.keyword_search(f.chunks, f.postings, f.documents, "die the Oneaan", 20, per_source=2).drop("updated_at")
+    return retrieval.keyword_search(f.keyword_index, f.documents, ["die the Oneaan"], 20, per_source=2).drop("sub_query", "updated_at")
 
 
 @query(_BM25 + "SELECT chunk_id, doc_id, version, source_system, content_hit, score FROM found WHERE source_system IN ('src1', 'src4') ORDER BY score DESC, chunk_id LIMIT 20")
 def keyword_filters_after_pool(f: Frames) -> DataFrame:
-    return retrieval.keyword_search(f.chunks, f.postings, f.documents, "die the Oneaan", 20, Filters(sources=("src1", "src4"))).drop("updated_at")
+    return retrieval.keyword_search(f.keyword_index, f.documents, ["die the Oneaan"], 20, Filters(sources=("src1", "src4"))).drop("sub_query", "updated_at")
 
 
 def _channels(f: Frames) -> DataFrame:
@@ -172,7 +192,7 @@ def _channels(f: Frames) -> DataFrame:
     vectors = retrieval.vector_search(f.vectors, VECTOR, 40)
     near = vectors.join(live.select(F.col("source_id").cast("long").alias("vec_id"), "doc_id", "body", F.col("source_system").alias("s"), F.col("updated_at").alias("u")), "vec_id")
     first = ranked(near.select("doc_id", F.col("body").alias("content"), F.col("s").alias("source_system"), F.col("u").alias("updated_at"), "score", "vec_id"), 0, F.desc("score"), F.asc("vec_id"))
-    words = retrieval.keyword_search(f.chunks, f.postings, f.documents, "die the Oneaan", 40)
+    words = retrieval.keyword_search(f.keyword_index, f.documents, ["die the Oneaan"], 40)
     second = ranked(words.select("doc_id", F.lit("hit").alias("content"), "source_system", "updated_at", "score", "chunk_id"), 1, F.desc("score"), F.asc("chunk_id"))
     linked = f.nodes.where("label = 'Document'").select(F.split_part("canonical_id", F.lit(":"), F.lit(2)).alias("source_id"), "degree").join(live, "source_id")
     top = linked.orderBy(F.desc("degree"), "doc_id").limit(40)
