@@ -3,8 +3,9 @@
 A text with one space before it is the text of both. It is cut before a single space between two
 characters of which neither is white space: there both tokenizers begin a new token (the one's pattern
 takes a space along with what follows, the other has no piece with its space mark after another
-character), so such units are encoded alone, once for each distinct one that a worker remembers. Two
-pointers go over the units' cumulative ends and emit groups and links. Each task hands on its texts'
+character), so such units are encoded once for each distinct one that a worker remembers, unknown ones
+side by side. (Those of ASCII alone by tiktoken's engine on the same entries as ranks; its ids are the
+tokenizers library's there, as a test holds.) Two pointers go over the units' cumulative ends and emit groups and links. Each task hands on its texts'
 pairs of ids as numbers of a dictionary of its stretch of the table, with the dictionary; Spark counts the
 dictionaries' pairs, takes the maximum for each id, joins both back to the dictionaries, and brings
 each stretch's dictionary and texts together again.
@@ -15,7 +16,10 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -24,43 +28,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from siltstone.llm.common import Scratch, documents
 
-#: Bytes of text whose pairs share a dictionary; bytes of distinct units that a worker remembers, and of the longest of them.
-STRETCH_BYTES, REMEMBERED, LONGEST = 8 << 20, 48 << 20, 4096
+#: Bytes of text whose pairs share a dictionary; bytes of distinct units that a worker remembers.
+STRETCH_BYTES, REMEMBERED = 8 << 20, 300 << 20
 #: No white space of any table, no control character, no mark of the piece vocabulary: what may stand beside a cut.
 _INNER = "[^\\x00-\\x20\\x7F-\\xA0\\xAD\\u0300-\\u036F\\u1680\\u180E\\u2000-\\u206F\\u2581\\u3000\\uFE00-\\uFE0F\\uFEFF]"
 _CUT = re.compile(f"(?<={_INNER}) (?={_INNER})")
 _BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
-Unit = tuple[int, int, str, np.ndarray]
+_WHOLE = re.compile(_INNER)
+#: Tokens of either side, number of groups, the groups as text, links as a << 32 | b.
+Unit = tuple[int, int, int, str, tuple[int, ...]]
+#: Of a unit whose bytes one of the tokenizers doesn't give back.
+NO_UNIT: Unit = (-1, -1, -1, "", ())
 
 
-def ends_together(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-    """Groups of ids between common ends, and pairs of ids that end together, of two token lists over the same bytes with their cumulative ends."""
-    groups, links = [], []
-    i = j = first_a = first_b = 0
-    while i < len(a) and j < len(b):
-        if a_ends[i] < b_ends[j]:
+def ends_together(a: list[int], b: list[int], a_lengths: list[int], b_lengths: list[int], ends: list[int]) -> Iterator[tuple[int, int, list[str], list[tuple[int, int]]]]:
+    """For each of some stretches, by their ends in bytes: its tokens of either side, its groups between common ends as text, and pairs of ids that end together.
+
+    Two pointers go over two token lists of the same bytes; lengths are by id. Each stretch's end is a
+    common one. Tokens without bytes belong to the end before them.
+    """
+    i = j = first_a = first_b = begun_a = begun_b = a_end = b_end = 0
+    n_a, n_b = len(a), len(b)
+    for end in ends:
+        groups, links = [], []
+        while b_end < end:
+            a_end += a_lengths[a[i]]
             i += 1
-        elif a_ends[i] > b_ends[j]:
+            b_end += b_lengths[b[j]]
             j += 1
-        else:
-            end, last_a, last_b = a_ends[i], i, j
-            while last_a + 1 < len(a) and a_ends[last_a + 1] == end:
-                last_a += 1
-            while last_b + 1 < len(b) and b_ends[last_b + 1] == end:
-                last_b += 1
-            groups.append((a[first_a : last_a + 1], b[first_b : last_b + 1]))
-            links += [(x, y) for x in a[i : last_a + 1] for y in b[j : last_b + 1]]
-            i, j = last_a + 1, last_b + 1
+            while a_end != b_end:
+                if a_end < b_end:
+                    a_end += a_lengths[a[i]]
+                    i += 1
+                else:
+                    b_end += b_lengths[b[j]]
+                    j += 1
+            last_a, last_b = i - 1, j - 1
+            while i < n_a and not a_lengths[a[i]]:
+                i += 1
+            while j < n_b and not b_lengths[b[j]]:
+                j += 1
+            if i - first_a == 1 and j - first_b == 1:
+                groups.append(f"{a[first_a]}|{b[first_b]}")
+                links.append((a[first_a], b[first_b]))
+            else:
+                groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
+                links += [(x, y) for x in a[last_a:i] for y in b[last_b:j]]
             first_a, first_b = i, j
-    return groups, links
+        yield i - begun_a, j - begun_b, groups, links
+        begun_a, begun_b = i, j
 
 
 class Aligner:
     """Units of texts under both tokenizers, in one worker."""
 
-    def __init__(self, byte_vocabulary: str, piece_model: str) -> None:
+    def __init__(self, byte_vocabulary: str, pattern: str, piece_model: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(byte_vocabulary)
@@ -70,74 +95,84 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_model)
         byte_of = _bytes_of_characters()
         entries = self.a.get_vocab(with_added_tokens=True)
+        own = self.a.get_vocab(with_added_tokens=False)
         self.a_bytes = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
             self.a_bytes[i] = bytes(byte_of[c] for c in entry) if all(c in byte_of for c in entry) else entry.encode()
-        self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
+        ranks = {self.a_bytes[i]: i for entry, i in own.items() if all(c in byte_of for c in entry)}
+        self.ascii = tiktoken.Encoding("ascii", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.b_bytes = [bytes([int(m[1], 16)]) if (m := _BYTE_PIECE.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
+        self.lengths = [list(map(len, side)) for side in (self.a_bytes, self.b_bytes)]
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.units: dict[str, int] = {}
-        self.known: list[Unit | None] = []
+        self.forget()
+
+    def forget(self) -> None:
+        self.units: dict[str, Unit] = {}
+        self.codes: dict[int, int] = {}  # one object for each pair
         self.held = 0
 
-    def _piece(self, i: int) -> bytes:
-        piece = self.b.id_to_piece(i)
-        found = _BYTE_PIECE.fullmatch(piece)
-        return bytes([int(found[1], 16)]) if found else piece.replace("▁", " ").encode()
-
-    def _unit(self, text: str, a: list[int], b: list[int]) -> Unit | None:
-        """Tokens of either side, the groups as text and the links as a << 32 | b; None where one side's bytes aren't those of the text."""
-        whole = f" {text}".encode()
-        parts = [[self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]]
-        if any(b"".join(p) != whole for p in parts):
-            return None
-        ends = [np.cumsum([len(x) for x in p]).tolist() for p in parts]
-        groups, links = ends_together(a, b, *ends)
-        shown = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-        return len(a), len(b), shown, np.array([x << 32 | y for x, y in links], np.int64)
-
-    def learn(self, texts: list[str]) -> None:
-        """Encodes units that aren't known yet; forgets all others first if they have grown too many."""
-        new = [t for t in dict.fromkeys(texts) if t not in self.units]
-        if not new:
-            return
+    def _aligned(self, units: list[str]) -> list[Unit]:
+        """Units side by side in one text, whose joints are such that texts are cut there; one by one where one side's bytes aren't those of the text."""
+        text = " ".join(units)
+        a = self.ascii.encode_ordinary(f" {text}") if text.isascii() else self.a.encode(f" {text}", add_special_tokens=False).ids
+        b, whole = self.b.encode(text), f" {text}".encode()
+        if any(b"".join([table[i] for i in ids]) != whole for table, ids in ((self.a_bytes, a), (self.b_bytes, b))):
+            return [NO_UNIT] if len(units) == 1 else [u for unit in units for u in self._aligned([unit])]
+        ends = list(accumulate([len(u) + 1 for u in units] if text.isascii() else [len(u.encode()) + 1 for u in units]))
+        code = self.codes
+        return [
+            (n_a, n_b, len(groups), ";".join(groups), tuple([code.setdefault(c, c) for c in [x << 32 | y for x, y in links]]))
+            for n_a, n_b, groups, links in ends_together(a, b, *self.lengths, ends)
+        ]
+
+    def learn(self, new: list[str]) -> None:
+        """Encodes units; forgets all others first if they have grown too many."""
         if self.held > REMEMBERED:
-            self.units, self.known, self.held = {}, [], 0
-            new = list(dict.fromkeys(texts))
-        for begin in range(0, len(new), 2048):
-            some = new[begin : begin + 2048]
-            encoded = self.a.encode_batch_fast([f" {t}" for t in some], add_special_tokens=False)
-            for text, e, b in zip(some, encoded, self.b.encode(some, num_threads=1), strict=True):
-                self.units[text] = len(self.known)
-                self.known.append(self._unit(text, e.ids, b))
-                self.held += 250 + 12 * len(text)
+            self.forget()
+        kinds: tuple[list[str], list[str], list[str]] = [], [], []
+        for t in new:
+            whole = self.cuts and bool(t) and (t[0].isalnum() or _WHOLE.match(t[0])) and (t[-1].isalnum() or _WHOLE.match(t[-1]))
+            kinds[0 if whole and t.isascii() else 1 if whole else 2].append(t)
+        groups = [kind[i : i + 512] for kind in kinds[:2] for i in range(0, len(kind), 512)]
+        for some in [*groups, *([t] for t in kinds[2])]:
+            self.units.update(zip(some, self._aligned(some), strict=True))
+            self.held += 400 * len(some) + 12 * sum(map(len, some))
 
     def cut(self, text: str) -> list[str]:
         return _CUT.split(text) if self.cuts else [text]
 
+    def _units(self, cut: list[str]) -> list[Unit]:
+        found = list(map(self.units.get, cut))
+        if None in found:
+            self.learn([t for t in dict.fromkeys(cut) if t not in self.units])
+            found = list(map(self.units.get, cut))
+            if None in found:  # others were forgotten
+                self.learn([t for t in dict.fromkeys(cut) if t not in self.units])
+                found = list(map(self.units.get, cut))
+        return found
+
     def text(self, text: str) -> tuple[int, int, int, str, np.ndarray, np.ndarray] | None:
-        """Tokens of either side, links' number of groups, the groups' hash, distinct links and how often each occurs; None for a text without tokens."""
-        units = self.cut(text)
+        """Tokens of either side, the number of groups, the groups' hash, distinct links (a << 32 | b) and how often each occurs; None for a text without tokens."""
+        cut = self.cut(text)
         n_a = n_b = n_groups = 0
-        sha, links, times = hashlib.sha256(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for begin in range(0, len(units), 50_000):
-            some = units[begin : begin + 50_000]
-            self.learn(some)
-            at = np.array([self.units[u] for u in some])
-            own, count = np.unique(at, return_counts=True)
-            known = [self.known[i] for i in own.tolist()]
-            if any(u is None for u in known):
+        sha, links = hashlib.sha256(), Counter()
+        for begin in range(0, len(cut), 50_000):
+            found = self._units(cut[begin : begin + 50_000])
+            if NO_UNIT in found:
                 return None
-            n_a += int(count @ np.array([u[0] for u in known]))
-            n_b += int(count @ np.array([u[1] for u in known]))
-            n_groups += int(count @ np.array([u[2].count("|") for u in known]))
-            shown = ";".join([self.known[i][2] for i in at.tolist()])
-            sha.update((";" + shown if begin else shown).encode())
-            distinct, place = np.unique(np.concatenate([u[3] for u in known]), return_inverse=True)
-            links.append(distinct)
-            times.append(np.bincount(place.reshape(-1), np.repeat(count, [len(u[3]) for u in known]), len(distinct)).astype(np.int64))
-        distinct, place = np.unique(np.concatenate(links), return_inverse=True)
-        return n_a, n_b, n_groups, sha.hexdigest(), distinct, np.bincount(place.reshape(-1), np.concatenate(times), len(distinct)).astype(np.int64)
+            of_a, of_b, of_groups, shown, pairs = zip(*found, strict=True)
+            n_a, n_b, n_groups = n_a + sum(of_a), n_b + sum(of_b), n_groups + sum(of_groups)
+            sha.update(((";" if begin else "") + ";".join(shown)).encode())
+            own = Counter(chain.from_iterable(pairs))
+            links = links + own if begin else own
+        return n_a, n_b, n_groups, sha.hexdigest(), np.fromiter(links.keys(), np.int64, len(links)), np.fromiter(links.values(), np.int64, len(links))
+
+
+@lru_cache(1)
+def aligner_of(*files: str) -> Aligner:
+    """A worker's own, which it keeps from task to task."""
+    return Aligner(*files)
 
 
 def _bytes_of_characters() -> dict[str, int]:
@@ -170,11 +205,11 @@ class Stretch:
         return frame.astype({c: "Int64" for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")})
 
 
-def aligned(docs: DataFrame, byte_vocabulary: str, piece_model: str) -> DataFrame:
+def aligned(docs: DataFrame, byte_vocabulary: str, pattern: str, piece_model: str) -> DataFrame:
     """Rows as in ALIGNED, of texts and of dictionaries."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        aligner = Aligner(byte_vocabulary, piece_model)
+        aligner = aligner_of(byte_vocabulary, pattern, piece_model)
         first = TaskContext.get().partitionId() << 32
         stretch = Stretch(first)
         for frame in frames:
@@ -193,7 +228,7 @@ def aligned(docs: DataFrame, byte_vocabulary: str, piece_model: str) -> DataFram
     return kept.mapInPandas(run, ALIGNED)
 
 
-def alignment(docs: DataFrame, byte_vocabulary: str, piece_model: str) -> DataFrame:
+def alignment(docs: DataFrame, byte_vocabulary: str, pattern: str, piece_model: str) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row.
 
     A text that is null or empty, or that one of the tokenizers doesn't give back byte for byte, has no
@@ -202,7 +237,7 @@ def alignment(docs: DataFrame, byte_vocabulary: str, piece_model: str) -> DataFr
     their length. A pair's count is of all links of all texts, its best of all pairs with the same second id.
     """
     scratch = Scratch(docs.sparkSession, "alignment")
-    rows = scratch.write(aligned(docs, byte_vocabulary, piece_model))
+    rows = scratch.write(aligned(docs, byte_vocabulary, pattern, piece_model))
     listed = rows.where("pairs IS NOT NULL").select("stretch", F.posexplode(F.arrays_zip("pairs", "times")).alias("place", "z"))
     listed = listed.select("stretch", "place", F.col("z.pairs").alias("pair"), F.col("z.times").alias("times"))
     counts = scratch.write(listed.groupBy("pair").agg(F.sum("times").alias("count")))
