@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,10 +11,12 @@ from pyspark.sql import functions as F
 from siltstone.expr import text
 from siltstone.functions import udfs
 from siltstone.model.frames import Frames
-from siltstone.operators import persist, provenance, writes
+from siltstone.operators import incremental, persist, provenance, writes
 from siltstone.plans.registry import query
 from siltstone.sources import connectors
+from siltstone.store import shared_folder, written
 from siltstone.streaming import admission
+from siltstone.tables import Change, Snapshot, Spec, TableSet
 
 NOW = "2025-06-01 00:00:00"
 
@@ -175,6 +179,126 @@ def persisted_batch(f: Frames) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+def _versions(f: Frames) -> TableSet:
+    """Two versions of the knowledge tables: src1's documents but for every fourth, then a batch of all of them, every third changed; half of a batch's documents coalesce, every fifth one held is complete."""
+    n, none = F.col("source_id").cast("long"), F.lit(None).cast("timestamp")
+    live = written(f.documents.where("valid_to is null and source_system = 'src1'").select("doc_id", "source_id", "author_id", "valid_from", F.md5("body").alias("content_hash")), "live")
+    held, one = live.where(n % 4 != 0), F.lit(1).cast("long")
+    tables = TableSet(f.spark, f"{shared_folder(f.spark)}/runs/knowledge-{uuid.uuid4().hex}", incremental.with_buckets(incremental.KNOWLEDGE, 16))
+    start = {
+        "documents": held.select("doc_id", one.alias("version"), "content_hash", (n % 5 == 0).alias("complete"), "valid_from", none.alias("valid_to"), none.alias("deleted_at")),
+        "chunks": held.select("doc_id", "content_hash", F.lit(0).cast("long").alias("chunk_index"), one.alias("first_seen_version"), one.alias("last_seen_version"), none.alias("valid_to")),
+        "nodes": held.select(F.lit("Document").alias("label"), F.col("doc_id").alias("canonical_id"), F.lit('{"a":"1"}').alias("properties")),
+        "provenance": held.select(F.col("doc_id").alias("canonical_id"), F.lit("src1").alias("source_system"), F.col("valid_from").alias("first_seen"), F.col("valid_from").alias("last_seen")),
+        "aliases": f.spark.createDataFrame([("Person", "p7", "p8")], "label string, alias string, primary string"),
+    }
+    tables.write("start", lambda s: {name: Change(rows, tuple(range(16))) for name, rows in start.items()})
+    fresh = live.withColumn("content_hash", F.when(n % 3 == 0, F.concat(F.lit("new"), "content_hash")).otherwise(F.col("content_hash")))
+    people = fresh.where("author_id is not null").groupBy("author_id").agg(F.min(n).alias("seq")).select(F.lit("Person").alias("label"), F.col("author_id").alias("canonical_id"), F.lit("{}").alias("properties"), "seq")
+    batch = {
+        "documents": fresh.select("doc_id", n.alias("seq"), "content_hash", (n % 2 == 0).alias("coalesce"), (n % 7 == 0).alias("complete")),
+        "chunks": fresh.select("doc_id", "content_hash", F.lit(0).cast("long").alias("chunk_index")),
+        "nodes": fresh.select(F.lit("Document").alias("label"), F.col("doc_id").alias("canonical_id"), F.lit('{"b":"2"}').alias("properties"), n.alias("seq")).unionByName(people).withColumn("source_system", F.lit("src1")),
+        "edges": fresh.select(F.lit("AUTHORED").alias("edge_type"), F.coalesce("author_id", F.lit("nobody")).alias("from_id"), F.col("doc_id").alias("to_id"), F.lit("EXTRACTED").alias("confidence"), "valid_from", none.alias("valid_to"), F.lit("src1").alias("source_system"), n.alias("seq")),
+    }
+    incremental.persist_batch(tables, "batch", batch, NOW)
+    return tables
+
+
+_STATES = """WITH l AS (SELECT doc_id, CAST(source_id AS BIGINT) AS n, CASE author_id WHEN 'p7' THEN 'p8' ELSE author_id END AS author, author_id, md5(body) AS h, valid_from FROM docs WHERE valid_to IS NULL AND source_system = 'src1'),
+b AS (SELECT *, n % 4 <> 0 AS held, n % 3 = 0 AS changed, n % 4 <> 0 AND n % 3 = 0 AND n % 2 = 0 AND n % 5 <> 0 AS placed FROM l),
+e AS (SELECT * FROM b WHERE author IS NOT NULL)
+SELECT 1 AS version, 'documents' AS name, doc_id || '@1' AS id, h || ' live' AS state FROM b WHERE held
+UNION ALL SELECT 2, 'documents', doc_id || '@1', CASE WHEN NOT held AND changed OR placed THEN 'new' ELSE '' END || h || CASE WHEN held AND changed AND NOT placed THEN ' closed' ELSE ' live' END FROM b
+UNION ALL SELECT 2, 'documents', doc_id || '@2', 'new' || h || ' live' FROM b WHERE held AND changed AND NOT placed
+UNION ALL SELECT 1, 'chunks', doc_id || ' ' || h, '1-1 live' FROM b WHERE held
+UNION ALL SELECT 2, 'chunks', doc_id || ' ' || h, CASE WHEN changed THEN '1-1 closed' ELSE '1-1 live' END FROM b WHERE held
+UNION ALL SELECT 2, 'chunks', doc_id || ' ' || CASE WHEN changed THEN 'new' ELSE '' END || h, CASE WHEN held AND NOT placed THEN '2-2 live' ELSE '1-1 live' END FROM b WHERE changed OR NOT held
+UNION ALL SELECT 1, 'nodes', doc_id, '{"a":"1"}' FROM b WHERE held
+UNION ALL SELECT 2, 'nodes', doc_id, CASE WHEN held THEN '{"a":"1","b":"2"}' ELSE '{"b":"2"}' END FROM b
+UNION ALL SELECT DISTINCT 2, 'nodes', author, '{}' FROM e
+UNION ALL SELECT 2, 'edges', author || '>' || doc_id, 'EXTRACTED ' || CASE WHEN author_id <> author THEN author_id ELSE '' END FROM e
+UNION ALL SELECT 2, 'pending', 'nobody>' || doc_id, 'EXTRACTED ' FROM b WHERE author IS NULL
+UNION ALL SELECT 1, 'provenance', doc_id, strftime(valid_from, '%Y-%m-%d') || ' ' || strftime(valid_from, '%Y-%m-%d') FROM b WHERE held
+UNION ALL SELECT 2, 'provenance', doc_id, CASE WHEN held THEN strftime(valid_from, '%Y-%m-%d') ELSE '2025-06-01' END || ' 2025-06-01' FROM b
+UNION ALL SELECT DISTINCT 2, 'provenance', author, '2025-06-01 2025-06-01' FROM e
+UNION ALL SELECT 2, 'degrees', doc_id, '1' FROM e UNION ALL SELECT 2, 'degrees', author, CAST(count(*) AS VARCHAR) FROM e GROUP BY author
+UNION ALL SELECT 2, 'two_way', author || '>' || doc_id, 'EXTRACTED' FROM e UNION ALL SELECT 2, 'two_way', doc_id || '>' || author, 'EXTRACTED' FROM e"""
+
+
+@query(_STATES)
+def persisted_versions(f: Frames) -> DataFrame:
+    """Every row of the knowledge tables before and after a batch, by version."""
+    tables, live = _versions(f), F.when(F.col("valid_to").isNull(), "live").otherwise("closed")
+    lane = F.concat_ws(">", "from_id", "to_id")
+    shown = {
+        "documents": (F.concat_ws("@", "doc_id", "version"), F.concat_ws(" ", "content_hash", live)),
+        "chunks": (F.concat_ws(" ", "doc_id", "content_hash"), F.concat_ws(" ", F.concat_ws("-", "first_seen_version", "last_seen_version"), live)),
+        "nodes": (F.col("canonical_id"), F.col("properties")),
+        "edges": (lane, F.concat_ws(" ", "confidence", "alias_from")),
+        "pending": (lane, F.concat_ws(" ", "confidence", "alias_from")),
+        "provenance": (F.col("canonical_id"), F.concat_ws(" ", *(F.date_format(c, "yyyy-MM-dd") for c in ("first_seen", "last_seen")))),
+        "degrees": (F.col("canonical_id"), F.col("degree").cast("string")),
+        "two_way": (F.concat_ws(">", "a", "b"), F.col("confidence")),
+    }
+    return reduce(DataFrame.unionByName, [tables.read(name, v).select(F.lit(v).alias("version"), F.lit(name).alias("name"), i.alias("id"), state.alias("state")) for v in (1, 2) for name, (i, state) in shown.items()])
+
+
+_NEXT = """after AS (SELECT edge_type, from_id, to_id FROM edges WHERE edge_type <> 'CALLS' OR tier = 2)"""
+
+
+def _edge_deltas(f: Frames) -> TableSet:
+    """All edges but TOUCHES, then a write that brings those and takes the calls that aren't sure; degrees and directions follow by deltas."""
+    tables = TableSet(f.spark, f"{shared_folder(f.spark)}/runs/edges-{uuid.uuid4().hex}", incremental.with_buckets({k: incremental.KNOWLEDGE[k] for k in ("edges", "degrees", "two_way")}, 32))
+    lanes = {c: F.lit("") for c in ("alias_from", "alias_to")}
+    rows = f.edges.select("edge_type", "from_id", "to_id", "confidence", "valid_from", F.lit(None).cast("timestamp").alias("valid_to"), F.lit("s").alias("source_system")).withColumns(lanes)
+
+    def add(s: Snapshot, came: DataFrame, went: DataFrame) -> dict[str, Change]:
+        keys = came.select("from_id", "to_id").unionAll(went.select("from_id", "to_id"))
+        old = s.read("edges", keys)
+        return incremental.edge_changes(s, s.upsert("edges", keys, lambda o: o.join(went, incremental.LANES, "left_anti").unionByName(came.select(*o.columns))), old)
+
+    none = rows.limit(0).select(*incremental.LANES)
+    tables.write("first", lambda s: add(s, rows.where("edge_type <> 'TOUCHES'"), none))
+    tables.write("second", lambda s: add(s, rows.where("edge_type = 'TOUCHES'"), rows.where("edge_type = 'CALLS' and confidence <> 'EXTRACTED'").select(*incremental.LANES)))
+    return tables
+
+
+@query(f"WITH {_NEXT} SELECT canonical_id, count(*) AS degree FROM (SELECT from_id AS canonical_id FROM after UNION ALL SELECT to_id FROM after WHERE from_id <> to_id) GROUP BY 1")
+def degrees_by_deltas(f: Frames) -> DataFrame:
+    """Degrees after two writes, each of which counted only what came and went."""
+    return _edge_deltas(f).read("degrees")
+
+
+_POSTED = {"chunks": Spec("chunk_id string, content string", ("chunk_id",)), "postings": Spec("term string, chunk_id string, tf long", ("term",)), "frequencies": Spec("term string, df long", ("term",))}
+
+
+def _posted(chunks: DataFrame) -> DataFrame:
+    terms = chunks.select("chunk_id", F.explode(text.tokens(F.col("content"))).alias("term"))
+    return terms.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+
+
+@query("""WITH c AS (SELECT chunk_id, CASE WHEN chunk_index = 0 THEN content || ' another ending' ELSE content END AS content FROM chunks WHERE valid_to IS NULL AND doc_id NOT LIKE '%7')
+SELECT term, count(*) AS df, sum(tf) AS tf FROM (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(list_filter(regexp_extract_all(lower(content), '[a-z0-9_]+'), lambda x: length(x) >= 2)) AS term FROM c) GROUP BY ALL) GROUP BY 1""")
+def postings_by_deltas(f: Frames) -> DataFrame:
+    """Postings and document frequencies after a write that changed each document's first chunk and removed some documents, from those chunks alone."""
+    tables = TableSet(f.spark, f"{shared_folder(f.spark)}/runs/postings-{uuid.uuid4().hex}", incremental.with_buckets(_POSTED, 32))
+    live = f.chunks.where("valid_to is null").select("chunk_id", "doc_id", "chunk_index", "content")
+
+    def put(s: Snapshot, keys: DataFrame, rows: Callable[[DataFrame], DataFrame]) -> dict[str, Change]:
+        chunks = s.upsert("chunks", keys, rows)
+        came, went = incremental.changed_rows(s.read("chunks", keys), chunks.rows)
+        came, went = (written(_posted(df), "posted") for df in (came, went))
+        return {"chunks": chunks, "postings": incremental.derived_rows(s, "postings", came, went), "frequencies": incremental.derived_counts(s, "frequencies", "df", came.select("term"), went.select("term"))}
+
+    tables.write("first", lambda s: put(s, live, lambda old: live.select("chunk_id", "content")))
+    changed = live.where("chunk_index = 0 AND doc_id NOT LIKE '%7'").select("chunk_id", F.concat("content", F.lit(" another ending")).alias("content"))
+    gone = live.where("doc_id LIKE '%7'").select("chunk_id")
+    keys = changed.select("chunk_id").unionAll(gone)
+    tables.write("second", lambda s: put(s, keys, lambda old: old.join(keys, "chunk_id", "left_anti").unionByName(changed)))
+    return tables.read("frequencies").join(tables.read("postings").groupBy("term").agg(F.sum("tf").alias("tf")), "term")
+
+
 @query("""WITH changed AS (SELECT canonical_id FROM nodes WHERE label = 'Service'), parked AS (SELECT edge_type, from_id, to_id FROM edges WHERE edge_type IN ('ASSIGNED_TO', 'CALLS') AND tier = 1)
 SELECT edge_type, count(*) AS n FROM (SELECT DISTINCT edge_type, from_id, to_id FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY edge_type, from_id, to_id) AS place FROM (SELECT *, unnest(CASE WHEN from_id = to_id THEN [from_id] ELSE [from_id, to_id] END) AS e FROM parked) WHERE e IN (SELECT canonical_id FROM changed)) WHERE place <= 20) GROUP BY 1""")
 def post_write_drain(f: Frames) -> DataFrame:
