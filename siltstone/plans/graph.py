@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from siltstone.model.frames import Frames
-from siltstone.operators import graph, listing, provenance, text_index, writes
+from siltstone.operators import graph, leiden, listing, provenance, text_index, writes
 from siltstone.plans.registry import query
 from siltstone.store import literal_rows
 
@@ -252,3 +252,19 @@ def cluster_listing(f: Frames) -> DataFrame:
 def latest_display_names(f: Frames) -> DataFrame:
     named = F.when(F.col("event_id") % 5 == 0, "").otherwise(F.concat("event_type", F.lit(" "), (F.col("event_id") % 50).cast("string")))
     return provenance.display_names(f.table("events").select(F.concat(F.lit("Person:"), (F.col("user_id") % 100).cast("string")).alias("canonical_id"), named.alias("name"), F.col("ts").cast("timestamp").alias("updated_at")))
+
+
+@query()
+def leiden_communities(f: Frames) -> DataFrame:
+    """Every node's community of large modularity."""
+    return leiden.leiden(f.edges)
+
+
+@query("""WITH pairs AS (SELECT DISTINCT least(from_id, to_id) AS a, greatest(from_id, to_id) AS b FROM edges WHERE from_id <> to_id), both_ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+named AS (SELECT a, split_part(a, ':', 1) || CAST(split_part(a, ':', 2) AS BIGINT) % 3 AS x, split_part(b, ':', 1) || CAST(split_part(b, ':', 2) AS BIGINT) % 3 AS y FROM both_ways)
+SELECT x AS community, count(*) FILTER (x = y) AS inside, count(*) AS k, round(count(*) FILTER (x = y) / (SELECT count(*) FROM both_ways) - pow(count(*) / (SELECT count(*) FROM both_ways), 2), 9) AS share FROM named GROUP BY x""")
+def partition_modularity(f: Frames) -> DataFrame:
+    """The modularity of a partition by label and id, community by community."""
+    ends = f.edges.select(F.explode(F.array("from_id", "to_id")).alias("node")).distinct()
+    labels = ends.select("node", F.concat(F.split_part("node", F.lit(":"), F.lit(1)), (F.split_part("node", F.lit(":"), F.lit(2)).cast("long") % 3).cast("string")).alias("community"))
+    return leiden.partition_modularity(f.edges, labels)

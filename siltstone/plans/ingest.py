@@ -15,7 +15,7 @@ from siltstone.operators import incremental, persist, provenance, writes
 from siltstone.plans.registry import query
 from siltstone.sources import connectors
 from siltstone.store import shared_folder, written
-from siltstone.streaming import admission
+from siltstone.streaming import admission, queue_state
 from siltstone.tables import Change, Snapshot, Spec, TableSet
 
 NOW = "2025-06-01 00:00:00"
@@ -394,3 +394,29 @@ def symbol_promotion(f: Frames) -> DataFrame:
     symbols = part.where("p_partkey % 2 = 0").select(F.expr("concat('mod.f', p_partkey)").alias("qualified_name"))
     edges = part.select(F.expr("concat('x', p_partkey)").alias("from_name"), F.expr("concat('any.f', p_partkey)").alias("to_name"), F.lit(True).alias("ambiguous"))
     return writes.promote_single_matches(edges, symbols)
+
+
+@query("""WITH m AS (SELECT 'q' || queue_id AS session, queue_id % 6 AS k, payload_key, created_at AS t FROM queue),
+w AS (SELECT max(t + CASE k WHEN 0 THEN INTERVAL 0 SECOND WHEN 5 THEN INTERVAL 10 SECOND ELSE INTERVAL 20 SECOND END) - INTERVAL 1 MINUTE AS now FROM m)
+SELECT session, CASE k WHEN 0 THEN 'pending' WHEN 1 THEN 'done' WHEN 2 THEN 'pending' WHEN 3 THEN 'dlq' WHEN 4 THEN CASE WHEN t + INTERVAL 50 SECOND <= now THEN 'pending' ELSE 'waiting' END ELSE CASE WHEN t + INTERVAL 310 SECOND <= now THEN 'pending' ELSE 'processing' END END AS status,
+CASE k WHEN 2 THEN 2 ELSE 1 END AS version, CASE WHEN k IN (3, 4) THEN 1 ELSE 0 END AS attempts, CASE k WHEN 2 THEN payload_key || ',more' ELSE payload_key END AS payload_keys
+FROM m, w WHERE k <> 1 OR t + INTERVAL 20 SECOND + INTERVAL 7 DAY > now""")
+def queue_end_states(f: Frames) -> DataFrame:
+    """The queue after a stream of messages: left alone, done, done too early, dead, tried again and lost."""
+    def told(seconds: int, kind: str, of: str, key: str | None = None, version: int | None = None, transient: bool | None = None) -> DataFrame:
+        payload = F.col("payload_key") if key == "own" else F.lit(key).cast("string")
+        return f.queue.where(of).select(F.concat(F.lit("q"), "queue_id").alias("session"), F.timestamp_micros(F.unix_micros("created_at") + 1_000_000 * seconds).alias("at"), F.lit(kind).alias("kind"), payload.alias("payload_key"), F.lit(version).cast("long").alias("version"), F.lit(transient).cast("boolean").alias("transient"))
+
+    parts = [told(0, "event", "true", "own"), told(10, "lease", "queue_id % 6 > 0", version=1), told(15, "event", "queue_id % 6 = 2", "more"), told(20, "done", "queue_id % 6 IN (1, 2)", version=1)]
+    parts += [told(20, "failed", "queue_id % 6 = 3", transient=False), told(20, "failed", "queue_id % 6 = 4", transient=True)]
+    folder = f"{shared_folder(f.spark)}/runs/queue-{uuid.uuid4().hex}"
+    reduce(DataFrame.unionByName, parts).write.parquet(f"{folder}/messages")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = f.spark.conf.get(provider)
+    f.spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        changed = queue_state.queue_stream(f.spark.readStream.schema(queue_state.MESSAGES).parquet(f"{folder}/messages"))
+        admission.write_once(changed, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    finally:
+        f.spark.conf.set(provider, before)
+    return queue_state.last_rows(f.spark.read.schema(queue_state.ROWS).parquet(f"{folder}/rows/*"))

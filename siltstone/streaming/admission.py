@@ -44,17 +44,17 @@ class SessionCoalescer(StatefulProcessor):
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.keys = handle.getListState("keys", "key string", SESSION_MILLISECONDS)
-        self.version = handle.getValueState("version", "version long", SESSION_MILLISECONDS)
+        self.session = handle.getValueState("session", "version long, keys array<string>", SESSION_MILLISECONDS)  # keys and version expire together
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        version = self.version.get()[0] if self.version.exists() else 0
-        for part in rows:
-            fresh = [(k,) for k in part.sort_values("received_at")["payload_key"]]
-            self.keys.appendList(fresh)
-            version += len(fresh)
-        self.version.update((version,))
-        yield pd.DataFrame({"session": [key[0]], "payload_keys": [",".join(k for (k,) in self.keys.get())], "version": [version]})
+        version, keys = self.session.get() if self.session.exists() else (0, [])
+        keys = dict.fromkeys(keys)
+        for payload_key in pd.concat(list(rows)).sort_values("received_at", kind="stable")["payload_key"]:
+            if payload_key not in keys:  # a replayed event is there already
+                keys[payload_key] = None
+                version += 1
+        self.session.update((version, list(keys)))
+        yield pd.DataFrame({"session": [key[0]], "payload_keys": [",".join(keys)], "version": [version]})
 
     def close(self) -> None:
         pass
