@@ -15,7 +15,8 @@ its copy share the least hash among their `k`-byte substrings, the anchor. So
    prefix reaches `width` are repeats, and a piece that stands for several is one by itself;
 5. the repeats' places go back to the documents, where they are united, cut out and hashed.
 
-Anchors only choose where strings meet: strings are compared on all their bytes, in the suffix order.
+Anchors only choose where strings meet: strings of a shard are compared on all their bytes, in the
+suffix order. Equal pieces, and strings that are dealt one by one, are told by 128 bits of hashes.
 """
 
 from __future__ import annotations
@@ -94,15 +95,17 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int, k: int) -> Iterat
         hashes = substring_hashes(data[begin : end + width - 1], k)
         least = _sliding_minimum(hashes, width - k + 1)
         at = np.arange(begin, end)
-        text = np.searchsorted(offsets, at, side="right") - 1
-        inside = at + width <= offsets[text + 1]
+        first, last = np.searchsorted(offsets, [begin, end - 1], side="right") - 1
+        each = np.diff(np.clip(offsets[first : last + 2], begin, end))
+        text = np.repeat(np.arange(first, last + 1), each)
+        final = np.repeat(offsets[first + 1 : last + 2] - width, each)  # the text's last start
+        inside = at <= final
         new = inside.copy()
         new[1:] &= ~inside[:-1] | (least[1:] != least[:-1]) | (hashes[: len(at) - 1] == least[:-1])  # the last: the anchor stays behind
         starts = np.flatnonzero(new)
         if not len(starts):
             continue
-        stops = np.minimum.reduceat(np.where(inside, len(at), np.arange(len(at))), starts)
-        stops = np.minimum(stops, np.append(starts[1:], len(at)))
+        stops = np.minimum(final[starts] + 1 - begin, np.append(starts[1:], len(at)))
         yield text[starts], at[starts] - offsets[text[starts]], stops - starts, least[starts].view(np.int64)
 
 
