@@ -59,13 +59,11 @@ class TermCounts:
 
     def add(self, lang: str, source: str, text: memoryview) -> None:
         documents, occurrences = self.groups.setdefault((lang, source), (Counter(), Counter()))
-        before = len(documents)
-        parts = terms(text)
-        own = Counter(next(parts, ()))
-        for part in parts:
+        before, own = len(documents), set()
+        for part in terms(text):
+            occurrences.update(part)
             own.update(part)
-        documents.update(own.keys())
-        occurrences.update(own)
+        documents.update(own)
         self.size += len(documents) - before
 
     def batches(self) -> Iterator[pa.RecordBatch]:
@@ -74,7 +72,7 @@ class TermCounts:
             for i in range(0, len(found), 50_000):
                 some = found[i : i + 50_000]
                 columns = [pa.array([lang] * len(some)), pa.array([source] * len(some)), pa.array(some, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([documents[t] for t in some], pa.int64()), pa.array([occurrences[t] for t in some], pa.int64())], names=["lang", "source", "term", "docs", "n"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(list(map(documents.__getitem__, some)), pa.int64()), pa.array(list(map(occurrences.__getitem__, some)), pa.int64())], names=["lang", "source", "term", "docs", "n"])
         self.groups.clear()
         self.size = 0
 
