@@ -23,6 +23,8 @@ from siltstone.llm.word_features import crf_features, words_of
 BITS = 17
 #: Distinct labelled texts of each language that are fitted on at most, the first by a hash; each is read whole.
 SAMPLE_ROWS = 400
+#: Longer texts aren't learned from; they are labelled like any other.
+SAMPLE_BYTES = 1 << 20
 #: Words that are worked on one after another, and stretches of so many side by side; neither changes a result.
 STRETCH = 64
 WIDE = 8192
@@ -194,13 +196,14 @@ def training_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
 
     Copies count once, so a large group of them is one text; a language has its own share however rare it is.
     """
-    rows = held_out(documents(docs, "lang")).where("not held_out and lang is not null and text is not null")
+    rows = held_out(documents(docs, "lang")).where(f"not held_out and lang is not null and octet_length(text) <= {SAMPLE_BYTES}")
     hashed = rows.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("sample_hash"))
     number = hashed.select("lang", "sample_hash").distinct().groupBy("lang").count().collect()
     # rows beyond a bound that keeps about 2 SAMPLE_ROWS of a language are left out before they are ranked, so one task gets no more
     top = (1 << 63) - 1
     bounds = [(r["lang"], top if r["count"] <= 4 * SAMPLE_ROWS else int((1 << 64) * (2 * SAMPLE_ROWS + 200) / r["count"]) - (1 << 63)) for r in number]
-    near = hashed.join(F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang").where("sample_hash <= bound")
+    known = docs.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    near = hashed.join(F.broadcast(known) if len(bounds) <= 10_000 else known, "lang").where("sample_hash <= bound")
     once = near.select("lang", "sample_hash", "text").groupBy("lang", "sample_hash").agg(F.min("text").alias("text"))
     ranked = once.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("sample_hash")))
     chosen = ranked.where(F.col("place") <= SAMPLE_ROWS).orderBy("sample_hash", "lang").select("text", "lang").toArrow()

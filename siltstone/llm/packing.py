@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from siltstone.llm.common import Scratch
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Capacity at which the quadratic share of a bin's cost equals the linear one.
@@ -101,6 +102,7 @@ def pack(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, shard_row
     """
     largest = max(capacities)
     sized = lengths.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens")).where("n_tokens > 0")
+    sized = Scratch(lengths.sparkSession, "packing").write(sized)  # rows are told apart by their place in it, which a task that runs again finds unchanged
     shards = max(1, -(-(sized.count() if rows is None else rows) // shard_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -216,12 +216,14 @@ def write_token_files(docs: DataFrame, path: str, encoding: tuple, end_id: int =
     """Writes `path`: segments (shard, seq, first_token, n_tokens, payload) in ascending doc_id order.
 
     Shards are ranges of doc_id between quantiles of that column alone, as many as SHARD_BYTES of text
-    make, so texts are encoded once and only ids are shuffled, each shard to a task of its own. Null texts are empty, so they hold the end id; null doc_ids come first and
-    are stored as the least long. Repeated doc_ids keep all their rows.
+    make, so texts are encoded once and only ids are shuffled, each shard to a task of its own. Null texts
+    are empty, so they hold the end id. Rows without a doc_id come first, in any order: they have shards of
+    their own, by the hash of their ids, with negative numbers. Repeated doc_ids keep all their rows.
     """
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
+    number = F.col("doc_id").cast("long")
+    size, rows, missing = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))), F.count(F.lit(1)), F.count_if(number.isNull())).first()
+    shards = max(1, -(-(size or 0) // SHARD_BYTES))
+    without = -(-shards * missing // rows) if missing else 0
     cuts = [i / shards for i in range(1, shards)]
     bounds = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), cuts or [0.5], max(10_000, 20 * shards))).first()[0] or []
     bounds = sorted(set(bounds))
@@ -229,12 +231,15 @@ def write_token_files(docs: DataFrame, path: str, encoding: tuple, end_id: int =
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array(bounds, np.int64)
         for batch in batches:
-            ids = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, ids).astype(np.int32)), pa.array(ids), batch.column(1), batch.column(2)], names=["shard", "doc_id", "ids", "width"])
+            ids, none = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            shard = np.searchsorted(edges, ids).astype(np.int32)
+            for i in np.flatnonzero(none).tolist():
+                shard[i] = -1 - zlib.crc32(batch.column(1)[i].as_buffer()) % without
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(ids), batch.column(1), batch.column(2)], names=["shard", "doc_id", "ids", "width"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, held = ["shard", "seq", "first_token", "n_tokens", "payload"], []
-        shard, seq, begun, size, width = -1, 0, 0, 0, 2
+        shard, seq, begun, size, width = None, 0, 0, 0, 2
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, begun, size, held
@@ -260,7 +265,7 @@ def write_token_files(docs: DataFrame, path: str, encoding: tuple, end_id: int =
             yield flush()
 
     dealt = tokenise(docs, encoding, end_id).mapInArrow(deal, "shard int, doc_id long, ids binary, width byte")
-    sorted_ = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id")
+    sorted_ = dealt.withColumn("place", F.col("shard") + without).repartitionById(shards + without, "place").drop("place").sortWithinPartitions("shard", "doc_id")
     sorted_.mapInArrow(encode, "shard int, seq int, first_token long, n_tokens long, payload binary").write.option("compression", "none").parquet(path)
 
 
@@ -281,11 +286,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(lengths, dtype=np.int64)
                 raw = memoryview(tokens.astype("<u4").tobytes())
                 crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(before[shard] + first + ends - lengths), pa.array(lengths.astype(np.int64)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()) if shard >= 0 else pa.nulls(len(doc_ids), pa.int64()), pa.array(before[shard] + first + ends - lengths), pa.array(lengths.astype(np.int64)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    least = -(1 << 63)
-    out = files.select("shard", "first_token", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != least, F.col("doc_id")))
+    return files.select("shard", "first_token", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, encoding: tuple, end_id: int = 2) -> DataFrame:

@@ -248,6 +248,20 @@ def test_token_files(spark, awkward, empty):
     assert token_files(empty, encoding).count() == 0
 
 
+def test_token_files_without_ids(spark):
+    """The least long is an id like any other; rows without one come first, in any order, in shards of their own."""
+    encoding = queries.byte_bpe_encoding()
+    rows = [(None, f"text {i} " * i) for i in range(40)] + [(-(1 << 63), "least"), ((1 << 63) - 1, "most"), (0, None)]
+    got = token_files(spark.createDataFrame(rows, "doc_id long, text string"), encoding).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 40 + [-(1 << 63), 0, (1 << 63) - 1]
+    library = load(encoding[0])
+    expected = Counter((i, zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for i, t in rows)
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == expected
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)]).tolist()[:-1]
+    alone = spark.createDataFrame([(None, "a b"), (None, "a b"), (None, None)], "doc_id long, text string")
+    assert token_files(alone, encoding).where("doc_id is null").count() == 3
+
+
 def test_fast_encoding_equals_the_library(docs):
     encoding = queries.byte_bpe_encoding()
     fast, library = Encoding(*encoding), load(encoding[0])
