@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from siltstone.expr.text import tokens
 from siltstone.model.vocabulary import CHUNK_OVERLAP, CHUNK_TOKENS, CONFIDENCE
-from siltstone.operators import text_index, vector_index
+from siltstone.operators import source_view, text_index, vector_index
 from siltstone.store import stored
 
 EPOCH = "timestamp'2024-01-01 00:00:00'"
@@ -152,6 +152,11 @@ class Frames:
     def vectors(self) -> DataFrame:
         return self._scoped(self.table("embeddings"), "vec_id").select("vec_id", F.concat(F.lit("src"), "label").alias("source_system"), F.col("embedding").cast("array<double>").alias("embedding"), F.expr(f"timestampadd(HOUR, CAST((vec_id * 37) % 1000 AS INT), {EPOCH})").alias("updated_at"))
 
+    @cached_property
+    def source_lines(self) -> DataFrame:
+        """Lines of live documents (see siltstone.operators.source_view)."""
+        return self._stored("source-lines", ["documents"], lambda f: source_view.line_index(f.documents.where("valid_to is null")), ["doc_id", "line"])
+
     @cached_property
     def text_tables(self) -> text_index.TextTables:
         return text_index.TextTables(self.name_index, self.names, self.bare_ids, self.title_index, self.titles)

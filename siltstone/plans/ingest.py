@@ -420,3 +420,26 @@ def queue_end_states(f: Frames) -> DataFrame:
     finally:
         f.spark.conf.set(provider, before)
     return queue_state.last_rows(f.spark.read.schema(queue_state.ROWS).parquet(f"{folder}/rows/*"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, upper(role) || ': ' || coalesce(text, '') || chr(10) AS text FROM conversations)
+SELECT conv_id, turn, sha256(text) AS text, CAST(coalesce(sum(length(text)) OVER w, 0) AS BIGINT) AS begin, CAST(1 + coalesce(sum(length(text) - length(replace(text, chr(10), ''))) OVER w, 0) AS BIGINT) AS first_line FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def rendered_sessions(f: Frames) -> DataFrame:
+    """Every turn's place in its session's transcript."""
+    return udfs.rendered(f.sessions).withColumn("text", F.sha2("text", 256))
+
+
+@query("""WITH l AS (SELECT chunk_id, content, lag(content) OVER (PARTITION BY doc_id ORDER BY chunk_index, chunk_id) AS before FROM chunks WHERE valid_to IS NULL)
+SELECT chunk_id, CASE WHEN before IS NULL THEN 0 ELSE coalesce(list_max(list_filter(range(1, least(length(content), length(before)) + 1), lambda i: right(before, i) = left(content, i))), 0) END::INTEGER AS border FROM l""")
+def chunk_borders(f: Frames) -> DataFrame:
+    """What each live chunk has in common with the one before it in its document."""
+    from pyspark.sql import Window
+
+    before = F.lag("content").over(Window.partitionBy("doc_id").orderBy("chunk_index", "chunk_id"))
+    return f.chunks.where("valid_to is null").select("chunk_id", udfs.longest_border(before, F.col("content")).alias("border"))
+
+
+@query("""SELECT event_id, CAST(json(props) AS VARCHAR) AS props FROM events""")
+def repaired_answers(f: Frames) -> DataFrame:
+    """Properties whose last brace was cut off, whole again."""
+    return f.table("events").select("event_id", udfs.repaired_json(F.expr("substr(props, 1, length(props) - 1)")).alias("props"))

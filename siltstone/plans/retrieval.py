@@ -8,7 +8,7 @@ from siltstone.expr import scoring, text
 from siltstone.expr.temporal import Temporal
 from siltstone.model.frames import Frames, windows
 from siltstone.model.vocabulary import CHUNK_OVERLAP, CHUNK_TOKENS
-from siltstone.operators import listing, retrieval
+from siltstone.operators import listing, retrieval, source_view
 from siltstone.operators.listing import Filters
 from siltstone.operators.vector_index import indexed_search
 from siltstone.plans.registry import query
@@ -260,6 +260,43 @@ def source_view_grep(f: Frames) -> DataFrame:
     return lines.where(F.col("content").rlike("[0-9]{3,}")).select("doc_id", (F.col("p") + 1).cast("long").alias("line"), "content")
 
 
+_LINES = "lines AS (SELECT *, coalesce(sum(strlen(content) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM (SELECT doc_id, version, len(l) AS total, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS content FROM (SELECT doc_id, version, string_split(body, chr(10)) AS l FROM docs WHERE valid_to IS NULL AND body IS NOT NULL)))"
+
+
+@query(f"""WITH {_LINES}, p AS (SELECT *, sum(strlen(content) + 1) OVER (PARTITION BY doc_id ORDER BY line) AS running FROM lines WHERE line BETWEEN 2 AND 6),
+k AS (SELECT *, max(line) OVER (PARTITION BY doc_id) AS last, max(running > 300) OVER (PARTITION BY doc_id) AS cut FROM p WHERE running <= 300 OR line = 2)
+SELECT doc_id, line, CASE WHEN running > 300 THEN left(content, list_max(list_filter(range(0, 301), lambda i: strlen(left(content, i)) <= 300))) ELSE content END AS content, CASE WHEN last < total THEN last + 1 END AS next_cursor, last < total OR cut AS truncated FROM k""")
+def source_view_page(f: Frames) -> DataFrame:
+    """The second to sixth line of every document, within 300 bytes, and where to go on."""
+    return source_view.page(f.source_lines, f.documents.where("valid_to is null"), 2, 5, 300)
+
+
+@query(f"""WITH {_LINES}, m AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS rn FROM lines WHERE regexp_matches(content, '[0-9]{{3,}}')),
+w AS (SELECT doc_id, l AS line, max(l = line) AS matched FROM (SELECT doc_id, line, unnest(range(line - 2, line + 3)) AS l FROM m WHERE rn <= 4) GROUP BY doc_id, l),
+s AS (SELECT lines.doc_id, lines.line, content, matched, CASE WHEN lines.line - coalesce(lag(lines.line) OVER (PARTITION BY lines.doc_id ORDER BY lines.line), -1) > 1 THEN 1 ELSE 0 END AS new FROM lines JOIN w ON w.doc_id = lines.doc_id AND w.line = lines.line),
+n AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY line) AS BIGINT) AS section FROM s)
+SELECT doc_id, section, min(line) OVER (PARTITION BY doc_id, section) AS line_start, max(line) OVER (PARTITION BY doc_id, section) AS line_end, line, content, matched FROM n""")
+def source_view_grep_sections(f: Frames) -> DataFrame:
+    """The first four lines with long numbers of every document, with two lines around each, by section."""
+    return source_view.grep(f.source_lines, f.documents.where("valid_to is null"), "[0-9]{3,}", context=2, most_matches=4)
+
+
+@query("""WITH s AS (SELECT doc_id, chunk_id, chunk_index, content, (length(lower(content)) - length(replace(lower(content), 'the', ''))) // 3 + (length(lower(content)) - length(replace(lower(content), 'und', ''))) // 3 AS score FROM chunks WHERE valid_to IS NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_index, chunk_id) AS rank FROM s WHERE score > 0),
+b AS (SELECT *, sum(strlen(content)) OVER (PARTITION BY doc_id ORDER BY rank) AS running FROM r WHERE rank <= 3)
+SELECT doc_id, CAST(rank AS INTEGER) AS rank, chunk_id, CAST(chunk_index AS BIGINT) AS chunk_index, score, sha256(CASE WHEN running > 5000 THEN left(content, list_max(list_filter(range(0, 5001), lambda i: strlen(left(content, i)) <= 5000))) ELSE content END) AS content FROM b WHERE running <= 5000 OR rank = 1""")
+def source_view_search(f: Frames) -> DataFrame:
+    """Every document's chunks by how often they hold the terms, three at most and 5,000 bytes."""
+    return source_view.search(f.chunks, f.documents.where("valid_to is null"), "the UND the", 3, 5000).withColumn("content", F.sha2("content", 256))
+
+
+@query(f"""WITH {_LINES}, z AS (SELECT doc_id, version, CAST(max(begun + strlen(content)) AS BIGINT) AS bytes FROM lines GROUP BY ALL)
+SELECT z.doc_id, z.version, bytes, bytes > 20000 AS too_large, CASE WHEN bytes <= 20000 THEN sha256(body) END AS text FROM z JOIN docs ON docs.doc_id = z.doc_id AND docs.version = z.version""")
+def whole_sources(f: Frames) -> DataFrame:
+    """Every live document as a whole, if it has 20,000 bytes at most."""
+    return source_view.whole(f.source_lines, f.documents.where("valid_to is null"), 20_000).withColumn("text", F.sha2("text", 256))
+
+
 @query("SELECT doc_id, version, concat_ws(chr(10), 'title: ' || nullif(title, ''), 'source: ' || source_system, 'id: ' || doc_id, 'author: ' || author_id, 'url: ' || source_url, 'preview: ' || nullif(substr(split_part(body, chr(10), 1), 1, 200), '')) AS metadata FROM docs")
 def metadata_projection(f: Frames) -> DataFrame:
     c = F.col

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Modules that define the tables: with another version of them a table is another one.
-DEFINED_IN = ("store.py", "model/frames.py", "model/vocabulary.py", "expr/text.py", "operators/text_index.py", "operators/vector_index.py")
+DEFINED_IN = ("store.py", "model/frames.py", "model/vocabulary.py", "expr/text.py", "operators/text_index.py", "operators/vector_index.py", "operators/source_view.py")
 _own: dict[str, str] = {}
 
 
