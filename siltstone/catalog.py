@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from siltstone.plans import curation, graph, grounding, ingest, retrieval, statistics  # noqa: F401  registers
+from siltstone.plans import curation, graph, grounding, ingest, retrieval, statistics, upkeep  # noqa: F401  registers
 from siltstone.plans.registry import ORACLES, QUERIES
 
 

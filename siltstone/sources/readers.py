@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -183,7 +183,8 @@ def polled(cursors: DataFrame, now: str, seconds: int, limit: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["resource_id", "poller", "payloads", "cursor", "error"])
 
     pollers = dict(POLLERS)
-    due = due_cursors(cursors, now, seconds, limit).select("resource_id", "poller", "cursor").repartition(limit, "resource_id")
+    numbered = F.row_number().over(Window.orderBy("polled_at", "resource_id")) - 1  # of `limit` rows at most
+    due = due_cursors(cursors, now, seconds, limit).withColumn("task", numbered).repartitionById(limit, "task").select("resource_id", "poller", "cursor")
     found = due.mapInPandas(pull, "resource_id string, poller string, payloads array<string>, cursor long, error string")
     return found.withColumn("polled_at", F.lit(now).cast("timestamp"))
 
