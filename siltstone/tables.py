@@ -38,10 +38,11 @@ def bucket_of(spec: Spec) -> Column:
 
 @dataclass(frozen=True)
 class Change:
-    """A table's new rows of the buckets that some keys are in: rows is whole for those buckets."""
+    """A table's new rows of the buckets that some keys are in: rows is whole for those buckets, or, with append, comes beside what is there."""
 
     rows: DataFrame
     buckets: tuple[int, ...]
+    append: bool = False
 
 
 class TableSet:
@@ -127,15 +128,18 @@ class TableSet:
             base = self.manifest()
             if name in base["writes"]:
                 return base["version"]
-            made = {table: self._put(table, change) for table, change in step(Snapshot(self, base)).items()}
+            changes = step(Snapshot(self, base))
+            made = {table: self._put(table, change) for table, change in changes.items()}
+            beside = {table for table, change in changes.items() if change.append}
             while True:
                 now = self.manifest()
                 if name in now["writes"]:
                     return now["version"]
-                moved = [(t, b) for t, parts in made.items() for b in parts if now["parts"].get(t, {}).get(b) != base["parts"].get(t, {}).get(b)]
+                moved = [(t, b) for t, parts in made.items() if t not in beside for b in parts if now["parts"].get(t, {}).get(b) != base["parts"].get(t, {}).get(b)]
                 if moved:
                     break
-                parts = {t: {b: f for b, f in (now["parts"].get(t, {}) | made.get(t, {})).items() if f} for t in self.specs}
+                fresh = {t: {b: now["parts"].get(t, {}).get(b, []) + f if t in beside else f for b, f in parts.items()} for t, parts in made.items()}
+                parts = {t: {b: f for b, f in (now["parts"].get(t, {}) | fresh.get(t, {})).items() if f} for t in self.specs}
                 if self._publish({"version": now["version"] + 1, "write": name, "writes": [*now["writes"][-999:], name], "parts": parts}):
                     return now["version"] + 1
         raise RuntimeError(f"other writers were first {TRIES} times")
@@ -192,6 +196,10 @@ class Snapshot:
         """A table, or the buckets of some keys."""
         return self.tables._rows(name, self.base, None if keys is None else self.tables.touched(name, keys))
 
+    def append(self, name: str, rows: DataFrame) -> Change:
+        """New rows beside those that are there, which aren't read. Many small appends make many files; rewrite such buckets at times."""
+        return Change(rows, tuple(range(self.tables.specs[name].buckets)), True)
+
     def upsert(self, name: str, keys: DataFrame, rows: Callable[[DataFrame], DataFrame]) -> Change:
         """New rows for the buckets of some keys, made from the old ones."""
         buckets = self.tables.touched(name, keys)
