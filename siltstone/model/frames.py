@@ -59,7 +59,7 @@ class Frames:
     def _stored(self, name: str, sources: list[str], build: Callable[[Frames], DataFrame], by: list[str], folders: list[str] | None = None) -> DataFrame:
         """A table of all tenants, of which a tenant reads its own folder."""
         every = Frames(self.spark, self.folder)
-        kept = stored(self.spark, name, [f"{self.folder}/{s}.parquet" for s in sources], lambda: build(every), by, ["customer_id"] if folders is None else folders)
+        kept = stored(self.spark, name, [f"{self.folder}/{s}.parquet" for s in sources], "", lambda: build(every), by, ["customer_id"] if folders is None else folders)
         return kept if self.tenant is None else kept.where(F.col("customer_id") == self.tenant)
 
     @cached_property

@@ -1,7 +1,7 @@
 """Derived tables that are written once and read many times, as an ingest would keep them.
 
-A table's folder is named by what it derives from: the source files with their sizes and times and the
-code that defines it. So a changed source gives a new table and never a stale one,
+A table's folder is named by what it derives from: the source files with their sizes and times, the
+scope and the code that defines it. So a changed source gives a new table and never a stale one,
 and a reader needs no lock: a table is written beside its place and moved there when it is whole.
 """
 
@@ -60,15 +60,15 @@ def definitions() -> str:
     return hashlib.sha256(b"".join((own / name).read_bytes() for name in DEFINED_IN)).hexdigest()
 
 
-def stored(spark: SparkSession, name: str, sources: list[str], build: Callable[[], DataFrame], by: list[str], folders: list[str] | None = None) -> DataFrame:
-    """The table of that name over those sources, built if it isn't there.
+def stored(spark: SparkSession, name: str, sources: list[str], scope: str, build: Callable[[], DataFrame], by: str | list[str], folders: list[str] | None = None) -> DataFrame:
+    """The table of that name over those sources, and within that scope, built if it isn't there.
 
     Its files are ranges of `by`, sorted by it, so that a filter on the first of these columns skips what
     it doesn't touch; further ones split the rows of one hot value among files. folders: columns that are
     folders, which filters and joins prune.
     """
-    key = hashlib.sha256(f"{definitions()} {fingerprint(spark, sources)}".encode()).hexdigest()[:24]
-    by = [*(folders or []), *by]
+    key = hashlib.sha256(f"{definitions()} {scope} {fingerprint(spark, sources)}".encode()).hexdigest()[:24]
+    by = [*(folders or []), *([by] if isinstance(by, str) else by)]
     path = f"{shared_folder(spark)}/tables/{name}-{key}"
     files, target = _file_system(spark, path)
     if not files.exists(target):

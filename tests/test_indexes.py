@@ -34,7 +34,7 @@ def clustered(spark, tmp_path_factory):
     df.write.parquet(f"{folder}/v")
     df = spark.read.parquet(f"{folder}/v")
     means = vector_index.centroids(df)
-    stored_rows = stored(spark, "test-vectors", [f"{folder}/v"], lambda: vector_index.placed(df, means), ["vec_id"], ["cell"])
+    stored_rows = stored(spark, "test-vectors", [f"{folder}/v"], "", lambda: vector_index.placed(df, means), ["vec_id"], ["cell"])
     return df, VectorIndex(stored_rows, vector_index.cells(stored_rows, means)), x
 
 
@@ -127,7 +127,7 @@ def test_a_hot_term_is_spread_over_files(spark, tmp_path):
     chunks = spark.range(4000).selectExpr("'acme' AS customer_id", "concat('c', id) AS chunk_id", "'d' AS doc_id", "1L AS first_seen_version", "1L AS last_seen_version", "'approved' AS visibility", "timestamp'2024-01-01' AS valid_from", "CAST(NULL AS TIMESTAMP) AS valid_to", "'the' AS title", "'the the' AS content", "1 AS title_length", "2 AS content_length")
     chunks.write.parquet(str(tmp_path / "c"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would join ranges this small
-    made = stored(spark, "test-postings", [str(tmp_path / "c")], lambda: postings(spark.read.parquet(str(tmp_path / "c"))), ["term", "chunk_id"], ["customer_id"])
+    made = stored(spark, "test-postings", [str(tmp_path / "c")], "", lambda: postings(spark.read.parquet(str(tmp_path / "c"))), ["term", "chunk_id"], ["customer_id"])
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert made.where("term = 'the'").select(F.input_file_name()).distinct().count() > 1
 
