@@ -27,11 +27,11 @@ from siltstone.llm.common import Scratch
 LEAST_DOCUMENTS, SMOOTHING, TOP_TERMS = 30, 5, 50
 BILLION = 1_000_000_000
 #: Counters of a sketch: rows of a power of two each, within these bounds. One is a byte, which holds the least frequency and no more.
-DEPTH, LEAST_BITS, MOST_BITS = 4, 16, 24
+DEPTH, LEAST_BITS, MOST_BITS = 3, 16, 23
 #: Counters that are merged as one row, and rows of one block that are merged in the first round.
 BLOCK, FIRST_MERGE = 1 << 14, 64
 #: Distinct terms that a task counts before it hands them on, and bytes of a text that are cut into terms at a time.
-COUNTED, STRETCH = 400_000, 1 << 20
+COUNTED, STRETCH = 800_000, 1 << 20
 
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 
@@ -107,16 +107,13 @@ def _sketch_blocks(counters: np.ndarray) -> pa.RecordBatch:
 
 
 def sketch(spark: SparkSession, scratch: Scratch, partial: DataFrame, bits: int, least: int) -> np.ndarray:
-    """One bit for each counter of the merged sketch: whether it reaches the least frequency. At most DEPTH * 2**MOST_BITS bits (8 MB)."""
+    """One bit for each counter of the merged sketch: whether it reaches the least frequency. At most DEPTH * 2**MOST_BITS bits (3 MB)."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(DEPTH << bits, np.uint8)
+        counters = np.zeros(DEPTH << bits, np.int32)
         for batch in batches:
-            at, docs = _cells(batch.column(0).to_numpy(), bits).reshape(-1), np.minimum(np.tile(batch.column(1).to_numpy(), DEPTH), least)
-            cells, own = np.unique(at, return_inverse=True)
-            added = np.bincount(own.reshape(-1), docs, len(cells))
-            counters[cells] = np.minimum(counters[cells] + added, least).astype(np.uint8)
-        yield _sketch_blocks(counters)
+            np.add.at(counters, _cells(batch.column(0).to_numpy(), bits).reshape(-1), np.tile(np.minimum(batch.column(1).to_numpy(), least), DEPTH).astype(np.int32))
+        yield _sketch_blocks(np.minimum(counters, least).astype(np.uint8))
 
     def merged(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
         """Rows come sorted, so that one block's counters are held at a time. The last round gives bits."""
@@ -150,9 +147,9 @@ def sketch(spark: SparkSession, scratch: Scratch, partial: DataFrame, bits: int,
 
 
 def survivors(spark: SparkSession, scratch: Scratch, partial: DataFrame, least: int) -> DataFrame:
-    """The partial counts of terms whose estimated document frequency reaches the least one; the sketch's rows are as wide as there are partial counts, within bounds."""
-    bits = min(MOST_BITS, max(LEAST_BITS, int(partial.count()).bit_length()))
-    known = spark.sparkContext.broadcast(sketch(spark, scratch, partial, bits, least))
+    """The partial counts of terms whose estimated document frequency reaches the least one; a counter of the sketch gets 8 to 16 of them on average, within bounds."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (int(partial.count()) // 16).bit_length()))
+    known = spark.sparkContext.broadcast(sketch(spark, scratch, partial, bits, min(least, 255)))  # what a byte holds; beyond it more terms are counted exactly
 
     @F.pandas_udf("boolean")
     def reaches(hashed: pd.Series) -> pd.Series:

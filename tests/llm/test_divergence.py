@@ -53,6 +53,12 @@ def test_against_a_plain_count(spark, seed):
         assert {tuple(r) for r in divergence(made(spark, rows), least, 3).collect()} == plain(rows, least, 3)
 
 
+def test_more_documents_than_a_counter_holds(spark):
+    rows = [("en", f"s{i % 2}", "often") for i in range(700)]
+    assert {tuple(r) for r in divergence(made(spark, rows), 600, 3).collect()} == plain(rows, 600, 3)
+    assert {tuple(r) for r in divergence(made(spark, rows), 701, 3).collect()} == plain(rows, 701, 3)
+
+
 def test_the_smallest_table_and_nothing(spark):
     docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")
     rows = list(docs[["lang", "source", "text"]].itertuples(index=False, name=None))
