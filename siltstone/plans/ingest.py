@@ -93,7 +93,7 @@ def _upserted(f: Frames) -> tuple[DataFrame, DataFrame]:
     incoming = own.select("edge_type", "from_id", "to_id", "confidence", "valid_from", F.lit(None).cast("timestamp").alias("valid_to"), F.lit("s").alias("source_system"), "seq")
     empty = incoming.limit(0).drop("seq").withColumns({"alias_from": F.lit(""), "alias_to": F.lit("")})
     aliases = f.spark.createDataFrame([("Service:2", "Service:1"), ("Service:4", "Service:1")], "alias string, primary string")
-    known = f.nodes.where("label <> 'Service' OR canonical_id IN ('Service:1', 'Service:3', 'Service:5', 'Service:6')")
+    known = f.named_nodes.where("label <> 'Service' OR canonical_id IN ('Service:1', 'Service:3', 'Service:5', 'Service:6')")
     return writes.upsert_edges(empty, incoming, aliases, known.select("canonical_id"))
 
 
@@ -109,7 +109,7 @@ def pending_edges(f: Frames) -> DataFrame:
 
 @query(f"WITH {_INCOMING_EDGES} SELECT to_id, count(*) AS n FROM aliased WHERE to_id IN ('Service:7', 'Service:8') GROUP BY 1")
 def drained_edges(f: Frames) -> DataFrame:
-    ready, _ = writes.drain_pending(_upserted(f)[1], f.nodes.where("label <> 'Service' OR canonical_id IN ('Service:7', 'Service:8')"))
+    ready, _ = writes.drain_pending(_upserted(f)[1], f.named_nodes.where("label <> 'Service' OR canonical_id IN ('Service:7', 'Service:8')"))
     return ready.groupBy("to_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -303,7 +303,7 @@ def postings_by_deltas(f: Frames) -> DataFrame:
 SELECT edge_type, count(*) AS n FROM (SELECT DISTINCT edge_type, from_id, to_id FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY edge_type, from_id, to_id) AS place FROM (SELECT *, unnest(CASE WHEN from_id = to_id THEN [from_id] ELSE [from_id, to_id] END) AS e FROM parked) WHERE e IN (SELECT canonical_id FROM changed)) WHERE place <= 20) GROUP BY 1""")
 def post_write_drain(f: Frames) -> DataFrame:
     parked = f.edges.where("edge_type in ('ASSIGNED_TO', 'CALLS') and tier = 1").select("edge_type", "from_id", "to_id", F.lit(NOW).cast("timestamp").alias("parked_at"))
-    nodes = f.nodes.withColumn("embedding", F.lit(None).cast("array<double>"))
+    nodes = f.named_nodes.withColumn("embedding", F.lit(None).cast("array<double>"))
     return persist.after_write(nodes.where("label = 'Service'").select("canonical_id"), nodes, parked, most=20)[1].groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
 
 
