@@ -41,3 +41,20 @@ def test_names_need_no_edges(spark, monkeypatch):
     assert frames.named_nodes.count() == frames.named_nodes.select("canonical_id").distinct().count() > 0
     for table in (frames.name_index, frames.names, frames.bare_ids):
         assert table.where(F.col("customer_id").isNotNull()).limit(1).count() == 1
+
+
+def test_degrees_are_counted_without_stored_edges(spark, monkeypatch):
+    edges = [(r["from_id"], r["to_id"], r["customer_id"]) for r in Frames(spark, SF)._edges().collect()]
+    degree, own = Counter(), Counter()
+    for a, b, tenant in edges:
+        for end in {a, b}:
+            degree[end] += 1
+            own[end] += tenant != "shared"
+    monkeypatch.setattr(Frames, "_tenant_edges", property(lambda f: (_ for _ in ()).throw(AssertionError("edges were stored"))))
+    for r in Frames(spark, SF)._nodes().collect():
+        assert (r["degree"], r["own_degree"]) == (degree[r["canonical_id"]], own[r["canonical_id"]])
+
+
+def test_lines_are_dealt_once(spark):
+    plan = Frames(spark, SF)._edges()._jdf.queryExecution().executedPlan().toString()
+    assert len(__import__("re").findall(r"Exchange hashpartitioning\(l_orderkey", plan)) == 1
