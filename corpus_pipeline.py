@@ -33,7 +33,10 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by a similarity of 0.8 or more on five-word shingles one row stays: that of least doc_id, those without one last."""
+    """Of each group of texts linked by a similarity of 0.8 or more on five-word shingles one row stays: that of least doc_id, those without one last.
+
+    Candidates come from SimHash fingerprints by the byte-position index with count filtering, as in op10, and from MinHash bands, which find what is too far apart for that; each group's similarities are exact.
+    """
     return one_of_each_group(docs)
 
 

@@ -1,7 +1,10 @@
-"""Near-duplicates by similarity: MinHash bands with count filtering, then the exact similarity of shingle sets.
+"""Near-duplicates by similarity: SimHash fingerprints from the byte-position index with count filtering, then the exact similarity of shingle sets.
 
 A text is the set of its shingles; two texts are linked if their sets' Jaccard similarity reaches
-LEAST_SIMILARITY. Each distinct set has a signature of BANDS * ROWS minimums. Texts that agree in a whole
+LEAST_SIMILARITY. Candidates are texts whose fingerprints the index links (see near_duplicates.py). That
+finds copies and slight edits; pairs of a similarity near LEAST_SIMILARITY are some ten bits apart, which
+no index with a guaranteed minimum of matches finds, so MinHash bands add candidates to it:
+each distinct set has a signature of BANDS * ROWS minimums. Texts that agree in a whole
 band meet; those whose signatures agree in LEAST_EQUAL places are candidates. Every group that candidates
 form is then verified on the sets themselves, so no link is ever below the similarity. A pair of exactly
 LEAST_SIMILARITY fails to share a band with probability (1 - 0.8 ** 5) ** 25 = 5e-5, or has fewer equal
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import Scratch, text_buffers
 from siltstone.llm.components import connected_components
+from siltstone.llm.near_duplicates import fingerprint, links
 
 WORDS = 5
 LEAST_SIMILARITY = 0.8
@@ -57,10 +61,14 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype("<u2")
 
 
-def _sets(column: pa.Array) -> Iterator[np.ndarray]:
+def _texts(column: pa.Array) -> Iterator[bytes]:
     data, offsets = text_buffers(column)
     for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
-        yield shingle_set(data[a:b].tobytes())
+        yield data[a:b].tobytes()
+
+
+def _sets(column: pa.Array) -> Iterator[np.ndarray]:
+    return map(shingle_set, _texts(column))
 
 
 def _text(name: str) -> Column:
@@ -72,19 +80,21 @@ def _hashed(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, key, size, sig): key names the text's set of shingles. A null text counts as empty."""
+    """(doc_id, text_hash, key, size, sig, fp): key names the text's set of shingles, fp is its fingerprint. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, sigs = [], [], []
-            for own in _sets(batch.column(1)):
+            keys, sizes, sigs, fps = [], [], [], []
+            for text in _texts(batch.column(1)):
+                own = shingle_set(text)
+                fps.append(fingerprint(text))
                 keys.append(xxhash.xxh64_intdigest(own.tobytes()))
                 sizes.append(len(own))
                 sigs.append(signature(own).tobytes())
-            named = pa.array(np.array(keys, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), named, pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "text_hash", "key", "size", "sig"])
+            named, printed = (pa.array(np.array(v, np.uint64).view(np.int64)) for v in (keys, fps))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), named, pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), printed], names=["doc_id", "text_hash", "key", "size", "sig", "fp"])
 
-    return _hashed(docs).select("doc_id", "text", "text_hash").mapInArrow(run, "doc_id long, text_hash long, key long, size long, sig binary")
+    return _hashed(docs).select("doc_id", "text", "text_hash").mapInArrow(run, "doc_id long, text_hash long, key long, size long, sig binary, fp long")
 
 
 def _spanning(left: np.ndarray, right: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[int], list[int]]:
@@ -167,6 +177,17 @@ def _band_keys() -> Column:
     return F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 1 + i * width, width)) for i in range(BANDS)])
 
 
+def _by_fingerprint(table: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): keys of texts whose fingerprints are equal or that the index links; edges that span the groups, not all pairs. table: key, fp."""
+    held = scratch.write(table.select("fp", "key").distinct())
+    first = scratch.write(held.groupBy("fp").agg(F.min("key").alias("first")))
+    equal = held.join(first, "fp").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    near = links(first.select("fp"), scratch)
+    for end in ("a", "b"):
+        near = near.join(first.withColumnsRenamed({"fp": end, "first": f"{end}_key"}), end)
+    return equal.unionAll(near.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")))
+
+
 def _with_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """(root, key, shingles) of chosen (rep, key, root, blocks): the set of each one's text; rep: doc_id and text_hash of a row that holds it."""
 
@@ -196,7 +217,7 @@ def groups_of_similar_texts(docs: DataFrame) -> DataFrame:
     shared = scratch.write(postings.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     # keys alone meet by their bands; signatures come to those that met
     met = postings.join(shared.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "band").join(unique.select("key", "sig"), "key")
-    candidates = connected_components(_paired(met, "band", "sig", _by_signature), scratch)
+    candidates = connected_components(_by_fingerprint(table, scratch).unionAll(_paired(met, "band", "sig", _by_signature)), scratch)
 
     roots = scratch.write(candidates.unionAll(candidates.select(F.col("root").alias("node"), "root")).distinct())
     placed = scratch.write(unique.join(roots, F.col("key") == F.col("node")).select("rep", "key", "root", "size"))

@@ -74,3 +74,16 @@ def test_similarity_is_exact_at_the_edge():
     near = _by_similarity([x], [y, z])
     assert near(0, np.array([0, 1])).tolist() == [True, False]  # 80 of 100, 79 of 101
     assert _spanning(np.array([5]), np.array([6, 7]), near) == ([5], [6])
+
+
+def test_fingerprints_give_candidates_of_their_own(spark, monkeypatch):
+    """Copies and slight edits are linked by the fingerprints' index when no band is shared; what it links is judged by similarity as well."""
+    random = np.random.default_rng(9)
+    base = edited(random, 1, 0)[0].split()
+    slight = [" ".join([*base, f"end{i}"]) for i in range(6)]
+    rows = list(enumerate([*slight, *edited(random, 3, 0), "One two", "one  TWO"]))
+    monkeypatch.setattr(similar_texts, "_by_signature", lambda left, right: lambda i, others: np.zeros(len(others), bool))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in pipeline.keep_one_of_near_duplicates(spark, df, "").collect()} == kept_by_brute_force(rows)
+    monkeypatch.setattr(similar_texts, "_by_similarity", lambda left, right: lambda i, others: np.zeros(len(others), bool))
+    assert pipeline.keep_one_of_near_duplicates(spark, df, "").count() == len(rows) - 3  # equal sets alone: two of three copies, and one of two cases
