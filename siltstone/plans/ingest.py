@@ -249,18 +249,13 @@ _NEXT = """after AS (SELECT edge_type, from_id, to_id FROM edges WHERE edge_type
 
 def _edge_deltas(f: Frames) -> TableSet:
     """All edges but TOUCHES, then a write that brings those and takes the calls that aren't sure; degrees and directions follow by deltas."""
-    tables = TableSet(f.spark, f"{shared_folder(f.spark)}/runs/edges-{uuid.uuid4().hex}", incremental.with_buckets({k: incremental.KNOWLEDGE[k] for k in ("edges", "degrees", "two_way")}, 32))
+    tables = TableSet(f.spark, f"{shared_folder(f.spark)}/runs/edges-{uuid.uuid4().hex}", incremental.with_buckets({k: incremental.KNOWLEDGE[k] for k in ("edges", "degrees", "two_way")}, max(32, f.edges.count() // 500_000)))
     lanes = {c: F.lit("") for c in ("alias_from", "alias_to")}
     rows = f.edges.select("edge_type", "from_id", "to_id", "confidence", "valid_from", F.lit(None).cast("timestamp").alias("valid_to"), F.lit("s").alias("source_system")).withColumns(lanes)
 
-    def add(s: Snapshot, came: DataFrame, went: DataFrame) -> dict[str, Change]:
-        keys = came.select("from_id", "to_id").unionAll(went.select("from_id", "to_id"))
-        old = s.read("edges", keys)
-        return incremental.edge_changes(s, s.upsert("edges", keys, lambda o: o.join(went, incremental.LANES, "left_anti").unionByName(came.select(*o.columns))), old)
-
     none = rows.limit(0).select(*incremental.LANES)
-    tables.write("first", lambda s: add(s, rows.where("edge_type <> 'TOUCHES'"), none))
-    tables.write("second", lambda s: add(s, rows.where("edge_type = 'TOUCHES'"), rows.where("edge_type = 'CALLS' and confidence <> 'EXTRACTED'").select(*incremental.LANES)))
+    tables.write("first", lambda s: incremental.replaced_edges(s, rows.where("edge_type <> 'TOUCHES'"), none))
+    tables.write("second", lambda s: incremental.replaced_edges(s, rows.where("edge_type = 'TOUCHES'"), rows.where("edge_type = 'CALLS' and confidence <> 'EXTRACTED'").select(*incremental.LANES)))
     return tables
 
 
