@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,7 +15,7 @@ from siltstone.plans.registry import query
 from siltstone.sources import connectors
 from siltstone.store import shared_folder, written
 from siltstone.streaming import admission, queue_state
-from siltstone.tables import Change, Snapshot, Spec, TableSet
+from siltstone.tables import Change, TableSet
 
 NOW = "2025-06-01 00:00:00"
 
@@ -265,32 +264,16 @@ def degrees_by_deltas(f: Frames) -> DataFrame:
     return _edge_deltas(f).read("degrees")
 
 
-_POSTED = {"chunks": Spec("chunk_id string, content string", ("chunk_id",)), "postings": Spec("term string, chunk_id string, tf long", ("term",)), "frequencies": Spec("term string, df long", ("term",))}
-
-
-def _posted(chunks: DataFrame) -> DataFrame:
-    terms = chunks.select("chunk_id", F.explode(text.tokens(F.col("content"))).alias("term"))
-    return terms.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-
-
 @query("""WITH c AS (SELECT chunk_id, CASE WHEN chunk_index = 0 THEN content || ' another ending' ELSE content END AS content FROM chunks WHERE valid_to IS NULL AND doc_id NOT LIKE '%7')
 SELECT term, count(*) AS df, sum(tf) AS tf FROM (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(list_filter(regexp_extract_all(lower(content), '[a-z0-9_]+'), lambda x: length(x) >= 2)) AS term FROM c) GROUP BY ALL) GROUP BY 1""")
 def postings_by_deltas(f: Frames) -> DataFrame:
     """Postings and document frequencies after a write that changed each document's first chunk and removed some documents, from those chunks alone."""
-    tables = TableSet(f.spark, f"{shared_folder(f.spark)}/runs/postings-{uuid.uuid4().hex}", incremental.with_buckets(_POSTED, 32))
-    live = f.chunks.where("valid_to is null").select("chunk_id", "doc_id", "chunk_index", "content")
-
-    def put(s: Snapshot, keys: DataFrame, rows: Callable[[DataFrame], DataFrame]) -> dict[str, Change]:
-        chunks = s.upsert("chunks", keys, rows)
-        came, went = incremental.changed_rows(s.read("chunks", keys), chunks.rows)
-        came, went = (written(_posted(df), "posted") for df in (came, went))
-        return {"chunks": chunks, "postings": incremental.derived_rows(s, "postings", came, went), "frequencies": incremental.derived_counts(s, "frequencies", "df", came.select("term"), went.select("term"))}
-
-    tables.write("first", lambda s: put(s, live, lambda old: live.select("chunk_id", "content")))
-    changed = live.where("chunk_index = 0 AND doc_id NOT LIKE '%7'").select("chunk_id", F.concat("content", F.lit(" another ending")).alias("content"))
-    gone = live.where("doc_id LIKE '%7'").select("chunk_id")
-    keys = changed.select("chunk_id").unionAll(gone)
-    tables.write("second", lambda s: put(s, keys, lambda old: old.join(keys, "chunk_id", "left_anti").unionByName(changed)))
+    tables = TableSet(f.spark, f"{shared_folder(f.spark)}/runs/postings-{uuid.uuid4().hex}", incremental.with_buckets(incremental.POSTED, 32))
+    live = f.chunks.where("valid_to is null and chunk_id is not null").select("chunk_id", "doc_id", "chunk_index", "content")
+    tables.write("first", lambda s: incremental.text_changes(s, live.select("chunk_id", "content")))
+    left = F.when(~F.col("doc_id").like("%7"), F.concat("content", F.lit(" another ending")))
+    incoming = live.where("chunk_index = 0 OR doc_id LIKE '%7'").select("chunk_id", left.alias("content"))
+    tables.write("second", lambda s: incremental.text_changes(s, incoming))
     return tables.read("frequencies").join(tables.read("postings").groupBy("term").agg(F.sum("tf").alias("tf")), "term")
 
 

@@ -38,11 +38,12 @@ def bucket_of(spec: Spec) -> Column:
 
 @dataclass(frozen=True)
 class Change:
-    """A table's new rows of the buckets that some keys are in: rows is whole for those buckets, or, with append, comes beside what is there."""
+    """A table's new rows of the buckets that some keys are in: rows is whole for those buckets, or, with append, comes beside what is there. segments: rows stay in the tasks that made them, a sorted file for each task and bucket."""
 
     rows: DataFrame
     buckets: tuple[int, ...]
     append: bool = False
+    segments: bool = False
 
 
 class TableSet:
@@ -152,7 +153,8 @@ class TableSet:
         rows = change.rows.select(*columns).withColumn("bucket", bucket_of(spec))
         if len(change.buckets) < spec.buckets:
             rows = rows.where(F.col("bucket").isin(*change.buckets)) if change.buckets else rows.limit(0)
-        rows.repartition("bucket").sortWithinPartitions("bucket", *spec.keys).write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        rows = rows if change.segments else rows.repartition("bucket")
+        rows.sortWithinPartitions("bucket", *spec.keys).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{folder}")
         files, target = self._at(f"{self.path}/{folder}")
         there = {s.getPath().getName() for s in files.listStatus(target)}
         return {str(b): [f"{folder}/bucket={b}"] if f"bucket={b}" in there else [] for b in change.buckets}
@@ -196,9 +198,9 @@ class Snapshot:
         """A table, or the buckets of some keys."""
         return self.tables._rows(name, self.base, None if keys is None else self.tables.touched(name, keys))
 
-    def append(self, name: str, rows: DataFrame) -> Change:
-        """New rows beside those that are there, which aren't read. Many small appends make many files; rewrite such buckets at times."""
-        return Change(rows, tuple(range(self.tables.specs[name].buckets)), True)
+    def append(self, name: str, rows: DataFrame, segments: bool = False) -> Change:
+        """New rows beside those that are there, which aren't read; segments: and without a shuffle. Many small appends make many files; rewrite such buckets at times."""
+        return Change(rows, tuple(range(self.tables.specs[name].buckets)), True, segments)
 
     def upsert(self, name: str, keys: DataFrame, rows: Callable[[DataFrame], DataFrame]) -> Change:
         """New rows for the buckets of some keys, made from the old ones."""
