@@ -8,18 +8,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from siltstone.store import shared_folder
 
 #: Text bytes that one vectorised step handles at most (a single longer text is one step).
 STEP_BYTES = 4 << 20
+#: Bytes of an Arrow batch between an executor and its Python worker; either holds several at a time (Spark's own limit is 64 MB).
+BATCH_BYTES = STEP_BYTES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold BATCH_BYTES at most, or one row; a lower limit of its own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < own <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -31,6 +42,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
+        bound_batches(spark)
         self.base = f"{shared_folder(spark)}/siltstone/{label}-{uuid.uuid4().hex[:12]}"
         self._count = 0
         self._paths: dict[int, str] = {}
@@ -98,12 +110,25 @@ def held_out(df: DataFrame) -> DataFrame:
     return df.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)))
 
 
+def carried_along(docs: DataFrame, keep: list[str]) -> dict[str, Column]:
+    """The columns to carry along, under names that clash with nothing; a text that is a string isn't among them, as it is there already."""
+    return {f"kept_{i}": F.col(f"`{c}`") for i, c in enumerate(keep) if c != "text" or not isinstance(docs.schema[c].dataType, StringType)}
+
+
 def beside(docs: DataFrame, keep: list[str], taken: str) -> tuple[DataFrame, str]:
-    """doc_id, held_out, text and the columns to carry along, under names that clash with nothing; and those columns' part of a schema."""
-    carried = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]
-    frame = held_out(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried))
+    """doc_id, held_out, text and the columns to carry along; and the schema of taken and those columns, with which `together` puts a batch out."""
+    bound_batches(docs.sparkSession)
+    carried = carried_along(docs, keep)
+    frame = held_out(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c.alias(name) for name, c in carried.items())))
     schema = ", ".join([taken, *(f"kept_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))])
-    return frame.select("doc_id", "held_out", "text", *(f"kept_{i}" for i in range(len(keep)))), schema
+    return frame.select("doc_id", "held_out", "text", *carried), schema
+
+
+def together(batch: pa.RecordBatch, own: dict[str, pa.Array], keep: list[str]) -> pa.RecordBatch:
+    """An operator's own columns and those that it carries along for keep."""
+    there = set(batch.schema.names)
+    kept = {name: batch.column(name if name in there else "text") for name in (f"kept_{i}" for i in range(len(keep)))}
+    return pa.RecordBatch.from_arrays([*own.values(), *kept.values()], names=[*own, *kept])
 
 
 def restored(df: DataFrame, keep: list[str], own: bool = True) -> DataFrame:

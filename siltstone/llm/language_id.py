@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import beside, documents, held_out, restored, steps, text_buffers
+from siltstone.llm.common import beside, documents, held_out, restored, steps, text_buffers, together
 from siltstone.llm.word_features import crf_features, words_of
 
 BITS = 17
@@ -229,7 +229,8 @@ def _identified(docs: DataFrame, field: Field, keep: list[str]) -> DataFrame:
                     names.append(field.labels[best[i]] if known else UNKNOWN)
                     scores.append(float(min(1.0, share[i])) if known else 0.0)
                     sureness.append(float(min(1.0, certain[i] / max(counts[i], 1))) if known else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sureness, pa.float64()), *batch.columns[3:]], names=["doc_id", "held_out", "lang_pred", "score", "certainty", *batch.schema.names[3:]])
+            own = {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64()), "certainty": pa.array(sureness, pa.float64())}
+            yield together(batch, own, keep)
 
     frame, schema = beside(docs, keep, "doc_id long, held_out boolean, lang_pred string, score double, certainty double")
     return frame.mapInArrow(run, schema)

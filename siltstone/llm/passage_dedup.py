@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, beside, restored, steps, text_buffers
+from siltstone.llm.common import Scratch, beside, carried_along, restored, steps, text_buffers, together
 from siltstone.llm.induced_sort import PAD, sorted_suffixes
 
 #: Bytes of distinct pieces for each shard; a shard may be any larger, as its sort works in files.
@@ -386,13 +386,13 @@ def _cut(docs: DataFrame, width: int, with_text: bool, keep: list[str]) -> DataF
             columns = list(zip(*rows, strict=True)) if rows else [[]] * (6 if with_text else 4)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
             arrays = [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=False))]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "remaining_sha256", "remaining", "spans"][: len(arrays)]
-            yield pa.RecordBatch.from_arrays([*arrays, *batch.columns[3:]], names=[*names, *batch.schema.names[3:]])
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "remaining_sha256", "remaining", "spans"]
+            yield together(batch, dict(zip(names, arrays, strict=False)), keep)
 
     taken = "doc_id long, n_bytes long, n_removed long, n_spans long, remaining_sha256 string" + ", remaining string, spans array<long>" * with_text
-    carried = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]
+    carried = carried_along(docs, keep)
     _, schema = beside(docs, keep, taken)
-    found = _keyed(docs, *carried).join(places, ["k1", "k2"], "left").select("doc_id", "text", "places", *(f"kept_{i}" for i in range(len(keep))))
+    found = _keyed(docs, *(c.alias(name) for name, c in carried.items())).join(places, ["k1", "k2"], "left").select("doc_id", "text", "places", *carried)
     return found.mapInArrow(run, schema)
 
 

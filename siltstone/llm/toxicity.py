@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import beside, documents, hashed_sample, held_out, restored, steps, text_buffers
+from siltstone.llm.common import beside, documents, hashed_sample, held_out, restored, steps, text_buffers, together
 from siltstone.llm.word_features import Words, ngrams, words_of
 
 WINDOW = 24
@@ -250,7 +250,7 @@ def _scored(docs: DataFrame, net: Network, keep: list[str]) -> DataFrame:
             data, offsets = text_buffers(batch.column(2))
             parts = [net.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in steps(offsets, _STEP)]
             found = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array((found >= 0.5).astype(np.int32)), *batch.columns[3:]], names=["doc_id", "held_out", "score", "predicted", *batch.schema.names[3:]])
+            yield together(batch, {"doc_id": batch.column(0), "held_out": batch.column(1), "score": pa.array(found), "predicted": pa.array((found >= 0.5).astype(np.int32))}, keep)
 
     frame, schema = beside(docs, keep, "doc_id long, held_out boolean, score double, predicted int")
     return frame.mapInArrow(run, schema)
