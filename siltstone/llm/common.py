@@ -11,26 +11,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
-from siltstone.store import shared_folder
+from siltstone.store import BATCH_BYTES, bound_batches, shared_folder
 
 #: Text bytes that one vectorised step handles at most (a single longer text is one step).
-STEP_BYTES = 4 << 20
-#: Bytes of an Arrow batch between an executor and its Python worker; either holds several at a time (Spark's own limit is 64 MB).
-BATCH_BYTES = STEP_BYTES
+STEP_BYTES = BATCH_BYTES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """From now on the session's Arrow batches hold BATCH_BYTES at most, or one row; a lower limit of its own stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    own = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
-    if not 0 < own <= BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
