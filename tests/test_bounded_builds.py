@@ -1,8 +1,10 @@
-"""Builds hand on rows in batches of bounded size."""
+"""Builds hand on rows in batches of bounded size, and a search moves no chunks that it hasn't found."""
 
 from collections import Counter
 
 import pyarrow as pa
+from conftest import SF
+from siltstone.engine import Engine
 from siltstone.model import frames
 
 
@@ -15,3 +17,10 @@ def test_postings_are_handed_on_in_bounded_batches():
     rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
     want = [(f"c{i}", len(t), w, n) for i, t in enumerate(texts) for w, n in Counter(t).items()]
     assert len(rows) == len(want) and set(rows) == set(want)
+
+
+def test_a_search_leaves_chunks_where_they_are(spark):
+    found = Engine(spark, SF).search(["die the oneaan"], entities=[("Person", "Person:1")])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    moved = plan.split("LeftSemi, BuildRight")
+    assert len(moved) == 2 and "Exchange hashpartitioning" not in moved[1].split("BroadcastExchange")[0]
